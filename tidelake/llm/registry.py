@@ -6,16 +6,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, sharding, url_filters
+from . import bpe, chat, decontamination, sharding, url_filters
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SHARDS = 24
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, packed=True, offsets=False)
+    hashed = coded.withColumn("ids_sha256", F.sha2("token_ids", 256))
+    return bpe.decode(hashed, path, keep=("doc_id", "n_tokens", "ids_sha256")).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
@@ -52,7 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_url_filters, op6_benchmark_decontamination, op8_chat_formatting, op10_sharding)}
+    f.__name__: f for f in (op1_bpe, op4_url_filters, op6_benchmark_decontamination, op8_chat_formatting, op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 

@@ -76,6 +76,8 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float = 0.001) -> li
                     done[g] = (*w, digit_value)
                 elif abs(high - goals[g]) <= slack:
                     done[g] = (*w, digit_value + 1)
+                elif depth == 2 * _levels() - 1:  # a single key: to the nearer side
+                    done[g] = (*w, digit_value + (high - goals[g] < goals[g] - low))
                 else:
                     where[g] = (*w, digit_value)
                     below_of[where[g]] = low
