@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, sharding, substrings, url_filters
+from . import bpe, chat, decontamination, jaccard, sharding, substrings, url_filters
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SHARDS = 24
@@ -65,6 +65,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = sharding.shard_by_bytes(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), SHARDS)
@@ -72,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_url_filters, op6_benchmark_decontamination, op7_substring_dedup, op8_chat_formatting, op10_sharding)}
+    f.__name__: f for f in (op1_bpe, op4_url_filters, op6_benchmark_decontamination, op7_substring_dedup, op8_chat_formatting, op9_ngram_jaccard_join, op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 
