@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, jaccard, sharding, substrings, url_filters
+from . import bpe, chat, decontamination, extraction, jaccard, quality, sharding, substrings, url_filters, warc
+from .common import written
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SHARDS = 24
@@ -31,6 +32,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "chars_per_token", "byte_share", "token_entropy")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_bundles(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
@@ -39,6 +52,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, paths, templates, URL_RULES)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    winners = written(extraction.winning_paths(extraction.host_votes(pages)), "winners")
+    return extraction.extract(pages, winners).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -76,7 +95,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_url_filters, op6_benchmark_decontamination, op7_substring_dedup, op8_chat_formatting, op9_ngram_jaccard_join, op10_sharding)}
+    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_warc, op4_url_filters, op5_html_extraction, op6_benchmark_decontamination, op7_substring_dedup, op8_chat_formatting, op9_ngram_jaccard_join, op10_sharding)}
 ORACLES: dict[str, str] = {}
 
 

@@ -263,6 +263,7 @@ def _rim_texts(window: int):
 
 
 def _cut(batches):
+    """From id, text, spans: id, counts and the words outside the spans, joined by one space."""
     for batch in batches:
         kept, n_words, n_removed, ids = [], [], [], batch.column(0)
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -304,3 +305,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     made = dealt.join(per_doc, F.col("_id") == F.col("sid"), "left").select("_id", "_text", "spans").mapInArrow(
         _cut, "_id bigint, n_words bigint, n_removed bigint, kept binary")
     return made.select(F.when(F.col("_id") != _LEAST, F.col("_id")).alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+
+
+def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without repeated spans: a text that loses words is what stays, joined by one space; a row that loses all is dropped.
+    All other columns pass through."""
+    cut = dedup_substrings(docs, window, id_col, text_col).select(F.col(id_col).alias("_cut_id"), "n_words", "n_removed", "kept").where("n_removed > 0")
+    cut = written(cut.dropDuplicates(["_cut_id"]), "cut")
+    joined = docs.join(cut, F.col(id_col).eqNullSafe(F.col("_cut_id")), "left").where("n_removed IS NULL OR n_removed < n_words")
+    text = F.coalesce(F.col("kept"), docs[text_col])
+    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
