@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a share of their union, as components.
 
-The order of shingles is rare-first by document frequency in 2**16 hash buckets, counted over all documents (any order
-that is the same for all documents gives right results; the bound on the table keeps it small at any size). Documents of
+The order of shingles is rare-first by document frequency in 2**22 hash buckets, counted over all documents (any order
+that is the same for all documents gives right results; the fixed number of buckets keeps the table at 16 MB at any size). Documents of
 equal sets are one node. A node's prefix holds all that must meet any partner; prefixes meet by shingle, in lists sorted
 by length. Length and positional filters act on pairs of a list; a suffix filter (counts between fixed pivots bound the
 overlap) and the exact intersection act once per pair.
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, gram_hashes, mix, row_slices, utf8_parts, written
 
-BUCKETS = 1 << 16
+BUCKET_BITS = 22
+BUCKETS = 1 << BUCKET_BITS
+SLICE = 1 << 16  # buckets in one row of the table while it is summed
 #: Most rows of a table of a few numbers that is broadcast (some 50 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
@@ -55,24 +57,27 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _bucket(value: np.ndarray) -> np.ndarray:
-    return (value >> np.uint64(64 - 16)).astype(np.int64)
+    return (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _survey(k: int):
-    """kind 0: (id, set size, two hashes of the set) of each text; kind 1: (bucket, documents) at the end of a partition."""
+    """kind 0: (id, set size, two hashes of the set) of each text; kind 1: (slice, counts) of the buckets at a partition's end."""
 
     def run(batches):
-        seen = np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(BUCKETS, np.uint32)
 
-        def rows(kind, a, b, c, d):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, c, d))], ["kind", "a", "b", "c", "d"])
+        def rows(kind, a, b, c, d, counts=None):
+            counts = pa.nulls(len(a), pa.binary()) if counts is None else pa.array(counts, pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, c, d)), counts], ["kind", "a", "b", "c", "d", "counts"])
 
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             raw, off = utf8_parts(batch.column(1))
             for i, j in row_slices(off):
                 row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                seen += np.bincount(_bucket(value), minlength=BUCKETS)
+                at, times = np.unique(_bucket(value), return_counts=True)
+                seen[at] += times.astype(np.uint32)
                 size = np.bincount(row, minlength=j - i)
                 ends = np.concatenate([[0], np.cumsum(size)])
 
@@ -81,12 +86,23 @@ def _survey(k: int):
                     return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
 
                 yield rows(0, ids[i:j], size, fold(mix(value)), fold(mix(value ^ np.uint64(0x5851F42D4C957F2D))))
-        at = np.flatnonzero(seen)
-        yield rows(1, at, seen[at], at, at)
+        if seen.any():
+            n = np.arange(BUCKETS // SLICE)
+            yield rows(1, n, n, n, n, [x.tobytes() for x in seen.reshape(-1, SLICE)])
 
     return run
 
 
+def _sum_slices(batches):
+    """(slice, counts) summed over all partitions' rows of a slice."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for n, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[n] = total.get(n, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int64()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["a", "counts"])
+
+
 def _need(n: np.ndarray, share: int) -> np.ndarray:
     """Least overlap that a set of n needs with any partner."""
     return -(-share * n // 100)
@@ -285,10 +301,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """id, n_shingles, component_id of each row of docs; two documents link at 100 * intersection >= share * union."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(text_col).alias("_text"))
-    survey = written(base.mapInArrow(_survey(k), "kind int, a bigint, b bigint, c bigint, d bigint"), "survey")
-    often = np.zeros(BUCKETS, np.int64)
-    for bucket, n in survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect():  # at most BUCKETS rows
-        often[bucket] = n
+    survey = written(base.mapInArrow(_survey(k), "kind int, a bigint, b bigint, c bigint, d bigint, counts binary"), "survey")
+    often = np.zeros((BUCKETS // SLICE, SLICE), np.uint32)
+    slices = survey.where("kind = 1").select("a", "counts").repartition("a").mapInArrow(_sum_slices, "a bigint, counts binary")
+    for n, part in slices.collect():  # 4 bytes for each of BUCKETS
+        often[n] = np.frombuffer(part, np.uint32)
+    often = often.reshape(-1)
     counts = spark.sparkContext.broadcast(often)
     sets = survey.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "c", "d")
     nodes = sets.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
