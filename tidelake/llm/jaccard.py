@@ -28,6 +28,8 @@ SLICE = 1 << 16  # buckets in one row of the table while it is summed
 #: Most rows of a table of a few numbers that is broadcast (some 50 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
+#: Links that one task folds into a forest before the rounds of components.
+FOREST_LINKS = 250_000
 _LEAST = -(1 << 63)
 
 
@@ -273,13 +275,36 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str) ->
     return written(sent.mapInArrow(_verified(k, share), "a bigint, b bigint").distinct(), name)
 
 
+def _forest(batches):
+    """Of a partition's links, those that join what the ones before left apart."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        a, b = [], []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                x, y = min(x, y), max(x, y)
+                up[y] = x
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of all ids in links(a, b): the least id reachable. Large-star and small-star rounds."""
+    """(id, component) of all ids in links(a, b): the least id reachable. Large-star and small-star rounds, on what
+    a forest of each part of the links leaves. links should be a written table."""
     def told(edges):
         r = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         return r[0], r[1]
 
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    folded = links.select("a", "b").repartition(1 + links.count() // FOREST_LINKS).mapInArrow(_forest, "a bigint, b bigint")
+    edges = written(folded.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     before = told(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -328,7 +353,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     crossing = written(crossing.join(near, ["a", "b"], "left_anti"), "crossing-pairs")
     more = verify(crossing, base, k, share, "crossing-links")
     if not more.isEmpty():
-        found = components(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        found = components(written(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))), "all-links"))
     labels = nodes.join(found, F.col("node") == F.col("id"), "left").select("n", "c", "d", F.coalesce("component", "node").alias("component"))
     real = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
     return sets.join(labels, ["n", "c", "d"], "left").withColumn("component", F.coalesce("component", "id")).select(
