@@ -11,8 +11,9 @@ square of the corpus, so documents meet only the shards that can match:
 2. Reference shards. Where one anchor stands in different chunks (the rims of passages, edits in near copies), the first
    of each different chunk makes the shard of that anchor. A suffix automaton is grown over the shard in document order;
    each chunk is streamed through it for matching statistics before it is added, and its maximal matches of `window`
-   words or more are removed. An automaton is bounded in words; a shard beyond the bound goes on with a set of the
-   hashes of its windows, which finds the same spans.
+   words or more are removed. A shard holds SHARD_CHUNKS chunks at most. Anchors with more (a very common passage among
+   ever different neighbours) go another exact way, so that no task gathers them: hashes of their windows, the first place
+   of each from a grouped minimum, and a join back.
 
 Defined results: null and empty texts have no words and nothing removed; the id names the document, and repeated rows of
 one id (with one text) aren't earlier than each other; a null id sorts first. An empty table gives an empty result.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import Words, _pow, gram_hashes, mix, row_slices, utf8_parts, written
 
 K = 6
-AUTOMATON_WORDS = 200_000
+SHARD_CHUNKS = 256
+#: Most keys of crowded anchors that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _LEAST = -(1 << 63)
 
 
@@ -196,33 +199,20 @@ class SuffixAutomaton:
 
 
 class Shard:
-    """The reference shard of one anchor: an automaton of bounded size, then hashes of windows."""
+    """The reference shard of one anchor."""
 
-    def __init__(self, window: int, most: int = AUTOMATON_WORDS):
-        self.window, self.most, self.size = window, most, 0
-        self.automaton, self.rest = SuffixAutomaton(), set()
+    def __init__(self, window: int):
+        self.window, self.automaton = window, SuffixAutomaton()
 
     def spans(self, words: list) -> list[tuple[int, int]]:
-        """Spans of `words` that earlier chunks hold; then adds the chunk."""
-        w, found = self.window, []
-        for end, n in enumerate(self.automaton.matches(words), 1):
-            if n >= w:
-                found.append((end - n, end))
-        keys = ()
-        if self.rest or self.size >= self.most:
-            keys = [hash(tuple(words[i : i + w])) for i in range(len(words) - w + 1)]
-            found += [(i, i + w) for i, x in enumerate(keys) if x in self.rest]
-        if self.size < self.most:
-            self.automaton.add(words)
-            self.size += len(words)
-        else:
-            self.rest.update(keys)
+        """Maximal spans of `words` that earlier chunks hold; then adds the chunk."""
         spans: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
+        for end, n in enumerate(self.automaton.matches(words), 1):
+            if n >= self.window:
+                while spans and end - n <= spans[-1][1]:
+                    n = max(n, end - spans.pop()[0])
+                spans.append((end - n, end))
+        self.automaton.add(words)
         return spans
 
 
@@ -245,6 +235,22 @@ def _match(window: int):
     return run
 
 
+def _windows(window: int):
+    """(hash, id, start) of each window of the chunks of crowded anchors."""
+
+    def run(batches):
+        for batch in batches:
+            words = Words(*utf8_parts(batch.column(3)))
+            g = gram_hashes(words.hash, window)
+            at = np.flatnonzero(words.doc[: len(g)] == words.doc[window - 1 :]) if len(g) else np.zeros(0, np.int64)
+            row = words.doc[at]
+            first = np.concatenate([[0], np.cumsum(words.counts)])[row]
+            ids, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[row]), pa.array(starts[row] + at - first)], ["hash", "id", "start"])
+
+    return run
+
+
 def _rim_texts(window: int):
     def run(batches):
         for batch in batches:
@@ -289,8 +295,15 @@ def removed_spans(docs: DataFrame, window: int, partitions: int) -> tuple[DataFr
     rims = sifted.where("rim").groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("key", "start", "last")).alias("rims"))
     texts = dealt.join(rims, F.col("_id") == F.col("rid")).select("_id", "_text", "rims").mapInArrow(
         _rim_texts(window), "key bigint, id bigint, start bigint, words binary")
-    matched = texts.repartition("key").dropDuplicates(["key", "id", "start"]).sortWithinPartitions("key", "id", "start").select("key", "id", "start", "words").mapInArrow(
+    crowded = written(sifted.where("rim").groupBy(F.col("key").alias("ckey")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_CHUNKS).select("ckey"), "crowded")
+    few = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    texts = written(texts.dropDuplicates(["key", "id", "start"]).select("key", "id", "start", "words"), "rims")
+    matched = texts.join(few, F.col("key") == F.col("ckey"), "left_anti").repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(
         _match(window), "id bigint, start bigint, end bigint")
+    places = written(texts.join(few, F.col("key") == F.col("ckey"), "left_semi").mapInArrow(_windows(window), "hash bigint, id bigint, start bigint"), "windows")
+    firsts = places.groupBy(F.col("hash").alias("fhash")).agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = places.join(firsts, F.col("hash") == F.col("fhash")).where(F.struct("id", "start") > F.col("first"))
+    matched = matched.unionByName(later.select("id", "start", (F.col("start") + window).alias("end")))
     whole = sifted.where("NOT rim").select("id", "start", (F.col("last") + window).alias("end"))
     return dealt, whole.unionByName(matched)
 
