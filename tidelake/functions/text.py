@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .nullness import is_diff_null, strip
 
@@ -56,7 +57,7 @@ def fold_text(v: str | None) -> str:
     return " ".join(s.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(v: pd.Series) -> pd.Series:
     return v.map(fold_text)
 
@@ -165,7 +166,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(low / high)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def typo_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; not symmetric, so keep the order of the sides."""
     from difflib import SequenceMatcher

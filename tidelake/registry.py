@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("profile", "dedup")
+MODULES = ("profile", "dedup", "clean", "audit")
 
 
 def _modules():
