@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _R_INV = pow(_R, -1, 1 << 64)
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:

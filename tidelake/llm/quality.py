@@ -13,9 +13,9 @@ table gives an empty result.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections import Counter
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from .common import Words, gram_hashes, mix, row_slices, utf8_parts, written
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
-CACHE = 300_000
+CACHE = 150_000
 STEP = 0.005  # to which measures are rounded for the bands
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
 
@@ -85,10 +85,10 @@ def token_measures(words: Words, path: str) -> tuple[np.ndarray, np.ndarray, np.
             new = list(range(len(keys)))
         view = words.raw.tobytes()
         texts = [view[words.starts[f] : words.ends[f]].decode("utf-8", "replace") for f in first[new]]
-        cache.update(zip((keys[i] for i in new), model.encode(texts, num_threads=1), strict=True))
+        cache.update(zip((keys[i] for i in new), (array("I", x).tobytes() for x in model.encode(texts, num_threads=1)), strict=True))
     ids = [cache[k] for k in keys]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
     count = size[inverse]
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
