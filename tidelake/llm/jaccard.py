@@ -3,12 +3,13 @@
 The order of shingles is rare-first by document frequency in 2**22 hash buckets, counted over all documents (any order
 that is the same for all documents gives right results; the fixed number of buckets keeps the table at 16 MB at any size). Documents of
 equal sets are one node. A node's prefix holds all that must meet any partner; prefixes meet by shingle, in lists sorted
-by length. Length and positional filters act on pairs of a list; a suffix filter (counts between fixed pivots bound the
-overlap) and the exact intersection act once per pair.
+by length. Length, positional and suffix filters act on pairs of a list (suffix: a document's shingle counts between fixed
+pivots bound the overlap); the exact intersection acts once per pair.
 
-Lists are never expanded into all pairs. First each list gives its neighbours in length and each member with the first;
-the links among these make components. Then the lists give only pairs of different components, which is all that can
-change the result, and these are verified too: no link between components is lost.
+Lists are never expanded into all pairs. First each list gives its neighbours in length and each member with the first,
+of which each document keeps two; the links among these make components. Then each list gives pairs of the first members of
+its components; at last all pairs of different components, which is all that can change the result. All are verified: no
+link between components is lost.
 
 Defined results: null and empty texts have no shingles and link with nothing; the id names the document, so repeated rows of
 an id are one document and each row is returned; a null id sorts before all others; an empty table gives an empty result.
@@ -28,6 +29,7 @@ SLICE = 1 << 16  # buckets in one row of the table while it is summed
 #: Most rows of a table of a few numbers that is broadcast (some 50 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
+PIVOTS = 64
 #: Links that one task folds into a forest before the rounds of components.
 FOREST_LINKS = 250_000
 _LEAST = -(1 << 63)
@@ -62,8 +64,14 @@ def _bucket(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def pivot_counts(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """For each text, its shingles between fixed pivots of the hash range; 255 stands for more, which keeps bounds valid."""
+    n = np.bincount(row * PIVOTS + (value >> np.uint64(64 - 6)).astype(np.int64), minlength=rows * PIVOTS)
+    return np.minimum(n, 255).astype(np.uint8).reshape(rows, PIVOTS)
+
+
 def _survey(k: int):
-    """kind 0: (id, set size, two hashes of the set) of each text; kind 1: (slice, counts) of the buckets at a partition's end."""
+    """kind 0: (id, set size, two hashes of the set, counts between pivots) of each text; kind 1: (slice, counts) of the buckets at a partition's end."""
 
     def run(batches):
         seen = np.zeros(BUCKETS, np.uint32)
@@ -87,10 +95,11 @@ def _survey(k: int):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
                     return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
 
-                yield rows(0, ids[i:j], size, fold(mix(value)), fold(mix(value ^ np.uint64(0x5851F42D4C957F2D))))
+                yield rows(0, ids[i:j], size, fold(mix(value)), fold(mix(value ^ np.uint64(0x5851F42D4C957F2D))), [x.tobytes() for x in pivot_counts(row, value, j - i)])
         if seen.any():
             n = np.arange(BUCKETS // SLICE)
-            yield rows(1, n, n, n, n, [x.tobytes() for x in seen.reshape(-1, SLICE)])
+            small = np.uint8 if seen.max() < 1 << 8 else np.uint16 if seen.max() < 1 << 16 else np.uint32
+            yield rows(1, n, n, n, n, [x.astype(small).tobytes() for x in seen.reshape(-1, SLICE)])
 
     return run
 
@@ -100,7 +109,8 @@ def _sum_slices(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for n, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[n] = total.get(n, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+            width = {SLICE: np.uint8, 2 * SLICE: np.uint16, 4 * SLICE: np.uint32}[len(counts)]
+            total[n] = total.get(n, 0) + np.frombuffer(counts, width).astype(np.int64)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(total), pa.int64()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["a", "counts"])
 
@@ -149,11 +159,15 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[new], b[new]
 
 
-def _whole_lists(batches, width: int):
-    """Columns of complete runs of equal first column, a batch at a time; the last run waits for the next batch."""
-    held = [np.zeros(0, np.int64)] * width
+def _whole_lists(batches, width: int, pivots: bool = False):
+    """Columns of complete runs of equal first column, a batch at a time; the last run waits for the next batch.
+    width: columns of numbers; pivots: one more column of pivot counts, as a row of bytes each."""
+    held = [np.zeros(0, np.int64)] * width + [np.zeros((0, PIVOTS), np.uint8)] * pivots
     for batch in batches:
-        cols = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+        if pivots:
+            cols.append(utf8_parts(batch.column(width))[0].reshape(-1, PIVOTS))
+        cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
@@ -198,13 +212,20 @@ def _lists(share: int):
     return run
 
 
-def _crossing(share: int, block: int = 2048):
-    """From lists sorted by token and size, with components: pairs of different components that pass the filters."""
+def _crossing(share: int, firsts_only: bool, block: int = 2048):
+    """From lists sorted by token and size, with components and pivot counts: pairs of different components that pass the
+    filters. firsts_only: among the first members of each component in a list."""
 
     def run(batches):
-        for token, packed, doc, comp in _whole_lists(batches, 4):
+        for token, packed, doc, comp, parts in _whole_lists(batches, 4, pivots=True):
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
+            if firsts_only:
+                group = np.cumsum(new)
+                order = np.lexsort((np.arange(len(token)), comp, group))
+                again = np.zeros(len(token), bool)
+                again[order[1:]] = (group[order[1:]] == group[order[:-1]]) & (comp[order[1:]] == comp[order[:-1]])
+                token, packed, doc, comp, parts, new = (x[~again] for x in (token, packed, doc, comp, parts, new))
             start = np.flatnonzero(new)
             end = np.append(start[1:], len(token))
             varied = np.zeros(len(token), bool)
@@ -220,9 +241,13 @@ def _crossing(share: int, block: int = 2048):
                             break
                         ok = _passes(n[x][:, None], p[x][:, None], n[y][None, :], p[y][None, :], share)
                         ok &= (x[:, None] < y[None, :]) & (comp[x][:, None] != comp[y][None, :])
-                        u, v = np.nonzero(ok)
-                        got_a.append(doc[x[u]])
-                        got_b.append(doc[y[v]])
+                        u, v = (z[w] for z, w in zip((x, y), np.nonzero(ok), strict=True))
+                        for c in range(0, len(u), 1 << 14):
+                            uu, vv = u[c : c + (1 << 14)], v[c : c + (1 << 14)]
+                            both = n[uu] + n[vv]
+                            near = np.abs(parts[uu].astype(np.int16) - parts[vv]).sum(1) <= both - 2 * -(-share * both // (100 + share))
+                            got_a.append(doc[uu[near]])
+                            got_b.append(doc[vv[near]])
             if got_a:
                 a, b = _distinct_pairs(np.concatenate(got_a), np.concatenate(got_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -333,7 +358,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         often[n] = np.frombuffer(part, np.uint32)
     often = often.reshape(-1)
     counts = spark.sparkContext.broadcast(often)
-    sets = survey.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "c", "d")
+    sets = survey.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "c", "d", "counts")
     nodes = sets.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     # ids that only stand for copies of another node, or have no shingles, send no prefix
@@ -343,17 +368,22 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prefix = active.mapInArrow(_prefixes(k, share, counts), "token bigint, id bigint, np bigint")
     lists = written(prefix.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(
         _lists(share), "kind int, a bigint, b bigint, c bigint"), "lists")
-    near = written(lists.where("kind = 1").select("a", "b").distinct(), "near-pairs")
-    links = verify(near, base, k, share, "near-links")
+    told = lists.where("kind = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    best = told.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.min("a").alias("least"))
+    tried = written(best.select("a", "b").unionByName(best.select(F.col("least").alias("a"), "b")).distinct(), "near-pairs")
+    links = verify(tried, base, k, share, "near-links")
     found = components(links)
+    sketches = _small(written(sets.where("n > 0").select(F.col("id").alias("sid"), "counts").dropDuplicates(["sid"]), "sketches"))
     rows = lists.where("kind = 0").select(F.col("a").alias("token"), F.col("c").alias("np"), F.col("b").alias("id"))
-    labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").select(
-        "token", "np", "id", F.coalesce("component", "id").alias("comp"))
-    crossing = labelled.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(_crossing(share), "a bigint, b bigint").distinct()
-    crossing = written(crossing.join(near, ["a", "b"], "left_anti"), "crossing-pairs")
-    more = verify(crossing, base, k, share, "crossing-links")
-    if not more.isEmpty():
-        found = components(written(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))), "all-links"))
+    for firsts_only in (True, False):
+        labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").join(sketches, F.col("id") == F.col("sid")).select(
+            "token", "np", "id", F.coalesce("component", "id").alias("comp"), "counts")
+        pairs = labelled.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(_crossing(share, firsts_only), "a bigint, b bigint").distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
+        more = verify(pairs, base, k, share, "crossing-links")
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            found = components(written(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))), "all-links"))
     labels = nodes.join(found, F.col("node") == F.col("id"), "left").select("n", "c", "d", F.coalesce("component", "node").alias("component"))
     real = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
     return sets.join(labels, ["n", "c", "d"], "left").withColumn("component", F.coalesce("component", "id")).select(
