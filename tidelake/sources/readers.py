@@ -4,6 +4,7 @@ from __future__ import annotations
 import csv
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
 
 
 def detect_encoding(head: bytes) -> str:
-    """By byte-order mark, else UTF-8 if the head decodes (a cut last character aside), else Windows-1252."""
+    """By byte-order mark, else UTF-8 if the head decodes (a cut last character aside), else a single-byte one (Windows-1252)."""
     if head.startswith(b"\xef\xbb\xbf"):
         return "UTF-8"
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
@@ -47,7 +48,7 @@ def detect_encoding(head: bytes) -> str:
         head.decode("utf-8")
     except UnicodeDecodeError as e:
         if e.start < len(head) - 3:
-            return "windows-1252"
+            return "ISO-8859-1"
     return "UTF-8"
 
 
@@ -73,12 +74,10 @@ def unique_names(names: list[str]) -> list[str]:
 def with_row_index(df: DataFrame) -> DataFrame:
     """_row_index: dense from 0 in file order."""
     try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
-        placed.schema  # noqa: B018  not every source has row positions
-        order = F.struct("_f", "_r")
-        return with_position(placed.withColumn("_o", order), "_o", ROW).drop("_f", "_r", "_o")
-    except Exception:  # text sources: the reader's own order
-        return with_position(df.withColumn("_o", F.monotonically_increasing_id()), "_o", ROW).drop("_o")
+        placed = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("_o"))
+    except AnalysisException:  # text sources have no row positions: the reader's own order
+        placed = df.withColumn("_o", F.monotonically_increasing_id())
+    return with_position(placed, "_o", ROW).drop("_o")
 
 
 def strings(df: DataFrame, tokens: tuple[str, ...] = INGEST_TOKENS) -> DataFrame:
@@ -103,7 +102,12 @@ def read_csv(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
     if typed:
         return reader.option("inferSchema", True).csv(path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return reader.schema(schema).csv(path)
+    df = reader.schema(schema).csv(path)
+    if encoding == "ISO-8859-1":  # as Windows-1252: what lies in the C1 range are its signs
+        pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        old, new = ("".join(x) for x in zip(*[p for p in pairs if p[1]], strict=True))
+        df = df.select(*[F.translate(q(c), old, new).alias(c) for c in names])
+    return df
 
 
 def read_json(spark: SparkSession, path: str, flatten: bool = False, typed: bool = False) -> DataFrame:
