@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import row_slices, utf8_parts
+from .common import row_slices, tidied, utf8_parts
 
 # classes of code points
 LETTER, NUMBER, OTHER, SHORT2, SHORT3, GAP, LAST_BLANK, LAST_GAP = range(8)
@@ -38,7 +38,7 @@ CONTRACTIONS_2 = ("re", "ve", "ll")
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _CHARS = 1 << 19
 _BLOCK = 256
-CACHE = 200_000
+CACHE = 120_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +248,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
                     out = [c.cast(pa.binary()) if pa.types.is_large_binary(c.type) else c for c in out]
                 yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens", "token_ids"] + ["token_offsets"] * offsets)
 
-    return df.select(*keep, text_col).mapInArrow(run, schema)
+    return df.select(*keep, text_col).mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
@@ -263,4 +263,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", keep: tuple[str
             made = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist() if flat else x)) for x in ((y or b"") for y in column.to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(made, pa.binary())], [*keep, out_col])
 
-    return df.select(*keep, ids_col).mapInArrow(run, schema)
+    return df.select(*keep, ids_col).mapInArrow(tidied(run), schema)

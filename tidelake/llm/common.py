@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import numpy as np
@@ -41,6 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(run):
+    """run (a function of Arrow batches) that gives freed memory back to the system when its partition ends, as a Python worker
+    stays alive for other operators."""
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return outer
+
+
 # --- words of UTF-8 buffers, without a Python object for each word
 
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, row_slices, utf8_parts, written
+from .common import Words, gram_hashes, mix, row_slices, tidied, utf8_parts, written
 
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
@@ -297,7 +297,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str) ->
     roles = written(roles, f"{name}-roles")
     sent = docs.join(_small(roles), F.col("_id") == F.col("doc")).select("leader", "salt", "doc", "member", "_text").repartition("leader", "salt")
     sent = sent.sortWithinPartitions("leader", "salt", "member", "doc")
-    return written(sent.mapInArrow(_verified(k, share), "a bigint, b bigint").distinct(), name)
+    return written(sent.mapInArrow(tidied(_verified(k, share)), "a bigint, b bigint").distinct(), name)
 
 
 def _forest(batches):
@@ -328,7 +328,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         r = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         return r[0], r[1]
 
-    folded = links.select("a", "b").repartition(1 + links.count() // FOREST_LINKS).mapInArrow(_forest, "a bigint, b bigint")
+    folded = links.select("a", "b").repartition(1 + links.count() // FOREST_LINKS).mapInArrow(tidied(_forest), "a bigint, b bigint")
     edges = written(folded.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     before = told(edges)
     for _ in range(rounds):
@@ -351,9 +351,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """id, n_shingles, component_id of each row of docs; two documents link at 100 * intersection >= share * union."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(text_col).alias("_text"))
-    survey = written(base.mapInArrow(_survey(k), "kind int, a bigint, b bigint, c bigint, d bigint, counts binary"), "survey")
+    survey = written(base.mapInArrow(tidied(_survey(k)), "kind int, a bigint, b bigint, c bigint, d bigint, counts binary"), "survey")
     often = np.zeros((BUCKETS // SLICE, SLICE), np.uint32)
-    slices = survey.where("kind = 1").select("a", "counts").repartition("a").mapInArrow(_sum_slices, "a bigint, counts binary")
+    slices = survey.where("kind = 1").select("a", "counts").repartition("a").mapInArrow(tidied(_sum_slices), "a bigint, counts binary")
     for n, part in slices.collect():  # 4 bytes for each of BUCKETS
         often[n] = np.frombuffer(part, np.uint32)
     often = often.reshape(-1)
@@ -365,9 +365,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     idle = sets.join(nodes.where("copies > 1"), ["n", "c", "d"], "left").where("n = 0 OR (copies > 1 AND id != node)").select(F.col("id").alias("idle"))
     active = base.join(_small(written(idle.distinct(), "idle")), F.col("_id") == F.col("idle"), "left_anti")
     # repeated rows of an id would list a document twice
-    prefix = active.mapInArrow(_prefixes(k, share, counts), "token bigint, id bigint, np bigint")
+    prefix = active.mapInArrow(tidied(_prefixes(k, share, counts)), "token bigint, id bigint, np bigint")
     lists = written(prefix.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(
-        _lists(share), "kind int, a bigint, b bigint, c bigint"), "lists")
+        tidied(_lists(share)), "kind int, a bigint, b bigint, c bigint"), "lists")
     told = lists.where("kind = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     best = told.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.min("a").alias("least"))
     tried = written(best.select("a", "b").unionByName(best.select(F.col("least").alias("a"), "b")).distinct(), "near-pairs")
@@ -378,7 +378,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     for firsts_only in (True, False):
         labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").join(sketches, F.col("id") == F.col("sid")).select(
             "token", "np", "id", F.coalesce("component", "id").alias("comp"), "counts")
-        pairs = labelled.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(_crossing(share, firsts_only), "a bigint, b bigint").distinct()
+        pairs = labelled.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(tidied(_crossing(share, firsts_only)), "a bigint, b bigint").distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
         more = verify(pairs, base, k, share, "crossing-links")
         tried = tried.unionByName(pairs)

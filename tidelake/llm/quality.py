@@ -2,10 +2,10 @@
 
 A text's words are encoded each by a public piece vocabulary with byte fallback; measured are characters per token, the
 share of byte-fallback tokens and the entropy of the text's tokens. Bands are fitted per language (per script where the
-language is null) over all texts that pass the base rules: median and quartiles from counts of rounded values, which are
-sums over the whole table, few rows at any size. A text is rejected if a measure lies more than `width` robust standard
-deviations from its language's median (entropy only below) or its byte share is over `max_bytes`. Languages with fewer
-than `least` texts have no fitted band.
+language is null) over all texts that pass the base rules: medians and quartiles from counts of rounded values, which are
+sums over the whole table, few rows at any size. A text is rejected if its characters per token lie outside a band round the
+median that is wider for shorter texts, its entropy is far below its language's, or its byte share is over `max_bytes`.
+Languages with fewer than `least` texts have no fitted band. Defaults lean to keeping: a text inside the bands stays.
 
 Defined results: null and empty texts have no words and fail the base rules; each row is judged, repeats too; an empty
 table gives an empty result.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, row_slices, utf8_parts, written
+from .common import Words, gram_hashes, mix, row_slices, tidied, utf8_parts, written
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -128,38 +128,49 @@ def measure(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     [id_col, "band", *(x.split()[0] for x in MEASURES.split(", "))])
 
     lang = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
-    return df.select(id_col, text_col, lang.alias("_lang")).mapInArrow(run, f"`{id_col}` {kind}, band string, {MEASURES}")
+    return df.select(id_col, text_col, lang.alias("_lang")).mapInArrow(tidied(run), f"`{id_col}` {kind}, band string, {MEASURES}")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_bands(measured: DataFrame, width: float = 4.5, least: int = 200) -> DataFrame:
-    """band, and for chars_per_token and token_entropy their lowest and highest accepted values."""
+def _quartiles(values: DataFrame) -> DataFrame:
+    """band, total, q1, q2, q3 of values(band, value), from counts of rounded values."""
+    bins = values.groupBy("band", F.round(F.col("value") / STEP).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("band").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = bins.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy("band"))})
+    cut = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) * STEP
+    return ranked.groupBy("band").agg(F.max("total").alias("total"), cut(0.25).alias("q1"), cut(0.5).alias("q2"), cut(0.75).alias("q3"))
+
+
+def _beside(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """rows with their band's columns; bands (a row for each language) is a written table."""
+    return rows.join(F.broadcast(bands) if bands.count() <= 10_000 else bands, "band", "left")
+
+
+def fit_bands(measured: DataFrame, least: int = 200) -> DataFrame:
+    """band with the medians of both measures, the spread of characters per token at one token (it falls with the root of a
+    text's tokens) and the spread of entropy; for bands of `least` texts and more."""
     good = measured.where(~base_failed())
-    out = None
-    for name in ("chars_per_token", "token_entropy"):
-        bins = good.groupBy("band", F.round(F.col(name) / STEP).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        upto = Window.partitionBy("band").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = bins.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy("band"))})
-        cut = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) * STEP
-        fitted = ranked.groupBy("band").agg(cut(0.25).alias("q1"), cut(0.5).alias("q2"), cut(0.75).alias("q3"), F.max("total").alias("total"))
-        sigma = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(STEP))
-        fitted = fitted.where(F.col("total") >= least).select(
-            "band", (F.col("q2") - width * sigma).alias(f"{name}_low"), (F.col("q2") + width * sigma).alias(f"{name}_high"))
-        out = fitted if out is None else out.join(fitted, "band", "full_outer")
-    return out
-
-
-def judge(df: DataFrame, path: str, width: float = 4.5, max_bytes: float = 0.3, least: int = 200, id_col: str = "doc_id", **names) -> DataFrame:
-    """measure(df) with base_failed, kept and the reasons of a rejection."""
+    chars = _quartiles(good.select("band", F.col("chars_per_token").alias("value"))).where(F.col("total") >= least)
+    chars = written(chars.select("band", F.col("q2").alias("chars_median")), "medians")
+    off = _beside(good, chars).where("chars_median IS NOT NULL")
+    spread = lambda: F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(STEP))
+    wide = _quartiles(off.select("band", ((F.col("chars_per_token") - F.col("chars_median")) * F.sqrt("n_tokens")).alias("value"))).select("band", spread().alias("chars_spread"))
+    entropy = _quartiles(good.select("band", F.col("token_entropy").alias("value"))).select("band", F.col("q2").alias("entropy_median"), spread().alias("entropy_spread"))
+    return chars.join(wide, "band").join(entropy, "band")
+
+
+def judge(df: DataFrame, path: str, width: float = 4.0, margin: float = 0.03, entropy_width: float = 5.0, max_bytes: float = 0.3, least: int = 200,
+          id_col: str = "doc_id", **names) -> DataFrame:
+    """measure(df) with base_failed, kept and the reasons of a rejection.
+
+    Characters per token may differ from the median by margin * median + width * spread / sqrt(tokens)."""
     measured = written(measure(df, path, id_col=id_col, **names), "fertility")
-    bands = written(fit_bands(measured, width, least), "bands")
-    few = bands.count() <= 10_000  # a row for each language
-    out = measured.join(F.broadcast(bands) if few else bands, "band", "left").withColumn("base_failed", base_failed())
-    off = lambda c: F.coalesce((F.col(c) < F.col(f"{c}_low")) | ((F.col(c) > F.col(f"{c}_high")) if c == "chars_per_token" else F.lit(False)), F.lit(False))
+    out = _beside(measured, written(fit_bands(measured, least), "bands")).withColumn("base_failed", base_failed())
+    far = F.abs(F.col("chars_per_token") - F.col("chars_median")) > margin * F.col("chars_median") + width * F.col("chars_spread") / F.sqrt("n_tokens")
+    flat = F.col("token_entropy") < F.col("entropy_median") - entropy_width * F.col("entropy_spread")
     reasons = F.array_compact(F.array(
-        F.when(F.col("base_failed"), "base"), F.when(off("chars_per_token"), "chars_per_token"),
-        F.when(off("token_entropy"), "token_entropy"), F.when(F.col("byte_share") > max_bytes, "byte_share")))
+        F.when(F.col("base_failed"), "base"), F.when(far, "chars_per_token"), F.when(flat, "token_entropy"), F.when(F.col("byte_share") > max_bytes, "byte_share")))
     return out.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _pow, gram_hashes, mix, row_slices, utf8_parts, written
+from .common import Words, _pow, gram_hashes, mix, row_slices, tidied, utf8_parts, written
 
 K = 6
 SHARD_CHUNKS = 256
@@ -287,20 +287,20 @@ def _cut(batches):
 
 def removed_spans(docs: DataFrame, window: int, partitions: int) -> tuple[DataFrame, DataFrame]:
     """(docs dealt by id, spans to remove) of docs(_id bigint, _text string)."""
-    chunks = docs.mapInArrow(_chunk_rows(window), "key bigint, id bigint, content bigint, span bigint")
+    chunks = docs.mapInArrow(tidied(_chunk_rows(window)), "key bigint, id bigint, content bigint, span bigint")
     sifted = chunks.repartition("key").sortWithinPartitions("key", "id", "span").mapInArrow(
-        _sift, "id bigint, start bigint, last bigint, key bigint, rim boolean")
+        tidied(_sift), "id bigint, start bigint, last bigint, key bigint, rim boolean")
     sifted = written(sifted, "chunks")
     dealt = docs.select("_id", F.col("_text").cast("binary").alias("_text")).repartition(partitions, "_id")
     rims = sifted.where("rim").groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("key", "start", "last")).alias("rims"))
     texts = dealt.join(rims, F.col("_id") == F.col("rid")).select("_id", "_text", "rims").mapInArrow(
-        _rim_texts(window), "key bigint, id bigint, start bigint, words binary")
+        tidied(_rim_texts(window)), "key bigint, id bigint, start bigint, words binary")
     crowded = written(sifted.where("rim").groupBy(F.col("key").alias("ckey")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_CHUNKS).select("ckey"), "crowded")
     few = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
     texts = written(texts.dropDuplicates(["key", "id", "start"]).select("key", "id", "start", "words"), "rims")
     matched = texts.join(few, F.col("key") == F.col("ckey"), "left_anti").repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(
-        _match(window), "id bigint, start bigint, end bigint")
-    places = written(texts.join(few, F.col("key") == F.col("ckey"), "left_semi").mapInArrow(_windows(window), "hash bigint, id bigint, start bigint"), "windows")
+        tidied(_match(window)), "id bigint, start bigint, end bigint")
+    places = written(texts.join(few, F.col("key") == F.col("ckey"), "left_semi").mapInArrow(tidied(_windows(window)), "hash bigint, id bigint, start bigint"), "windows")
     firsts = places.groupBy(F.col("hash").alias("fhash")).agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = places.join(firsts, F.col("hash") == F.col("fhash")).where(F.struct("id", "start") > F.col("first"))
     matched = matched.unionByName(later.select("id", "start", (F.col("start") + window).alias("end")))
@@ -316,7 +316,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     dealt, spans = removed_spans(base, window, n)
     per_doc = spans.groupBy(F.col("id").alias("sid")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     made = dealt.join(per_doc, F.col("_id") == F.col("sid"), "left").select("_id", "_text", "spans").mapInArrow(
-        _cut, "_id bigint, n_words bigint, n_removed bigint, kept binary")
+        tidied(_cut), "_id bigint, n_words bigint, n_removed bigint, kept binary")
     return made.select(F.when(F.col("_id") != _LEAST, F.col("_id")).alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
