@@ -24,11 +24,26 @@ DATE_PART = (r"(?i)\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b|\b\d{1,2}[-/]\d{1,2}[-/]\d{2,
 TIME_PART = r"(?i)\b\d{1,2}:\d{2}(?::\d{2})?\s*(?:am|pm)?\b|\b\d{1,2}\s*(?:am|pm)\b"
 
 
+def _shape(java: str) -> str | None:
+    """What a format's values look like with digits as D; null if month names stand in it."""
+    if "MMM" in java:
+        return None
+    return "".join("D" if ch in "yMdHmsS" else ch for ch in java.replace("'T'", "T"))
+
+
 def parse_timestamp(c: Column, formats: tuple[str, ...] | None = None) -> Column:
-    """The first format that fits; null if none does."""
+    """The first format that fits; null if none does. A value's shape picks the formats that are tried on it."""
     s = strip(c.cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in formats or [j for j, _ in FORMATS]]
-    return F.coalesce(*tries)
+    shape = F.regexp_replace(s, "[0-9]", "D")
+    by_shape: dict[str | None, list[str]] = {}
+    for f in formats or [j for j, _ in FORMATS]:
+        by_shape.setdefault(_shape(f), []).append(f)
+    tried = lambda fs: F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in fs])
+    out = F.when(s.isNull(), F.lit(None).cast("timestamp_ntz"))
+    for want, fs in by_shape.items():
+        if want is not None:
+            out = out.when(shape == want, tried(fs))
+    return out.when(s.rlike("(?i)[a-z]{3}"), tried(by_shape[None])) if None in by_shape else out
 
 
 def has_date(c: Column) -> Column:
