@@ -9,22 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm import bpe, decontamination, jaccard, quality, substrings
-from tidelake.llm.common import scratch_path, written
+from tidelake.llm.common import fresh, scratch_path, written
 from tidelake.llm.registry import table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality.judge(docs, vocabulary("piece_bpe_32k.model"))
-    kept = written(judged.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    own = fresh("_kept_id", docs.columns)
+    kept = written(judged.where("kept").select(F.col("doc_id").alias(own)).distinct(), "kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one of smallest id."""
     labelled = jaccard.similarity_components(docs)
-    stay = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    own = fresh("_stay_id", docs.columns)
+    stay = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or name with underscores, that no column in taken has (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def tidied(run):
     """run (a function of Arrow batches) that gives freed memory back to the system when its partition ends, as a Python worker
     stays alive for other operators."""

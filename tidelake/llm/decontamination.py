@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, written
+from .common import LOWER, UPPER, fresh, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most rows of a table that is broadcast: a few tens of bytes each.
@@ -122,7 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, sprea
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that the benchmark contaminates, with all their columns."""
+    own, text = (fresh(c, docs.columns) for c in ("_bad_id", "_bad_text"))
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(
-        F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct()
+        F.col(id_col).alias(own), F.col("text_hash").alias(text)).distinct()
     bad = written(bad, "contaminated")
-    return docs.join(_small(bad), docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_text")), "left_anti")
+    return docs.join(_small(bad), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(text)), "left_anti")

@@ -7,9 +7,10 @@ by length. Length, positional and suffix filters act on pairs of a list (suffix:
 pivots bound the overlap); the exact intersection acts once per pair.
 
 Lists are never expanded into all pairs. First each list gives its neighbours in length and each member with the first,
-of which each document keeps two; the links among these make components. Then each list gives pairs of the first members of
-its components; at last all pairs of different components, which is all that can change the result. All are verified: no
-link between components is lost.
+of which each document keeps two; the links among these make components. Then each list gives its most central member (of
+most shared prefix shingles: an original rather than its edited copies) with one member of each other component; at last
+all pairs of different components, which is all that can change the result. All are verified: no link between components
+is lost.
 
 Defined results: null and empty texts have no shingles and link with nothing; the id names the document, so repeated rows of
 an id are one document and each row is returned; a null id sorts before all others; an empty table gives an empty result.
@@ -212,20 +213,50 @@ def _lists(share: int):
     return run
 
 
-def _crossing(share: int, firsts_only: bool, block: int = 2048):
-    """From lists sorted by token and size, with components and pivot counts: pairs of different components that pass the
-    filters. firsts_only: among the first members of each component in a list."""
+def _suffix_near(n, parts, u, v, share: int) -> np.ndarray:
+    """Which pairs (u, v) the counts between pivots leave possible."""
+    out = np.zeros(len(u), bool)
+    for c in range(0, len(u), 1 << 14):
+        x, y = u[c : c + (1 << 14)], v[c : c + (1 << 14)]
+        both = n[x] + n[y]
+        out[c : c + (1 << 14)] = np.abs(parts[x].astype(np.int16) - parts[y]).sum(1) <= both - 2 * -(-share * both // (100 + share))
+    return out
+
+
+def _central(share: int):
+    """From lists sorted by token, with components, pivot counts and centrality: the most central member of each list with the most
+    central one of each other component."""
+
+    def run(batches):
+        for token, packed, doc, comp, central, parts in _whole_lists(batches, 5, pivots=True):
+            group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]]))
+            order = np.lexsort((doc, -central, comp, group))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (group[order[1:]] != group[order[:-1]]) | (comp[order[1:]] != comp[order[:-1]])
+            chosen = order[lead]  # one of each component in a list
+            chosen = chosen[np.lexsort((doc[chosen], -central[chosen], group[chosen]))]
+            first = np.ones(len(chosen), bool)
+            first[1:] = group[chosen[1:]] != group[chosen[:-1]]
+            u = chosen[np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))][~first]
+            v = chosen[~first]
+            n, p = packed >> 32, packed & 0xFFFFFFFF
+            u, v = np.where(n[u] <= n[v], u, v), np.where(n[u] <= n[v], v, u)
+            ok = _passes(n[u], p[u], n[v], p[v], share)
+            u, v = u[ok], v[ok]
+            near = _suffix_near(n, parts, u, v, share)
+            a, b = _distinct_pairs(doc[u[near]], doc[v[near]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _crossing(share: int, block: int = 2048):
+    """From lists sorted by token and size, with components and pivot counts: pairs of different components that pass the filters."""
 
     def run(batches):
-        for token, packed, doc, comp, parts in _whole_lists(batches, 4, pivots=True):
+        for token, packed, doc, comp, _, parts in _whole_lists(batches, 5, pivots=True):
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
-            if firsts_only:
-                group = np.cumsum(new)
-                order = np.lexsort((np.arange(len(token)), comp, group))
-                again = np.zeros(len(token), bool)
-                again[order[1:]] = (group[order[1:]] == group[order[:-1]]) & (comp[order[1:]] == comp[order[:-1]])
-                token, packed, doc, comp, parts, new = (x[~again] for x in (token, packed, doc, comp, parts, new))
             start = np.flatnonzero(new)
             end = np.append(start[1:], len(token))
             varied = np.zeros(len(token), bool)
@@ -242,12 +273,9 @@ def _crossing(share: int, firsts_only: bool, block: int = 2048):
                         ok = _passes(n[x][:, None], p[x][:, None], n[y][None, :], p[y][None, :], share)
                         ok &= (x[:, None] < y[None, :]) & (comp[x][:, None] != comp[y][None, :])
                         u, v = (z[w] for z, w in zip((x, y), np.nonzero(ok), strict=True))
-                        for c in range(0, len(u), 1 << 14):
-                            uu, vv = u[c : c + (1 << 14)], v[c : c + (1 << 14)]
-                            both = n[uu] + n[vv]
-                            near = np.abs(parts[uu].astype(np.int16) - parts[vv]).sum(1) <= both - 2 * -(-share * both // (100 + share))
-                            got_a.append(doc[uu[near]])
-                            got_b.append(doc[vv[near]])
+                        near = _suffix_near(n, parts, u, v, share)
+                        got_a.append(doc[u[near]])
+                        got_b.append(doc[v[near]])
             if got_a:
                 a, b = _distinct_pairs(np.concatenate(got_a), np.concatenate(got_b))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -366,19 +394,22 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     active = base.join(_small(written(idle.distinct(), "idle")), F.col("_id") == F.col("idle"), "left_anti")
     # repeated rows of an id would list a document twice
     prefix = active.mapInArrow(tidied(_prefixes(k, share, counts)), "token bigint, id bigint, np bigint")
-    lists = written(prefix.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(
+    size = F.shiftright("np", 32)
+    lists = written(prefix.repartition("token").sortWithinPartitions("token", size, "id").mapInArrow(
         tidied(_lists(share)), "kind int, a bigint, b bigint, c bigint"), "lists")
     told = lists.where("kind = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     best = told.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.min("a").alias("least"))
     tried = written(best.select("a", "b").unionByName(best.select(F.col("least").alias("a"), "b")).distinct(), "near-pairs")
     links = verify(tried, base, k, share, "near-links")
     found = components(links)
-    sketches = _small(written(sets.where("n > 0").select(F.col("id").alias("sid"), "counts").dropDuplicates(["sid"]), "sketches"))
     rows = lists.where("kind = 0").select(F.col("a").alias("token"), F.col("c").alias("np"), F.col("b").alias("id"))
-    for firsts_only in (True, False):
+    central = rows.groupBy("id").agg(F.count(F.lit(1)).alias("central"))
+    sketches = sets.where("n > 0").select("id", "counts").dropDuplicates(["id"]).join(central, "id").select(F.col("id").alias("sid"), "counts", "central")
+    sketches = _small(written(sketches, "sketches"))
+    for step in (_central, _crossing):
         labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").join(sketches, F.col("id") == F.col("sid")).select(
-            "token", "np", "id", F.coalesce("component", "id").alias("comp"), "counts")
-        pairs = labelled.repartition("token").sortWithinPartitions("token", "np", "id").mapInArrow(tidied(_crossing(share, firsts_only)), "a bigint, b bigint").distinct()
+            "token", "np", "id", F.coalesce("component", "id").alias("comp"), "central", "counts")
+        pairs = labelled.repartition("token").sortWithinPartitions("token", size, "id").mapInArrow(tidied(step(share)), "a bigint, b bigint").distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
         more = verify(pairs, base, k, share, "crossing-links")
         tried = tried.unionByName(pairs)

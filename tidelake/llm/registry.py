@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontamination, extraction, jaccard, quality, sharding, substrings, url_filters, warc
 from .common import written
+from .oracles import ORACLES
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SHARDS = 24
@@ -96,7 +97,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_warc, op4_url_filters, op5_html_extraction, op6_benchmark_decontamination, op7_substring_dedup, op8_chat_formatting, op9_ngram_jaccard_join, op10_sharding)}
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

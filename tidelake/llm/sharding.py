@@ -8,7 +8,7 @@ driver), until each splitter's error is within the tolerance or its interval is
 are dealt to their shards by comparing keys with the splitters, and moved once.
 
 Defined results: a null text has 0 bytes, a null id sorts first, rows with equal key (repeats) cannot be parted by a
-splitter, an empty table gives an empty result. All other columns pass through under their own names.
+splitter, an empty table gives an empty result. All other columns pass through; those named size, shard or slot are replaced.
 """
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 BITS = 12
 _TOP = 1 << 63
@@ -98,23 +98,22 @@ def _key_of(digits: tuple[int, ...]) -> tuple[int, int]:
 
 def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> DataFrame:
     """df with the new columns size, shard and slot (gapless from 0 in each shard). Law: bytes."""
+    h, i, n = (fresh(c, df.columns) for c in ("_h", "_id", "_size"))
     text = F.col(text_col)
     keyed = df.withColumns({
-        "_h": F.xxhash64(text),
-        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-_TOP)),
-        "_size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8,
+        h: F.xxhash64(text),
+        i: F.coalesce(F.col(id_col).cast("long"), F.lit(-_TOP)),
+        n: F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8,
     })
-    keys = written(keyed.select("_h", "_id", "_size"), "shard-keys")  # text is read once, not once a round
-    splitters = find_splitters(keys, shards, tolerance)
+    keys = written(keyed.select(F.col(h).alias("_h"), F.col(i).alias("_id"), F.col(n).alias("_size")), "shard-keys")  # text is read once, not once a round
     shard = F.lit(0)
-    for h, i in splitters:
-        shard = shard + F.when((F.col("_h") > h) | ((F.col("_h") == h) & (F.col("_id") >= i)), 1).otherwise(0)
-    order = Window.partitionBy("shard").orderBy("_h", "_id", "_size")
+    for at, key in find_splitters(keys, shards, tolerance):
+        shard = shard + F.when((F.col(h) > at) | ((F.col(h) == at) & (F.col(i) >= key)), 1).otherwise(0)
+    order = Window.partitionBy("shard").orderBy(h, i, n)
     return (
-        keyed.withColumn("shard", shard.cast("int"))
+        keyed.withColumns({"shard": shard.cast("int"), "size": F.col(n)})
         .withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
-        .withColumnRenamed("_size", "size")
-        .drop("_h", "_id")
+        .drop(h, i, n)
     )
 
 

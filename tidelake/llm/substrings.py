@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _pow, gram_hashes, mix, row_slices, tidied, utf8_parts, written
+from .common import Words, _pow, fresh, gram_hashes, mix, row_slices, tidied, utf8_parts, written
 
 K = 6
 SHARD_CHUNKS = 256
@@ -323,8 +323,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without repeated spans: a text that loses words is what stays, joined by one space; a row that loses all is dropped.
     All other columns pass through."""
-    cut = dedup_substrings(docs, window, id_col, text_col).select(F.col(id_col).alias("_cut_id"), "n_words", "n_removed", "kept").where("n_removed > 0")
-    cut = written(cut.dropDuplicates(["_cut_id"]), "cut")
-    joined = docs.join(cut, F.col(id_col).eqNullSafe(F.col("_cut_id")), "left").where("n_removed IS NULL OR n_removed < n_words")
-    text = F.coalesce(F.col("kept"), docs[text_col])
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    own, kept, gone = (fresh(c, docs.columns) for c in ("_cut_id", "_kept", "_gone"))
+    cut = dedup_substrings(docs, window, id_col, text_col).where("n_removed > 0").select(
+        F.col(id_col).alias(own), F.col("kept").alias(kept), (F.col("n_removed") == F.col("n_words")).alias(gone))
+    cut = written(cut.dropDuplicates([own]), "cut")
+    joined = docs.join(cut, F.col(id_col).eqNullSafe(F.col(own)), "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    return joined.withColumn(text_col, F.coalesce(F.col(kept), F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
