@@ -47,16 +47,23 @@ def gram(words: Column, i: Column, k: int) -> Column:
     return h.bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << _POS) - 1)))
 
 
-def fingerprints(words: str, k: int, spread: int) -> Column:
-    """The winnowed grams of an array column of words (as gram() packs them)."""
-    w, n = F.col(words), F.size(words)
-    return F.array_distinct(_upto(F.size("_grams") - (spread - 1), lambda i: F.array_min(F.slice("_grams", i, F.lit(spread)))))
+def fingerprints(grams: str, spread: int) -> Column:
+    """The winnowed ones of an array column of grams (as gram() packs them)."""
+    return F.array_distinct(_upto(F.size(grams) - (spread - 1), lambda i: F.array_min(F.slice(grams, i, F.lit(spread)))))
 
 
 def _fingerprinted(df: DataFrame, window: int, spread: int, out: str) -> DataFrame:
     k = window - spread + 1
-    grams = _upto(F.size("_words") - (k - 1), lambda i: gram(F.col("_words"), i, k))
-    return df.withColumn("_grams", grams).withColumn(out, fingerprints("_words", k, spread)).drop("_grams")
+    return df.withColumn("_grams", _all_grams("_words", k)).withColumn(out, fingerprints("_grams", spread)).drop("_grams")
+
+
+def _all_grams(words: str, k: int) -> Column:
+    """Every gram of k words."""
+    return _upto(F.size(words) - (k - 1), lambda i: gram(F.col(words), i, k))
+
+
+def _marked(marks: Column, length: int) -> Column:
+    return F.transform(marks, lambda m: F.struct(F.lit(length).alias("len"), m.alias("m")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, spread: int = 7, id_col: str = "doc_id", text_col: str = "text",
@@ -82,9 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, sprea
     marks = written(marks.select("len", F.shiftright("m", _POS).alias("g")).distinct(), "bench-marks")
 
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_t"), words_of(F.col(text_col)).alias("_words"))
-    kinds = [F.transform(F.col("_f"), lambda m: F.struct(F.lit(window).alias("len"), m.alias("m")))]
-    for n in short:
-        kinds.append(F.transform(_upto(F.size("_words") - (n - 1), lambda i, n=n: gram(F.col("_words"), i, n)), lambda m, n=n: F.struct(F.lit(n).alias("len"), m.alias("m"))))
+    kinds = [_marked(F.col("_f"), window)] + [_marked(_all_grams("_words", n), n) for n in short]
     grams = _fingerprinted(base, window, spread, "_f").select("_id", "_t", F.explode(F.concat(*kinds) if short else kinds[0]).alias("x"))
     met = grams.select("_id", "_t", F.col("x.len").alias("len"), F.col("x.m").alias("m"), F.shiftright("x.m", _POS).alias("g")).join(_small(marks), ["len", "g"])
     spots = met.groupBy("_id", "_t").agg(F.collect_set(F.struct("len", F.col("m").bitwiseAND(F.lit((1 << _POS) - 1)).cast("int").alias("p"))).alias("spots"))

@@ -37,18 +37,18 @@ _LEAST = -(1 << 63)
 def chunks_of(words: Words, window: int, k: int = K) -> tuple[np.ndarray, ...]:
     """(row, first window's start, last window's start, anchor, content) of each chunk; starts count words from the row's first."""
     n = len(words.hash)
-    if n < window:
+    m = max(0, n - window + 1)
+    valid = np.flatnonzero(words.doc[:m] == words.doc[n - m :])
+    if not len(valid):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     g = gram_hashes(words.hash, k)
     spread = window - k + 1
-    m = n - window + 1
     low = np.uint64(0xFF)
     high = g & ~low
     best = high[:m].copy()
     for j in range(1, spread):
         np.minimum(best, high[j : j + m] | np.uint64(j), out=best)
     at = np.arange(m) + (best & low).astype(np.int64)
-    valid = np.flatnonzero(words.doc[:m] == words.doc[window - 1 :])
     at, doc = at[valid], words.doc[valid]
     new = np.ones(len(valid), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
