@@ -61,6 +61,7 @@ def learn_templates(urls: DataFrame, url_col: str = "url", bad_col: str = "bad",
             .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", named)))
             .select("host", "gpath", "n", "l", "b", "segments", "template")
         )
+        tree = written(tree, "url-tree")  # each level reads the one above twice
     paths = written(tree.select("host", "gpath", "n", "l", "b", "template"), "url-paths")
     prior = paths.agg((F.sum("b") + 1) / (F.sum("l") + 2)).first()[0] or 0.5
     rate = (F.col("n_bad") + F.lit(strength * prior)) / (F.col("n_labelled") + F.lit(strength))

@@ -175,7 +175,9 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = False) -> DataF
                         yield _batch(out, payloads)
 
     grouped = index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))  # a bundle is bounded
-    return grouped.select("bundle", "places").mapInArrow(run, schema)
+    # places are few bytes for much work, so bundles are dealt by number, not by size
+    tasks = max(1, min(index.select("bundle").distinct().count(), 3 * index.sparkSession.sparkContext.defaultParallelism))
+    return grouped.select("bundle", "places").repartition(tasks).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
