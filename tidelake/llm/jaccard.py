@@ -26,7 +26,7 @@ from .common import Words, gram_hashes, mix, row_slices, tidied, utf8_parts, wri
 
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
-SLICE = 1 << 16  # buckets in one row of the table while it is summed
+SLICE = 1 << 14  # buckets in one row of the table while it is summed
 #: Most rows of a table of a few numbers that is broadcast (some 50 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
