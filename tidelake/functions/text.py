@@ -198,6 +198,17 @@ def number_token(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.replace(strip(c.cast("string")), F.lit(","), F.lit("")), r"([-+]?\d*\.?\d+)", 1), F.lit(""))
 
 
+#: SQL functions that Catalyst inlines into queries.
+SQL_FUNCTIONS = {
+    "abstract_format(v STRING) RETURNS STRING": r"regexp_replace(regexp_replace(v, '[0-9]', 'D'), '[a-zA-Z]', 'A')",
+    "normalize_email(v STRING) RETURNS STRING": r"nullif(nullif(lower(regexp_replace(v, '(?U)\\A\\s+|\\s+\\z', '')), ''), 'nan')",
+    "normalize_phone(v STRING) RETURNS STRING": (
+        r"(SELECT CASE WHEN length(d) BETWEEN 7 AND 15 THEN d END FROM (SELECT regexp_replace(regexp_replace(trim(regexp_replace(trim(v), '(?i)(ext|extension|x)\\s*\\d+\\z', '')), '\\A00', ''), '\\D+', '') AS d))"),
+}
+
+
 def register(spark) -> None:
-    """Functions for SQL: normalize_text; the others are expressions already."""
+    """normalize_text (an Arrow UDF), abstract_format, normalize_email and normalize_phone for SQL in this session."""
     spark.udf.register("normalize_text", _fold)
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

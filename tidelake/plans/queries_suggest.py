@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import fuzzy as Z
 from ..operators import grid as G
 from ..operators import profile as P
 from . import suggest as U
-from .queries_dedup import EVIDENCE, ORACLES as DEDUP_SQL, SPEC, TEXT
+from .queries_dedup import EVIDENCE, ORACLES as DEDUP_SQL, PHONE_KEY, SPEC, TEXT
 from .specs import ColumnSpec
 from .views import D1, D4, Registry, d1, d4, table
 
@@ -71,3 +72,10 @@ def missing_total(spark, sf_dir):
 def batch_append_union(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     return o.unionByName(o).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("sql_functions", f"WITH {D4} SELECT _row_index, regexp_replace(regexp_replace(firm, '[0-9]', 'D', 'g'), '[a-zA-Z]', 'A', 'g') AS format_form, lower(trim(email)) AS email_form, {PHONE_KEY} AS phone_form FROM d4")
+def sql_functions(spark, sf_dir):
+    X.register(spark)
+    d4(spark, sf_dir).createOrReplaceTempView("contacts")
+    return spark.sql("SELECT _row_index, abstract_format(firm) AS format_form, normalize_email(email) AS email_form, normalize_phone(phone) AS phone_form FROM contacts")
