@@ -407,8 +407,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sketches = sets.where("n > 0").select("id", "counts").dropDuplicates(["id"]).join(central, "id").select(F.col("id").alias("sid"), "counts", "central")
     sketches = _small(written(sketches, "sketches"))
     for step in (_central, _crossing):
-        labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").join(sketches, F.col("id") == F.col("sid")).select(
-            "token", "np", "id", F.coalesce("component", "id").alias("comp"), "central", "counts")
+        labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").select(
+            "token", "np", "id", F.coalesce("component", "id").alias("comp"))
+        # a list of one component, as a large family's lists are by now, goes no further: minimum and maximum combine before the shuffle
+        ends = labelled.groupBy(F.col("token").alias("mixed")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("mixed")
+        labelled = labelled.join(_small(written(ends, "mixed-lists")), F.col("token") == F.col("mixed"), "left_semi").join(sketches, F.col("id") == F.col("sid")).select(
+            "token", "np", "id", "comp", "central", "counts")
         pairs = labelled.repartition("token").sortWithinPartitions("token", size, "id").mapInArrow(tidied(step(share)), "a bigint, b bigint").distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
         more = verify(pairs, base, k, share, "crossing-links")
