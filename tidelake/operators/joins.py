@@ -7,14 +7,29 @@ from pyspark.sql import functions as F
 from .profile import ROW, q
 
 
+STRIPES = 4096
+
+
 def with_position(df: DataFrame, order: str = ROW, name: str = "_pos") -> DataFrame:
-    """Dense positions from 0 in order, without gathering rows in one task: counts of range partitions shift local numbers."""
-    spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    local = spread.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    return local.join(F.broadcast(shifts), "_part").withColumn(name, F.col("_local") - 1 + F.col("_shift")).drop("_part", "_local", "_shift")
+    """Dense positions from 0 in the order of a whole-number column, without gathering rows in one task.
+
+    Rows are numbered inside stripes of equal width between the least and the greatest id, and shifted by the rows of the
+    stripes before. The stripe is an expression of the row, so counting and numbering agree whatever the partitioning."""
+    ends = df.agg(F.min(order), F.max(order)).first()
+    if ends[0] is None:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    width = (ends[1] - ends[0]) // STRIPES + 1
+    placed = df.withColumn("_stripe", F.floor((F.col(order) - F.lit(ends[0])) / F.lit(width)).cast("int"))
+    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_stripe").orderBy(order)))
+    return shifted(local, placed, "_stripe", "_local", name, first=1)
+
+
+def shifted(local: DataFrame, counted: DataFrame, group: str, number: str, name: str, first: int) -> DataFrame:
+    """local numbers (from `first`) in groups made numbers over all groups, in the groups' order. There are few groups."""
+    sums = counted.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return local.join(shifts, F.col(group) == F.col("_g")).withColumn(name, (F.col(number) - first + F.col("_shift")).cast("bigint")).drop(group, number, "_g", "_shift")
 
 
 def positional(left: DataFrame, right: DataFrame, how: str = "inner", order: str = ROW) -> DataFrame:

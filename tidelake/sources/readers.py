@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nullness import INGEST_TOKENS
-from ..operators.joins import with_position
+from ..operators.joins import shifted
 from ..operators.profile import ROW, q
 
 #: Extensions by format.
@@ -72,12 +72,13 @@ def unique_names(names: list[str]) -> list[str]:
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
-    """_row_index: dense from 0 in file order."""
+    """_row_index: dense from 0 in file order, by numbers inside files (or the reader's partitions) shifted by those before."""
     try:
-        placed = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("_o"))
+        local = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
     except AnalysisException:  # text sources have no row positions: the reader's own order
-        placed = df.withColumn("_o", F.monotonically_increasing_id())
-    return with_position(placed, "_o", ROW).drop("_o")
+        ident = F.monotonically_increasing_id()
+        local = df.withColumns({"_f": F.shiftright(ident, 33), "_r": ident.bitwiseAND(F.lit((1 << 33) - 1))})
+    return shifted(local, local, "_f", "_r", ROW, first=0)
 
 
 def strings(df: DataFrame, tokens: tuple[str, ...] = INGEST_TOKENS) -> DataFrame:
