@@ -27,8 +27,8 @@ from .common import Words, gram_hashes, mix, row_slices, tidied, utf8_parts, wri
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
 SLICE = 1 << 14  # buckets in one row of the table while it is summed
-#: Most rows of a table of a few numbers that is broadcast (some 50 MB); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Most rows of a table of a few numbers that is broadcast (some 20 MB); larger ones are joined by shuffle.
+BROADCAST_ROWS = 400_000
 SALTS = 64
 PIVOTS = 64
 #: Links that one task folds into a forest before the rounds of components.
