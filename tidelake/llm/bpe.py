@@ -38,7 +38,7 @@ CONTRACTIONS_2 = ("re", "ve", "ll")
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _CHARS = 1 << 19
 _BLOCK = 256
-CACHE = 120_000
+CACHE = 240_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
