@@ -113,6 +113,23 @@ def test_op2_keeps_no_base_failure_and_clean_labelled_texts(spark):
     assert sum(got[i].kept for i in passing) >= 0.99 * len(passing)
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_op2_one_bad_text_has_one_verdict_at_each_scale(spark, scale):
+    """Texts of odd letters are rejected in languages with few texts too; a clean text that is its language's only one stays."""
+    from tidelake.llm import quality as Q
+
+    r = random.Random(5)
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet").select("doc_id", "text", "lang")
+    odd = lambda letters: " ".join("".join(r.choice(letters) for _ in range(8)) for _ in range(200))
+    bad = [(-i, odd("bcdfghjklmnpqrstvwxz"), lang) for i, lang in enumerate(["en", "de", "fr", "es"], 1)]
+    bad += [(-i, odd("ȡȴȵȶɫɬɭɮʦʧ"), lang) for i, lang in enumerate(["only", None], 5)]
+    labelled = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
+    clean = [(-100 - i, labelled.where(f"lang = '{lang}' AND length(text) > 1000").orderBy("doc_id").first().text, f"only-{lang}") for i, lang in enumerate(["en", "de", "fr", "es"])]
+    made = Q.judge(docs.union(spark.createDataFrame(bad + clean, docs.schema)), registry.vocabulary("piece_bpe_32k.model")).where("doc_id < 0").collect()
+    assert len(made) == 10 and not any(x.base_failed or x.chars_median is None for x in made)
+    assert all("chars_per_token" in x.reasons for x in made if x.doc_id > -100) and all(x.kept for x in made if x.doc_id <= -100)
+
+
 def test_op4_parts_and_rules(spark, edge):
     got = {r.page_id: r for r in registry.op4_url_filters(spark, edge).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")

@@ -5,7 +5,10 @@ share of byte-fallback tokens and the entropy of the text's tokens. Bands are fi
 language is null) over all texts that pass the base rules: medians and quartiles from counts of rounded values, which are
 sums over the whole table, few rows at any size. A text is rejected if its characters per token lie outside a band round the
 median that is wider for shorter texts, its entropy is far below its language's, or its byte share is over `max_bytes`.
-Languages with fewer than `least` texts have no fitted band. Defaults lean to keeping: a text inside the bands stays.
+Every band has a value, whatever its number of texts: its median and spread lean towards those of its script, and these
+towards those of all texts, the more the fewer texts there are, and what is left unknown of the median widens the band. A
+language's only text is so judged by its script, with room for how far languages differ. Defaults lean to keeping: a text
+inside the bands stays.
 
 Defined results: null and empty texts have no words and fail the base rules; each row is judged, repeats too; an empty
 table gives an empty result.
@@ -41,7 +44,10 @@ def _pieces(path: str):
 
 def script_of(text: str) -> str:
     """The script most letters of a text belong to, by the first word of their Unicode names."""
-    names = Counter(unicodedata.name(c, "OTHER").split(" ")[0] for c in text if c.isalpha())
+    names: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            names[unicodedata.name(c, "OTHER").split(" ")[0]] += n
     return min(names, key=lambda k: (-names[k], k)) if names else "NONE"
 
 
@@ -103,7 +109,7 @@ def token_measures(words: Words, path: str) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def measure(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, band (language, or script where it is null) and MEASURES of each row."""
+    """id, band (language, or script where it is null), script and MEASURES of each row."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -121,14 +127,15 @@ def measure(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     dup.append(len(lines) - len(set(lines)))
                 n, odd, entropy = token_measures(words, path)
                 safe = np.maximum(n, 1)
-                band = [x if x is not None else script_of(data[o[r] : o[r + 1]].decode()) for r, x in enumerate(langs[i:j])]
+                script = [script_of(data[a:b].decode()) for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+                band = [x if x is not None else s for x, s in zip(langs[i:j], script, strict=True)]
                 cols = [words.counts, chars, _per_row(_SYMBOL[part], o), dup, repeated_words(words), n]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(band, pa.string()), *(pa.array(x, pa.int64()) for x in cols), pa.array(chars / safe), pa.array(odd / safe), pa.array(entropy, pa.float64())],
-                    [id_col, "band", *(x.split()[0] for x in MEASURES.split(", "))])
+                    [batch.column(0).slice(i, j - i), pa.array(band, pa.string()), pa.array(script, pa.string()), *(pa.array(x, pa.int64()) for x in cols), pa.array(chars / safe), pa.array(odd / safe), pa.array(entropy, pa.float64())],
+                    [id_col, "band", "script", *(x.split()[0] for x in MEASURES.split(", "))])
 
     lang = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
-    return df.select(id_col, text_col, lang.alias("_lang")).mapInArrow(tidied(run), f"`{id_col}` {kind}, band string, {MEASURES}")
+    return df.select(id_col, text_col, lang.alias("_lang")).mapInArrow(tidied(run), f"`{id_col}` {kind}, band string, script string, {MEASURES}")
 
 
 def base_failed() -> Column:
@@ -149,28 +156,67 @@ def _beside(rows: DataFrame, bands: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bands) if bands.count() <= 10_000 else bands, "band", "left")
 
 
-def fit_bands(measured: DataFrame, least: int = 200) -> DataFrame:
-    """band with the medians of both measures, the spread of characters per token at one token (it falls with the root of a
-    text's tokens) and the spread of entropy; for bands of `least` texts and more."""
+def _spread() -> Column:
+    return F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(STEP))
+
+
+def _settled(own: DataFrame, between: tuple[float, float], strength: float) -> DataFrame:
+    """band with centre, unsure and spread of own(band, script, total, centre, noise, spread), a row for each band.
+
+    A band's centre is drawn towards its script's and a script's towards that of all, with weights from the noise of a text,
+    the texts besides the one judged, and how far languages of a script and scripts differ (`between`, as shares of the
+    centre); unsure is the standard error that is left. Spreads count as `strength` texts of the wider group besides the own."""
+    script, every = Window.partitionBy("script"), Window.partitionBy(F.lit(0))
+    mean = lambda c, w: F.sum(F.col("total") * F.col(c)).over(w) / F.sum("total").over(w)
+    rows = own.withColumns({"script_total": F.sum("total").over(script), **{f"script_{c}": mean(c, script) for c in ("centre", "noise", "spread")},
+                            **{f"all_{c}": mean(c, every) for c in ("centre", "noise", "spread")}})
+    lean = lambda n, c, wider: (F.col(n) * F.col(c) + strength * wider) / (F.col(n) + strength)
+
+    def draw(n: str, c: str, noise: Column, wider: Column, variance: Column) -> tuple[Column, Column]:
+        weight = (F.col(n) - 1) / (F.col(n) - 1 + noise * noise / variance)
+        return weight * F.col(c) + (1 - weight) * wider, (1 - weight) * variance
+
+    script_noise = lean("script_total", "script_noise", F.col("all_noise"))
+    centre, variance = draw("script_total", "script_centre", script_noise, F.col("all_centre"), F.pow(between[1] * F.col("all_centre"), 2))
+    noise = lean("total", "noise", script_noise)
+    centre, variance = draw("total", "centre", noise, centre, variance + F.pow(between[0] * centre, 2))
+    return rows.select("band", centre.alias("centre"), F.sqrt(variance).alias("unsure"), lean("total", "spread", lean("script_total", "script_spread", F.col("all_spread"))).alias("spread"))
+
+
+def fit_bands(measured: DataFrame, between: tuple[float, float] = (0.1, 0.5), strength: float = 20.0) -> DataFrame:
+    """band with median, unsure (the median's standard error) and spread of both measures, for every band with a text that passes
+    the base rules. The spread of characters per token is that at one token (it falls with the root of a text's tokens)."""
     good = measured.where(~base_failed())
-    chars = _quartiles(good.select("band", F.col("chars_per_token").alias("value"))).where(F.col("total") >= least)
-    chars = written(chars.select("band", F.col("q2").alias("chars_median")), "medians")
-    off = _beside(good, chars).where("chars_median IS NOT NULL")
-    spread = lambda: F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(STEP))
-    wide = _quartiles(off.select("band", ((F.col("chars_per_token") - F.col("chars_median")) * F.sqrt("n_tokens")).alias("value"))).select("band", spread().alias("chars_spread"))
-    entropy = _quartiles(good.select("band", F.col("token_entropy").alias("value"))).select("band", F.col("q2").alias("entropy_median"), spread().alias("entropy_spread"))
-    return chars.join(wide, "band").join(entropy, "band")
+    most = F.max_by("script", F.struct("n", F.xxhash64("script").alias("h"))).alias("script")
+    scripts = written(good.groupBy("band", "script").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(most), "scripts")
+
+    def quartiles(c: str) -> DataFrame:
+        made = _quartiles(good.select("band", F.col(c).alias("value"))).select("band", "total", F.col("q2").alias("centre"), _spread().alias("noise"))
+        return written(made, "medians")
+
+    def settled(own: DataFrame, name: str) -> DataFrame:
+        made = _settled(own.join(scripts, "band"), between, strength)
+        return made.select("band", F.col("centre").alias(f"{name}_median"), F.col("unsure").alias(f"{name}_unsure"), F.col("spread").alias(f"{name}_spread"))
+
+    def at_one_token(c: str) -> DataFrame:
+        own = quartiles(c)
+        off = _beside(good, own).select("band", ((F.col(c) - F.col("centre")) * F.sqrt("n_tokens")).alias("value"))
+        return own.join(_quartiles(off).select("band", _spread().alias("spread")), "band")
+
+    entropy = quartiles("token_entropy").withColumn("spread", F.col("noise"))
+    return settled(at_one_token("chars_per_token"), "chars").join(settled(entropy, "entropy"), "band")
 
 
-def judge(df: DataFrame, path: str, width: float = 4.0, margin: float = 0.03, entropy_width: float = 5.0, max_bytes: float = 0.3, least: int = 200,
+def judge(df: DataFrame, path: str, width: float = 4.0, margin: float = 0.03, entropy_width: float = 5.0, max_bytes: float = 0.3,
           id_col: str = "doc_id", **names) -> DataFrame:
     """measure(df) with base_failed, kept and the reasons of a rejection.
 
-    Characters per token may differ from the median by margin * median + width * spread / sqrt(tokens)."""
+    Characters per token may differ from the median by margin * median + width * sqrt(spread ** 2 / tokens + unsure ** 2)."""
     measured = written(measure(df, path, id_col=id_col, **names), "fertility")
-    out = _beside(measured, written(fit_bands(measured, least), "bands")).withColumn("base_failed", base_failed())
-    far = F.abs(F.col("chars_per_token") - F.col("chars_median")) > margin * F.col("chars_median") + width * F.col("chars_spread") / F.sqrt("n_tokens")
-    flat = F.col("token_entropy") < F.col("entropy_median") - entropy_width * F.col("entropy_spread")
+    out = _beside(measured, written(fit_bands(measured), "bands")).withColumn("base_failed", base_failed())
+    room = F.sqrt(F.pow("chars_spread", F.lit(2)) / F.col("n_tokens") + F.pow("chars_unsure", F.lit(2)))
+    far = F.abs(F.col("chars_per_token") - F.col("chars_median")) > margin * F.col("chars_median") + width * room
+    flat = F.col("token_entropy") < F.col("entropy_median") - entropy_width * F.sqrt(F.pow("entropy_spread", F.lit(2)) + F.pow("entropy_unsure", F.lit(2)))
     reasons = F.array_compact(F.array(
         F.when(F.col("base_failed"), "base"), F.when(far, "chars_per_token"), F.when(flat, "token_entropy"), F.when(F.col("byte_share") > max_bytes, "byte_share")))
     return out.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)
