@@ -130,6 +130,22 @@ def test_op2_one_bad_text_has_one_verdict_at_each_scale(spark, scale):
     assert all("chars_per_token" in x.reasons for x in made if x.doc_id > -100) and all(x.kept for x in made if x.doc_id <= -100)
 
 
+def test_op2_byte_share_is_judged_by_the_own_band(spark):
+    """Clean texts of a script that the vocabulary lacks stay, by language and by script; byte noise in another language goes."""
+    from tidelake.llm import quality as Q
+
+    r = random.Random(6)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    words = {k: ["".join(chr(r.randrange(*span)) for _ in range(r.randrange(2, 8))) for _ in range(600)] for k, span in {"am": (0x1208, 0x1246), "te": (0x0C15, 0x0C28)}.items()}
+    text = lambda k: " ".join(r.choice(words[k]) for _ in range(r.randrange(80, 400)))
+    clean = [(-i - 1, text("am" if i % 2 else "te"), ["te", "am", None, None][i % 4]) for i in range(120)] + [(-200, text("am"), "alone")]
+    noise = [(-1000 - i, text("am"), "en") for i in range(3)]
+    made = Q.judge(docs.union(spark.createDataFrame(clean + noise, docs.schema)), registry.vocabulary("piece_bpe_32k.model")).where("doc_id < 0").collect()
+    assert min(x.byte_share for x in made) > 0.3 and not any(x.base_failed for x in made)
+    assert all("byte_share" in x.reasons for x in made if x.doc_id <= -1000)
+    assert not any("byte_share" in x.reasons for x in made if x.doc_id > -1000) and sum(x.kept for x in made) >= 0.97 * len(clean)
+
+
 def test_op4_parts_and_rules(spark, edge):
     got = {r.page_id: r for r in registry.op4_url_filters(spark, edge).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")

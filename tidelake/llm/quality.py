@@ -4,7 +4,8 @@ A text's words are encoded each by a public piece vocabulary with byte fallback;
 share of byte-fallback tokens and the entropy of the text's tokens. Bands are fitted per language (per script where the
 language is null) over all texts that pass the base rules: medians and quartiles from counts of rounded values, which are
 sums over the whole table, few rows at any size. A text is rejected if its characters per token lie outside a band round the
-median that is wider for shorter texts, its entropy is far below its language's, or its byte share is over `max_bytes`.
+median that is wider for shorter texts, its entropy is far below its language's, or its byte share is above such a band round
+the median byte share and over `max_bytes`.
 Every band has a value, whatever its number of texts: its median and spread lean towards those of its script, and these
 towards those of all texts, the more the fewer texts there are, and what is left unknown of the median widens the band. A
 language's only text is so judged by its script, with room for how far languages differ. Defaults lean to keeping: a text
@@ -31,6 +32,7 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 CACHE = 150_000
 STEP = 0.005  # to which measures are rounded for the bands
+WORD_TOKENS = 3.0  # root of the byte tokens of a word, which fall back together
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
 
 
@@ -44,6 +46,8 @@ def _pieces(path: str):
 
 def script_of(text: str) -> str:
     """The script most letters of a text belong to, by the first word of their Unicode names."""
+    if text.isascii():
+        return "LATIN" if any(map(str.isalpha, text)) else "NONE"
     names: Counter[str] = Counter()
     for c, n in Counter(text).items():
         if c.isalpha():
@@ -160,12 +164,12 @@ def _spread() -> Column:
     return F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(STEP))
 
 
-def _settled(own: DataFrame, between: tuple[float, float], strength: float) -> DataFrame:
+def _settled(own: DataFrame, between: tuple[float, float], strength: float, share: bool = False) -> DataFrame:
     """band with centre, unsure and spread of own(band, script, total, centre, noise, spread), a row for each band.
 
     A band's centre is drawn towards its script's and a script's towards that of all, with weights from the noise of a text,
     the texts besides the one judged, and how far languages of a script and scripts differ (`between`, as shares of the
-    centre); unsure is the standard error that is left. Spreads count as `strength` texts of the wider group besides the own."""
+    centre, or of 1 for a measure that is a share itself); unsure is the standard error that is left. Spreads count as `strength` texts of the wider group besides the own."""
     script, every = Window.partitionBy("script"), Window.partitionBy(F.lit(0))
     mean = lambda c, w: F.sum(F.col("total") * F.col(c)).over(w) / F.sum("total").over(w)
     rows = own.withColumns({"script_total": F.sum("total").over(script), **{f"script_{c}": mean(c, script) for c in ("centre", "noise", "spread")},
@@ -177,15 +181,15 @@ def _settled(own: DataFrame, between: tuple[float, float], strength: float) -> D
         return weight * F.col(c) + (1 - weight) * wider, (1 - weight) * variance
 
     script_noise = lean("script_total", "script_noise", F.col("all_noise"))
-    centre, variance = draw("script_total", "script_centre", script_noise, F.col("all_centre"), F.pow(between[1] * F.col("all_centre"), 2))
+    centre, variance = draw("script_total", "script_centre", script_noise, F.col("all_centre"), F.pow(between[1] * (F.lit(1.0) if share else F.col("all_centre")), 2))
     noise = lean("total", "noise", script_noise)
-    centre, variance = draw("total", "centre", noise, centre, variance + F.pow(between[0] * centre, 2))
+    centre, variance = draw("total", "centre", noise, centre, variance + F.pow(between[0] * (F.lit(1.0) if share else centre), 2))
     return rows.select("band", centre.alias("centre"), F.sqrt(variance).alias("unsure"), lean("total", "spread", lean("script_total", "script_spread", F.col("all_spread"))).alias("spread"))
 
 
 def fit_bands(measured: DataFrame, between: tuple[float, float] = (0.1, 0.5), strength: float = 20.0) -> DataFrame:
-    """band with median, unsure (the median's standard error) and spread of both measures, for every band with a text that passes
-    the base rules. The spread of characters per token is that at one token (it falls with the root of a text's tokens)."""
+    """band with median, unsure (the median's standard error) and spread of the three measures, for every band with a text that passes
+    the base rules. The spreads of characters per token and byte share are those at one token (they fall with the root of a text's tokens)."""
     good = measured.where(~base_failed())
     most = F.max_by("script", F.struct("n", F.xxhash64("script").alias("h"))).alias("script")
     scripts = written(good.groupBy("band", "script").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(most), "scripts")
@@ -194,8 +198,8 @@ def fit_bands(measured: DataFrame, between: tuple[float, float] = (0.1, 0.5), st
         made = _quartiles(good.select("band", F.col(c).alias("value"))).select("band", "total", F.col("q2").alias("centre"), _spread().alias("noise"))
         return written(made, "medians")
 
-    def settled(own: DataFrame, name: str) -> DataFrame:
-        made = _settled(own.join(scripts, "band"), between, strength)
+    def settled(own: DataFrame, name: str, share: bool = False) -> DataFrame:
+        made = _settled(own.join(scripts, "band"), between, strength, share)
         return made.select("band", F.col("centre").alias(f"{name}_median"), F.col("unsure").alias(f"{name}_unsure"), F.col("spread").alias(f"{name}_spread"))
 
     def at_one_token(c: str) -> DataFrame:
@@ -204,19 +208,24 @@ def fit_bands(measured: DataFrame, between: tuple[float, float] = (0.1, 0.5), st
         return own.join(_quartiles(off).select("band", _spread().alias("spread")), "band")
 
     entropy = quartiles("token_entropy").withColumn("spread", F.col("noise"))
-    return settled(at_one_token("chars_per_token"), "chars").join(settled(entropy, "entropy"), "band")
+    made = settled(at_one_token("chars_per_token"), "chars").join(settled(entropy, "entropy"), "band")
+    return made.join(settled(at_one_token("byte_share"), "bytes", share=True), "band")
 
 
 def judge(df: DataFrame, path: str, width: float = 4.0, margin: float = 0.03, entropy_width: float = 5.0, max_bytes: float = 0.3,
           id_col: str = "doc_id", **names) -> DataFrame:
     """measure(df) with base_failed, kept and the reasons of a rejection.
 
-    Characters per token may differ from the median by margin * median + width * sqrt(spread ** 2 / tokens + unsure ** 2)."""
+    Characters per token may differ from the median by margin * median + width * sqrt(spread ** 2 / tokens + unsure ** 2). Byte
+    share may be over the median by the like, its spread at least that of whole words drawn at random, and up to max_bytes anywhere."""
     measured = written(measure(df, path, id_col=id_col, **names), "fertility")
     out = _beside(measured, written(fit_bands(measured), "bands")).withColumn("base_failed", base_failed())
-    room = F.sqrt(F.pow("chars_spread", F.lit(2)) / F.col("n_tokens") + F.pow("chars_unsure", F.lit(2)))
-    far = F.abs(F.col("chars_per_token") - F.col("chars_median")) > margin * F.col("chars_median") + width * room
+    room = lambda spread, unsure: F.sqrt(F.pow(spread, 2) / F.col("n_tokens") + F.pow(F.col(unsure), 2))
+    far = F.abs(F.col("chars_per_token") - F.col("chars_median")) > margin * F.col("chars_median") + width * room(F.col("chars_spread"), "chars_unsure")
+    drawn = WORD_TOKENS * F.sqrt(F.col("bytes_median") * F.greatest(1 - F.col("bytes_median"), F.lit(0.0)))
+    most = F.col("bytes_median") * (1 + margin) + width * room(F.greatest("bytes_spread", drawn), "bytes_unsure")
+    odd = F.col("byte_share") > F.greatest(F.lit(max_bytes), most)
     flat = F.col("token_entropy") < F.col("entropy_median") - entropy_width * F.sqrt(F.pow("entropy_spread", F.lit(2)) + F.pow("entropy_unsure", F.lit(2)))
     reasons = F.array_compact(F.array(
-        F.when(F.col("base_failed"), "base"), F.when(far, "chars_per_token"), F.when(flat, "token_entropy"), F.when(F.col("byte_share") > max_bytes, "byte_share")))
+        F.when(F.col("base_failed"), "base"), F.when(far, "chars_per_token"), F.when(flat, "token_entropy"), F.when(odd, "byte_share")))
     return out.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)
