@@ -152,6 +152,20 @@ def test_extraction_leaves_boilerplate_out():
     assert extraction.text_under(extraction.blocks_of(page), "/body/main/article.post-") == "T\nText é one\nTwo"
 
 
+BODY = "<p>One text of some length that is the article of the page.</p><p>Two</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article><header class='entry-header'><h1>T</h1></header>{BODY}</article><footer>f</footer></body>",
+    f"<body><div class='content no-sidebar'><h1>T</h1>{BODY}</div><div class='sidebar'>s</div></body>",
+    f"<body><div class='has-sidebar' id='with-banner'><h1>T</h1>{BODY}</div><div class='comments'>{'c ' * 300}</div></body>",
+    f"<body><form><nav>n</nav><div class='ad'>a</div><div><h1>T</h1>{BODY}</div><footer>{'f ' * 300}</footer></form></body>",
+    f"<body><div class='page sidebar-left'><main><h1>T</h1>{BODY}</main></div><p>Small print</p></body>",
+    f"<body><article><h1>T</h1><svg><select><iframe><noscript>{BODY}</article></body>"])
+def test_extraction_keeps_articles_with_odd_wrappers(page):
+    assert extraction.text_under(extraction.blocks_of(page), None) == "T\nOne text of some length that is the article of the page.\nTwo"
+
+
 def test_pipeline_against_brute_force(spark):
     """Stages on the smallest table, each held against plain Python on its own input."""
     import corpus_pipeline as C

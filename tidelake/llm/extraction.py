@@ -4,7 +4,9 @@ A page's blocks of text carry the path of their container, generalised to tag an
 Each page's containers are scored by the text of their blocks less link text; the scores are votes for paths, summed per
 host in Spark, and the path with the most wins its host. Pages are then read again and give the blocks under the winning
 path; a page without that path uses its own best container. Menus, headers, footers, asides, notices, adverts, forms, scripts,
-styles and reader comments are left out by tag or by class and id words, wherever they stand.
+styles and reader comments are left out by tag or by class and id words, wherever they stand. Such words don't count in a
+class that says what the element has (no-sidebar, with-banner), nor on headers and headings inside an article; and a form or
+an element left out by its words that holds the page's article is taken back (see `_taken_back`).
 
 Defined results: null and empty html give an empty text; a null url belongs to host ""; repeated rows are read each; markup that
 breaks off is read up to its end; an empty table gives an empty result.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,24 +41,66 @@ LEFT_OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead "
     "menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget".split())
+#: First parts of a class or id that tells what the element has or lacks.
+ABOUT = frozenset("has have hide no non not with without".split())
+#: Words of wrappers' layout; elements with others need an article or main heading inside to be taken back.
+LAYOUT = frozenset("banner footer header masthead menu nav navbar navigation sidebar toolbar".split())
+HEADINGS = frozenset("header h1 h2 h3 h4 h5 h6".split())
+MARKS = frozenset("article main h1".split())
 CONTAINER = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr".split())
 _CLOSES_P = BLOCK - {"body", "html", "head"}
 _SAME = {"li": ("ul", "ol", "menu"), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "dd": ("dl",), "dt": ("dl",), "option": ()}
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
+def _left_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is left out, whether it may be taken back, and so without an article or main heading inside."""
     if tag in LEFT_OUT or tag == "header" and not inside_article:
-        return True
+        return True, tag == "form", True
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return False, False, False
+    found: set[str] = set()
     for m in _NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search"):
-                return True
-        elif any(w.lower() in LEFT_OUT_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+                return True, False, False
+        elif not (inside_article and tag in HEADINGS):
+            for name in value.lower().split():
+                words = _WORD.findall(name)
+                if words and words[0] not in ABOUT:
+                    found.update(w for w in words if w in LEFT_OUT_WORDS)
+    return bool(found), True, found <= LAYOUT
+
+
+def _taken_back(parts: list[tuple[str, list[tuple[str, int, bool]]]], marks: list[int], left: list[tuple[int, bool, bool]]) -> set[int]:
+    """Numbers of the left-out elements that hold the page's article: while no article, main or h1 stays, the outermost one with
+    the most unlinked text (with an article, main or h1 first), if that is more than what stays. left has the number of the
+    left-out element round each (-1: none) before it, and what _left_out says of it."""
+    own, marked = [0] * (len(left) + 1), [False] * (len(left) + 1)  # the last is what stays
+    for _, pieces in parts:
+        for s, e, linked in pieces:
+            own[e] += 0 if linked else len(s.strip())
+    for e in marks:
+        marked[e] = True
+    has, size, inner = marked.copy(), own.copy(), defaultdict(list)
+    for e in range(len(left) - 1, -1, -1):
+        above = left[e][0]
+        inner[above].append(e)
+        if above >= 0:
+            size[above] += size[e]
+            has[above] |= has[e]
+    back: set[int] = set()
+    stays, done = own[-1], marked[-1]
+    heap = [(not has[e], -size[e], e) for e in inner[-1]]
+    heapify(heap)
+    while heap and not done:
+        e = heappop(heap)[2]
+        if left[e][1] and size[e] > stays and (left[e][2] or has[e]):
+            back.add(e)
+            stays, done = stays + own[e], marked[e]
+            for f in inner[e]:
+                heappush(heap, (not has[f], -size[f], f))
+    return back
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -68,21 +113,18 @@ def _label(tag: str, attributes: str) -> str:
 
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
     """(path of the container, text, characters of links) of each block of a page that isn't left out, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, left out
-    text: list[str] = []
-    links = link_depth = 0
+    parts: list[tuple[str, list[tuple[str, int, bool]]]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, path, number of the innermost left-out element it stands in, or -1
+    text: list[tuple[str, int, bool]] = []  # with that number and whether it is a link's
+    left: list[tuple[int, bool, bool]] = []
+    marks: list[int] = []
+    link_depth = 0
     articles = 0
 
     def end_block() -> None:
-        nonlocal links
         if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
+            parts.append((next((p for t, p, _ in reversed(stack) if t in CONTAINER), ""), text.copy()))
             text.clear()
-            if joined:
-                own = next((p for t, p, _ in reversed(stack) if t in CONTAINER), "")
-                out.append((own, joined, min(links, len(joined))))
-        links = 0
 
     def close(n: int) -> None:
         nonlocal articles, link_depth
@@ -93,11 +135,8 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         del stack[n:]
 
     def add(s: str) -> None:
-        nonlocal links
-        if s and not (stack and stack[-1][2]):
-            text.append(s)
-            if link_depth:
-                links += len(s)
+        if s:
+            text.append((s, stack[-1][2] if stack else -1, link_depth > 0))
 
     at, n = 0, len(page)
     while at < n:
@@ -137,7 +176,10 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
             continue
         if name in RAW and not attributes.endswith("/"):
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            at = n if stop is None else stop.end()
+            if stop is not None:
+                at = stop.end()
+            elif name in ("script", "style"):
+                at = n
             continue
         if name == "br":
             end_block()
@@ -156,12 +198,26 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
                         break
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        above = stack[-1] if stack else ("", "", False)
+        above = stack[-1] if stack else ("", "", -1)
         articles += name in ("article", "main")
         link_depth += name == "a"
         path = f"{above[1]}/{_label(name, attributes)}" if name in BLOCK else above[1]
-        stack.append((name, path, above[2] or _left_out(name, attributes, articles > 0)))
+        within = above[2]
+        out_of, may, bare = _left_out(name, attributes, articles > 0)
+        if out_of:
+            left.append((within, may, bare))
+            within = len(left) - 1
+        if name in MARKS:
+            marks.append(within)
+        stack.append((name, path, within))
     end_block()
+    back = _taken_back(parts, marks, left) if any(may for _, may, _ in left) else set()
+    out: list[tuple[str, str, int]] = []
+    for own, pieces in parts:
+        kept = [(s, linked) for s, e, linked in pieces if e < 0 or e in back]
+        joined = " ".join(entities.unescape("".join(s for s, _ in kept)).split())
+        if joined:
+            out.append((own, joined, min(sum(len(s) for s, linked in kept if linked), len(joined))))
     return out
 
 
