@@ -168,6 +168,16 @@ def test_op4_rejects_impure_templates(spark):
     assert {r.verdict for r in judged.where("bad = 1").collect()} == {"block"} and {r.verdict for r in judged.where("bad = 0").collect()} == {"allow"}
 
 
+def test_op4_rejects_bad_sections_among_many(spark):
+    """Of 100 sections of like size, each 1 % of its host, the bad ones are rejected."""
+    from tidelake.llm import url_filters as U
+
+    urls = [(f"http://h.com/{chr(97 + s // 10)}{chr(97 + s % 10)}/{i}", int(s % 20 == 0)) for s in range(100) for i in range(30)]
+    df = spark.createDataFrame(urls, "url string, bad int")
+    judged = U.judge_urls(df, *U.learn_templates(df), [], id_col="bad").collect()
+    assert all(r.verdict == ("block" if r.bad else "allow") for r in judged)
+
+
 def test_op5_extracts_articles(spark, edge):
     got = {r.page_id: r.text for r in registry.op5_html_extraction(spark, edge).collect()}
     assert got[1] == "T\nOne two&three\nFour\nfive" and got[3] == "" and got[4] == ""

@@ -2,7 +2,7 @@
 
 Learning works on the table of distinct (host, lexically generalised path), aggregated first, so a hot host or a hot path
 is a few rows there. Level by level the segments below one (host, template so far) become the wildcard `*` unless they
-are frequent (min_count and min_share) and their labelled share of bad pages differs from that of their siblings
+have min_count urls and their labelled share of bad pages differs from that of their siblings
 together (a z test): variable segments and statistically similar branches merge. A template is rejected if its share of
 bad labels, smoothed towards the prior of all labels, is over max_bad.
 
@@ -32,7 +32,7 @@ def general_path(path: Column) -> Column:
     return F.regexp_replace(path, r"[0-9]+", "{n}")
 
 
-def learn_templates(urls: DataFrame, url_col: str = "url", bad_col: str = "bad", min_count: int = 8, min_share: float = 0.02,
+def learn_templates(urls: DataFrame, url_col: str = "url", bad_col: str = "bad", min_count: int = 8,
                     z: float = 1.96, max_depth: int = 8, strength: float = 10.0, max_bad: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(paths, templates) of urls whose bad_col is 1, 0 or null (unlabelled).
 
@@ -49,11 +49,11 @@ def learn_templates(urls: DataFrame, url_col: str = "url", bad_col: str = "bad",
         seg = F.get("segments", F.lit(d))
         inner = tree.where(seg.isNotNull()).withColumn("segment", seg)
         branches = inner.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
-        pools = branches.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+        pools = branches.groupBy("host", "template").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         p = F.col("pb") / F.col("pl")
         differs = (F.col("l") > 0) & (F.abs(F.col("b") / F.col("l") - p) > z * F.sqrt(p * (1 - p) / F.col("l")))
         kept = branches.join(pools, ["host", "template"]).where(
-            (F.col("n") >= min_count) & (F.col("n") >= min_share * F.col("pn")) & (F.col("pl") > 0) & F.try_divide("pb", "pl").isNotNull() & F.when((F.col("l") > 0) & (F.col("pl") > 0), differs).otherwise(False)
+            (F.col("n") >= min_count) & (F.col("pl") > 0) & F.try_divide("pb", "pl").isNotNull() & F.when((F.col("l") > 0) & (F.col("pl") > 0), differs).otherwise(False)
         ).select("host", "template", "segment", F.lit(True).alias("literal"))
         named = F.coalesce(F.when(F.col("literal"), F.col("segment")), F.lit(WILD))
         tree = (
