@@ -134,3 +134,11 @@ def op10_rows(docs):
 
 def counted(rows):
     return Counter(map(tuple, rows))
+
+
+def cancelling_words(letters):
+    """A word of a doubling pattern and its complement, which agree in any polynomial hash modulo a power of two."""
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < letters:
+        word += word.translate(swap)
+    return word, word.translate(swap)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm import brute as B
-from tidelake.llm import bpe, common, extraction, jaccard, registry, substrings, warc
+from tidelake.llm import bpe, common, extraction, jaccard, quality, registry, substrings, warc
 
 PATH = registry.vocabulary("byte_bpe_50k.tiktoken")
 ALPHABET = "ab's't re ve ll 'd  \n\t\r\u00a0\u3000\x1c\x85 12\u0663½é中文😀!?.,''`_-AB\u0301ǅ\u200b"
@@ -81,6 +81,29 @@ def test_substring_dedup_against_brute_force(spark, seed):
     assert B.counted((x.doc_id, x.n_words, x.n_removed, B.sha(x.kept)) for x in got.collect()) == B.counted(B.op7(docs))
 
 
+@pytest.mark.parametrize("letters", [64, 1024, 2048])
+def test_words_that_cancel_in_sums_stay_different(spark, letters):
+    """Neither removed nor linked, as the windows and shingles differ; nor counted as repeats."""
+    x, y = B.cancelling_words(letters)
+    a, b = [f"w{i}" for i in range(10)], [f"z{i}" for i in range(9)]
+    docs = [(1, " ".join([*a, x, *b])), (2, " ".join([*a, y, *b])), (3, " ".join([x] * 3)), (4, " ".join([y] * 3)), (5, " ".join([x, y, x, y, y, x, x, x]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = substrings.dedup_substrings(df).collect()
+    assert B.counted((r.doc_id, r.n_words, r.n_removed, B.sha(r.kept)) for r in got) == B.counted(B.op7(docs)) and not any(r.n_removed for r in got)
+    assert B.counted(jaccard.similarity_components(df).collect()) == B.counted(B.op9(docs))
+    data = [t.encode() for _, t in docs]
+    words = common.Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert quality.repeated_words(words).tolist() == [r[5] for r in B.op2_base(docs)]
+
+
+def test_windows_beyond_the_place_bits_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    for window in (5, 262):
+        with pytest.raises(ValueError):
+            substrings.dedup_substrings(df, window=window)
+    assert substrings.dedup_substrings(df, window=261).first().n_words == 2
+
+
 def test_crowded_anchors_take_the_other_way(spark, monkeypatch):
     r = random.Random(3)
     shared = " ".join(f"s{i}" for i in range(40))

@@ -5,15 +5,16 @@ A window is `window` consecutive words of one document; a word goes if a window
 square of the corpus, so documents meet only the shards that can match:
 
 1. Anchors. Each window's anchor is its k-gram of least hash, so equal windows have equal anchors. Windows in a row with
-   the same anchor form a chunk (about one for eight words). Chunks are dealt by anchor. A chunk equal to an earlier
-   chunk is removed whole; most repeats end here. Equal chunks of one batch are folded before the shuffle, so a passage
-   that many documents share is a few rows.
+   the same anchor form a chunk (about one for eight words). A chunk equal to an earlier chunk is removed whole; most
+   repeats end here. Equal means an equal 128-bit BLAKE2 digest of the words. Chunks are dealt by anchor and digest, so an
+   anchor that stands in ever different chunks goes to many tasks; equal chunks of one batch are folded before the shuffle,
+   so a passage that many documents share is a few rows. A task holds one row at a time.
 2. Reference shards. Where one anchor stands in different chunks (the rims of passages, edits in near copies), the first
-   of each different chunk makes the shard of that anchor. A suffix automaton is grown over the shard in document order;
-   each chunk is streamed through it for matching statistics before it is added, and its maximal matches of `window`
+   of each different chunk makes the shard of that anchor. A suffix automaton over the words themselves is grown in document
+   order; each chunk is streamed through it for matching statistics before it is added, and its maximal matches of `window`
    words or more are removed. A shard holds SHARD_CHUNKS chunks at most. Anchors with more (a very common passage among
-   ever different neighbours) go another exact way, so that no task gathers them: hashes of their windows, the first place
-   of each from a grouped minimum, and a join back.
+   ever different neighbours) go another exact way, so that no task gathers them: digests of their windows, the first place
+   of each from a grouped minimum, and a join back. Both ways remove the same words.
 
 Defined results: null and empty texts have no words and nothing removed; the id names the document, and repeated rows of
 one id (with one text) aren't earlier than each other; a null id sorts first. An empty table gives an empty result.
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _pow, fresh, gram_hashes, mix, row_slices, tidied, utf8_parts, written
+from .common import Words, digests, fresh, gram_hashes, mix, row_slices, tidied, utf8_parts, written
 
 K = 6
+#: Bits of a chunk's row that hold a place of the anchor in its window.
+PLACE_BITS = 8
 SHARD_CHUNKS = 256
 #: Most keys of crowded anchors that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -35,15 +38,15 @@ _LEAST = -(1 << 63)
 
 
 def chunks_of(words: Words, window: int, k: int = K) -> tuple[np.ndarray, ...]:
-    """(row, first window's start, last window's start, anchor, content) of each chunk; starts count words from the row's first."""
+    """(row, first window's start, last window's start, anchor, two halves of the digest) of each chunk; starts count words from the row's first."""
     n = len(words.hash)
     m = max(0, n - window + 1)
     valid = np.flatnonzero(words.doc[:m] == words.doc[n - m :])
     if not len(valid):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     g = gram_hashes(words.hash, k)
     spread = window - k + 1
-    low = np.uint64(0xFF)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     high = g & ~low
     best = high[:m].copy()
     for j in range(1, spread):
@@ -56,15 +59,13 @@ def chunks_of(words: Words, window: int, k: int = K) -> tuple[np.ndarray, ...]:
     last = np.append(first[1:], len(valid)) - 1
     lo, hi = valid[first], valid[last]
     base = np.concatenate([[0], np.cumsum(words.counts)])[doc[first]]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hash * _pow("r", n), out=total[1:])
-    end = hi + window
-    content = mix((total[end] - total[lo]) * _pow("inv", n + 1)[lo] + (end - lo).astype(np.uint64))
-    return doc[first], lo - base, hi - base, g[at[first]], content
+    text, place = words.spaced()
+    content = digests(text, place[lo], place[hi + window])
+    return doc[first], lo - base, hi - base, g[at[first]].view(np.int64), content[:, 0], content[:, 1]
 
 
 def _chunk_rows(window: int):
-    """(key, id, content, span) of a batch's chunks; span: start << 9 | (last start - start) << 1 | known to be a repeat."""
+    """(key, c1, c2, id, span) of a batch's chunks; span: start << 9 | (last start - start) << 1 | known to be a repeat."""
 
     def run(batches):
         for batch in batches:
@@ -72,73 +73,47 @@ def _chunk_rows(window: int):
             raw, off = utf8_parts(batch.column(1))
             parts = []
             for i, j in row_slices(off):
-                row, lo, hi, anchor, content = chunks_of(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), window)
-                parts.append((ids[i + row], lo, hi - lo, anchor.view(np.int64), content.view(np.int64)))
+                row, lo, hi, anchor, c1, c2 = chunks_of(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i]), window)
+                parts.append((anchor, c1, c2, ids[i + row], lo, hi - lo))
             if not parts:
                 continue
-            doc, lo, more, anchor, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((lo, doc, content, anchor))
-            doc, lo, more, anchor, content = (x[order] for x in (doc, lo, more, anchor, content))
+            key, c1, c2, doc, lo, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((lo, doc, c2, c1, key))
+            key, c1, c2, doc, lo, more = (x[order] for x in (key, c1, c2, doc, lo, more))
             again = np.zeros(len(doc), bool)
-            again[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+            again[1:] = (key[1:] == key[:-1]) & (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1])
             twin = np.zeros(len(doc), bool)
             twin[1:] = again[1:] & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])
-            keep = ~twin
-            doc, lo, more, anchor, content, again = (x[keep] for x in (doc, lo, more, anchor, content, again))
-            key = np.where(again, mix(doc.view(np.uint64)).view(np.int64), anchor)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(doc), pa.array(content), pa.array(lo << 9 | more << 1 | again)], ["key", "id", "content", "span"])
+            # a known repeat goes anywhere
+            c1 = np.where(again, mix(doc.view(np.uint64) ^ lo.astype(np.uint64)).view(np.int64), c1)
+            span = lo << PLACE_BITS + 1 | more << 1 | again
+            yield pa.RecordBatch.from_arrays([pa.array(x[~twin]) for x in (key, c1, c2, doc, span)], ["key", "c1", "c2", "id", "span"])
 
     return run
 
 
 def _sift(batches):
-    """From chunks sorted by key, id and start: (id, start, last, key, rim) of repeats (rim false), and of the first of each
-    different chunk of an anchor that has several (rim true)."""
-    names = ["id", "start", "last", "key", "rim"]
-
-    def out(key, doc, span, rim):
-        lo = span >> 9
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, lo, lo + (span >> 1 & 0xFF), key, np.full(len(doc), rim))], names)
-
-    held = [np.zeros(0, np.int64)] * 4
-    told = np.zeros(0, bool)  # of held: already given out as a rim
+    """From chunks sorted by key, digest, id and start: (id, start, last, key, first) of all but the repeated rows of one place;
+    first tells the first of each different chunk from its repeats."""
+    before = None  # key, c1, c2 of the row before; id and start of the first that was equal to it
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        known = (cols[3] & 1) == 1
-        if known.any():
-            yield out(cols[0][known], cols[1][known], cols[3][known], False)
-        cols = [np.concatenate([h, c[~known]]) for h, c in zip(held, cols, strict=True)]
-        told = np.concatenate([told, np.zeros(len(cols[0]) - len(told), bool)])
-        key, doc, content, span = cols
+        key, c1, c2, doc, span = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         if not len(key):
             continue
-        order = np.lexsort((np.arange(len(key)), content, key))
-        k, c = key[order], content[order]
-        same_key = np.zeros(len(key), bool)
-        same_key[1:] = k[1:] == k[:-1]
-        again_sorted = np.zeros(len(key), bool)
-        again_sorted[1:] = same_key[1:] & (c[1:] == c[:-1])
-        again = np.zeros(len(key), bool)
-        again[order] = again_sorted
-        # a later row at the very place of the first (repeated rows of one id) is no repeat
-        lead = np.maximum.accumulate(np.where(again_sorted, 0, np.arange(len(key))))
-        twin = np.zeros(len(key), bool)
-        o_first = order[lead]
-        twin[order] = again_sorted & (doc[order] == doc[o_first]) & (span[order] == span[o_first])
-        gone = again & ~twin
-        if gone.any():
-            yield out(key[gone], doc[gone], span[gone], False)
-        group = np.cumsum(~same_key) - 1
-        kinds = np.bincount(group, weights=~again_sorted)
-        several = np.zeros(len(key), bool)
-        several[order] = kinds[group] > 1
-        rim = several & ~again & ~told
-        if rim.any():
-            yield out(key[rim], doc[rim], span[rim], True)
-        stay = (key == key[-1]) & ~again
-        told = (told | rim)[stay]
-        held = [x[stay] for x in cols]
+        known = (span & 1) == 1
+        lo = span >> PLACE_BITS + 1
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1]) & ~known[1:] & ~known[:-1]
+        if before is not None and not known[0]:
+            same[0] = (int(key[0]), int(c1[0]), int(c2[0])) == before[:3]
+        lead = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
+        led = lead >= 0
+        head_doc, head_lo = np.where(led, doc[lead], before[3] if before else 0), np.where(led, lo[lead], before[4] if before else 0)
+        twin = same & (doc == head_doc) & (lo == head_lo)
+        before = (int(key[-1]), int(c1[-1]), int(c2[-1]), int(head_doc[-1]), int(head_lo[-1])) if not known[-1] else None
+        keep = ~twin
+        last = lo + (span >> 1 & (1 << PLACE_BITS) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, lo, last, key, ~same & ~known)], ["id", "start", "last", "key", "first"])
 
 
 class SuffixAutomaton:
@@ -236,17 +211,21 @@ def _match(window: int):
 
 
 def _windows(window: int):
-    """(hash, id, start) of each window of the chunks of crowded anchors."""
+    """(h1, h2, id, start) of each window of the chunks of crowded anchors; h1 and h2 are its digest."""
 
     def run(batches):
         for batch in batches:
-            words = Words(*utf8_parts(batch.column(3)))
-            g = gram_hashes(words.hash, window)
-            at = np.flatnonzero(words.doc[: len(g)] == words.doc[window - 1 :]) if len(g) else np.zeros(0, np.int64)
-            row = words.doc[at]
-            first = np.concatenate([[0], np.cumsum(words.counts)])[row]
+            raw, off = utf8_parts(batch.column(3))
             ids, starts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[row]), pa.array(starts[row] + at - first)], ["hash", "id", "start"])
+            for i, j in row_slices(off):
+                words = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                m = max(0, len(words.hash) - window + 1)
+                at = np.flatnonzero(words.doc[:m] == words.doc[len(words.hash) - m :])
+                first = np.concatenate([[0], np.cumsum(words.counts)])[words.doc[at]]
+                text, place = words.spaced()
+                made = digests(text, place[at], place[at + window])
+                row = i + words.doc[at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (made[:, 0], made[:, 1], ids[row], starts[row] + at - first)], ["h1", "h2", "id", "start"])
 
     return run
 
@@ -254,7 +233,7 @@ def _windows(window: int):
 def _rim_texts(window: int):
     def run(batches):
         for batch in batches:
-            keys, ids, starts, texts = [], [], [], []
+            keys, ids, starts, texts, crowded = [], [], [], [], []
             for doc, text, rims in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.split()
                 for r in rims:
@@ -262,8 +241,10 @@ def _rim_texts(window: int):
                     ids.append(doc)
                     starts.append(r["start"])
                     texts.append(b" ".join(words[r["start"] : r["last"] + window]))
+                    crowded.append(r["crowded"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], ["key", "id", "start", "words"])
+                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary()), pa.array(crowded, pa.bool_())],
+                ["key", "id", "start", "words", "crowded"])
 
     return run
 
@@ -287,29 +268,33 @@ def _cut(batches):
 
 def removed_spans(docs: DataFrame, window: int, partitions: int) -> tuple[DataFrame, DataFrame]:
     """(docs dealt by id, spans to remove) of docs(_id bigint, _text string)."""
-    chunks = docs.mapInArrow(tidied(_chunk_rows(window)), "key bigint, id bigint, content bigint, span bigint")
-    sifted = chunks.repartition("key").sortWithinPartitions("key", "id", "span").mapInArrow(
-        tidied(_sift), "id bigint, start bigint, last bigint, key bigint, rim boolean")
-    sifted = written(sifted, "chunks")
+    chunks = docs.mapInArrow(tidied(_chunk_rows(window)), "key bigint, c1 bigint, c2 bigint, id bigint, span bigint")
+    sifted = written(chunks.repartition("key", "c1").sortWithinPartitions("key", "c1", "c2", "id", "span").mapInArrow(
+        tidied(_sift), "id bigint, start bigint, last bigint, key bigint, first boolean"), "chunks")
+    # anchors of several different chunks; counts combine before the shuffle, whatever an anchor's number of chunks
+    shards = written(sifted.where("first").groupBy(F.col("key").alias("ckey")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
+    few = F.broadcast(shards) if shards.count() <= BROADCAST_ROWS else shards
+    rims = sifted.where("first").join(few, F.col("key") == F.col("ckey"))
+    rims = rims.groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("key", "start", "last", (F.col("n") > SHARD_CHUNKS).alias("crowded"))).alias("rims"))
     dealt = docs.select("_id", F.col("_text").cast("binary").alias("_text")).repartition(partitions, "_id")
-    rims = sifted.where("rim").groupBy(F.col("id").alias("rid")).agg(F.collect_list(F.struct("key", "start", "last")).alias("rims"))
     texts = dealt.join(rims, F.col("_id") == F.col("rid")).select("_id", "_text", "rims").mapInArrow(
-        tidied(_rim_texts(window)), "key bigint, id bigint, start bigint, words binary")
-    crowded = written(sifted.where("rim").groupBy(F.col("key").alias("ckey")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_CHUNKS).select("ckey"), "crowded")
-    few = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
-    texts = written(texts.dropDuplicates(["key", "id", "start"]).select("key", "id", "start", "words"), "rims")
-    matched = texts.join(few, F.col("key") == F.col("ckey"), "left_anti").repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(
+        tidied(_rim_texts(window)), "key bigint, id bigint, start bigint, words binary, crowded boolean")
+    texts = written(texts.dropDuplicates(["key", "id", "start"]), "rims")
+    matched = texts.where("NOT crowded").select("key", "id", "start", "words").repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(
         tidied(_match(window)), "id bigint, start bigint, end bigint")
-    places = written(texts.join(few, F.col("key") == F.col("ckey"), "left_semi").mapInArrow(tidied(_windows(window)), "hash bigint, id bigint, start bigint"), "windows")
-    firsts = places.groupBy(F.col("hash").alias("fhash")).agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = places.join(firsts, F.col("hash") == F.col("fhash")).where(F.struct("id", "start") > F.col("first"))
+    places = texts.where("crowded").select("key", "id", "start", "words").mapInArrow(tidied(_windows(window)), "h1 bigint, h2 bigint, id bigint, start bigint")
+    places = written(places, "windows")
+    firsts = places.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = places.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(F.struct("id", "start") > F.col("first"))
     matched = matched.unionByName(later.select("id", "start", (F.col("start") + window).alias("end")))
-    whole = sifted.where("NOT rim").select("id", "start", (F.col("last") + window).alias("end"))
+    whole = sifted.where("NOT first").select("id", "start", (F.col("last") + window).alias("end"))
     return dealt, whole.unionByName(matched)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """id, n_words, n_removed, kept (the words that stay, joined by one space; string) of each row of docs."""
+    if not K <= window < K + (1 << PLACE_BITS):
+        raise ValueError(f"a window has {K} to {K + (1 << PLACE_BITS) - 1} words")
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(text_col).alias("_text"))
