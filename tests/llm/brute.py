@@ -1,6 +1,7 @@
 """Plain Python versions of the contracts, for small inputs."""
 import base64
 import hashlib
+import html.parser
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -142,3 +143,115 @@ def cancelling_words(letters):
     while len(word) < letters:
         word += word.translate(swap)
     return word, word.translate(swap)
+
+
+class _Tree(html.parser.HTMLParser):
+    """A page of well-formed markup as nested lists [tag, classes, children]; text is a string among the children."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.top = ["", [], []]
+        self.open = [self.top]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, (dict(attrs).get("class") or "").split(), []]
+        self.open[-1][2].append(node)
+        if tag != "br":
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+INLINE, NO_TEXT, NOT_CONTAINER = {"a", "b", "em"}, {"script", "style", "title", "head"}, {"p", "h1", "h2", ""}
+OUT_TAGS, OUT_CLASSES = {"nav", "footer", "aside", "form"}, {"ad", "comments", "share-buttons", "cookie-notice", "sidebar"}
+
+
+def op5_blocks(page):
+    """[(containers from outer to inner as (number, label), text, linked characters)] and the containers of level-one headings, in page order."""
+    blocks, pieces, heads, count = [], [], [], [0]
+
+    def flush(chain):
+        text = " ".join("".join(s for s, _ in pieces).split())
+        if text:
+            blocks.append((chain, text, min(sum(len(s) for s, linked in pieces if linked), len(text))))
+        pieces.clear()
+
+    def walk(node, chain, linked, article):
+        tag, classes, children = node
+        if tag in NO_TEXT or tag in OUT_TAGS or tag == "header" and not article or tag not in ("header", "h1", "h2") and OUT_CLASSES & set(classes):
+            flush(chain)
+            return
+        if tag == "br" or tag not in INLINE:
+            flush(chain)
+        if tag == "h1":
+            heads.append(chain)
+        inner = chain
+        if tag not in INLINE and tag not in NOT_CONTAINER and tag != "br":
+            count[0] += 1
+            label = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes} - {""})])
+            inner = (*chain, (count[0], label))
+        for x in children:
+            if isinstance(x, str):
+                pieces.append((x, linked or tag == "a"))
+            else:
+                walk(x, inner, linked or tag == "a", article or tag in ("article", "main"))
+        if tag not in INLINE:
+            flush(inner)
+
+    walk(_Tree(page).top, (), False, False)
+    return blocks, heads
+
+
+def op5_vote(blocks, heads):
+    """The chain of containers that a page votes for, and its weight."""
+    size = Counter()
+    for chain, text, links in blocks:
+        for k in range(len(chain) + 1):
+            size[chain[:k]] += len(text) - links
+    total = size[()]
+    for name in ("article", "main"):
+        good = [c for c in size if c and c[-1][1].split(".")[0] == name and 0 < total <= 2 * size[c]]
+        if good:
+            return min(good, key=lambda c: c[-1][0]), max(size[c] for c in good if c == min(good, key=lambda c: c[-1][0]))
+    best = ()
+    while True:
+        inner = [c for c in size if len(c) == len(best) + 1 and c[: len(best)] == best]
+        top = min(inner, key=lambda c: (-size[c], c[-1][0]), default=None)
+        if top is None or not 0 < 0.8 * total <= size[top]:
+            break
+        best = top
+    if heads:
+        head = heads[0]
+        while head != best[: len(head)]:
+            head = head[:-1]
+        best = head or best
+    return best, size[best]
+
+
+def op5(pages):
+    """page_id, text of pages with hosts: votes, winners and second reading."""
+    path = lambda chain: tuple(label for _, label in chain)
+    read = [(i, host, *op5_blocks(page)) for i, host, page in pages]
+    votes = defaultdict(Counter)
+    for _, host, blocks, heads in read:
+        chain, weight = op5_vote(blocks, heads)
+        if weight > 0:
+            votes[host][path(chain)] += weight
+    out = []
+    for i, host, blocks, heads in read:
+        all_votes = sum(votes[host].values())
+        winners = sorted((-n, len("".join("/" + x for x in p)), "".join("/" + x for x in p), p) for p, n in votes[host].items() if n >= 0.05 * all_votes)
+        total = sum(len(t) - k for _, t, k in blocks)
+        under = lambda p: [(t, k) for c, t, k in blocks if path(c)[: len(p)] == p]
+        stands = lambda p: any(path(c)[: len(p)] == p for c, _, _ in blocks)
+        chosen = next((p for *_, p in winners if stands(p) and sum(len(t) - k for t, k in under(p)) >= 0.5 * total), None)
+        if chosen is None:
+            chosen = path(op5_vote(blocks, heads)[0])
+        out.append((i, "\n".join(t for t, _ in under(chosen))))
+    return out

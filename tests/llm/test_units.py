@@ -1,6 +1,7 @@
 """Parts of the corpus operators by themselves."""
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -166,13 +167,66 @@ def test_warc_bundles_are_seekable(spark, tmp_path):
 
 @pytest.mark.parametrize("page", ["<" * 50_000, "<a '" * 20_000, "<!--" + "x" * 50_000, "<p>a<p>b</div></p>c", "<table><tr><td>x<td>y</table>", "<script>var a='<p>no</p>'</script>yes", "<ul><li>a<li>b</ul>"])
 def test_extraction_survives_odd_markup(page):
-    extraction.blocks_of(page)
+    extraction.text_under(page, ["/body/article"])
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "x", "<div>x" + "</p></b></div></section>" * 40_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<ul><li><ul>" + "<div>" * 50_000 + "<li></li>" * 60_000,
+    "<svg>" * 200_000, "<a '" * 200_000, "<b>" * 100_000 + "<div>" + "</b>" * 150_000, "<div>" * 80_000 + "<td></td>" * 60_000, '<a "x>' * 100_000])
+def test_extraction_is_linear_in_broken_markup(page):
+    """Half a megabyte and more of nested, unmatched or unclosed tags."""
+    began = time.process_time()
+    extraction.text_under(page, ["/body/article"])
+    assert time.process_time() - began < 6
+
+
+def random_page(r, template):
+    words = lambda n: " ".join(r.choice(["one", "two", "three&amp;four", "f\u00fcnf", "six "]) for _ in range(n))
+
+    def piece(depth):
+        kind = r.randrange(9)
+        if kind < 3 or depth > 3:
+            return f"<p>{words(r.randrange(1, 9))}<b>{words(2)}</b></p>"
+        if kind == 3:
+            return f"<p>{words(2)}<br>{words(1)} <a href='/x'>{words(r.randrange(1, 5))}</a></p>"
+        if kind == 4:
+            return f"<{(t := r.choice(['nav', 'aside', 'footer', 'form']))}>{words(4)}</{t}>"
+        if kind == 5:
+            return f"<div class='{r.choice(['ad', 'comments', 'share-buttons', 'related-work', 'no-sidebar', 'box7'])}'>{words(6)}</div>"
+        if kind == 6:
+            return f"<h2>{words(2)}</h2>"
+        tag = r.choice(["div", "section", "div class='part3'"])
+        return f"<{tag}>" + "".join(piece(depth + 1) for _ in range(r.randrange(1, 4))) + f"</{tag.split()[0]}>"
+
+    body = "".join(piece(0) for _ in range(r.randrange(1, 7)))
+    head = f"<h1>{words(2)}</h1>"
+    return "<html><head><title>t</title></head><body>" + [
+        f"<article><header>{head}</header>{body}</article><p>small print</p>", f"<div class='wrap1'>{head}<div class='post9'>{body}</div></div>",
+        f"<main>{body}</main>", body, f"<header>{head}</header><div>{body}</div><div class='cookie-notice'>{words(9)}</div>"][template] + "</body></html>"
+
+
+def test_extraction_against_brute_force(spark):
+    r = random.Random(11)
+    pages = [(i, f"http://h{i % 7}.org/{i}", random_page(r, r.choice([i % 7 % 5, r.randrange(5)]))) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    winners = extraction.winning_paths(extraction.host_votes(df)).cache()
+    got = {x.page_id: x.text for x in extraction.extract(df, winners).collect()}
+    assert got == dict(B.op5([(i, url.split("/")[2], page) for i, url, page in pages]))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><header><h1>Title</h1></header><p>Lead paragraph</p><div class='body'>" + "long " * 99 + "</div></article>", "Title\nLead paragraph\n" + ("long " * 99).strip()),
+    ("<article><p>one</p><section class='s1'>two</section><section class='t'>" + "longer " * 99 + "</section></article>", "one\ntwo\n" + ("longer " * 99).strip()),
+    ("<article><p>one</p><div class='related-work'>two</div><div class='social-history'>three</div><div class='related-posts'>no</div></article>", "one\ntwo\nthree")])
+def test_extraction_gives_whole_articles(page, text):
+    path, _ = extraction.vote(page)
+    assert path == "/article" and extraction.text_under(page, [path]) == extraction.text_under(page, []) == text
 
 
 def test_extraction_leaves_boilerplate_out():
     page = ("<body><header>H</header><div id='main-menu'>m</div><main><article class='post-1'><header><h1>T</h1></header><p>Text &eacute;&nbsp;one</p><aside>a</aside><div class='share-buttons'>s</div>"
             "<form><input>f</form><p>Two</p></article><section class='comments'><p>c</p></section></main><div class='cookie-notice'>n</div></body>")
-    assert extraction.text_under(extraction.blocks_of(page), "/body/main/article.post-") == "T\nText é one\nTwo"
+    assert extraction.text_under(page, ["/body/main/article.post-"]) == "T\nText é one\nTwo"
 
 
 BODY = "<p>One text of some length that is the article of the page.</p><p>Two</p>"
@@ -186,7 +240,7 @@ BODY = "<p>One text of some length that is the article of the page.</p><p>Two</p
     f"<body><div class='page sidebar-left'><main><h1>T</h1>{BODY}</main></div><p>Small print</p></body>",
     f"<body><article><h1>T</h1><svg><select><iframe><noscript>{BODY}</article></body>"])
 def test_extraction_keeps_articles_with_odd_wrappers(page):
-    assert extraction.text_under(extraction.blocks_of(page), None) == "T\nOne text of some length that is the article of the page.\nTwo"
+    assert extraction.text_under(page, []) == "T\nOne text of some length that is the article of the page.\nTwo"
 
 
 def test_pipeline_against_brute_force(spark):
