@@ -2,9 +2,9 @@
 
 The order of shingles is rare-first by document frequency in 2**22 hash buckets, counted over all documents (any order
 that is the same for all documents gives right results; the fixed number of buckets keeps the table at 16 MB at any size). Documents of
-equal sets are one node. A node's prefix holds all that must meet any partner; prefixes meet by shingle, in lists sorted
-by length. Length, positional and suffix filters act on pairs of a list (suffix: a document's shingle counts between fixed
-pivots bound the overlap); the exact intersection acts once per pair.
+equal sets (128-bit digests of the shingles' hashes) are one node. A node's prefix holds all that must meet any partner; prefixes
+meet by shingle, in lists sorted by length. Length, positional and suffix filters act on pairs of a list (suffix: a document's shingle
+counts between fixed pivots bound the overlap); each pair is verified once, by hashes and, before it counts as a link, by the words themselves.
 
 Lists are never expanded into all pairs. First each list gives its neighbours in length and each member with the first,
 of which each document keeps two; the links among these make components. Then each list gives its most central member (of
@@ -12,8 +12,13 @@ most shared prefix shingles: an original rather than its edited copies) with one
 all pairs of different components, which is all that can change the result. All are verified: no link between components
 is lost.
 
+No list needs one task. Frequent shingles, told by the bucket counts, are dealt to several tasks for the first links; central
+members are combined minima and maxima; and for the last pairs a list is dealt as blocks of SPLIT members, each of which meets the members
+outside the list's largest component (those are the only ones that can make a new link), a batch at a time.
+
 Defined results: null and empty texts have no shingles and link with nothing; the id names the document, so repeated rows of
-an id are one document and each row is returned; a null id sorts before all others; an empty table gives an empty result.
+an id are one document and each row is returned; where such rows differ in text, each row has its own n_shingles and the component of its
+own set; a null id is an id that sorts before all others; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -22,14 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, row_slices, tidied, utf8_parts, written
+from .common import Words, digests, gram_hashes, mix, row_slices, tidied, utf8_parts, written
 
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
 SLICE = 1 << 14  # buckets in one row of the table while it is summed
 #: Most rows of a table of a few numbers that is broadcast (some 20 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
-SALTS = 64
+#: Tasks that share the pairs of one document, at least, and pairs for each more.
+SALTS, SALT_PAIRS = 64, 50_000
+#: Documents of a shingle's bucket over the median bucket that go to one task.
+HOT = 1024
+#: Members of a list that one task compares with others.
+SPLIT = 512
 PIVOTS = 64
 #: Links that one task folds into a forest before the rounds of components.
 FOREST_LINKS = 250_000
@@ -50,7 +60,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     few = np.flatnonzero((words.counts > 0) & (words.counts < k))
     if len(few):
         first = np.concatenate([[0], np.cumsum(words.counts)])
-        whole = np.array([mix(np.array([hash(tuple(words.hash[first[i] : first[i + 1]].tolist())) & (1 << 64) - 1], np.uint64))[0] for i in few], np.uint64)
+        whole = np.zeros(len(few), np.uint64)
+        for size in range(1, k):
+            of = words.counts[few] == size
+            whole[of] = gram_hashes(words.hash, size)[first[few[of]]] if of.any() else 0
         row, value = np.concatenate([row, few]), np.concatenate([value, whole])
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
@@ -72,15 +85,14 @@ def pivot_counts(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _survey(k: int):
-    """kind 0: (id, set size, two hashes of the set, counts between pivots) of each text; kind 1: (slice, counts) of the buckets at a partition's end."""
+    """kind 0: (id, set size, digest of the set in two halves, counts between pivots) of each text; kind 1: (slice, counts) of the buckets at a partition's end."""
 
     def run(batches):
         seen = np.zeros(BUCKETS, np.uint32)
 
-        def rows(kind, a, b, c, d, counts=None):
-            counts = pa.nulls(len(a), pa.binary()) if counts is None else pa.array(counts, pa.binary())
+        def rows(kind, a, b, c, d, counts):
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, c, d)), counts], ["kind", "a", "b", "c", "d", "counts"])
+                [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, c, d)), pa.array(counts, pa.binary())], ["kind", "a", "b", "c", "d", "counts"])
 
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -90,13 +102,9 @@ def _survey(k: int):
                 at, times = np.unique(_bucket(value), return_counts=True)
                 seen[at] += times.astype(np.uint32)
                 size = np.bincount(row, minlength=j - i)
-                ends = np.concatenate([[0], np.cumsum(size)])
-
-                def fold(x, ends=ends):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
-                    return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
-
-                yield rows(0, ids[i:j], size, fold(mix(value)), fold(mix(value ^ np.uint64(0x5851F42D4C957F2D))), [x.tobytes() for x in pivot_counts(row, value, j - i)])
+                ends = np.concatenate([[0], np.cumsum(size)]) * 8
+                of = digests(value.tobytes(), ends[:-1], ends[1:])
+                yield rows(0, ids[i:j], size, of[:, 0], of[:, 1], [x.tobytes() for x in pivot_counts(row, value, j - i)])
         if seen.any():
             n = np.arange(BUCKETS // SLICE)
             small = np.uint8 if seen.max() < 1 << 8 else np.uint16 if seen.max() < 1 << 16 else np.uint32
@@ -121,11 +129,19 @@ def _need(n: np.ndarray, share: int) -> np.ndarray:
     return -(-share * n // 100)
 
 
+def hot_buckets(often: np.ndarray) -> np.ndarray:
+    """Tasks for the shingles of each bucket: one, and one more for each HOT documents (or eight deviations of a usual bucket, if
+    that is more) over the median bucket."""
+    usual = float(np.median(often))
+    return 1 + (np.maximum(often - usual, 0) // max(HOT, 8 * usual**0.5)).astype(np.int64)
+
+
 def _prefixes(k: int, share: int, counts):
-    """(token, id, size << 32 | position) of each document's rare-first prefix."""
+    """(token, salt, id, size << 32 | position) of each document's rare-first prefix; salt is -1 but for hot shingles."""
 
     def run(batches):
         often = counts.value
+        tasks = hot_buckets(often)
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             raw, off = utf8_parts(batch.column(1))
@@ -137,8 +153,11 @@ def _prefixes(k: int, share: int, counts):
                 place = np.arange(len(row)) - np.concatenate([[0], np.cumsum(size)])[row]
                 n = size[row]
                 take = place <= n - _need(n, share)
+                value, doc, n = value[take], ids[i + row[take]], n[take]
+                many = tasks[_bucket(value)]
+                salt = np.where(many > 1, (mix(doc.view(np.uint64)) % many.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[take].view(np.int64)), pa.array(ids[i + row[take]]), pa.array(n[take] << 32 | place[take])], ["token", "id", "np"])
+                    [pa.array(value.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(n << 32 | place[take])], ["token", "salt", "id", "np"])
 
     return run
 
@@ -160,47 +179,36 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[new], b[new]
 
 
-def _whole_lists(batches, width: int, pivots: bool = False):
-    """Columns of complete runs of equal first column, a batch at a time; the last run waits for the next batch.
-    width: columns of numbers; pivots: one more column of pivot counts, as a row of bytes each."""
-    held = [np.zeros(0, np.int64)] * width + [np.zeros((0, PIVOTS), np.uint8)] * pivots
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
-        if pivots:
-            cols.append(utf8_parts(batch.column(width))[0].reshape(-1, PIVOTS))
-        cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        held = [c[cut:] for c in cols]
-        if cut:
-            yield [c[:cut] for c in cols]
-    if len(held[0]):
-        yield held
-
-
 def _lists(share: int):
-    """From prefix rows sorted by token, size and id: kind 0: the rows of lists of two and more; kind 1: pairs (a, b) of
-    neighbours and of each member with the list's first."""
+    """From prefix rows sorted by token, salt, size and id: kind 0: the rows of lists of two and more, and of salted lists; kind 1: pairs
+    (a, b) of neighbours and of each member with the list's first. Holds two rows of a list."""
 
     def rows(kind, a, b, c):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x) for x in (a, b, c))], ["kind", "a", "b", "c"])
 
     def run(batches):
-        for token, doc, packed in _whole_lists(batches, 3):
-            same = token[1:] == token[:-1]
-            shared = np.zeros(len(token), bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            if not shared.any():
+        held = [np.zeros(0, np.int64)] * 4  # the first and the last row so far of the list that is open
+        for batch in batches:
+            cols = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            token, salt, doc, packed = cols
+            old = len(held[0])
+            if len(token) == old:
                 continue
-            token, doc, packed = token[shared], doc[shared], packed[shared]
-            yield rows(0, token, doc, packed)
-            n, p = packed >> 32, packed & 0xFFFFFFFF
             new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            shared = salt >= 0
+            shared[1:] |= ~new[1:]
+            shared[:-1] |= ~new[1:]
+            fresh = np.arange(len(token)) >= old
+            if old == 1 and salt[0] < 0:
+                fresh[0] = True  # alone till now
+            out = shared & fresh
+            if out.any():
+                yield rows(0, token[out], doc[out], packed[out])
             first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-            here = np.flatnonzero(~new)
+            held = [c[[first[-1], -1]] if first[-1] < len(token) - 1 else c[-1:] for c in cols]
+            n, p = packed >> 32, packed & 0xFFFFFFFF
+            here = np.flatnonzero(~new & (np.arange(len(token)) >= old))
             a, b = [], []
             for other in (here - 1, first[here]):
                 ok = _passes(n[other], p[other], n[here], p[here], share)
@@ -223,74 +231,84 @@ def _suffix_near(n, parts, u, v, share: int) -> np.ndarray:
     return out
 
 
-def _central(share: int):
-    """From lists sorted by token, with components, pivot counts and centrality: the most central member of each list with the most
-    central one of each other component."""
+def _ordered(u, v, n, p, share: int) -> np.ndarray:
+    """Which pairs of rows u and v pass the filters, the shorter one first."""
+    u, v = np.where(n[u] <= n[v], u, v), np.where(n[u] <= n[v], v, u)
+    return _passes(n[u], p[u], n[v], p[v], share)
+
+
+def _sketched(share: int):
+    """From (a, b, np of a, np of b, counts of a, counts of b): the (a, b) that pass the filters."""
 
     def run(batches):
-        for token, packed, doc, comp, central, parts in _whole_lists(batches, 5, pivots=True):
-            group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]]))
-            order = np.lexsort((doc, -central, comp, group))
-            lead = np.ones(len(order), bool)
-            lead[1:] = (group[order[1:]] != group[order[:-1]]) | (comp[order[1:]] != comp[order[:-1]])
-            chosen = order[lead]  # one of each component in a list
-            chosen = chosen[np.lexsort((doc[chosen], -central[chosen], group[chosen]))]
-            first = np.ones(len(chosen), bool)
-            first[1:] = group[chosen[1:]] != group[chosen[:-1]]
-            u = chosen[np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))][~first]
-            v = chosen[~first]
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            packed = np.concatenate([x, y])
             n, p = packed >> 32, packed & 0xFFFFFFFF
-            u, v = np.where(n[u] <= n[v], u, v), np.where(n[u] <= n[v], v, u)
-            ok = _passes(n[u], p[u], n[v], p[v], share)
-            u, v = u[ok], v[ok]
-            near = _suffix_near(n, parts, u, v, share)
-            a, b = _distinct_pairs(doc[u[near]], doc[v[near]])
+            u = np.arange(len(a))
+            u = u[_ordered(u, u + len(a), n, p, share)]
+            parts = np.concatenate([utf8_parts(batch.column(i))[0].reshape(-1, PIVOTS) for i in (4, 5)])
+            u = u[_suffix_near(n, parts, u, u + len(a), share)]
+            a, b = _distinct_pairs(a[u], b[u])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _crossing(share: int, block: int = 2048):
-    """From lists sorted by token and size, with components and pivot counts: pairs of different components that pass the filters."""
+def _crossing(share: int):
+    """From blocks sorted by token, unit, role (0: members of the block, 1: those outside the list's largest component), size and id: pairs of
+    different components that pass the filters. Holds a block's members; the others stream by."""
 
     def run(batches):
-        for token, packed, doc, comp, _, parts in _whole_lists(batches, 5, pivots=True):
+        held = [np.zeros(0, np.int64)] * 6 + [np.zeros((0, PIVOTS), np.uint8)]
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)] + [utf8_parts(batch.column(6))[0].reshape(-1, PIVOTS)]
+            token, unit, role, packed, doc, comp, parts = cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            if not len(token):
+                continue
+            n, p = packed >> 32, packed & 0xFFFFFFFF
             new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
+            new[1:] = (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])
             start = np.flatnonzero(new)
             end = np.append(start[1:], len(token))
-            varied = np.zeros(len(token), bool)
-            varied[1:] = ~new[1:] & (comp[1:] != comp[:-1])
-            mixed = np.add.reduceat(varied, start) > 0
-            n, p = packed >> 32, packed & 0xFFFFFFFF
-            got_a, got_b = [], []
-            for s, e in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
-                for i in range(s, e, block):
-                    for j in range(i, e, block):
-                        x, y = np.arange(i, min(i + block, e)), np.arange(j, min(j + block, e))
-                        if 100 * n[x[-1]] < share * n[y[0]]:
-                            break
-                        ok = _passes(n[x][:, None], p[x][:, None], n[y][None, :], p[y][None, :], share)
-                        ok &= (x[:, None] < y[None, :]) & (comp[x][:, None] != comp[y][None, :])
-                        u, v = (z[w] for z, w in zip((x, y), np.nonzero(ok), strict=True))
-                        near = _suffix_near(n, parts, u, v, share)
-                        got_a.append(doc[u[near]])
-                        got_b.append(doc[v[near]])
-            if got_a:
-                a, b = _distinct_pairs(np.concatenate(got_a), np.concatenate(got_b))
+            probes = start + np.add.reduceat((role == 0).astype(np.int64), start)
+            got = []
+            for s, m, e in zip(start.tolist(), probes.tolist(), end.tolist(), strict=True):
+                for i in range(m, e, SPLIT):
+                    j = min(i + SPLIT, e)
+                    low, high = np.searchsorted(n[s:m], [-(-share * n[i] // 100), 100 * n[j - 1] // share + 1])
+                    y = np.arange(s + low, s + high)
+                    x = np.arange(i, j)
+                    u, v = np.nonzero(comp[x][:, None] != comp[y][None, :])
+                    u, v = x[u], y[v]
+                    ok = _ordered(u, v, n, p, share)
+                    u, v = u[ok], v[ok]
+                    near = _suffix_near(n, parts, u, v, share)
+                    got.append(_distinct_pairs(doc[u[near]], doc[v[near]]))
+            stay = slice(int(start[-1]), int(probes[-1]))
+            held = [c[stay] for c in cols]
+            if got:
+                a, b = _distinct_pairs(*(np.concatenate(x) for x in zip(*got, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def _shingles(text: bytes, k: int) -> set[bytes]:
+    """The shingles of a text as words."""
+    words = text.lower().split()  # bytes: A-Z only, and the white space of the words' pattern
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {b" ".join(words)}
+
+
 def _verified(k: int, share: int):
     """From texts sorted by leader, salt, member flag: (a, b) of the members that link with their leader."""
 
     def run(batches):
-        leader, mine, mine_parts = None, None, None
+        leader, mine, mine_parts, mine_text, mine_words = None, None, None, b"", None
         for batch in batches:
             heads, docs, member = (batch.column(i).to_pylist() for i in (0, 2, 3))
             raw, off = utf8_parts(batch.column(4))
+            text = raw.tobytes()
             a, b = [], []
             for i, j in row_slices(off):
                 row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
@@ -299,7 +317,7 @@ def _verified(k: int, share: int):
                     own = value[ends[r] : ends[r + 1]]
                     parts = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=64)
                     if not member[i + r]:
-                        leader, mine, mine_parts = heads[i + r], own, parts
+                        leader, mine, mine_parts, mine_text, mine_words = heads[i + r], own, parts, text[off[i + r] : off[i + r + 1]], None
                         continue
                     if heads[i + r] != leader:
                         raise ValueError("a member came before its leader")
@@ -308,7 +326,12 @@ def _verified(k: int, share: int):
                     if np.abs(parts - mine_parts).sum() > most - 2 * alpha:
                         continue
                     both = len(np.intersect1d(own, mine, assume_unique=True))
-                    if 100 * both >= share * (most - both):
+                    if 100 * both < share * (most - both):
+                        continue
+                    mine_words = mine_words or _shingles(mine_text, k)
+                    words = _shingles(text[off[i + r] : off[i + r + 1]], k)
+                    both = len(words & mine_words)
+                    if 100 * both >= share * (len(words) + len(mine_words) - both):
                         a.append(leader)
                         b.append(docs[i + r])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -317,8 +340,8 @@ def _verified(k: int, share: int):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str) -> DataFrame:
-    """The pairs (a, b) that link, each text sent once for each pair it is the later of. docs: _id, _text."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    """The pairs (a, b) that link, each text sent once for each pair it is the later of. pairs: a written table; docs: _id, _text."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(max(SALTS, pairs.count() // SALT_PAIRS))).cast("int")
     salted = pairs.withColumn("salt", salt)
     roles = salted.select(F.col("b").alias("doc"), F.col("a").alias("leader"), "salt", F.lit(1).alias("member")).unionByName(
         salted.select(F.col("a").alias("doc"), F.col("a").alias("leader"), "salt", F.lit(0).alias("member")).distinct())
@@ -375,6 +398,31 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def central_pairs(labelled: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
+    """(a, b): the most central member of each list of labelled(token, np, id, comp) with that of each other component in it."""
+    ranked = labelled.join(sketches.select("sid", "central"), F.col("id") == F.col("sid"))
+    first = lambda *c: F.max_by(F.struct(*c), F.struct("central", F.bitwise_not("id")))
+    heads = written(ranked.groupBy("token", "comp").agg(first("id", "np", "central").alias("h")).select("token", "comp", "h.*"), "heads")
+    leads = heads.groupBy(F.col("token").alias("of")).agg(first("comp", "id", "np").alias("lead")).select("of", F.col("lead.comp").alias("lead_comp"), F.col("lead.id").alias("a"), F.col("lead.np").alias("x"))
+    met = heads.join(_small(written(leads, "leads")), F.col("token") == F.col("of")).where("comp != lead_comp").select("a", F.col("id").alias("b"), "x", F.col("np").alias("y")).distinct()
+    sent = met.join(sketches.select(F.col("sid").alias("sa"), F.col("counts").alias("ca")), F.col("a") == F.col("sa")).join(
+        sketches.select(F.col("sid").alias("sb"), F.col("counts").alias("cb")), F.col("b") == F.col("sb"))
+    return sent.select("a", "b", "x", "y", "ca", "cb").mapInArrow(tidied(_sketched(share)), "a bigint, b bigint")
+
+
+def crossing_pairs(labelled: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
+    """(a, b): all pairs of different components in a list of labelled(token, np, id, comp) that pass the filters."""
+    kinds = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    lists = kinds.groupBy(F.col("token").alias("of")).agg(F.sum("n").alias("total"), F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+    sized = labelled.join(_small(written(lists, "list-sizes")), F.col("token") == F.col("of"))
+    units = F.ceil(F.col("total") / SPLIT).cast("int")
+    members = sized.select("token", F.pmod(F.xxhash64("id"), units).cast("int").alias("unit"), F.lit(0).alias("role"), "np", "id", "comp")
+    others = sized.where("comp != largest").select("token", F.explode(F.sequence(F.lit(0), units - 1)).alias("unit"), F.lit(1).alias("role"), "np", "id", "comp")
+    dealt = members.unionByName(others).join(sketches.select("sid", "counts"), F.col("id") == F.col("sid")).select("token", "unit", "role", "np", "id", "comp", "counts")
+    dealt = dealt.repartition("token", "unit").sortWithinPartitions("token", "unit", "role", F.shiftright("np", 32), "id")
+    return dealt.mapInArrow(tidied(_crossing(share)), "a bigint, b bigint")
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80) -> DataFrame:
     """id, n_shingles, component_id of each row of docs; two documents link at 100 * intersection >= share * union."""
     spark = docs.sparkSession
@@ -392,10 +440,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # ids that only stand for copies of another node, or have no shingles, send no prefix
     idle = sets.join(nodes.where("copies > 1"), ["n", "c", "d"], "left").where("n = 0 OR (copies > 1 AND id != node)").select(F.col("id").alias("idle"))
     active = base.join(_small(written(idle.distinct(), "idle")), F.col("_id") == F.col("idle"), "left_anti")
-    # repeated rows of an id would list a document twice
-    prefix = active.mapInArrow(tidied(_prefixes(k, share, counts)), "token bigint, id bigint, np bigint")
+    prefix = active.mapInArrow(tidied(_prefixes(k, share, counts)), "token bigint, salt int, id bigint, np bigint")
     size = F.shiftright("np", 32)
-    lists = written(prefix.repartition("token").sortWithinPartitions("token", size, "id").mapInArrow(
+    lists = written(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", size, "id").mapInArrow(
         tidied(_lists(share)), "kind int, a bigint, b bigint, c bigint"), "lists")
     told = lists.where("kind = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     best = told.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.min("a").alias("least"))
@@ -406,15 +453,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     central = rows.groupBy("id").agg(F.count(F.lit(1)).alias("central"))
     sketches = sets.where("n > 0").select("id", "counts").dropDuplicates(["id"]).join(central, "id").select(F.col("id").alias("sid"), "counts", "central")
     sketches = _small(written(sketches, "sketches"))
-    for step in (_central, _crossing):
+    for candidates in (central_pairs, crossing_pairs):
         labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").select(
             "token", "np", "id", F.coalesce("component", "id").alias("comp"))
         # a list of one component, as a large family's lists are by now, goes no further: minimum and maximum combine before the shuffle
         ends = labelled.groupBy(F.col("token").alias("mixed")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("mixed")
-        labelled = labelled.join(_small(written(ends, "mixed-lists")), F.col("token") == F.col("mixed"), "left_semi").join(sketches, F.col("id") == F.col("sid")).select(
-            "token", "np", "id", "comp", "central", "counts")
-        pairs = labelled.repartition("token").sortWithinPartitions("token", size, "id").mapInArrow(tidied(step(share)), "a bigint, b bigint").distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
+        labelled = labelled.join(_small(written(ends, "mixed-lists")), F.col("token") == F.col("mixed"), "left_semi")
+        pairs = written(candidates(labelled, sketches, share).distinct().join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
         more = verify(pairs, base, k, share, "crossing-links")
         tried = tried.unionByName(pairs)
         if not more.isEmpty():

@@ -33,7 +33,7 @@ K = 6
 PLACE_BITS = 8
 SHARD_CHUNKS = 256
 #: Most keys of crowded anchors that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 _LEAST = -(1 << 63)
 
 
