@@ -255,3 +255,142 @@ def op5(pages):
             chosen = path(op5_vote(blocks, heads)[0])
         out.append((i, "\n".join(t for t, _ in under(chosen))))
     return out
+
+
+def url_parts(url):
+    """(host, path) of a url; both empty without ://."""
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+    host, rest = rest[:end].translate(LOW), rest[end:]
+    end = min((rest.find(c) for c in "?#" if c in rest), default=len(rest))
+    return host, rest[:end]
+
+
+def rule_of(host, path, rules):
+    fits = [(h + p, action) for action, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda r: len(r[0]), default=(None, None))
+
+
+def op4(pages, docs, labels, rules, min_count=8, z=1.96, strength=10.0, max_bad=0.5, min_bad=3):
+    """{page_id: (host, path, rule, verdict, template)} of pages (id, url, html)."""
+    bad_of = defaultdict(list)
+    texts = defaultdict(list)
+    for i, quality in labels:
+        if quality is not None:
+            bad_of[i].append(int(quality == 0))
+    for i, t in docs:
+        if i in bad_of and WORD.search(t or ""):
+            texts[" ".join(WORD.findall(t))] += bad_of[i]
+    rows = []
+    for i, url, page in pages:
+        host, path = url_parts(url)
+        rule, action = rule_of(host, path, rules)
+        body = re.search(r"<article\b[^>]*>(.*?)(?:</article|\Z)", page or "", re.S)
+        body = re.sub(r"<h1\b.*?</h1>", " ", body[1] if body else page or "", flags=re.S)
+        words = " ".join(WORD.findall(html.unescape(re.sub(r"<[^>]*>", " ", body))))
+        label = int(action == "block") if action else max(texts[words]) if texts.get(words) else None
+        gpath = re.sub(r"(?<=/)(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{12,}(?=/|\Z)", "{x}", path)
+        rows.append((i, host, path, rule, action, host, re.sub("[0-9]+", "{n}", gpath).split("/"), label))
+    template = {k: "" for k in range(len(rows))}
+    for d in range(1, max((len(r[6]) for r in rows), default=0)):
+        groups = defaultdict(lambda: defaultdict(list))
+        for k, r in enumerate(rows):
+            if d < len(r[6]):
+                groups[r[5], template[k]][r[6][d]].append(k)
+        for branches in groups.values():
+            known = [rows[k][7] for v in branches.values() for k in v if rows[k][7] is not None]
+            for segment, members in branches.items():
+                own = [rows[k][7] for k in members if rows[k][7] is not None]
+                p = sum(known) / len(known) if known else 0
+                literal = len(members) >= min_count and own and abs(sum(own) / len(own) - p) > z * (p * (1 - p) / len(own)) ** 0.5
+                for k in members:
+                    template[k] += "/" + (segment if literal else "*")
+    known = [r[7] for r in rows if r[7] is not None]
+    prior = min((sum(known) + 1) / (len(known) + 2), max_bad)
+    pools = defaultdict(list)
+    for k, r in enumerate(rows):
+        pools[r[5], template[k]].append(r[7])
+    rejected = {}
+    for key, v in pools.items():
+        own = [x for x in v if x is not None]
+        rejected[key] = (sum(own) + strength * prior) / (len(own) + strength) > max_bad and sum(own) >= min_bad
+    return [(i, host, path, rule, action or ("block" if rejected[host, template[k]] else "allow"), template[k]) for k, (i, host, path, rule, action, *_) in enumerate(rows)]
+
+
+def op2_kept(rows, between=(0.1, 0.5), strength=20.0):
+    """{doc_id: kept} of the judged rows, from their measures: bands, and verdicts by the defaults of the operator."""
+    good = [r for r in rows if not r["base_failed"]]
+    half_up = lambda x: int(abs(x) / 0.005 + 0.5) * (1 if x >= 0 else -1)
+
+    def quartiles(values):
+        bins = sorted(half_up(v) for v in values)
+        return len(bins), *(bins[max(0, -(-int(4 * q * len(bins)) // 4) - 1)] * 0.005 for q in (0.25, 0.5, 0.75))
+
+    bands = defaultdict(list)
+    for r in good:
+        bands[r["band"]].append(r)
+    script = {b: r[0]["script"] for b, r in bands.items()}
+    assert all(len({x["script"] for x in r}) == 1 for r in bands.values())
+
+    def settle(measure, tokens, share=False, own_spread=True):
+        own = {}
+        for b, rs in bands.items():
+            n, q1, q2, q3 = quartiles([r[measure] for r in rs])
+            noise = spread = max((q3 - q1) / 1.349, 0.005)
+            if own_spread:
+                _, q1, _, q3 = quartiles([(r[measure] - q2) * r[tokens] ** 0.5 for r in rs])
+                spread = max((q3 - q1) / 1.349, 0.005)
+            own[b] = dict(total=n, centre=q2, noise=noise, spread=spread)
+        mean = lambda c, of: sum(own[b]["total"] * own[b][c] for b in of) / sum(own[b]["total"] for b in of)
+        out = {}
+        for b, o in own.items():
+            same = [x for x in own if script[x] == script[b]]
+            n_script = sum(own[x]["total"] for x in same)
+            lean = lambda n, c, wide: (n * c + strength * wide) / (n + strength)
+
+            def draw(n, c, noise, wide, variance):
+                w = (n - 1) / (n - 1 + noise * noise / variance)
+                return w * c + (1 - w) * wide, (1 - w) * variance
+
+            script_noise = lean(n_script, mean("noise", same), mean("noise", own))
+            centre, var = draw(n_script, mean("centre", same), script_noise, mean("centre", own), (between[1] * (1 if share else mean("centre", own))) ** 2)
+            centre, var = draw(o["total"], o["centre"], lean(o["total"], o["noise"], script_noise), centre, var + (between[0] * (1 if share else centre)) ** 2)
+            out[b] = centre, var**0.5, lean(o["total"], o["spread"], lean(n_script, mean("spread", same), mean("spread", own)))
+        return out
+
+    chars, wide = settle("chars_per_token", "n_tokens"), settle("chars_per_wide_token", "n_wide_tokens")
+    entropy, share = settle("token_entropy", "n_tokens", own_spread=False), settle("byte_share", "n_tokens", share=True)
+    kept = {}
+    for r in rows:
+        fail = r["base_failed"]
+        if r["band"] in bands and not fail:
+            for bands_of, m, t, margin, width in ((chars, "chars_per_token", "n_tokens", 0.03, 4.0), (wide, "chars_per_wide_token", "n_wide_tokens", 0.01, 3.5)):
+                c, unsure, spread = bands_of[r["band"]]
+                fail |= abs(r[m] - c) > margin * c + width * (spread**2 / r[t] + unsure**2) ** 0.5
+            c, unsure, spread = entropy[r["band"]]
+            fail |= r["token_entropy"] < c - 5 * (spread**2 + unsure**2) ** 0.5
+            c, unsure, spread = share[r["band"]]
+            spread = max(spread, 3 * (c * max(1 - c, 0)) ** 0.5)
+            fail |= r["byte_share"] > max(0.3, c * 1.03 + 4 * (spread**2 / r["n_tokens"] + unsure**2) ** 0.5)
+        kept[r["doc_id"]] = not fail
+    return kept
+
+
+def op2_measures(text):
+    """(tokens by the piece vocabulary, by the byte pairs, byte share, entropy) of a text."""
+    import math
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    pairs = tiktoken.Encoding("w", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = WORD.findall(text or "")
+    ids = [t for w in words for t in pieces.encode(w)]
+    counts = Counter(ids)
+    return (len(ids), sum(len(pairs.encode_ordinary(" " + w)) for w in words), sum(map(pieces.is_byte, ids)) / max(len(ids), 1),
+            -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values()))

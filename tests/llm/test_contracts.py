@@ -125,7 +125,7 @@ def test_op2_one_bad_text_has_one_verdict_at_each_scale(spark, scale):
     bad += [(-i, odd("ȡȴȵȶɫɬɭɮʦʧ"), lang) for i, lang in enumerate(["only", None], 5)]
     labelled = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
     clean = [(-100 - i, labelled.where(f"lang = '{lang}' AND length(text) > 1000").orderBy("doc_id").first().text, f"only-{lang}") for i, lang in enumerate(["en", "de", "fr", "es"])]
-    made = Q.judge(docs.union(spark.createDataFrame(bad + clean, docs.schema)), registry.vocabulary("piece_bpe_32k.model")).where("doc_id < 0").collect()
+    made = Q.judge(docs.union(spark.createDataFrame(bad + clean, docs.schema)), *map(registry.vocabulary, registry.FERTILITY)).where("doc_id < 0").collect()
     assert len(made) == 10 and not any(x.base_failed or x.chars_median is None for x in made)
     assert all("chars_per_token" in x.reasons for x in made if x.doc_id > -100) and all(x.kept for x in made if x.doc_id <= -100)
 
@@ -140,12 +140,65 @@ def test_op2_byte_share_is_judged_by_the_own_band(spark):
     text = lambda k: " ".join(r.choice(words[k]) for _ in range(r.randrange(80, 400)))
     clean = [(-i - 1, text("am" if i % 2 else "te"), ["te", "am", None, None][i % 4]) for i in range(120)] + [(-200, text("am"), "alone")]
     noise = [(-1000 - i, text("am"), "en") for i in range(3)]
-    made = Q.judge(docs.union(spark.createDataFrame(clean + noise, docs.schema)), registry.vocabulary("piece_bpe_32k.model")).where("doc_id < 0").collect()
+    made = Q.judge(docs.union(spark.createDataFrame(clean + noise, docs.schema)), *map(registry.vocabulary, registry.FERTILITY)).where("doc_id < 0").collect()
     assert min(x.byte_share for x in made) > 0.3 and not any(x.base_failed for x in made)
     assert all("byte_share" in x.reasons for x in made if x.doc_id <= -1000)
     assert not any("byte_share" in x.reasons for x in made if x.doc_id > -1000) and sum(x.kept for x in made) >= 0.97 * len(clean)
 
 
+def test_op2_verdicts_against_brute_force(spark):
+    """Measures of some texts and the verdict of every text, by both fits."""
+    from tidelake.llm import quality as Q
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r.asDict() for r in Q.judge(docs, *map(registry.vocabulary, registry.FERTILITY)).collect()]
+    assert {r["doc_id"]: r["kept"] for r in got} == B.op2_kept(got)
+    texts = {r.doc_id: r.text for r in docs.orderBy("doc_id").limit(12).collect()}
+    for r in got:
+        if r["doc_id"] in texts:
+            n, wide, share, entropy = B.op2_measures(texts[r["doc_id"]])
+            assert (r["n_tokens"], r["n_wide_tokens"]) == (n, wide) and r["byte_share"] == pytest.approx(share) and r["token_entropy"] == pytest.approx(entropy)
+            assert r["chars_per_token"] == pytest.approx(r["word_chars"] / n) and r["chars_per_wide_token"] == pytest.approx(r["word_chars"] / wide)
+
+
+def test_op2_catches_bad_texts_that_pass_the_base_rules(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in registry.op2_quality_rules(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    bad = [got[r.doc_id].kept for r in labels if r.quality == 0 and not got[r.doc_id].base_failed]
+    clean = [got[r.doc_id].kept for r in labels if r.quality == 1 and not got[r.doc_id].base_failed]
+    assert sum(bad) <= 0.25 * len(bad) and sum(clean) >= 0.998 * len(clean)
+
+
+OP4_SQL = r"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rh, rp) AS (VALUES ('net', '/'), ('example.net', '/en/'), ('example.com', '/de/'), ('org', '/fr/'))
+SELECT page_id, host, path, max_by(rh || rp, length(rh || rp)) AS rule FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path"""
+
+
+def test_op4_parts_and_rules_against_sql(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        assert oracle.difference(registry.op4_url_filters(spark, sf).select("page_id", "host", "path", "rule"), oracle.connect(sf), OP4_SQL) is None
+
+
+def test_op4_templates_and_verdicts_against_brute_force(spark, edge):
+    for sf in (edge, "/root/testdata/sf0.1"):
+        want = B.op4(rows(spark, sf, "pages", ["page_id", "url", "html"]), rows(spark, sf, "documents", ["doc_id", "text"]), rows(spark, sf, "labels", ["doc_id", "quality"]), registry.URL_RULES)
+        assert made(spark, sf, "op4_", ["page_id", "host", "path", "rule", "verdict", "template"]) == B.counted(want)
+
+
+def test_op4_deep_paths(spark):
+    """Ids below any depth are wildcards, and a bad branch there is told from clean ones."""
+    from tidelake.llm import url_filters as U
+
+    deep = "/".join(f"s{chr(97 + i)}" for i in range(11))
+    urls = [(f"http://h.com/{deep}/{kind}/x{chr(97 + i % 26)}{i}/y{i}", int(kind == "bad"), i) for kind in ("good", "bad") for i in range(40)]
+    df = spark.createDataFrame(urls, "url string, bad int, n int").withColumnRenamed("n", "host")
+    paths, templates = U.learn_templates(df)
+    judged = U.judge_urls(df, paths, templates, [], id_col="bad").collect()
+    assert all(r.verdict == ("block" if r.bad else "allow") for r in judged) and templates.count() == 2
+
+
 def test_op4_parts_and_rules(spark, edge):
     got = {r.page_id: r for r in registry.op4_url_filters(spark, edge).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")
@@ -199,6 +252,34 @@ def test_op10_shards_are_even_and_slots_gapless(spark):
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
 
 
+@pytest.mark.parametrize("part_rows", [7, 1000])
+def test_op10_against_brute_force(spark, part_rows):
+    """Shards hold runs of the sorted keys with sums nearest to equal shares, whatever the parts in which slots are counted."""
+    from tidelake.llm import sharding as S
+
+    df = spark.createDataFrame([(i if i % 50 else None, "hot" * 50 if i % 3 == 0 else None if i % 41 == 1 else f"t{i}" * (i % 60), "x") for i in range(2000)], "doc_id bigint, text string, _part string")
+    keyed = df.selectExpr("doc_id", "text", "xxhash64(text) AS h", "coalesce(octet_length(text), 0) + 8 AS size").collect()
+    ordered = sorted(((r.h, -(1 << 63) if r.doc_id is None else r.doc_id, r.size) for r in keyed))
+    got = S.shard_by_bytes(df, 8, tolerance=0.0, part_rows=part_rows)
+    assert got.columns == ["doc_id", "text", "_part", "size", "shard", "slot"]
+    got = got.selectExpr("shard", "slot", "xxhash64(text) AS h", "doc_id", "size").collect()
+    got = sorted((r.shard, r.slot, r.h, -(1 << 63) if r.doc_id is None else r.doc_id, r.size) for r in got)
+    assert [r[2:] for r in got] == ordered
+    total, upto, goals, best = sum(r[2] for r in ordered), 0, [], []
+    goals = [total * s / 8 for s in range(1, 8)]
+    cuts = {}  # bytes below each possible boundary between different keys
+    for k, r in enumerate(ordered):
+        if k == 0 or ordered[k - 1][:2] != r[:2]:
+            cuts[k] = upto
+        upto += r[2]
+    cuts[len(ordered)] = upto
+    best = [min(abs(c - g) for c in cuts.values()) for g in goals]
+    below = [sum(r[4] for r in got if r[0] < s) for s in range(1, 8)]
+    assert [abs(b - g) for b, g in zip(below, goals, strict=True)] == best
+    for s in range(8):
+        assert [r[1] for r in got if r[0] == s] == list(range(sum(r[0] == s for r in got)))
+
+
 def test_op10_hot_text(spark):
     """A text that a third of all rows share is parted by id."""
     from tidelake.llm import sharding as S

@@ -49,6 +49,15 @@ def test_offsets_and_arrays(spark):
     assert back == {1: "héllo wörld".encode(), 2: b"", 3: b""}
 
 
+def test_decoding_needs_fitting_offsets(spark):
+    coded = bpe.encode(spark.createDataFrame([(1, "some words here")], "doc_id bigint, text string"), PATH)
+    for wrong in ("transform(token_offsets, x -> x + 1)", "slice(token_offsets, 1, 1)"):
+        with pytest.raises(Exception, match="offset"):
+            bpe.decode(coded.selectExpr("doc_id", "token_ids", f"{wrong} AS token_offsets"), PATH).collect()
+    with pytest.raises(ValueError):
+        bpe.encode(coded.selectExpr("doc_id", "'x' AS text", "n_tokens"), PATH, keep=("doc_id", "n_tokens"))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("aB \t\né\u2003中", max_size=30), min_size=1, max_size=6))
 def test_word_scanning(texts):
@@ -134,6 +143,23 @@ def test_jaccard_components_against_brute_force(spark, seed):
     assert B.counted(got.collect()) == B.counted(B.op9(docs))
 
 
+def test_long_lists_are_dealt_to_several_tasks(spark, monkeypatch):
+    """Whatever the bounds from which a shingle's list is dealt in parts."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(90):
+        t = list(base)
+        for k in r.sample(range(60), r.randrange(5)):
+            t[k] = f"e{r.randrange(999)}"
+        docs.append((i, " ".join(t[: r.choice([60, 60, 55, 20])])))
+    docs += [(100 + i, " ".join(base[:12] + [f"x{i}y{j}" for j in range(r.randrange(3))])) for i in range(20)]
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "SPLIT", 3)
+    got = jaccard.similarity_components(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert B.counted(got.collect()) == B.counted(B.op9(docs))
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(45)) if a != b] + [(i, i + 1) for i in range(100, 130)]

@@ -10,7 +10,8 @@ Texts are scanned in runs of about half a million bytes, so memory doesn't depen
 is scanned alone. A slice of n bytes is merged with a heap in O(n log n).
 
 Defined results: null and empty texts have no tokens; repeated rows are encoded each; an empty table gives an empty
-result. `encode` keeps the named columns and adds its own.
+result. `encode` keeps the named columns and adds its own, so a kept column may not have one of its names: it raises ValueError.
+Decoding puts each token's bytes at its offset.
 """
 from __future__ import annotations
 
@@ -228,6 +229,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
     """keep, n_tokens, token_ids and, if asked for, token_offsets (the byte in the text where each token starts).
 
     path: a rank file that every executor has. packed: ids and offsets as little-endian 32-bit binaries, else arrays."""
+    if taken := {"n_tokens", "token_ids", "token_offsets"} & {c.lower() for c in keep}:
+        raise ValueError(f"kept columns clash with those that encode makes: {sorted(taken)}")
     form = "binary" if packed else "array<int>"
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "n_tokens bigint", f"token_ids {form}"] + [f"token_offsets {form}"] * offsets)
     kind = pa.large_binary() if packed else pa.list_(pa.int32())
@@ -251,16 +254,56 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
     return df.select(*keep, text_col).mapInArrow(tidied(run), schema)
 
 
-def decode(df: DataFrame, path: str, ids_col: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
-    """keep and the bytes that the ids (packed binaries or arrays; null: none) stand for."""
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds of rows) of a column of packed binaries or arrays; null counts as empty."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        raw, off = utf8_parts(column)
+        return np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), off // 4
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+@lru_cache(4)
+def _vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all tokens, where each starts there, its number of bytes)."""
+    ranks, width = _encoder(path)[0].ranks, _encoder(path)[1].astype(np.int64)
+    data = bytearray()
+    start = np.zeros(len(width), np.int64)
+    for token, rank in ranks.items():
+        start[rank] = len(data)
+        data += token
+    return np.frombuffer(bytes(data), np.uint8), start, width
+
+
+def place_tokens(ids: np.ndarray, offsets: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of the rows' texts: each token's bytes are put at its offset in its text. Raises if tokens leave a gap or overlap."""
+    data, start, width = _vocabulary(path)
+    size = width[ids]
+    before = np.concatenate([[0], np.cumsum(size)])
+    ends = before[bounds]  # of the rows' texts, one after another
+    at = offsets + np.repeat(ends[:-1], np.diff(bounds))
+    if not np.array_equal(at, before[:-1]):
+        raise ValueError("token offsets don't fit the tokens")
+    inner = np.arange(before[-1]) - np.repeat(before[:-1], size)
+    out = np.empty(before[-1], np.uint8)
+    out[np.repeat(at, size) + inner] = data[np.repeat(start[ids], size) + inner]
+    return out, ends
+
+
+def decode(df: DataFrame, path: str, ids_col: str = "token_ids", offsets_col: str = "token_offsets", keep: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
+    """keep and the bytes that the ids at their offsets (packed binaries or arrays; null: none) stand for."""
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out_col}` binary"])
 
     def run(batches):
-        token = {r: t for t, r in _encoder(path)[0].ranks.items()}
         for batch in batches:
-            column = batch.column(len(keep))
-            flat = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
-            made = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist() if flat else x)) for x in ((y or b"") for y in column.to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(made, pa.binary())], [*keep, out_col])
-
-    return df.select(*keep, ids_col).mapInArrow(tidied(run), schema)
+            ids, bounds = _numbers(batch.column(len(keep)))
+            offsets, told = _numbers(batch.column(len(keep) + 1))
+            if not np.array_equal(bounds, told):
+                raise ValueError("there must be an offset for each token")
+            for i, j in row_slices(bounds, _CHARS):
+                part = slice(bounds[i], bounds[j])
+                data, ends = place_tokens(ids[part], offsets[part], bounds[i : j + 1] - bounds[i], path)
+                made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), made.cast(pa.binary())], [*keep, out_col])
+
+    return df.select(*keep, ids_col, offsets_col).mapInArrow(tidied(run), schema)

@@ -9,6 +9,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where scratch tables of a local session go when it names no folder.
 LOCAL_DIR = "file:///tmp/checkpoints"
@@ -46,6 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Of the rows a table is joined with, the share (one in so many) that makes a key's row one to broadcast.
+HEAVY = 4096
+
+
+def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], how: str = "left", n: str = "n") -> DataFrame:
+    """rows joined by `keys` (inner or left) with known, a written table with one row for each key, whose column n counts the rows it meets.
+
+    Keys that meet one row in HEAVY or more, of which there are HEAVY at most, are broadcast; so no hot key's rows are sent to one task."""
+    total = known.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HEAVY >= total
+    heavy, light = F.broadcast(known.where(hot).drop(n)), known.where(~hot).drop(n)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(keys), keys, "left_anti").join(light, keys, how))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, or name with underscores, that no column in taken has (in any case)."""
     low = {c.lower() for c in taken}

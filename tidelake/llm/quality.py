@@ -1,18 +1,18 @@
-"""Quality rules: base counts of a text, and the fertility of a public tokeniser with rejection bands.
+"""Quality rules: base counts of a text, and the fertility of public tokenisers with rejection bands.
 
-A text's words are encoded each by a public piece vocabulary with byte fallback; measured are characters per token, the
-share of byte-fallback tokens and the entropy of the text's tokens. Bands are fitted per language (per script where the
-language is null) over all texts that pass the base rules: medians and quartiles from counts of rounded values, which are
-sums over the whole table, few rows at any size. A text is rejected if its characters per token lie outside a band round the
-median that is wider for shorter texts, its entropy is far below its language's, or its byte share is above such a band round
+A text's words are encoded each by two public vocabularies: pieces with byte fallback, and byte-level pairs made for many languages.
+Measured are characters per token of both, the share of byte-fallback tokens and the entropy of the text's pieces. Bands are fitted per
+language (per script where the language is null) over all texts that pass the base rules: medians and quartiles from counts of rounded
+values, which are sums over the whole table, few rows at any size. A text is rejected if its characters per token lie outside a band
+round the median that is wider for shorter texts, its entropy is far below its language's, or its byte share is above such a band round
 the median byte share and over `max_bytes`.
 Every band has a value, whatever its number of texts: its median and spread lean towards those of its script, and these
 towards those of all texts, the more the fewer texts there are, and what is left unknown of the median widens the band. A
 language's only text is so judged by its script, with room for how far languages differ. Defaults lean to keeping: a text
 inside the bands stays.
 
-Defined results: null and empty texts have no words and fail the base rules; each row is judged, repeats too; an empty
-table gives an empty result.
+Defined results: null and empty texts have no words and fail the base rules; each row is judged, repeats too; a null language is
+judged by script; other columns of the input are not returned; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import load_ranks
 from .common import Words, gram_hashes, mix, row_slices, tidied, utf8_parts, written
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -33,15 +34,19 @@ _SYMBOL[list(b"#*$%&|<>")] = 1
 CACHE = 150_000
 STEP = 0.005  # to which measures are rounded for the bands
 WORD_TOKENS = 3.0  # root of the byte tokens of a word, which fall back together
-MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
+MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, n_wide_tokens bigint, chars_per_token double, chars_per_wide_token double, byte_share double, token_entropy double"
 
 
 @lru_cache(4)
-def _pieces(path: str):
+def _vocabularies(pieces: str, pairs: str):
+    """The piece model, which of its pieces are bytes, the byte-pair encoder, and the cache of words' tokens."""
+    import public_tokenizers
     import sentencepiece
+    import tiktoken
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())]), {}
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    wide = tiktoken.Encoding("wide", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(pairs), special_tokens={})
+    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())]), wide, {}
 
 
 def script_of(text: str) -> str:
@@ -70,21 +75,24 @@ def repeated_words(words: Words, window: int = 3) -> np.ndarray:
     valid = np.flatnonzero(words.doc[:m] == words.doc[window - 1 :])
     key = mix(key[valid] + words.doc[valid].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = k[1:] == k[:-1]
+    k, place = key[order], valid[order]
+    same = (k[1:] == k[:-1]) & (words.doc[place[1:]] == words.doc[place[:-1]])
+    for j in range(window):
+        same &= words.hash[place[1:] + j] == words.hash[place[:-1] + j]
     twice = np.zeros(len(k), bool)
     twice[1:] |= same
     twice[:-1] |= same
     covered = np.zeros(n, bool)
-    at = valid[order[twice]]
+    at = place[twice]
     for j in range(window):
         covered[at + j] = True
     return np.bincount(words.doc[covered], minlength=rows)
 
 
-def token_measures(words: Words, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, byte-fallback tokens, entropy in bits) of each text."""
-    model, is_byte, cache = _pieces(path)
+def token_measures(words: Words, pieces: str, pairs: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces, byte-fallback pieces, entropy of pieces in bits, byte-pair tokens) of each text. A word's byte-pair tokens are those it has
+    after a blank."""
+    model, is_byte, wide, cache = _vocabularies(pieces, pairs)
     rows = len(words.counts)
     unique, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
     keys = unique.tolist()
@@ -95,9 +103,12 @@ def token_measures(words: Words, path: str) -> tuple[np.ndarray, np.ndarray, np.
             new = list(range(len(keys)))
         view = words.raw.tobytes()
         texts = [view[words.starts[f] : words.ends[f]].decode("utf-8", "replace") for f in first[new]]
-        cache.update(zip((keys[i] for i in new), (array("I", x).tobytes() for x in model.encode(texts, num_threads=1)), strict=True))
-    ids = [cache[k] for k in keys]
+        made = ((array("I", x).tobytes(), len(wide.encode_ordinary(" " + t))) for x, t in zip(model.encode(texts, num_threads=1), texts, strict=True))
+        cache.update(zip((keys[i] for i in new), made, strict=True))
+    held = [cache[k] for k in keys]
+    ids = [x for x, _ in held]
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    wide_size = np.fromiter((n for _, n in held), np.int64, len(held))[inverse]
     flat = np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
     count = size[inverse]
@@ -109,10 +120,11 @@ def token_measures(words: Words, path: str) -> tuple[np.ndarray, np.ndarray, np.
     pair, times = np.unique(doc * len(is_byte) + token, return_counts=True)
     owner = pair // len(is_byte)
     p = times / n[owner]
-    return n, odd, np.bincount(owner, weights=-p * np.log2(p), minlength=rows)
+    entropy = np.bincount(owner, weights=-p * np.log2(p), minlength=rows)
+    return n, odd, entropy, np.bincount(words.doc, weights=wide_size, minlength=rows).astype(np.int64)
 
 
-def measure(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def measure(df: DataFrame, pieces: str, pairs: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, band (language, or script where it is null), script and MEASURES of each row."""
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -129,13 +141,13 @@ def measure(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
                     lines = [x for x in data[a:b].split(b"\n") if x.strip()]
                     dup.append(len(lines) - len(set(lines)))
-                n, odd, entropy = token_measures(words, path)
+                n, odd, entropy, wide = token_measures(words, pieces, pairs)
                 safe = np.maximum(n, 1)
                 script = [script_of(data[a:b].decode()) for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
                 band = [x if x is not None else s for x, s in zip(langs[i:j], script, strict=True)]
-                cols = [words.counts, chars, _per_row(_SYMBOL[part], o), dup, repeated_words(words), n]
+                cols = [words.counts, chars, _per_row(_SYMBOL[part], o), dup, repeated_words(words), n, wide]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(band, pa.string()), pa.array(script, pa.string()), *(pa.array(x, pa.int64()) for x in cols), pa.array(chars / safe), pa.array(odd / safe), pa.array(entropy, pa.float64())],
+                    [batch.column(0).slice(i, j - i), pa.array(band, pa.string()), pa.array(script, pa.string()), *(pa.array(x, pa.int64()) for x in cols), pa.array(chars / safe), pa.array(chars / np.maximum(wide, 1)), pa.array(odd / safe), pa.array(entropy, pa.float64())],
                     [id_col, "band", "script", *(x.split()[0] for x in MEASURES.split(", "))])
 
     lang = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
@@ -188,7 +200,7 @@ def _settled(own: DataFrame, between: tuple[float, float], strength: float, shar
 
 
 def fit_bands(measured: DataFrame, between: tuple[float, float] = (0.1, 0.5), strength: float = 20.0) -> DataFrame:
-    """band with median, unsure (the median's standard error) and spread of the three measures, for every band with a text that passes
+    """band with median, unsure (the median's standard error) and spread of the four measures, for every band with a text that passes
     the base rules. The spreads of characters per token and byte share are those at one token (they fall with the root of a text's tokens)."""
     good = measured.where(~base_failed())
     most = F.max_by("script", F.struct("n", F.xxhash64("script").alias("h"))).alias("script")
@@ -202,30 +214,38 @@ def fit_bands(measured: DataFrame, between: tuple[float, float] = (0.1, 0.5), st
         made = _settled(own.join(scripts, "band"), between, strength, share)
         return made.select("band", F.col("centre").alias(f"{name}_median"), F.col("unsure").alias(f"{name}_unsure"), F.col("spread").alias(f"{name}_spread"))
 
-    def at_one_token(c: str) -> DataFrame:
+    def at_one_token(c: str, tokens: str = "n_tokens") -> DataFrame:
         own = quartiles(c)
-        off = _beside(good, own).select("band", ((F.col(c) - F.col("centre")) * F.sqrt("n_tokens")).alias("value"))
+        off = _beside(good, own).select("band", ((F.col(c) - F.col("centre")) * F.sqrt(tokens)).alias("value"))
         return own.join(_quartiles(off).select("band", _spread().alias("spread")), "band")
 
     entropy = quartiles("token_entropy").withColumn("spread", F.col("noise"))
     made = settled(at_one_token("chars_per_token"), "chars").join(settled(entropy, "entropy"), "band")
+    made = made.join(settled(at_one_token("chars_per_wide_token", "n_wide_tokens"), "wide"), "band")
     return made.join(settled(at_one_token("byte_share"), "bytes", share=True), "band")
 
 
-def judge(df: DataFrame, path: str, width: float = 4.0, margin: float = 0.03, entropy_width: float = 5.0, max_bytes: float = 0.3,
-          id_col: str = "doc_id", **names) -> DataFrame:
-    """measure(df) with base_failed, kept and the reasons of a rejection.
+def judge(df: DataFrame, pieces: str, pairs: str, width: float = 4.0, margin: float = 0.03, wide_width: float = 3.5, wide_margin: float = 0.01,
+          entropy_width: float = 5.0, max_bytes: float = 0.3, id_col: str = "doc_id", **names) -> DataFrame:
+    """measure(df) with base_failed, kept and the reasons of a rejection. pieces: a piece vocabulary with byte fallback; pairs: ranks of
+    a byte-level one.
 
-    Characters per token may differ from the median by margin * median + width * sqrt(spread ** 2 / tokens + unsure ** 2). Byte
-    share may be over the median by the like, its spread at least that of whole words drawn at random, and up to max_bytes anywhere."""
-    measured = written(measure(df, path, id_col=id_col, **names), "fertility")
+    Characters per token may differ from the median by margin * median + width * sqrt(spread ** 2 / tokens + unsure ** 2), and those of
+    the second vocabulary by the like. Byte share may be over the median by the like, its spread at least that of whole words drawn at
+    random, and up to max_bytes anywhere."""
+    measured = written(measure(df, pieces, pairs, id_col=id_col, **names), "fertility")
     out = _beside(measured, written(fit_bands(measured), "bands")).withColumn("base_failed", base_failed())
-    room = lambda spread, unsure: F.sqrt(F.pow(spread, 2) / F.col("n_tokens") + F.pow(F.col(unsure), 2))
-    far = F.abs(F.col("chars_per_token") - F.col("chars_median")) > margin * F.col("chars_median") + width * room(F.col("chars_spread"), "chars_unsure")
+    room = lambda spread, unsure, tokens="n_tokens": F.sqrt(F.pow(spread, 2) / F.greatest(F.col(tokens), F.lit(1)) + F.pow(F.col(unsure), 2))
+
+    def far(measure: str, band: str, tokens: str, margin: float, width: float) -> Column:
+        median = F.col(f"{band}_median")
+        return F.abs(F.col(measure) - median) > margin * median + width * room(F.col(f"{band}_spread"), f"{band}_unsure", tokens)
+
     drawn = WORD_TOKENS * F.sqrt(F.col("bytes_median") * F.greatest(1 - F.col("bytes_median"), F.lit(0.0)))
     most = F.col("bytes_median") * (1 + margin) + width * room(F.greatest("bytes_spread", drawn), "bytes_unsure")
-    odd = F.col("byte_share") > F.greatest(F.lit(max_bytes), most)
     flat = F.col("token_entropy") < F.col("entropy_median") - entropy_width * F.sqrt(F.pow("entropy_spread", F.lit(2)) + F.pow("entropy_unsure", F.lit(2)))
     reasons = F.array_compact(F.array(
-        F.when(F.col("base_failed"), "base"), F.when(far, "chars_per_token"), F.when(flat, "token_entropy"), F.when(odd, "byte_share")))
+        F.when(F.col("base_failed"), "base"), F.when(far("chars_per_token", "chars", "n_tokens", margin, width), "chars_per_token"),
+        F.when(far("chars_per_wide_token", "wide", "n_wide_tokens", wide_margin, wide_width), "chars_per_wide_token"), F.when(flat, "token_entropy"),
+        F.when(F.col("byte_share") > F.greatest(F.lit(max_bytes), most), "byte_share")))
     return out.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") == 0)

@@ -12,6 +12,8 @@ from .oracles import ORACLES
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SHARDS = 24
+#: Vocabularies of the quality rules: pieces with byte fallback, byte-level pairs.
+FERTILITY = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 
 
 def vocabulary(name: str) -> str:
@@ -27,16 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents"), path, packed=True, offsets=False)
-    hashed = coded.withColumn("ids_sha256", F.sha2("token_ids", 256))
-    return bpe.decode(hashed, path, keep=("doc_id", "n_tokens", "ids_sha256")).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, packed=True)
+    hashed = coded.withColumns({"ids_sha256": F.sha2("token_ids", 256), "offsets_sha256": F.sha2("token_offsets", 256)})
+    return bpe.decode(hashed, path, keep=("doc_id", "n_tokens", "ids_sha256", "offsets_sha256")).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "offsets_sha256")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    judged = quality.judge(table(spark, sf_dir, "documents"), *(vocabulary(name) for name in FERTILITY))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-                         "chars_per_token", "byte_share", "token_entropy")
+                         "chars_per_token", "chars_per_wide_token", "byte_share", "token_entropy")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +48,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
-    labelled = pages.select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id"), "left")
+    pages = table(spark, sf_dir, "pages")
+    labelled = url_filters.label_pages(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), URL_RULES)
     paths, templates = url_filters.learn_templates(labelled)
     return url_filters.judge_urls(pages, paths, templates, URL_RULES)
 

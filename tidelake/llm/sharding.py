@@ -5,7 +5,8 @@ otherwise a shuffle. Splitters are found by counting, exactly and over all rows,
 candidate boundaries: each round cuts only the intervals that still hold a splitter into 2**BITS
 parts and sums the bytes of each part (one small grouped sum of at most shards * 2**BITS rows to the
 driver), until each splitter's error is within the tolerance or its interval is a single key. Rows
-are dealt to their shards by comparing keys with the splitters, and moved once.
+are dealt to their shards by comparing keys with the splitters, and moved once; large shards are moved and numbered in parts, whose
+splitters are found the same way.
 
 Defined results: a null text has 0 bytes, a null id sorts first, rows with equal key (repeats) cannot be parted by a
 splitter, an empty table gives an empty result. All other columns pass through; those named size, shard or slot are replaced.
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import fresh, written
 
 BITS = 12
+#: Rows that are numbered in one task, and most such parts of a shard.
+PART_ROWS, MOST_PARTS = 500_000, 64
 _TOP = 1 << 63
 
 
@@ -96,9 +99,11 @@ def _key_of(digits: tuple[int, ...]) -> tuple[int, int]:
     return (value >> 64) - _TOP, (value & ((1 << 64) - 1)) - _TOP
 
 
-def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> DataFrame:
-    """df with the new columns size, shard and slot (gapless from 0 in each shard). Law: bytes."""
-    h, i, n = (fresh(c, df.columns) for c in ("_h", "_id", "_size"))
+def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, part_rows: int = PART_ROWS) -> DataFrame:
+    """df with the new columns size, shard and slot (gapless from 0 in each shard, in key order). Law: bytes.
+
+    Slots are counted inside parts of a shard, about part_rows rows each (at most MOST_PARTS a shard), and shifted by the rows of the parts before."""
+    h, i, n, part = (fresh(c, df.columns) for c in ("_h", "_id", "_size", "_part"))
     text = F.col(text_col)
     keyed = df.withColumns({
         h: F.xxhash64(text),
@@ -106,15 +111,31 @@ def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
         n: F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8,
     })
     keys = written(keyed.select(F.col(h).alias("_h"), F.col(i).alias("_id"), F.col(n).alias("_size")), "shard-keys")  # text is read once, not once a round
-    shard = F.lit(0)
-    for at, key in find_splitters(keys, shards, tolerance):
-        shard = shard + F.when((F.col(h) > at) | ((F.col(h) == at) & (F.col(i) >= key)), 1).otherwise(0)
-    order = Window.partitionBy("shard").orderBy(h, i, n)
-    return (
-        keyed.withColumns({"shard": shard.cast("int"), "size": F.col(n)})
-        .withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
-        .drop(h, i, n)
-    )
+    cuts = find_splitters(keys, shards, tolerance)
+    parts = max(1, min(MOST_PARTS, -(-keys.count() // (shards * part_rows))))
+    finer = find_splitters(keys, shards * parts, 0.5) if parts > 1 else []
+    inner = [sorted({x for x in finer if bisect_right(cuts, x) == s} - set(cuts)) for s in range(shards)]
+
+    def dealt(rows: DataFrame, hc: str, ic: str) -> DataFrame:
+        shard = F.lit(0)
+        for cut, key in cuts:
+            shard = shard + F.when((F.col(hc) > cut) | ((F.col(hc) == cut) & (F.col(ic) >= key)), 1).otherwise(0)
+        rows = rows.withColumn("shard", shard.cast("int"))
+        place = F.lit(0)
+        for s, own in enumerate(inner):
+            if own:
+                passed = F.filter(F.array(*(F.struct(F.lit(a).alias("h"), F.lit(b).alias("i")) for a, b in own)), lambda x: (x["h"] < F.col(hc)) | ((x["h"] == F.col(hc)) & (x["i"] <= F.col(ic))))
+                place = F.when(F.col("shard") == s, F.size(passed)).otherwise(place)
+        return rows.withColumn(part, place.cast("int"))
+
+    counted = dealt(keys, "_h", "_id").groupBy("shard", part).agg(F.count(F.lit(1)).alias("_rows"))  # shards * MOST_PARTS rows at most
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shift, where, which = (fresh(c, df.columns) for c in ("_shift", "_in", "_of"))
+    shifts = counted.select(F.col("shard").alias(which), F.col(part).alias(where), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(shift))
+    order = Window.partitionBy("shard", part).orderBy(h, i, n)
+    numbered = dealt(keyed.withColumn("size", F.col(n)), h, i).withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
+    joined = numbered.join(F.broadcast(shifts), (F.col("shard") == F.col(which)) & (F.col(part) == F.col(where)))
+    return joined.withColumn("slot", F.col("slot") + F.col(shift)).drop(h, i, n, part, shift, where, which)
 
 
 def shard_of(key: tuple[int, int], splitters: list[tuple[int, int]]) -> int:

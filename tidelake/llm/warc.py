@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import join_counted, scratch_path, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -202,8 +202,8 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     ids = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
     ids = written(ids, "page-digests")
-    firsts = ids.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = ids.join(firsts, ["digest", "size"]).where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
+    firsts = written(ids.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-pages")
+    revisits = join_counted(ids, firsts, ["digest", "size"], "inner").where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
     revisits = written(revisits.select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), F.col("first").alias("refers_to")).distinct(), "revisits")
     small = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
