@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tidelake.llm import bpe, decontamination, jaccard, quality, substrings
 from tidelake.llm.common import fresh, scratch_path, written
-from tidelake.llm.registry import table, vocabulary
+from tidelake.llm.registry import FERTILITY, table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.judge(docs, vocabulary("piece_bpe_32k.model"))
+    judged = quality.judge(docs, *(vocabulary(name) for name in FERTILITY))
     own = fresh("_kept_id", docs.columns)
     kept = written(judged.where("kept").select(F.col("doc_id").alias(own)).distinct(), "kept")
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
