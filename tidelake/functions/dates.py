@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .nullness import strip
 
-#: Date and date-time formats in order, Java and strftime spelling. Month first where both would fit.
+#: Date and date-time formats, Java and strftime spelling; year first, then month first, then day first, then names, so that
+#: one list serves the guess of a value's format and the reading of it.
 FORMATS: tuple[tuple[str, str], ...] = (
     ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy/MM/dd HH:mm:ss", "%Y/%m/%d %H:%M:%S"), ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
     ("yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M"), ("yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"), ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
@@ -31,19 +32,69 @@ def _shape(java: str) -> str | None:
     return "".join("D" if ch in "yMdHmsS" else ch for ch in java.replace("'T'", "T"))
 
 
-def parse_timestamp(c: Column, formats: tuple[str, ...] | None = None) -> Column:
-    """The first format that fits; null if none does. A value's shape picks the formats that are tried on it."""
+def _cut_out(s: Column, java: str) -> Column:
+    """The timestamp of a string that has the shape of a format of digits: each field stands at its place. Null if it is no date."""
+    plain = java.replace("'T'", "T")
+
+    def field(letter: str, end: str | None = None) -> Column:
+        at = plain.find(letter)
+        if at < 0:
+            return F.lit("0")
+        return F.substring(s, at + 1, plain.rfind(end or letter) - at + 1)
+
+    second = field("s", "S" if "S" in plain else None)
+    return F.try_make_timestamp_ntz(*(field(x).try_cast("int") for x in "yMdHm"), second.try_cast("decimal(16,6)"))
+
+
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_NAME = "(" + "|".join(_MONTHS) + ")[a-z]*\\.?"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+#: Free forms of a date and the group of year, month and day in each; a weekday may stand before and a time after it.
+_FREE = (
+    (r"(\d{4})[-/. ]+(\d{1,2})[-/. ]+(\d{1,2})", (1, 2, 3)), (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)), (rf"{_DAY}[-/., ]+{_NAME},?[-/. ]+(\d{{4}})", (3, 2, 1)),
+    (rf"{_NAME}[-/. ]+{_DAY},?[-/. ]+(\d{{4}})", (3, 1, 2)), (rf"(\d{{4}})[-/. ]+{_NAME}[-/. ]+{_DAY}", (1, 2, 3)), (r"(\d{1,2})[-/. ]+(\d{1,2})[-/. ]+(\d{4}|\d{2})", (3, 1, 2)))
+_CLOCK = r"(?:[t, ]+(?:at )?(\d{1,2})(?::(\d{2}))?(?::(\d{2}(?:\.\d{1,6})?)\d*)? *([ap])?\.?m?\.?(?: *(?:z|utc|gmt))?)?"
+
+
+def free_timestamp(c: Column) -> Column:
+    """Of a date in free form (1 June 2024, June 1st, 2024 3:05 pm, 2024.06.01, 20240601, 6/1/24): month first where both would fit,
+    two-digit years from 1969 to 2068. Null if it is none of these."""
+    s = F.lower(F.regexp_replace(strip(c.cast("string")), r"\s+", " "))
+    out = None
+    for form, (y, m, d) in _FREE:
+        rx = rf"\A(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +)?{form}{_CLOCK}\z"
+        part = lambda i, rx=rx: F.regexp_extract(s, rx, i)
+        whole = lambda i, rx=rx: F.regexp_extract(s, rx, i).try_cast("int")
+        month = F.array_position(F.array(*map(F.lit, _MONTHS)), part(m)).cast("int") if form.find("jan") >= 0 else whole(m)
+        year = F.when(F.length(part(y)) == 2, whole(y) + F.when(whole(y) < 69, 2000).otherwise(1900)).otherwise(whole(y))
+        hour = F.coalesce(whole(4), F.lit(0))
+        hour = F.when(part(7) == "p", hour % 12 + 12).when(part(7) == "a", hour % 12).otherwise(hour)
+        made = lambda month, day: F.try_make_timestamp_ntz(year, month, day, hour, F.coalesce(whole(5), F.lit(0)), F.coalesce(part(6).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)")))  # noqa: E731, B023
+        one = made(month, whole(d))
+        if form is _FREE[-1][0]:
+            one = F.coalesce(one, made(whole(d), month))
+        # an hour alone needs its half of the day
+        fits = F.rlike(s, F.lit(rx)) & ((part(4) == "") | (part(5) != "") | (part(7) != ""))
+        out = F.when(fits, one) if out is None else out.when(fits, one)
+    return out
+
+
+def parse_timestamp(c: Column, formats: tuple[str, ...] | None = None, free: bool = True) -> Column:
+    """The first format that fits, else (with free) a date in free form; null if none does. A value's shape picks the formats of digits that
+    are tried on it, whose fields are cut out by place."""
     s = strip(c.cast("string"))
-    shape = F.regexp_replace(s, "[0-9]", "D")
+    shape = F.translate(s, "0123456789", "D" * 10)
     by_shape: dict[str | None, list[str]] = {}
     for f in formats or [j for j, _ in FORMATS]:
         by_shape.setdefault(_shape(f), []).append(f)
-    tried = lambda fs: F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in fs])
     out = F.when(s.isNull(), F.lit(None).cast("timestamp_ntz"))
     for want, fs in by_shape.items():
         if want is not None:
-            out = out.when(shape == want, tried(fs))
-    return out.when(s.rlike("(?i)[a-z]{3}"), tried(by_shape[None])) if None in by_shape else out
+            out = out.when(shape == want, F.coalesce(*[_cut_out(s, f) for f in fs]))
+    named = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in by_shape.get(None, [])]
+    if free and not formats:
+        return out.when(s.rlike("[0-9]"), F.coalesce(*[F.when(s.rlike("(?i)[a-z]{3}"), x) for x in named], free_timestamp(s)))
+    return out.when(s.rlike("(?i)[a-z]{3}"), F.coalesce(*named)) if named else out
 
 
 def has_date(c: Column) -> Column:
