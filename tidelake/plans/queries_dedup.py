@@ -143,11 +143,49 @@ def fuzzy_evidence(spark, sf_dir):
     return Z.resolve(df, Z.candidate_pairs(df, SPEC), SPEC, [EVIDENCE]).select("row_a", "row_b", "resolution")
 
 
-@R.add("fuzzy_merge")
+_REPLAY = f"""WITH RECURSIVE {D4}, {_BLOCK}, p AS (SELECT a._row_index AS row_a, b._row_index AS row_b, len(list_intersect(list_distinct(a.toks), list_distinct(b.toks))) / len(list_distinct(list_concat(a.toks, b.toks))) AS score
+    FROM h a JOIN h b ON a.block = b.block AND a._row_index < b._row_index AND {_EX.format(s='a', c='email')} <> '' AND {_EX.format(s='a', c='email')} = {_EX.format(s='b', c='email')}
+    WHERE coalesce(NOT ({_EX.format(s='a', c='phone')} <> '' AND {_EX.format(s='b', c='phone')} <> '' AND {_EX.format(s='a', c='phone')} <> {_EX.format(s='b', c='phone')}), true)),
+  z AS (SELECT _row_index AS r, (phone IS NULL)::INT + (email IS NULL)::INT + (city IS NULL)::INT AS nulls FROM d4),
+  s AS (SELECT row_number() OVER (ORDER BY row_a, row_b) AS i, row_a, row_b, {{loser}} AS loser FROM p JOIN z za ON za.r = row_a JOIN z zb ON zb.r = row_b WHERE score >= 0.6),
+  replayed(i, gone) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT s.i, CASE WHEN list_contains(gone, row_a) OR list_contains(gone, row_b) THEN gone ELSE list_append(gone, loser) END FROM replayed JOIN s ON s.i = replayed.i + 1)
+  SELECT _row_index, firm FROM d4 WHERE NOT list_contains((SELECT gone FROM replayed ORDER BY i DESC LIMIT 1), _row_index)"""
+BY_EMAIL = Z.Evidence(support=("email",), reject=("phone",), minimum_support=1, hard_reject=True, typo=None)
+
+
+def _merged(spark, sf_dir, keep):
+    df = d4(spark, sf_dir)
+    supported = Z.resolve(df, Z.candidate_pairs(df, SPEC), SPEC, [BY_EMAIL]).where("resolution = 'supported'").select("row_a", "row_b")
+    return Z.fuzzy_merge(df, supported, keep).select(ROW, "firm")
+
+
+@R.add("fuzzy_merge", _REPLAY.format(loser="CASE WHEN za.nulls > zb.nulls THEN row_a ELSE row_b END"))
 def fuzzy_merge(spark, sf_dir):
+    return _merged(spark, sf_dir, "keep_most_complete")
+
+
+@R.add("fuzzy_merge_first", _REPLAY.format(loser="row_b"))
+def fuzzy_merge_first(spark, sf_dir):
+    return _merged(spark, sf_dir, "keep_first")
+
+
+@R.add("fuzzy_merge_last", _REPLAY.format(loser="row_a"))
+def fuzzy_merge_last(spark, sf_dir):
+    return _merged(spark, sf_dir, "keep_last")
+
+
+_PLAN = [Z.Blocking("firm", (Z.BlockKey(("city", "nope")), Z.BlockKey(("nope",))), threshold=7.0, family="organization", max_bucket=1, strategy="odd", ascii_only=True, spec_id="x"), Z.Blocking("nope", spec_id="y")]
+
+
+@R.add("fuzzy_checked_plan", f"""WITH {D4}, b AS (SELECT _row_index, coalesce(nullif(substr(replace({TEXT.format(c="coalesce(city, '')")}, ' ', ''), 1, 6), ''), substr(replace({TEXT.format(c='firm')}, ' ', ''), 1, 6)) AS block FROM d4),
+  n AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY _row_index) AS rn, count(*) OVER (PARTITION BY block) AS n FROM b)
+  SELECT 'x' AS spec_id, 50 AS max_bucket, 0.5 AS threshold, count(*) FILTER (WHERE rn <= 50) AS rows, count(DISTINCT block) AS blocks, count(*) FILTER (WHERE rn > 50) AS capped FROM n""")
+def fuzzy_checked_plan(spark, sf_dir):
+    """What is left of a faulty plan, and its candidates: unknown columns go, the cap and the threshold are put within their bounds."""
     df = d4(spark, sf_dir)
-    supported = Z.resolve(df, Z.candidate_pairs(df, SPEC), SPEC, [EVIDENCE]).where("resolution = 'supported'").select("row_a", "row_b")
-    return Z.fuzzy_merge(df, supported)
+    plan = Z.check_plan(df, _PLAN, [EVIDENCE])
+    rows = [(c.spec.spec_id, c.spec.max_bucket, c.spec.threshold, c.rows, c.blocks, c.capped) for c in Z.candidate_sets(df, plan)]
+    return spark.createDataFrame(rows, "spec_id string, max_bucket int, threshold double, rows bigint, blocks bigint, capped bigint")
 
 
 @R.add("fuzzy_typo_evidence")
