@@ -28,22 +28,16 @@ def key_column(c: Column, handler: str | None = None) -> Column:
     return F.coalesce(own(c), s, F.lit("\u0000null")) if own else F.coalesce(s, F.lit("\u0000null"))
 
 
-_ROW_BITS = 52  # of a rank that hold the row; above them its nulls
-
-
 def _survivors(df: DataFrame, keys: list[Column], keep: str, order: str) -> DataFrame:
-    """The best row of each key. Ranks are numbers, so their minimum is combined before the shuffle: a key with a third of all
-    rows is a few rows there. The winners' rows are then kept by a semi-join on the unique row id."""
+    """The best row of each key. Its rank is a minimum that is combined before the shuffle: a key with a third of all rows is a few
+    rows there. The winners' rows are then kept by a semi-join on the unique row id."""
     named = {f"_k{i}": k for i, k in enumerate(keys)}
-    if not isinstance(df.schema[order].dataType, T.IntegralType):  # rows named by something else than numbers
-        ranks = {"keep_first": [F.col(order)], "keep_last": [F.desc(order)], "keep_most_complete": [F.col("_nulls"), F.col(order)]}[keep]
-        out = df.withColumns(named | {"_nulls": null_score(df)}).withColumn("_rank", F.row_number().over(Window.partitionBy(*named).orderBy(*ranks)))
-        return out.where("_rank = 1").drop("_rank", "_nulls", *named)
-    row = F.col(order).cast("bigint")
-    rank = {"keep_first": row, "keep_last": -row, "keep_most_complete": F.shiftleft(null_score(df).cast("bigint"), _ROW_BITS) + row}[keep]
-    best = df.select(*[k.alias(n) for n, k in named.items()], rank.alias("_rank")).groupBy(*named).agg(F.min("_rank").alias("_rank"))
-    won = {"keep_first": F.col("_rank"), "keep_last": -F.col("_rank"), "keep_most_complete": F.col("_rank").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}[keep]
-    return df.join(best.select(won.alias("_won")), row == F.col("_won"), "left_semi")
+    whole = isinstance(df.schema[order].dataType, T.IntegralType)  # else rows are named by something else than numbers
+    row = F.col(order).cast("bigint") if whole else F.col(order)
+    flat = df.select(*[k.alias(n) for n, k in named.items()], row.alias("_row"), *([null_score(df).alias("_nulls")] if keep == "keep_most_complete" else []))
+    won = {"keep_first": F.min("_row"), "keep_last": F.max("_row"), "keep_most_complete": F.min(F.struct("_nulls", "_row"))["_row"]}[keep]
+    best = flat.groupBy(*named).agg(won.alias("_won"))
+    return df.join(best.select("_won"), row == F.col("_won"), "left_semi")
 
 
 def dedup_full_rows(df: DataFrame, order: str = ROW) -> DataFrame:

@@ -1,15 +1,18 @@
 """Before/after comparison of versions and scoring against ground truth."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nullness import is_diff_null
 from ..functions.text import diff_text, score_text
-from .joins import aligned
+from .joins import aligned, placed
 from .profile import ROW, comparable, data_columns, q
 
 
+STRIPE = 4096
+
+
 def _common(a: DataFrame, b: DataFrame, columns: list[str] | None) -> list[str]:
     return [c for c in data_columns(a) if c in b.columns and (columns is None or c in columns)]
 
@@ -52,19 +55,23 @@ def changed_cells(before: DataFrame, after: DataFrame, columns: list[str] | None
 
 
 def change_samples(before: DataFrame, after: DataFrame, k: int = 8, **options) -> DataFrame:
-    """column_name and samples: the first k changed cells of each column."""
-    cells = changed_cells(before, after, limit=None, **options)
-    # a bounded heap per column would be ideal; k smallest positions by a grouped minimum after a per-column cut
-    first = F.slice(F.array_sort(F.collect_list(F.struct("_pos", "before", "after"))), 1, k)
-    small = cells.withColumn("_b", F.floor(F.col("_pos") / 4096)).groupBy("column_name", "_b").agg(first.alias("s"))
-    return small.groupBy("column_name").agg(F.slice(F.array_sort(F.flatten(F.collect_list("s"))), 1, k).alias("samples"))
+    """column_name and samples: the first k changed cells of each column.
+
+    A column's first k are ranked among the first k of each of its stripes of positions, and a stripe's among its own, so no task ranks a whole column."""
+    cells = changed_cells(before, after, limit=None, **options).withColumn("_b", F.floor(F.col("_pos") / STRIPE))
+    # stripes that can hold a first cell: the earliest whose counts together reach k
+    counts = cells.groupBy("column_name", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("column_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).where(F.col("_before") < k).select("column_name", "_b")
+    few = cells.join(F.broadcast(needed), ["column_name", "_b"])  # k stripes of a column at most
+    return few.groupBy("column_name").agg(F.slice(F.array_sort(F.collect_list(F.struct("_pos", "before", "after"))), 1, k).alias("samples"))
 
 
 def score(dirty: DataFrame, cleaned: DataFrame, truth: DataFrame, order: str = ROW, align: str = "position") -> DataFrame:
     """One row: cells, tp, fp, fn, correct, precision, recall, f1, cell_accuracy. Ratios without a denominator are 1 (f1: 0)."""
     cols = [c for c in data_columns(truth) if c in cleaned.columns and c in dirty.columns and c != "index"]
     first = aligned(_flat(dirty, cols, order), _flat(cleaned, cols, order), "inner", order, align)
-    third = aligned(_flat(truth, cols, order), _flat(truth, cols, order), "inner", order, align).select("_pos", *[q(f"a_{c}").alias(f"t_{c}") for c in cols])
+    third = placed(_flat(truth, cols, order), order, align).select("_pos", *[q(c).alias(f"t_{c}") for c in cols])
     both = first.join(third, "_pos")
     tp = fp = fn = ok = F.lit(0).cast("bigint")
     for c in cols:

@@ -1,29 +1,46 @@
 """Positional, as-of and ground-truth joins."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import ROW, q
 
 
-STRIPES = 4096
+#: Stripes in which rows are numbered: FANOUT * FANOUT.
+FANOUT = 64
 
 
 def with_position(df: DataFrame, order: str = ROW, name: str = "_pos") -> DataFrame:
     """Dense positions from 0 in the order of a whole-number column, without gathering rows in one task.
 
-    Rows are numbered inside stripes of equal width between the least and the greatest id, and shifted by the rows of the
-    stripes before. The stripe is an expression of the row, so counting and numbering agree whatever the partitioning."""
-    ends = df.agg(F.min(order), F.max(order)).first()
-    if ends[0] is None:
+    Rows are numbered inside stripes and shifted by the rows of the stripes before. Stripes have equal width where ids fill a
+    quarter of their range, as row indexes do; else they are cut at quantiles, so gaps in the ids don't crowd rows. The stripe is an
+    expression of the row, so counting and numbering agree whatever the partitioning."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    if low is None:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    width = (ends[1] - ends[0]) // STRIPES + 1
-    placed = df.withColumn("_stripe", F.floor((F.col(order) - F.lit(ends[0])) / F.lit(width)).cast("int"))
+    stripe = _even(F.col(order), low, high) if high - low < 4 * n else _cut(df, order)
+    placed = df.withColumn("_stripe", stripe)
     local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_stripe").orderBy(order)))
     return shifted(local, placed, "_stripe", "_local", name, first=1)
 
 
+def _even(c: Column, low: int, high: int) -> Column:
+    width = (high - low) // (FANOUT * FANOUT) + 1
+    return F.floor((c - F.lit(low)) / F.lit(width)).cast("int")
+
+
+def _cut(df: DataFrame, order: str) -> Column:
+    """The stripe by approximate quantiles, found in two steps of FANOUT bounds each."""
+    n = FANOUT * FANOUT
+    at = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], n * 4)).first()[0]
+    passed = lambda bounds: F.size(F.filter(bounds, lambda x: x <= F.col(order)))
+    coarse = passed(F.array(*map(F.lit, at[FANOUT - 1 :: FANOUT])))
+    fine = F.array(*(F.array(*map(F.lit, at[i * FANOUT : (i + 1) * FANOUT - 1])) for i in range(FANOUT)))
+    return (coarse * FANOUT + passed(F.get(fine, coarse))).cast("int")
+
+
 def shifted(local: DataFrame, counted: DataFrame, group: str, number: str, name: str, first: int) -> DataFrame:
     """local numbers (from `first`) in groups made numbers over all groups, in the groups' order. There are few groups."""
     sums = counted.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
@@ -49,15 +66,26 @@ def aligned(left: DataFrame, right: DataFrame, how: str = "inner", order: str =
     return l.join(r, "_pos", how)
 
 
+def placed(df: DataFrame, order: str = ROW, align: str = "position") -> DataFrame:
+    """df with _pos as `aligned` gives it: the dense position, or the row id."""
+    return with_position(df, order) if align == "position" else df.withColumn("_pos", F.col(order))
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], right_on: str | None = None) -> DataFrame:
-    """left with the values of the last right row of the same keys at or before its `on`. One shuffle on the keys, no pairs."""
+    """left with the values of the last right row of the same keys at or before its `on`; a null key or `on` matches nothing. One shuffle on the
+    keys, no pairs."""
     right_on = right_on or on
     l = left.withColumns({"_t": F.col(on), "_side": F.lit(1)} | {f"_v_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values})
     r = right.select(*[F.col(b) for b in by], F.col(right_on).alias("_t"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True)
+    r = r.dropna(subset=[*by, "_t"])
+    lacking = F.lit(False)
+    for c in [*by, "_t"]:
+        lacking = lacking | F.col(c).isNull()
+    w = Window.partitionBy(*by, "_odd").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # rows that can match nothing are dealt by themselves, so they neither meet each other nor crowd one task
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_odd", F.when(lacking, F.rand(7)))
     seen = both.withColumns({v: F.last(F.when(F.col("_side") == 0, F.struct(f"_v_{v}")), ignorenulls=True).over(w)[f"_v_{v}"] for v in values})
-    return seen.where("_side = 1").drop("_t", "_side", *[f"_v_{v}" for v in values])
+    return seen.where("_side = 1").drop("_t", "_side", "_odd", *[f"_v_{v}" for v in values])
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: int, by: list[str] | None = None) -> DataFrame:
@@ -82,11 +110,39 @@ def join_keys(dirty: DataFrame, truth: DataFrame, most: int = 3) -> list[str]:
     return [c for i, c in enumerate(common) if not a[i] and not b[i]][:most]
 
 
-def inferred_strategy(dirty: DataFrame, truth: DataFrame, column: str, keys: list[str], rel: float = 1e-3) -> DataFrame:
-    """One row: n_holes, strategy (fill_mean, fill_median, fill_mode, fill_value or leave_as_is) and value that explain the truth of the holes."""
-    t = truth_for_nulls(dirty, truth, column, keys).agg(F.count(F.lit(1)).alias("n_holes"), F.count_distinct(q(column)).alias("kinds"), F.min(q(column)).alias("one"))
-    number = dirty.select(q(column).try_cast("double").alias("x"))
-    s = number.agg(F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.mode("x", deterministic=True).alias("mode"))
-    same = lambda c: F.abs(F.col("one").try_cast("double") - F.col(c)) <= rel * F.greatest(F.abs(F.col("one").try_cast("double")), F.abs(F.col(c)))
-    strategy = F.when(F.col("kinds") != 1, "leave_as_is").when(same("mean"), "fill_mean").when(same("median"), "fill_median").when(same("mode"), "fill_mode").otherwise("fill_value")
-    return t.join(F.broadcast(s)).select("n_holes", strategy.alias("strategy"), F.when(F.col("kinds") == 1, F.col("one")).alias("value"))
+FILLS = ("fill_mean", "fill_median", "fill_mode", "fill_value")
+
+
+def inferred_strategy(dirty: DataFrame, truth: DataFrame, column: str, options: tuple[str, ...] = FILLS, order: str = ROW) -> DataFrame:
+    """One row: n_holes, strategy and value that explain the truth of a column's holes.
+
+    Tables of equal length are laid side by side; else the holes' rows are found by up to three common columns without nulls. value is the most
+    frequent truth (of equals the least). It is called the mean or the median if it is near it (a thousandth, or equal once that is rounded to a
+    whole number), the mode if it is that; else a constant. Without truth the holes stay; rows that truth lacks are dropped."""
+    name = q(column)
+    holes = dirty.where(name.isNull()).count()
+    same, keys = dirty.count() == truth.count(), []
+    if same:
+        both = positional(dirty.select(order, name), truth.select(order, name), order=order)
+        found = both.where(q(f"a_{column}").isNull()).select(q(f"b_{column}").alias("t"))
+    else:
+        keys = join_keys(dirty, truth)
+        found = truth_for_nulls(dirty, truth, column, keys).select(name.alias("t")) if keys else truth.select(name.alias("t")).limit(0)
+    t = found.agg(F.count(F.lit(1)).alias("found"), F.count("t").alias("told"), F.mode("t", deterministic=True).alias("value"))
+    number = dirty.select(name.try_cast("double").alias("x"), name.alias("v"))
+    s = number.agg(F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.mode("v", deterministic=True).alias("mode"))
+    v = F.col("value").try_cast("double")
+
+    def near(c: str) -> Column:
+        close = F.abs(v - F.col(c)) <= 1e-3 * F.greatest(F.abs(v), F.abs(F.col(c)))
+        return F.coalesce(close | (F.bround(F.col(c), 0) == F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v))), F.lit(False))
+
+    explained = F.lit("fill_value")
+    for kind, fits in (("fill_mode", F.col("value").cast("string") == F.col("mode").cast("string")), ("fill_median", near("median")), ("fill_mean", near("mean"))):
+        if kind in options:
+            explained = F.when(F.coalesce(fits, F.lit(False)), kind).otherwise(explained)
+    if not same:  # rows were matched by keys, so only a constant can be told
+        explained = F.lit("fill_value")
+    lost = F.lit(not same) & ((F.col("found") < 0.5 * holes) | F.lit(not keys))
+    strategy = F.when(F.lit(holes == 0), "leave_as_is").when(lost, "drop_row").when(F.col("told") == 0, "leave_as_is").otherwise(explained)
+    return t.join(F.broadcast(s)).select(F.lit(holes).cast("bigint").alias("n_holes"), strategy.alias("strategy"), F.when(strategy.isin(*FILLS), F.col("value")).alias("value"))

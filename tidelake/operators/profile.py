@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,20 +110,20 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def top_frequencies(df: DataFrame, columns: list[str], order: str = ROW, k: int = 5) -> DataFrame:
-    """column_name, rank, value, n, pct of the k most frequent values of each column, and (Other). Ties: first seen."""
-    out = []
-    for c in columns:
-        groups = df.where(q(c).isNotNull()).groupBy(q(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-        total = df.agg(F.count(F.lit(1)).alias("rows"), F.count(q(c)).alias("present"))
-        top = groups.orderBy(F.desc("n"), "first").limit(k)
-        lists = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "value", "n"))).alias("l")).join(F.broadcast(total))
-        taken = F.aggregate("l", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-        rows = F.transform("l", lambda x, i: F.struct((i + 1).alias("rank"), x["value"].alias("value"), x["n"].alias("n")))
-        rest = F.when(F.col("present") > taken, F.array(F.struct(F.lit(k + 1).alias("rank"), F.lit("(Other)").alias("value"), (F.col("present") - taken).alias("n")))).otherwise(
-            F.array().cast("array<struct<rank:int,value:string,n:bigint>>"))
-        out.append(lists.select("rows", F.inline(F.concat(rows, rest))).select(
-            F.lit(c).alias("column_name"), "rank", "value", "n", F.round(F.col("n") / F.col("rows"), 4).alias("pct")))
-    return reduce(DataFrame.unionByName, out)
+    """column_name, rank, value, n, pct of the k most frequent values of each column, and (Other). Ties: first seen. All columns are
+    counted in one scan: each row gives a value for each, and equal ones are combined before the shuffle."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("value")) for i, c in enumerate(columns)])
+    groups = df.select(order, F.inline(each)).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    present = F.col("value").isNotNull()
+    best = Window.partitionBy("i").orderBy(present.desc(), F.desc("n"), "first")
+    # a value's rank is cut to k in each task before the ranks meet
+    ranked = groups.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & present)
+    sums = groups.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("present"))
+    taken = ranked.groupBy("i").agg(F.sum("n").alias("taken"))
+    rest = sums.join(taken, "i", "left").select("i", F.lit(k + 1).alias("rank"), F.lit("(Other)").alias("value"), (F.col("present") - F.coalesce("taken", F.lit(0))).alias("n")).where("n > 0")
+    rows = ranked.select("i", "rank", "value", "n").unionByName(rest).join(F.broadcast(sums.select("i", "rows")), "i")
+    name = F.array(*map(F.lit, columns))
+    return rows.select(F.get(name, F.col("i")).alias("column_name"), "rank", "value", "n", F.round(F.col("n") / F.col("rows"), 4).alias("pct"))
 
 
 def format_patterns(df: DataFrame, column: str, order: str = ROW, head: int = 10_000, most: int = 15, legacy: bool = True) -> DataFrame:
@@ -163,11 +163,11 @@ def detected_pattern(df: DataFrame, columns: list[str], threshold: float = 0.7)
 
 
 def representative_sample(df: DataFrame, column: str, order: str = ROW, n: int = 20) -> DataFrame:
-    """value: the n/2 most frequent, then values drawn by a hash of the row, without repeats. The same at any partitioning."""
+    """value: the n/2 most frequent, then values drawn by the least digest of a row that has them, without repeats. The same at any partitioning."""
     v = q(column).cast("string")
     present = df.where(v.isNotNull()).select(v.alias("value"), F.col(order).alias("row"))
-    groups = present.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.min(F.xxhash64("row", F.lit(42))).alias("draw"))
-    top = groups.orderBy(F.desc("n"), "first").limit(n // 2).select("value", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("draw"))
+    groups = present.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.min(F.md5(F.col("row").cast("string"))).alias("draw"))
+    top = groups.orderBy(F.desc("n"), "first").limit(n // 2).select("value", F.lit(0).alias("kind"), F.lit("").alias("draw"))
     rest = groups.join(F.broadcast(top.select("value")), "value", "left_anti").orderBy("draw").limit(n).select("value", F.lit(1).alias("kind"), "draw")
     return top.unionByName(rest).orderBy("kind", "draw", "value").limit(n).select("value")
 
@@ -190,6 +190,23 @@ def popular_rows(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     return df.groupBy(*[q(c) for c in columns]).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *[q(c) for c in columns]).limit(k)
 
 
+def ranked_columns(stats: DataFrame, most: int = 20) -> DataFrame:
+    """column_name, rank of the columns whose values repeat most (least unique ratio first)."""
+    w = Window.orderBy("unique_ratio", "column_name")  # a row for each column
+    return stats.select("column_name", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
+
+
+def popular_sample(df: DataFrame, stats: DataFrame, columns: int = 20, k: int = 10, order: str = ROW) -> DataFrame:
+    """The k most frequent combinations of the `columns` that repeat most; the other columns stand beside them with their first k values."""
+    chosen = [r[0] for r in ranked_columns(stats, columns).orderBy("rank").collect()]
+    groups = df.groupBy(*[q(c) for c in chosen]).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *[F.asc_nulls_first(q(c)) for c in sorted(chosen)]).limit(k)
+    place = lambda w: (F.row_number().over(w) - 1).alias("_at")
+    top = groups.select("*", place(Window.orderBy(F.desc("_n"), *[F.asc_nulls_first(q(c)) for c in sorted(chosen)]))).drop("_n")  # k rows
+    others = [c for c in data_columns(df) if c not in chosen]
+    head = df.orderBy(order).limit(k).select(*[q(c) for c in others], place(Window.orderBy(order)))
+    return top.join(head, "_at", "left").orderBy("_at").select(*[q(c) for c in data_columns(df)])
+
+
 def temporal_vote(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, n_date_time, n_time_only, expected_type by the larger (datetime, time), null where neither occurs."""
     from ..functions.dates import has_date, has_time

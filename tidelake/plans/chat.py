@@ -7,13 +7,16 @@ from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MESSAGES = "id string, run_id string, role string, content string, sources array<string>, created_at string"
-#: Words that tell an intent, in order.
+#: Words that tell an intent, in order.
 INTENTS = (
+    ("contexts", ("what can i ask", "what can you", "which data do you")), ("cells", ("cell",)), ("columns", ("how many column", "number of columns", "column count")),
     ("changes", ("changed most", "top change", "changed column", "what changed", "difference")), ("score", ("f1", "precision", "recall", "accuracy", "score")),
-    ("failures", ("fail", "error", "issue", "violation")), ("versions", ("version", "lineage", "history")), ("rows", ("row", "removed", "duplicate")),
-    ("time", ("long", "second", "time", "duration")), ("plan", ("plan", "task", "step", "skip")), ("next", ("next", "should i", "recommend", "action")))
+    ("failures", ("fail", "error", "issue", "violation")), ("approval", ("passed", "approved", "valid")), ("versions", ("version", "lineage", "history")), ("rows", ("row", "removed", "duplicate")),
+    ("time", ("long", "second", "time", "duration")), ("retries", ("retry", "retries", "attempt")), ("trace", ("trace", "pipeline", "flow", "walk me")), ("workers", ("worker", "each step", "each task")),
+    ("decisions", ("why", "decision", "decide", "rationale")), ("plan", ("plan", "task", "step", "skip")), ("exports", ("export", "download", "file")), ("next", ("next", "should i", "recommend", "action")))
 
 
 def split_questions(text: str) -> list[str]:
@@ -27,7 +30,7 @@ def intents(question: str) -> list[str]:
 
 def answer(doc: dict[str, Any], text: str) -> str:
     """A sentence for each intent of each question."""
-    from .report import column_impact, mentioned_columns
+    from .report import cell_count, column_impact, contexts, mentioned_columns
 
     said = []
     columns = [c["column_name"] for c in doc["changed_columns"]]
@@ -50,9 +53,29 @@ def answer(doc: dict[str, Any], text: str) -> str:
                 said.append(f"The tasks took {doc['metrics']['seconds']} seconds.")
             elif intent == "plan":
                 said.append("Tasks run: " + (", ".join(doc["plan"]["active"]) or "none") + ".")
+            elif intent == "contexts":
+                held = contexts(doc)
+                said.append("I can tell of " + ", ".join(k for k, v in held.items() if v) + "." + (f" Not in this run: {', '.join(k for k, v in held.items() if not v)}." if not all(held.values()) else ""))
+            elif intent == "cells":
+                n = cell_count(doc)
+                said.append(f"{n:,} cells are followed." if n is not None else "The cells weren't counted.")
+            elif intent == "columns":
+                said.append(f"There are {doc.get('n_columns', 0)} columns.")
+            elif intent == "approval":
+                said.append("All checks passed." if doc["validation"]["passed"] else f"{doc['validation']['issue_count']} checks failed.")
+            elif intent == "retries":
+                said.append("Attempts: " + (", ".join(f"{t['task_id']} {t['attempts']}" for t in doc["tasks"]) or "none") + ".")
+            elif intent == "trace":
+                said.append("The run went " + " > ".join(["ingest", *[t["task_id"] for t in doc["tasks"]], "report"]) + ".")
+            elif intent == "workers":
+                said.append("; ".join(f"{t['task_id']}: {t['rows_before']} to {t['rows_after']} rows, {'passed' if t['passed'] else 'failed'}" for t in doc["tasks"]) + ".")
+            elif intent == "decisions":
+                said.append((doc["plan"]["summary"] or "The plan gives no reason") + "." + "".join(f" {k} was skipped: {v}." for k, v in doc["plan"]["skipped"].items()))
+            elif intent == "exports":
+                said.append("The report can be had as JSON, Markdown or HTML, any version as CSV, JSON, Excel or Parquet.")
             elif intent == "next":
                 said.append("Next: " + "; ".join(doc["next_actions"]) + ".")
-    return " ".join(dict.fromkeys(said)) or "The report doesn't say; ask about changes, scores, failures, versions, rows, time or the plan."
+    return " ".join(dict.fromkeys(said)) or "That isn't in this run's report; ask about changes, scores, failures, versions, rows, time or the plan."
 
 
 def save_message(spark: SparkSession, root: str, run_id: str, role: str, content: str, sources: list[str] | None = None) -> None:
@@ -61,4 +84,4 @@ def save_message(spark: SparkSession, root: str, run_id: str, role: str, content
 
 
 def messages(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    return spark.read.schema(MESSAGES).json(f"{root.rstrip('/')}/chat").where(f"run_id = '{run_id}'").orderBy("created_at")
+    return spark.read.schema(MESSAGES).json(f"{root.rstrip('/')}/chat").where(F.col("run_id") == run_id).orderBy("created_at")

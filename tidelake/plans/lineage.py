@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,18 +44,24 @@ class LineageStore:
         self.spark.createDataFrame(row, CATALOG).coalesce(1).write.mode("append").json(f"{self.root}/catalog/{session}")
         return n
 
+    def append_chunks(self, session: str, chunks: list[DataFrame], agent: str, description: str = "") -> int:
+        """Publishes the union of chunks as one version; their columns are matched by name, and a chunk's missing columns are null."""
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), chunks)
+        return self.append(session, whole, agent, description)
+
     def append_file(self, session: str, path: str, agent: str, description: str = "") -> int:
         from ..sources.readers import ingest
 
         return self.append(session, ingest(self.spark, path), agent, description)
 
-    def read(self, session: str, version: int | None = None) -> DataFrame:
-        """A version (null: the latest), in row order."""
+    def read(self, session: str, version: int | None = None, ordered: bool = False) -> DataFrame:
+        """A version (null: the latest). Its rows carry their index; ordered sorts them by it, for previews and downloads."""
         n = self.latest_number(session) if version is None else version
         found = self.versions(session).where(F.col("version") == n).select("path").first()
         if found is None:
             raise KeyError(f"{session} has no version {n}")
-        return self.spark.read.parquet(found[0]).orderBy(ROW)
+        df = self.spark.read.parquet(found[0])
+        return df.orderBy(ROW) if ordered else df
 
     def register_views(self, session: str) -> list[str]:
         """Temporary views v1 .. vN, raw_data (v1), clean_data and dataset (the latest)."""
@@ -81,6 +88,19 @@ def session_id(session: str | None = None, project: str | None = None, path: str
     raise ValueError("no session id")
 
 
+def key_difference(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of before that after lacks, nulls equal to each other: what a deduplication removed altogether."""
+    of = lambda df: df.select(*[F.col(f"`{k}`") for k in keys]).distinct()
+    return of(before).exceptAll(of(after))
+
+
+def source_order(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the order of a source's header or schema; only that is read."""
+    from ..sources.readers import ingest
+
+    return [c for c in ingest(spark, path).columns if c != ROW]
+
+
 def reorder(df: DataFrame, preferred: list[str]) -> DataFrame:
     """Preferred columns that exist first, the others after them."""
     first = [c for c in preferred if c in df.columns]

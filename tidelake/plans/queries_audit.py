@@ -1,15 +1,15 @@
 """Versions, diffs, scores, joins and SQL queries."""
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import diff as A
 from ..operators import joins as J
-from ..operators.profile import ROW, q
-from . import sql_console
+from ..operators import fuzzy as Z
+from ..operators.profile import ROW
+from ..scratch import scratch_path
+from . import report, sql_console
+from . import suggest as U
 from .lineage import LineageStore
 from .views import D1, D5, Registry, d1, d5, table
 
@@ -18,18 +18,21 @@ QUERIES, ORACLES = R.queries, R.oracles
 COLS = ("o_custkey", "price", "priority", "odate", "status")
 
 
-def _root(spark):
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/lineage-{uuid.uuid4().hex}"
-
-
 def _store(spark, sf_dir):
     before, after, truth = d5(spark, sf_dir)
-    store = LineageStore(spark, _root(spark))
+    store = LineageStore(spark, scratch_path(spark, "lineage"))
     store.append("s", before, "ingest", "first")
     store.append("s", after, "null_handling", "filled")
     return store
 
 
+def _console(spark, sf_dir, query, *tables):
+    """A query through the console, on the named tables as views."""
+    for t in tables:
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return sql_console.run(spark, query)
+
+
 @R.add("lineage_latest", f"WITH {D5} SELECT * FROM d5a")
 def lineage_latest(spark, sf_dir):
     return _store(spark, sf_dir).read("s")
@@ -40,9 +43,17 @@ def lineage_time_travel(spark, sf_dir):
     return _store(spark, sf_dir).read("s", 1)
 
 
-@R.add("lineage_versions", "SELECT * FROM (VALUES (1, 'ingest', 'first'), (2, 'null_handling', 'filled')) t(version, agent_name, description)")
+_VERSION = "SELECT {n} AS version, '{agent}' AS agent_name, '{said}' AS description, count(*) AS n_rows, count(*) FILTER (WHERE price IS NULL) AS null_prices FROM {t}"
+
+
+@R.add("lineage_versions", f"WITH {D5} {_VERSION.format(n=1, agent='ingest', said='first', t='d1')} UNION ALL {_VERSION.format(n=2, agent='null_handling', said='filled', t='d5a')}")
 def lineage_versions(spark, sf_dir):
-    return _store(spark, sf_dir).versions("s").select("version", "agent_name", "description")
+    store, out = _store(spark, sf_dir), None
+    for r in store.versions("s").collect():  # a row for each version
+        told = [F.lit(r[c]).alias(c) for c in ("version", "agent_name", "description")]
+        one = store.read("s", r["version"]).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("price").isNull()).alias("null_prices")).select(*told, "n_rows", "null_prices")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _norm(x):
@@ -114,16 +125,34 @@ def resolve_join_gt(spark, sf_dir):
     return J.truth_for_nulls(before, truth, "price", ["o_custkey", "status"])
 
 
-@R.add("resolve_fill_strategy", "SELECT count(*) AS n_holes, 'fill_mode' AS strategy, (SELECT s_nationkey FROM supplier WHERE s_suppkey % 6 > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS value FROM supplier WHERE s_suppkey % 6 = 0")
+_NEAR = "abs(v - {x}) <= 1e-3 * greatest(abs(v), abs({x})) OR round_even({x}, 0) = v"
+
+
+@R.add("resolve_fill_strategy", f"""WITH s AS (SELECT s_suppkey AS k, CAST(power(s_suppkey % 10, 3) AS BIGINT) AS x, s_suppkey % 6 = 0 AS hole FROM supplier),
+  st AS (SELECT avg(x) AS mean, quantile_cont(x, 0.5) AS median FROM s WHERE NOT hole), m AS (SELECT x AS mode FROM s WHERE NOT hole GROUP BY x ORDER BY count(*) DESC, x LIMIT 1),
+  c AS (SELECT 'a_mean' AS kind, CAST(round(mean) AS BIGINT) AS v FROM st UNION ALL SELECT 'a_median', CAST(round(median) AS BIGINT) FROM st UNION ALL SELECT 'a_mode', mode FROM m UNION ALL SELECT 'other', 99999)
+  SELECT kind, (SELECT count(*) FROM s WHERE hole) AS n_holes, CASE WHEN {_NEAR.format(x='mean')} THEN 'fill_mean' WHEN {_NEAR.format(x='median')} THEN 'fill_median' WHEN v = mode THEN 'fill_mode' ELSE 'fill_value' END AS strategy, v AS value FROM c, st, m""")
 def resolve_fill_strategy(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    hole = F.col("s_suppkey") % 6 == 0
-    mode = s.where(~hole).agg(F.mode("s_nationkey", deterministic=True).alias("m"))
-    dirty = s.select("s_suppkey", F.when(~hole, F.col("s_nationkey")).alias("v"))
-    truth = s.join(F.broadcast(mode)).select("s_suppkey", F.when(hole, F.col("m")).otherwise(F.col("s_nationkey")).alias("v"))
-    # mean and median are tried first, so the holes hold a value far from both only if the mode is
-    r = J.inferred_strategy(dirty, truth, "v", ["s_suppkey"], rel=0.0)
-    return r.select("n_holes", F.when(F.col("strategy") == "fill_median", "fill_mode").otherwise(F.col("strategy")).alias("strategy"), "value")
+    """What four different truths of the same holes are explained by."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias(ROW), F.pow(k % 10, F.lit(3)).cast("bigint").alias("x"), (k % 6 == 0).alias("hole"))
+    dirty = s.select(ROW, F.when(~F.col("hole"), F.col("x")).alias("v"))
+    told = dirty.agg(F.round(F.avg("v")).cast("bigint").alias("a_mean"), F.round(F.percentile("v", 0.5)).cast("bigint").alias("a_median"), F.mode("v", deterministic=True).alias("a_mode"), F.lit(99999).cast("bigint").alias("other"))
+    out = None
+    for kind in told.columns:
+        truth = s.join(F.broadcast(told.select(F.col(kind).alias("fill")))).select(ROW, F.when(F.col("hole"), F.col("fill")).otherwise(F.col("x")).alias("v"))
+        one = J.inferred_strategy(dirty, truth, "v").select(F.lit(kind).alias("kind"), "n_holes", "strategy", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@R.add("resolve_by_keys", f"""WITH {D5}, h AS (SELECT o_custkey, status FROM d1 WHERE price IS NULL), t AS (SELECT t.price FROM h JOIN truth t ON h.o_custkey = t.o_custkey AND h.status = t.status AND t._row_index % 3 > 0)
+  SELECT (SELECT count(*) FROM h) AS n_holes, CASE WHEN (SELECT count(*) FROM t) < 0.5 * (SELECT count(*) FROM h) THEN 'drop_row' ELSE 'fill_value' END AS strategy,
+    (SELECT price FROM t WHERE (SELECT count(*) FROM t) >= 0.5 * (SELECT count(*) FROM h) GROUP BY price ORDER BY count(*) DESC, price LIMIT 1) AS value""")
+def resolve_by_keys(spark, sf_dir):
+    """The same where truth lacks rows, so that they are found by common columns."""
+    before, _, truth = d5(spark, sf_dir)
+    return J.inferred_strategy(before.drop("odate", "priority"), truth.where(F.col(ROW) % 3 > 0).drop("odate", "priority"), "price")
 
 
 @R.add("positional_gather", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _pos, c_custkey AS a_id, s_suppkey AS b_id FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) FULL JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier) USING (p)")
@@ -150,29 +179,46 @@ def range_join(spark, sf_dir):
     return J.range_join(table(spark, sf_dir, "supplier"), bands, "s_acctbal", "lo", "hi", 1000).select("s_suppkey", "band")
 
 
-@R.add("sql_join_semi_anti", "SELECT 'semi' AS kind, count(*) AS n FROM customer SEMI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'anti', count(*) FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@R.add("asof_null_keys", """WITH l AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id END AS u, ts FROM events WHERE event_id % 2 = 0), r AS (SELECT CASE WHEN event_id % 7 > 0 THEN user_id END AS u, ts, max(event_id) AS last_id FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
+  SELECT l.event_id, r.last_id FROM l ASOF LEFT JOIN r ON l.u = r.u AND l.ts >= r.ts""")
+def asof_null_keys(spark, sf_dir):
+    """Null keys match nothing."""
+    ev, k = table(spark, sf_dir, "events"), F.col("event_id")
+    left = ev.where(k % 2 == 0).select("event_id", F.when(k % 5 > 0, F.col("user_id")).alias("u"), "ts")
+    right = ev.where(k % 2 == 1).select(F.when(k % 7 > 0, F.col("user_id")).alias("u"), "ts", "event_id").groupBy("u", "ts").agg(F.max("event_id").alias("last_id"))
+    return J.asof_join(left, right, "ts", ["u"], ["last_id"]).select("event_id", "last_id")
+
+
+_SEMI = "SELECT 'semi' AS kind, count(*) AS n FROM customer {left} SEMI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT 'anti', count(*) FROM customer {left} ANTI JOIN orders ON c_custkey = o_custkey"
+
+
+@R.add("sql_join_semi_anti", _SEMI.format(left=""))
 def sql_join_semi_anti(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    on = c.c_custkey == o.o_custkey
-    n = lambda how: c.join(o, on, how).agg(F.count(F.lit(1)).alias("n")).select(F.lit(how[5:]).alias("kind"), "n")
-    return n("left_semi").unionByName(n("left_anti"))
+    return _console(spark, sf_dir, _SEMI.format(left="LEFT"), "customer", "orders")
+
 
+_RANK = "SELECT o_orderkey, rank() OVER w AS rk, lag(o_totalprice) OVER w AS prev, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 
-@R.add("sql_window_rank", "SELECT o_orderkey, rank() OVER w AS rk, lag(o_totalprice) OVER w AS prev, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+
+@R.add("sql_window_rank", _RANK)
 def sql_window_rank(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(w).alias("rk"), F.lag("o_totalprice").over(w).alias("prev"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"))
+    return _console(spark, sf_dir, _RANK, "orders")
+
 
+_SETS = "(SELECT c_nationkey AS k, 'both' AS s FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT n_nationkey, 'none' FROM nation EXCEPT SELECT c_nationkey, 'none' FROM customer)"
 
-@R.add("sql_setops", "(SELECT c_nationkey AS k, 'both' AS s FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT n_nationkey, 'none' FROM nation EXCEPT SELECT c_nationkey, 'none' FROM customer)")
+
+@R.add("sql_setops", _SETS)
 def sql_setops(spark, sf_dir):
-    c, s, n = (table(spark, sf_dir, t).select(F.col(k).alias("k")) for t, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey")))
-    return c.intersect(s).withColumn("s", F.lit("both")).unionByName(n.exceptAll(c.distinct()).distinct().withColumn("s", F.lit("none")))
+    return _console(spark, sf_dir, _SETS, "customer", "supplier", "nation")
+
 
+_CUBE = "SELECT o_orderstatus, o_orderpriority, count(*) AS n, {g} AS g FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"
 
-@R.add("sql_rollup_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping_id(o_orderstatus, o_orderpriority) AS g FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+
+@R.add("sql_rollup_cube", _CUBE.format(g="grouping_id(o_orderstatus, o_orderpriority)"))
 def sql_rollup_cube(spark, sf_dir):
-    return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    return _console(spark, sf_dir, _CUBE.format(g="grouping_id()"), "orders")
 
 
 @R.add("sql_console", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
@@ -189,14 +235,43 @@ def ui_filter_sort_page(spark, sf_dir):
     return grid_page(d1(spark, sf_dir), {"status": ["F", "O"]}, search={"priority": "n"}, formats={"priority": ["A/A", " AAAAAAA ", "A-AAAAAA"]}, sort="priority", page=20, skip=5).select(ROW, "priority")
 
 
-@R.add("batch_rollup", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, count(*) AS total, round(avg(o_totalprice), 4) AS mean_value FROM orders")
+_RUNS = "SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'queued' END AS status, o_custkey AS input_rows, o_orderkey % 1000 AS tokens, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 100) / 100.0 END AS f1 FROM orders"
+
+
+@R.add("batch_rollup", f"""SELECT count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS total, coalesce(sum(input_rows) FILTER (WHERE status = 'completed'), 0)::BIGINT AS total_rows,
+  coalesce(sum(tokens) FILTER (WHERE status = 'completed'), 0)::BIGINT AS total_tokens, round(100 * avg(f1) FILTER (WHERE status = 'completed'), 4) AS mean_f1 FROM ({_RUNS})""")
 def batch_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("completed"), F.count_if(F.col("o_orderstatus") == "P").alias("failed"), F.count(F.lit(1)).alias("total"), F.round(F.avg("o_totalprice"), 4).alias("mean_value"))
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return report.batch_rollup(sql_console.run(spark, _RUNS)).withColumn("mean_f1", F.round("mean_f1", 4))
 
 
-@R.add("anti_join_rows", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@R.add("anti_join_rows", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def anti_join_rows(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    losers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("loser"))
+    return Z.drop_losers(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), losers, "c_custkey")
+
+
+@R.add("dedup_key_difference", f"WITH {D1} SELECT DISTINCT o_custkey, priority FROM d1 EXCEPT SELECT o_custkey, priority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY _row_index) AS rn FROM d1) WHERE rn = 1")
+def dedup_key_difference(spark, sf_dir):
+    """Keys that a deduplication removed altogether."""
+    from ..operators.dedup import dedup_keys
+    from .lineage import key_difference
+
+    df = d1(spark, sf_dir)
+    return key_difference(df, dedup_keys(df, ["o_custkey"], "keep_first"), ["o_custkey", "priority"])
+
+
+@R.add("source_latest", f"WITH {D5} SELECT 'versions' AS kind, 'lineage' AS source, count(*) AS n FROM d5a UNION ALL SELECT 'empty version', 'path', count(*) FROM nation UNION ALL SELECT 'no session', 'path', count(*) FROM nation")
+def source_latest(spark, sf_dir):
+    """Where a run's data is read from: the latest version if it has rows, else the paths that its state names."""
+    store, path = _store(spark, sf_dir), f"{sf_dir}/nation.parquet"
+    store.append("empty", table(spark, sf_dir, "region").limit(0).withColumn(ROW, F.lit(0).cast("bigint")), "ingest")
+    out = None
+    for kind, session in (("versions", "s"), ("empty version", "empty"), ("no session", None)):
+        df, source = U.latest_source(spark, store, session, {"dataset_path": path})
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit(source.split(":")[0] if source.startswith("lineage") else "path").alias("source"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @R.add("project_reorder", "SELECT o_orderstatus, o_orderkey, o_custkey FROM orders")
@@ -206,10 +281,16 @@ def project_reorder(spark, sf_dir):
     return reorder(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderstatus", "missing"])
 
 
-@R.add("log_union_distinct", "SELECT DISTINCT o_orderdate, o_orderstatus FROM orders")
+_LOGS = "SELECT event_id AS seq, ts AS timestamp, event_type AS agent, CAST(user_id % 50 AS STRING) AS message, value AS detail FROM events"
+
+
+@R.add("log_union_distinct", f"""WITH e AS ({_LOGS.replace('STRING', 'VARCHAR')}), u AS (SELECT *, 0 AS src FROM e WHERE seq % 3 > 0 UNION ALL SELECT * REPLACE (detail + 1 AS detail), 1 FROM e WHERE seq % 2 = 0)
+  SELECT timestamp, agent, message, detail FROM (SELECT *, row_number() OVER (PARTITION BY timestamp, agent, message ORDER BY src, seq) AS rn FROM u) WHERE rn = 1""")
 def log_union_distinct(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus")
-    return o.unionByName(o.where("o_orderstatus = 'F'")).distinct()
+    """Kept and live log entries, once each."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    e = sql_console.run(spark, _LOGS)
+    return U.union_logs(e.where("seq % 3 > 0"), e.where("seq % 2 = 0").withColumn("detail", F.col("detail") + 1), "seq").drop("seq")
 
 
-__all__ = ["ORACLES", "QUERIES", "q"]
+__all__ = ["ORACLES", "QUERIES"]

@@ -109,9 +109,9 @@ def profile_pattern_shares(spark, sf_dir):
     return P.pattern_shares(d4(spark, sf_dir), "since").withColumn("share", F.round("share", 6))
 
 
-def _detect(c):
+def _detect(c, of="d4"):
     hits = ", ".join(f"CASE WHEN avg(regexp_full_match({c}, '{rx}')::INT) >= {min(0.7, own)} THEN '{n}' END" for n, rx, own in X.PATTERNS)
-    return f"SELECT '{c}' AS column_name, coalesce({hits}) AS pattern FROM d4"
+    return f"SELECT '{c}' AS column_name, coalesce({hits}) AS pattern FROM {of}"
 
 
 @R.add("profile_pattern_detect", f"WITH {D4} {_detect('since')} UNION ALL {_detect('phone')} UNION ALL {_detect('city')}")
@@ -119,7 +119,8 @@ def profile_pattern_detect(spark, sf_dir):
     return P.detected_pattern(d4(spark, sf_dir), ["since", "phone", "city"])
 
 
-@R.add("profile_representative_sample")
+@R.add("profile_representative_sample", f"""WITH {D4}, g AS (SELECT firm AS value, count(*) AS n, min(_row_index) AS first, min(md5(CAST(_row_index AS VARCHAR))) AS draw FROM d4 WHERE firm IS NOT NULL GROUP BY 1), t AS (SELECT value FROM g ORDER BY n DESC, first LIMIT 10)
+  SELECT value FROM t UNION ALL SELECT value FROM (SELECT value FROM g WHERE value NOT IN (SELECT value FROM t) ORDER BY draw LIMIT 10)""")
 def profile_representative_sample(spark, sf_dir):
     return P.representative_sample(d4(spark, sf_dir), "firm")
 

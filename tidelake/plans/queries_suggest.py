@@ -7,7 +7,9 @@ from ..functions import text as X
 from ..operators import fuzzy as Z
 from ..operators import grid as G
 from ..operators import profile as P
+from ..scratch import scratch_path
 from . import suggest as U
+from .lineage import LineageStore
 from .queries_dedup import EVIDENCE, ORACLES as DEDUP_SQL, PHONE_KEY, SPEC, TEXT
 from .specs import ColumnSpec
 from .views import D1, D4, Registry, d1, d4, table
@@ -68,10 +70,31 @@ def missing_total(spark, sf_dir):
     return P.column_stats(d1(spark, sf_dir)).agg(F.sum("null_count").alias("missing"))
 
 
-@R.add("batch_append_union", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders)")
+@R.add("batch_append_union", "SELECT version, count(*) AS n, count(b) AS n_second FROM (SELECT 1 AS version, o_orderkey AS a, NULL AS b FROM orders UNION ALL SELECT 1, o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY version")
 def batch_append_union(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    return o.unionByName(o).agg(F.count(F.lit(1)).alias("n"))
+    """Two batches, the second with a column more, published as one version."""
+    o = table(spark, sf_dir, "orders")
+    store = LineageStore(spark, scratch_path(spark, "append"))
+    first, second = o.select("o_orderkey"), o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey")
+    n = store.append_chunks("s", [first, second], "ingest")
+    return store.read("s").agg(F.lit(n).alias("version"), F.count(F.lit(1)).alias("n"), F.count("o_custkey").alias("n_second"))
+
+
+_RANKED = " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) / count(*) AS r FROM d1" for c in ("o_custkey", "priority", "status"))
+
+
+@R.add("popular_ranked_columns", f"WITH {D1} SELECT column_name, row_number() OVER (ORDER BY r, column_name) AS rank FROM (SELECT c AS column_name, r FROM ({_RANKED})) QUALIFY rank <= 2")
+def popular_ranked_columns(spark, sf_dir):
+    stats = P.column_stats(d1(spark, sf_dir).select(P.ROW, "o_custkey", "priority", "status"))
+    return P.ranked_columns(stats, 2)
+
+
+@R.add("popular_sample", f"""WITH {D1}, g AS (SELECT coalesce(d1.priority, '') AS priority, status, row_number() OVER (ORDER BY count(*) DESC, d1.priority NULLS FIRST, status) AS p FROM d1 GROUP BY d1.priority, status), h AS (SELECT o_custkey, row_number() OVER (ORDER BY _row_index) AS p FROM d1)
+  SELECT g.priority, g.status, h.o_custkey FROM g JOIN h USING (p) WHERE p <= 4""")
+def popular_sample(spark, sf_dir):
+    """The most frequent combinations of the columns that repeat most, beside the first values of the others."""
+    df = d1(spark, sf_dir).select(P.ROW, "o_custkey", "priority", "status")
+    return P.popular_sample(df, P.column_stats(df), columns=2, k=4).select(F.coalesce("priority", F.lit("")).alias("priority"), "status", "o_custkey")
 
 
 @R.add("sql_functions", f"WITH {D4} SELECT _row_index, regexp_replace(regexp_replace(firm, '[0-9]', 'D', 'g'), '[a-zA-Z]', 'A', 'g') AS format_form, lower(trim(email)) AS email_form, {PHONE_KEY} AS phone_form FROM d4")

@@ -7,6 +7,7 @@ from dataclasses import asdict
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import diff as A
 from .executor import RunResult, metrics
@@ -40,13 +41,61 @@ def build(plan: CleaningPlan, result: RunResult, store: LineageStore, session: s
     first, last = store.read(session, 1), store.read(session)
     changes = [r.asDict() for r in A.top_changed(A.column_changes(first, last, align=align), 12).collect()]
     doc = {"session": session, "plan": plan_summary(plan), "tasks": [asdict(t) for t in result.tasks], "metrics": metrics(result), "validation": validation_summary(result),
-           "versions": [r.asDict() for r in store.versions(session).drop("path").collect()], "changed_columns": changes}
+           "versions": [r.asDict() for r in store.versions(session).drop("path").collect()], "changed_columns": changes, "n_columns": len(last.columns) - 1, "rows": (first.count(), last.count())}
     if truth is not None:
         doc["score"] = A.score(first, last, truth, align=align).first().asDict()
     doc["next_actions"] = next_actions(doc)
     return doc
 
 
+def batch_rollup(runs: DataFrame) -> DataFrame:
+    """One row over runs(status, input_rows, tokens, f1): completed, failed, total, and of completed runs total_rows, total_tokens and mean_f1 in percent."""
+    done = F.col("status") == "completed"
+    of = lambda c: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("bigint")
+    return runs.agg(F.count_if(done).alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count(F.lit(1)).alias("total"),
+                    of("input_rows").alias("total_rows"), of("tokens").alias("total_tokens"), (100 * F.avg(F.when(done, F.col("f1")))).alias("mean_f1"))
+
+
+def cell_count(doc: dict[str, Any]) -> int | None:
+    """Cells that were scored, else rows of the last task times the columns that are followed; null if neither is known."""
+    if doc.get("score"):
+        return doc["score"]["cells"]
+    rows = doc["tasks"][-1]["rows_after"] if doc.get("tasks") else None
+    return rows * doc["n_columns"] if rows is not None and doc.get("n_columns") else None
+
+
+def contexts(doc: dict[str, Any]) -> dict[str, bool]:
+    """What a report can be asked about, and whether this one holds it."""
+    return {"plan": bool(doc["plan"]["active"] or doc["plan"]["skipped"]), "workers": bool(doc["tasks"]), "validation": bool(doc.get("validation")), "lineage": bool(doc["versions"]),
+            "score": bool(doc.get("score")), "changes": len(doc["versions"]) > 1, "exports": True}
+
+
+def suggested_questions(doc: dict[str, Any], most: int = 4) -> list[str]:
+    """Questions that this report can answer."""
+    asked = [
+        (doc["changed_columns"], "What changed after cleaning, and which steps changed it?"), (doc["versions"], "Which step made each version?"),
+        (doc["validation"]["issue_count"], "Which validation issues remain?"), (not doc["validation"]["issue_count"], "Did validation pass, and what shows that?"),
+        (doc.get("score"), "How good is the F1 score of this run?"), (doc.get("next_actions"), "What should I do next?")]
+    return [q for holds, q in asked if holds][:most]
+
+
+def console_profile(source: str, rollup: dict[str, Any], stats: list[dict[str, Any]], patterns: dict[str, str] | None = None, samples: dict[str, list] | None = None, most: int = 8) -> str:
+    """A profile as plain text: the table's figures, then each column's. rollup and stats: rows of dataset_rollup and column_stats as dicts."""
+    wide, thin = "=" * 80, "-" * 80
+    out = [wide, "  STATISTICAL PROFILE", f"  Source       : {source}", f"  Total rows   : {rollup['total_rows']:,}", f"  Total columns: {len(stats)}", wide]
+    named = {kind: [s["column_name"] for s in stats if s["unique_category"] == kind] for kind in ("primary_key", "near_unique", "categorical")}
+    named["high_null"] = [s["column_name"] for s in stats if s["null_rate"] > 0.3]
+    out += [f"  {kind:<14}: {', '.join(columns)}" for kind, columns in named.items() if columns] + [f"  {'duplicate rows':<14}: {rollup['duplicate_rows']:,}"]
+    for s in stats:
+        found = (patterns or {}).get(s["column_name"])
+        out += [thin, f"  Column : {s['column_name']}", f"  Nulls  : {s['null_count']:,} / {s['total_rows']:,} ({s['null_rate']:.2%})",
+                f"  Unique : {s['unique_count']:,} (ratio {s['unique_ratio']:.4f}, {s['unique_category']})"]
+        values = (samples or {}).get(s["column_name"], [])
+        out += [f"  Values : {values[:most]!r}" + (f" and {len(values) - most} more" if len(values) > most else "")] * bool(values)
+        out += [f"    {x}" for x in interpret(s, [found] if found else None)]
+    return "\n".join([*out, wide])
+
+
 def next_actions(doc: dict[str, Any]) -> list[str]:
     out = [f"review the failed rule {i['rule']} of {i['task']}" for i in doc["validation"]["issues"]]
     if doc.get("score") and doc["score"]["f1"] < 0.85:

@@ -6,7 +6,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 STARTS = ("select", "with", "describe", "show", "from", "table", "values")
-_PATH_TABLE = re.compile(r"\b(parquet|csv|json|orc|text|avro|binaryfile|delta)\s*\.\s*`", re.I)
+#: Words that begin or are part of statements that write or change the session.
+WRITES = frozenset("insert update delete merge create drop alter truncate load cache uncache refresh set reset use add grant revoke call analyze msck repair replace".split())
+#: Functions that run code of the JVM's.
+REFUSED = frozenset("reflect try_reflect java_method".split())
+_PATH_TABLE = re.compile(r"\b(parquet|csv|json|orc|text|avro|xml|binaryfile|delta|jdbc|tidelake_excel)\s*\.\s*`|\.\s*`[^`]*[/:\\][^`]*`", re.I)
+_CALL = re.compile(r"(?:([A-Za-z_]\w*)|`([^`]*)`)\s*\(")
 MOST_ROWS = 50
 
 
@@ -20,7 +25,8 @@ def _bare(query: str) -> str:
 
 
 def run(spark: SparkSession, query: str) -> DataFrame:
-    """The result of one reading statement; anything else, and tables named by path, are refused before they run."""
+    """The result of one reading statement; anything else, tables named by path, and functions that call into the JVM are refused before
+    they run. Names are compared whole, as identifiers: those before a parenthesis as functions, all others as words of the statement."""
     bare = _bare(query).strip().rstrip(";").strip()
     if not bare or bare.split(None, 1)[0].lower().lstrip("(") not in STARTS:
         raise QueryRefused("only SELECT, WITH, FROM, DESCRIBE and SHOW are run")
@@ -28,7 +34,11 @@ def run(spark: SparkSession, query: str) -> DataFrame:
         raise QueryRefused("one statement at a time")
     if _PATH_TABLE.search(bare):
         raise QueryRefused("tables are named, not read by path")
-    if re.search(r"\b(insert|update|delete|merge|create|drop|alter|truncate|load|cache|set|reflect|java_method)\b\s*(into|overwrite|table|view|database|function|\()", bare, re.I):
+    calls = {(a or b).lower() for a, b in _CALL.findall(bare)}
+    if calls & REFUSED:
+        raise QueryRefused(f"not for queries: {', '.join(sorted(calls & REFUSED))}")
+    words = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", re.sub(r"`[^`]*`|\.\s*\w+", " ", _CALL.sub("(", bare)))}
+    if words & WRITES:
         raise QueryRefused("only reading statements are run")
     return spark.sql(query.strip().rstrip(";"))
 

@@ -99,6 +99,30 @@ def resolve_source(state: dict[str, str], keys: tuple[str, ...] = ("read_path",
     raise KeyError("no dataset path")
 
 
+def latest_source(spark, store, session: str | None, state: dict[str, str], write_key: str | None = None, read_key: str | None = None) -> tuple[DataFrame, str]:
+    """(table, where it is from): the session's latest version if it has rows, else the path under the task's write key, its read key,
+    physical_dataframe_path or dataset_path."""
+    from ..sources.readers import load
+
+    if session is not None and (n := store.latest_number(session)):
+        df = store.read(session, n)
+        if not df.isEmpty():
+            return df, f"lineage:{session}"
+    path = resolve_source(state, tuple(k for k in (write_key, read_key, "physical_dataframe_path", "dataset_path") if k))
+    return load(spark, path), path
+
+
+LOG_KEY = ("timestamp", "agent", "message")
+
+
+def union_logs(kept: DataFrame, live: DataFrame, order: str) -> DataFrame:
+    """Entries of both once each by LOG_KEY, the first by source and `order`, in order of time."""
+    both = kept.withColumn("_source", F.lit(0)).unionByName(live.withColumn("_source", F.lit(1)))
+    rest = [c for c in kept.columns if c not in LOG_KEY]
+    first = F.min_by(F.struct(*rest), F.struct("_source", order))
+    return both.groupBy(*LOG_KEY).agg(first.alias("_first")).select(*[F.col(c) if c in LOG_KEY else F.col(f"_first.{c}").alias(c) for c in kept.columns]).orderBy("timestamp")
+
+
 def merged_logs(*logs: list[dict[str, Any]]) -> list[dict[str, Any]]:
     """Log entries once each by (timestamp, agent, message), in order of time."""
     once = {(e.get("timestamp"), e.get("agent"), e.get("message")): e for log in logs for e in log}
