@@ -25,6 +25,11 @@ def main() -> None:
     spark = local_session(cpus, 8)
     spark.sparkContext.setLogLevel("ERROR")
     queries, took = registry.queries(), {}
+    steps = []
+    for _ in range(RUNS + 1):  # a fixed task that tells how fast the machine is, to compare runs by
+        began = time.perf_counter()
+        spark.range(40_000_000).selectExpr("sum(hash(id, id * 7)) AS s", "max(sha2(CAST(id % 1000 AS BINARY), 256)) AS m").write.format("noop").mode("overwrite").save()
+        steps.append(time.perf_counter() - began)
     for name in HEADLINE:
         seconds = []
         for i in range(RUNS + 1):  # the first warms up
@@ -33,7 +38,7 @@ def main() -> None:
             if i:
                 seconds.append(time.perf_counter() - began)
         took[name] = round(statistics.median(seconds), 3)
-    print(json.dumps({"metric": "total_seconds_headline_queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "total_seconds_headline_queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "calibration_sec": round(statistics.median(steps[1:]), 3), "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

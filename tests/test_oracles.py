@@ -18,5 +18,6 @@ def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:
         assert oracle.difference(df, con, ORACLES[name]) is None
-    else:
-        assert df.count() >= 0
+    else:  # tests/test_fuzzy.py holds these against plain Python
+        assert name in ("fuzzy_typo_evidence",)
+        assert df.count() > 0

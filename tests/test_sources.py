@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidelake.operators.profile import ROW
 from tidelake.plans import autoplan, chat, executor, guardrails, report, sql_console
-from tidelake.plans.lineage import LineageStore, reorder, session_id
+from tidelake.operators import cast
+from tidelake.plans.lineage import LineageStore, reorder, session_id, source_order
 from tidelake.plans.specs import CleaningPlan, ColumnSpec, Task, context_hash
 from tidelake.sources import export, readers
 
@@ -81,7 +82,8 @@ def test_versions_and_views(spark, tmp_path):
     assert session_id("nope", None, "/x/12345678123456781234567812345678.csv") == "12345678-1234-5678-1234-567812345678"
 
 
-@pytest.mark.parametrize("bad", ["DROP TABLE x", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/etc`", "", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"])
+@pytest.mark.parametrize("bad", ["DROP TABLE x", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/etc`", "", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT try_reflect('java.lang.System', 'exit', 1)",
+    "SELECT `reflect` ('java.lang.Math', 'abs', 1)", "SELECT * FROM org.x.`hdfs://a/b`", "SELECT * FROM tidelake_excel.`a.xlsx`", "FROM t INSERT INTO u SELECT *", "SELECT 1 /* x */ ; DROP TABLE y"])
 def test_sql_guard(spark, bad):
     with pytest.raises(sql_console.QueryRefused):
         sql_console.run(spark, bad)
@@ -133,5 +135,61 @@ def test_failed_rules_ask_for_a_new_plan(spark, tmp_path):
     plan = CleaningPlan([Task("null_handling", {"v": "drop_row"}, must_preserve_row_count=True)], max_retries=2)
     store = LineageStore(spark, str(tmp_path / "s"))
     result = executor.run(plan, df, store, "s")
-    assert result.needs_replan and result.tasks[0].failed_rules == ["row_count_not_preserved"] and result.tasks[0].attempts == 2
+    assert result.needs_replan and result.tasks[0].failed_rules == ["row_count_not_preserved"] and result.tasks[0].attempts == 1
     assert store.latest_number("s") == 1
+
+
+def test_the_guard_lets_reading_queries_through(spark):
+    spark.range(3).selectExpr("id", "id AS `set`", "'drop; insert' AS s").createOrReplaceTempView("t")
+    assert sql_console.run(spark, "SELECT replace(s, 'drop', 'x') AS r, t.`set` FROM t WHERE id = 1 -- insert").first().r == "x; insert"
+
+
+def test_a_failing_column_fails_its_cast_only(spark, tmp_path, monkeypatch):
+    plain = cast.cast_column
+    monkeypatch.setattr(cast, "cast_column", lambda df, name, kind: F.col("no such column") if name == "b" else plain(df, name, kind))
+    df = spark.createDataFrame([(0, "1", [1]), (1, "x", [2])], f"{ROW} bigint, a string, b array<int>")
+    out, failed = cast.cast_checked(df, {"a": "int", "b": "int", "c": "int", "a2": "odd"})
+    assert dict(out.dtypes)["a"] == "bigint" and dict(out.dtypes)["b"] == "array<int>" and set(failed) == {"missing_column:c", "missing_column:a2", "cast_failed:b"}
+    assert cast.cast_plan({"per_column": {"a": {"expected_type": "integer"}, "b": {"expected_type": "odd"}}}) == {"a": "int"}
+    assert cast.cast_plan({}, ["a", "z"], {"a": "float"}) == {"a": "float"}
+    store = LineageStore(spark, str(tmp_path / "s"))
+    result = executor.run(CleaningPlan([Task("type_casting", {"a": "int", "c": "int"})]), df, store, "s")
+    assert not result.needs_replan and result.tasks[0].attempts == 2 and result.tasks[0].notes["left_as_they_are"] == "c"
+    broken = executor.run(CleaningPlan([Task("odd task")], max_retries=2), df, store, "s")
+    assert broken.needs_replan and broken.tasks[0].failed_rules == ["error:ValueError"]
+
+
+def test_decisions_and_reviews():
+    task = Task("deduplication", {"primary_keys": ["a", "b", "a"], "ignored_columns": ["b"], "keep": "keep_last"})
+    decision = executor.planned_decision(task)
+    assert decision.keys == ["a"] and decision.keep == "keep_last"
+    saved = executor.saved_decision({"x": 1}, decision)
+    assert executor.reused_decision({"x": 1}, saved) == decision and executor.reused_decision({"x": 2}, saved) is None
+    fields = {f["field"]: f["value"] for f in guardrails.review_dedup_plan(CleaningPlan([task]))}
+    assert fields["mode"] == "exact_key" and fields["key_columns"] == ["a", "b", "a"] and fields["fuzzy_enabled"] is False
+    assert [t.skip for t in CleaningPlan.fallback("x").tasks] == [True] * 3
+    spec = ColumnSpec("int", "Discrete", allow_missing=False, expected_pattern=r"\d+", disguised_values=["0"])
+    assert guardrails.offered(["keep_null", "fill_mode", "custom prompt", "fill_mean"], spec, "str") == ["fill_mode"]
+    assert len(guardrails.constant_problems("c", {"strategy": "fill_value", "fill_value": "0"}, spec)) == 1
+    assert guardrails.constant_problems("c", {"strategy": "fill_value"}, spec) and not guardrails.constant_problems("c", {"strategy": "fill_mode"}, spec)
+
+
+def test_artifacts_and_column_order(spark, tmp_path):
+    df = spark.range(2)
+    (tmp_path / "file").write_text("x")
+    made = executor.write_artifact(df, str(tmp_path / "file"), str(tmp_path / "other"), "s", Task("deduplication"))
+    assert made.endswith("other/s_deduplicated.parquet") and spark.read.parquet(made).count() == 2
+    (tmp_path / "h.csv").write_text("z,y,x\n1,2,3\n")
+    order = source_order(spark, str(tmp_path / "h.csv"))
+    assert order == ["z", "y", "x"] and reorder(spark.range(1).selectExpr("1 AS x", "2 AS w", "3 AS z"), order).columns == ["z", "x", "w"]
+
+
+def test_report_answers(spark):
+    doc = {"changed_columns": [], "versions": [{"version": 1, "agent_name": "ingest"}], "validation": {"passed": True, "issues": [], "issue_count": 0}, "tasks": [{"task_id": "deduplication", "rows_before": 4, "rows_after": 3, "passed": True, "attempts": 1}],
+           "plan": {"summary": "s", "active": ["deduplication"], "skipped": {}}, "metrics": {"rows_removed": 1, "seconds": 2.0}, "next_actions": ["x"], "n_columns": 5}
+    assert report.cell_count(doc) == 15 and report.cell_count(doc | {"score": {"cells": 7}}) == 7
+    assert len(report.suggested_questions(doc)) == 3 and report.contexts(doc)["changes"] is False
+    for asked, said in (("How many cells?", "15 cells"), ("How many columns are there?", "5 columns"), ("Did it pass, is it approved?", "passed"), ("Any retries?", "deduplication 1"), ("Walk me through", "ingest >"), ("Why?", "s."), ("Can I download it?", "CSV"), ("sing", "isn't in this run")):
+        assert said in chat.answer(doc, asked)
+    text = report.console_profile("f.csv", {"total_rows": 3, "duplicate_rows": 0}, [{"column_name": "a", "null_rate": 0.5, "null_count": 1, "total_rows": 3, "unique_count": 2, "unique_ratio": 1.0, "unique_category": "primary_key"}], samples={"a": [1, 2, 3]}, most=2)
+    assert "primary_key   : a" in text and "and 1 more" in text and "1 / 3" in text

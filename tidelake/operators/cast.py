@@ -1,6 +1,9 @@
 """Lossy-tolerant type casting by a plan {column: logical type}. Failures become null and are counted."""
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +13,7 @@ from ..functions import text as X
 from ..functions.nullness import strip
 from .profile import ROW, q
 
+log = logging.getLogger(__name__)
 #: Spellings of the seven logical types.
 ALIASES = {"integer": "int", "long": "int", "double": "float", "decimal": "float", "number": "float", "string": "str", "text": "str", "boolean": "bool", "timestamp": "datetime"}
 TYPES = ("int", "float", "str", "bool", "date", "datetime", "time")
@@ -68,6 +72,29 @@ def cast_columns(df: DataFrame, plan: dict[str, str], order: str = ROW) -> DataF
     return df.select(*(cast_column(df, c, todo[c]).alias(c) if c in todo else q(c) for c in df.columns))
 
 
+def cast_plan(strategy: dict, columns: list[str] | None = None, expected: dict[str, str] | None = None) -> dict[str, str]:
+    """{column: logical type} of a task: the types its strategy names by column (as text or as a document with expected_type), else those that are
+    expected of the task's columns. Unknown types are left out."""
+    named = {c: (v.get("expected_type") if isinstance(v, dict) else v) for c, v in (strategy.get("per_column") or strategy).items()}
+    known = {c: k for c, t in named.items() if isinstance(t, str | None) and (k := logical_type(t))}
+    return known or {c: k for c in columns or [] if (k := logical_type((expected or {}).get(c)))}
+
+
+def cast_checked(df: DataFrame, plan: dict[str, str], order: str = ROW) -> tuple[DataFrame, list[str]]:
+    """(df with the columns cast that can be, failed rules). A column whose cast Spark refuses stays as it is; so do missing ones."""
+    failed = [f"missing_column:{c}" for c in plan if c not in df.columns] + [f"unknown_type:{c}" for c, t in plan.items() if c in df.columns and not logical_type(t)]
+    good = {}
+    for c, t in plan.items():
+        if c in df.columns and logical_type(t):
+            try:
+                cast_columns(df, {c: t}, order).schema  # noqa: B018 - a cast that doesn't fit fails on analysis
+                good[c] = t
+            except (AnalysisException, KeyError) as e:
+                failed.append(f"cast_failed:{c}")
+                log.warning("the cast of %s to %s is left out: %s", c, t, e)
+    return cast_columns(df, good, order), failed
+
+
 def cast_report(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, dtype_before, dtype_after, nulls_before, nulls_after, coerced_nulls. One aggregate a side."""
     def nulls(df: DataFrame, name: str) -> DataFrame:

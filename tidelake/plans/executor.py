@@ -1,8 +1,9 @@
 """Runs a plan: each task folds operators over the table, is checked, and publishes a version if it passes."""
 from __future__ import annotations
 
+import logging
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,9 @@ from ..operators import dedup as E
 from ..operators import impute as I
 from ..operators import rules as V
 from .lineage import LineageStore
-from .specs import CleaningPlan, ColumnSpec, Task
+from .specs import CleaningPlan, ColumnSpec, Task, context_hash
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -37,21 +40,62 @@ class RunResult:
     needs_replan: bool = False
 
 
-def apply(task: Task, df: DataFrame, specs: dict[str, ColumnSpec]) -> tuple[DataFrame, dict[str, str]]:
-    """The table after one task, and notes."""
+def apply(task: Task, df: DataFrame, specs: dict[str, ColumnSpec]) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """The table after one task, notes, and rules that failed already: columns that the task can't treat."""
     if task.task_id == "deduplication":
-        s = task.strategy
-        return E.run(df, E.DedupDecision(list(s.get("keys", [])), s.get("keep", "keep_most_complete"), s.get("handlers", {}))), {}
+        return E.run(df, planned_decision(task)), {}, []
     if task.task_id == "type_casting":
-        return C.cast_columns(df, task.strategy), {}
+        out, failed = C.cast_checked(df, C.cast_plan(task.strategy, list(task.strategy), {c: s.expected_type for c, s in specs.items()}))
+        return out, {}, failed
     if task.task_id == "null_handling":
         r = I.apply_plan(df, task.strategy, {c: vars(s) for c, s in specs.items()})
-        return r.df, r.notes
+        return r.df, r.notes, []
     raise ValueError(f"unknown task {task.task_id}")
 
 
+def planned_decision(task: Task) -> E.DedupDecision:
+    """The decision that a planner's deduplication task states: its keys without ignored columns, survivor rule and handlers."""
+    s = task.strategy
+    keys = list(dict.fromkeys(s.get("keys") or s.get("primary_keys") or (s.get("key_based") or {}).get("keys") or []))
+    return E.DedupDecision([k for k in keys if k not in set(s.get("ignored_columns") or [])], s.get("keep", "keep_most_complete"), dict(s.get("handlers", {})), "the plan's own decision")
+
+
+def reused_decision(context: dict[str, Any], saved: dict[str, Any] | None) -> E.DedupDecision | None:
+    """The saved decision {context_hash, decision} if it was made in an equal context, else null."""
+    if not saved or saved.get("context_hash") != context_hash(context):
+        return None
+    return E.DedupDecision(**saved["decision"])
+
+
+def saved_decision(context: dict[str, Any], decision: E.DedupDecision) -> dict[str, Any]:
+    return {"context_hash": context_hash(context), "decision": asdict(decision)}
+
+
+def repaired(task: Task, failed: list[str]) -> Task:
+    """The task without what failed: columns whose cast or check failed are left as they are. The same task if no column is to blame."""
+    columns = {r.split(":", 1)[1] for r in failed if ":" in r} & set(task.strategy)
+    return replace(task, strategy={c: v for c, v in task.strategy.items() if c not in columns}) if columns and task.task_id == "type_casting" else task
+
+
+#: What a task's artifact is called by.
+ARTIFACTS = {"deduplication": "deduplicated", "type_casting": "type_casted", "null_handling": "null_handled"}
+
+
+def write_artifact(df: DataFrame, path: str, fallback: str, session: str, task: Task) -> str:
+    """The task's table as <session>_<what was done>.parquet in a folder; in the fallback folder if that can't be written."""
+    name = f"{session}_{ARTIFACTS.get(task.task_id, task.task_id)}.parquet"
+    try:
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        return f"{path.rstrip('/')}/{name}"
+    except Exception as e:  # the folder may be read-only; a second failure is the caller's
+        log.warning("%s can't be written, %s is taken: %s", path, fallback, e)
+        df.write.mode("overwrite").parquet(f"{fallback.rstrip('/')}/{name}")
+        return f"{fallback.rstrip('/')}/{name}"
+
+
 def run(plan: CleaningPlan, df: DataFrame, store: LineageStore, session: str, specs: dict[str, ColumnSpec] | None = None) -> RunResult:
-    """All active tasks. A task that fails is tried again up to the plan's retries; then the run stops and asks for a new plan.
+    """All active tasks. A task that fails, by a rule or by an error, is tried again up to the plan's retries if it can be repaired; then the run
+    stops and asks for a new plan, with what failed.
 
     Each task's table is written once as its version and read back, so validation and the next task don't repeat the work;
     a version of a failed task isn't published."""
@@ -60,24 +104,36 @@ def run(plan: CleaningPlan, df: DataFrame, store: LineageStore, session: str, sp
         store.append(session, df, "ingest", "original")
         df = store.read(session)
     for task in plan.active():
-        before = df.count()
+        before, now = df.count(), task
         for attempt in range(1, plan.max_retries + 1):
-            began = time.time()
-            out, notes = apply(task, df, specs)
-            out = out.persist()
+            began, after, version, notes, failed = time.time(), before, None, {}, []
             try:
-                after = out.count()
-                failed = I.guard(before, after, task.must_preserve_row_count)
-                strategies = {c: (s if isinstance(s, str) else s.get("strategy", "")) for c, s in task.strategy.items()} if task.task_id == "null_handling" else {}
-                if task.rules:
-                    failed += [r["rule"] + (f":{r['column']}" if r["column"] else "") for r in V.validate(out, task.rules, strategies).where("NOT passed").collect()]
-                version = None if failed else store.append(session, out, task.task_id, task.rationale)
-            finally:
-                out.unpersist()
-            result = TaskResult(task.task_id, not failed, before, after, version, failed, notes, round(time.time() - began, 3), attempt)
+                out, notes, failed = apply(now, df, specs)
+                out = out.persist()
+                try:
+                    after = out.count()
+                    failed = failed + I.guard(before, after, now.must_preserve_row_count)
+                    strategies = {c: (s if isinstance(s, str) else s.get("strategy", "")) for c, s in now.strategy.items()} if now.task_id == "null_handling" else {}
+                    if now.rules:
+                        failed += [r["rule"] + (f":{r['column']}" if r["column"] else "") for r in V.validate(out, now.rules, strategies).where("NOT passed").collect()]
+                    version = None if failed else store.append(session, out, now.task_id, now.rationale)
+                finally:
+                    out.unpersist()
+            except Exception as e:  # a task's error fails the task, not the run
+                log.exception("%s failed", now.task_id)
+                failed = [*failed, f"error:{type(e).__name__}"]
+                notes = notes | {"error": str(e).split("\n")[0][:500]}
+            result = TaskResult(now.task_id, not failed, before, after, version, failed, notes, round(time.time() - began, 3), attempt)
             if not failed:
                 df = store.read(session)
+                left = sorted(set(task.strategy) - set(now.strategy))
+                if left:
+                    result.notes["left_as_they_are"] = ", ".join(left)
                 break
+            again = repaired(now, failed)
+            if again == now and not any(f.startswith("error:") for f in failed):
+                break  # the same task on the same table fails alike
+            now = again
         results.append(result)
         if not result.passed:
             return RunResult(df, results, needs_replan=True)

@@ -131,6 +131,37 @@ def override_dedup(plan: CleaningPlan, keys: list[str] | None = None, keep: str
     return replace(plan, tasks=tasks)
 
 
+def review_dedup_plan(plan: CleaningPlan, columns: list[str] | None = None) -> list[dict[str, Any]]:
+    """Fields of a deduplication that a reviewer sees and may change: mode, keys, identifiers, ignored columns, survivor rule, fuzzy matching."""
+    task = next((t for t in plan.tasks if t.task_id == "deduplication" and not t.skip), None)
+    if task is None:
+        return []
+    s = task.strategy
+    keys = list(s.get("keys") or s.get("primary_keys") or [])
+    fuzzy = bool((s.get("fuzzy_matching") or {}).get("enabled"))
+    mode = "fuzzy" if fuzzy else "exact_key" if keys else "exact_full_row"
+    rows = (("mode", mode, False, None), ("key_columns", keys, True, columns), ("identifier_columns", list(s.get("identifier_columns") or keys), True, columns),
+            ("ignored_columns", list(s.get("ignored_columns") or []), True, columns), ("keep_rule", s.get("keep", "keep_most_complete"), True, ["keep_most_complete", "keep_first", "keep_last"]), ("fuzzy_enabled", fuzzy, True, None))
+    return [{"field": name, "value": value, "editable": editable, "options": options} for name, value, editable, options in rows]
+
+
+def offered(options: list[str], spec: ColumnSpec, final: str | None) -> list[str]:
+    """Options as a person sees them: no free prompts, no keep_null where values may not be missing, nothing that doesn't suit the type."""
+    plain = [o for o in options if "prompt" not in o.lower() and "custom" not in o.lower()]
+    return [o for o in plain if (spec.allow_missing or strategy_name(o) != "leave_as_is") and suits_type(strategy_name(o), final)]
+
+
+def constant_problems(column: str, config: dict[str, Any], spec: ColumnSpec) -> list[str]:
+    """What speaks against a fill constant before it is approved: none given, against the pattern, a placeholder itself."""
+    if strategy_name(str(config.get("strategy", ""))) != "fill_value":
+        return []
+    value = config.get("fill_value")
+    if value is None or not str(value).strip():
+        return [f"{column}: no constant is given"]
+    return ([f"{column}: {value!r} doesn't match {spec.expected_pattern!r}"] if spec.expected_pattern and not _matches(spec.expected_pattern, str(value).strip()) else []) + (
+        [f"{column}: {value!r} is a placeholder itself"] if str(value) in map(str, spec.disguised_values) else [])
+
+
 def allow_missing_from_answers(specs: dict[str, ColumnSpec], answers: dict[str, str]) -> dict[str, ColumnSpec]:
     """Specs with allow_missing by Yes and No answers."""
     said = {"yes": True, "y": True, "true": True, "no": False, "n": False, "false": False}
@@ -149,6 +180,7 @@ def run_order(tasks: list[Task]) -> list[str]:
 def column_family(name: str, spec: ColumnSpec | None = None) -> str:
     """email, phone, address, organization, person, identifier or text by words of a column's name and description."""
     words = f"{name} {spec.logical_group if spec else ''} {spec.description if spec else ''}".lower().replace("_", " ")
+    #: Words by family, in order.
     marks = (
         ("email", ("email", "e-mail", "mailbox")), ("phone", ("phone", "telephone", "mobile", "fax")),
         ("address", ("address", "street", "location", "postal", "city", "district", "ward")),

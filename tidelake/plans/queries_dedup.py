@@ -85,7 +85,7 @@ def normalize_phone(spark, sf_dir):
 
 SPEC = Z.Blocking("firm", (Z.BlockKey(("city", "c_mktsegment")),), threshold=0.6, family="organization", max_bucket=100000, ascii_only=True)
 _BLOCK = (f"b AS (SELECT *, {TEXT.format(c='firm')} AS t, CASE WHEN city IS NULL THEN '' ELSE {TEXT.format(c='city')} || '|' END || substr(replace({TEXT.format(c='c_mktsegment')}, ' ', ''), 1, 6) AS block FROM d4), "
-          "g AS (SELECT *, replace(t, ' ', '') AS j FROM b), "
+          "g AS (SELECT *, replace(t, ' ', '') AS j FROM b QUALIFY row_number() OVER (PARTITION BY block ORDER BY _row_index) <= 100000), "
           "h AS (SELECT *, CASE WHEN length(j) <= 3 THEN [j] ELSE list_transform(range(1, length(j) - 1), lambda i: substr(j, i, 3)) END AS toks FROM g)")
 _PAIRS = f"WITH {D4}, {_BLOCK}, p AS (SELECT a._row_index AS row_a, b._row_index AS row_b, {{score}} AS score FROM h a JOIN h b ON a.block = b.block AND a._row_index < b._row_index) SELECT row_a, row_b, round(score, 6) AS score FROM p WHERE score >= 0.6"
 

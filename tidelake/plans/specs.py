@@ -48,6 +48,11 @@ class CleaningPlan:
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=2, sort_keys=True)
 
+    @staticmethod
+    def fallback(reason: str) -> CleaningPlan:
+        """The safe plan: every task is there, skipped, and says why."""
+        return CleaningPlan([Task(t, skip=True, skip_reason=f"no plan: {reason}") for t in ORDER], f"Safe plan, as no other could be made: {reason}")
+
     @staticmethod
     def from_json(text: str) -> CleaningPlan:
         """A plan; text that can't be read gives the safe plan, in which all is skipped."""
@@ -55,7 +60,7 @@ class CleaningPlan:
             d = json.loads(outer_json(text))
             return CleaningPlan([Task(**t) for t in d.get("tasks", [])], d.get("summary", ""), d.get("max_retries", 3))
         except (ValueError, TypeError) as e:
-            return CleaningPlan([Task(t, skip=True, skip_reason=f"unreadable plan: {e}") for t in ORDER], "safe plan")
+            return CleaningPlan.fallback(str(e))
 
 
 def outer_json(text: str) -> str:
