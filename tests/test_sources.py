@@ -58,6 +58,15 @@ def test_downloads(spark, tmp_path):
     assert export.preview_rows(df, 1) == {"columns": ["s"], "rows": [{"s": "a"}], "total_rows": 2, "shown": 1}
 
 
+def test_large_tables_are_written_as_folders(spark, tmp_path):
+    df = spark.range(50).select((49 - F.col("id")).alias(ROW), F.col("id").alias("v")).repartition(4)
+    with pytest.raises(ValueError):
+        export.download(df, str(tmp_path / "x.csv"), "csv", most_rows=49)
+    export.write_ordered(df, str(tmp_path / "o"), "json")
+    lines = [json.loads(x)["v"] for f in sorted((tmp_path / "o").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == list(range(49, -1, -1))
+
+
 def test_bad_inputs(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.detect_format("a.docx")

@@ -11,6 +11,8 @@ from ..functions import text as X
 from ..functions.nullness import DISGUISED, strip
 
 ROW = "_row_index"
+#: Columns whose exact distinct counts share one aggregate.
+PASS_COLUMNS = 16
 
 
 def q(name: str) -> Column:
@@ -38,14 +40,16 @@ def unique_category(ratio: Column) -> Column:
 
 def column_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """column_name, dtype, total_rows, null_count, null_rate, unique_count, unique_ratio, unique_category. approx: distinct
-    counts from sketches, for columns too many or too wide for exact ones."""
+    counts from sketches. Exact distinct counts send each row once for each column of an aggregate, so wide tables take a pass for
+    each PASS_COLUMNS columns."""
     columns = columns or data_columns(df)
     n = F.count(F.lit(1))
     distinct = F.approx_count_distinct if approx else F.count_distinct
     each = [F.struct(
         F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), n.alias("total_rows"),
         (n - F.count(q(c))).alias("null_count"), distinct(comparable(df, c)).alias("unique_count")) for c in columns]
-    long = df.agg(F.array(*each).alias("a")).select(F.inline("a"))
+    width = len(each) if approx else PASS_COLUMNS
+    long = reduce(DataFrame.unionByName, [df.agg(F.array(*each[i : i + width]).alias("a")).select(F.inline("a")) for i in range(0, len(each), width)])
     ratio = lambda x: F.coalesce(F.try_divide(x, "total_rows"), F.lit(0.0))
     raw = ratio("unique_count")
     return long.select(

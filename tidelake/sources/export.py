@@ -23,10 +23,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         out.write.mode(mode).format(fmt).save(path)
 
 
-def download(df: DataFrame, path: str, fmt: str) -> str:
-    """One local file: csv (UTF-8 with byte-order mark), xlsx, json (records) or parquet. Rows stream through the driver in order."""
+def write_ordered(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """write_table in row order: files are ranges of the row index, in order of their names, written in parallel."""
+    rows = df.repartitionByRange(ROW).sortWithinPartitions(ROW) if ROW in df.columns else df
+    write_table(rows, path, fmt, mode)
+
+
+def download(df: DataFrame, path: str, fmt: str, most_rows: int = 1_000_000) -> str:
+    """One local file: csv (UTF-8 with byte-order mark), xlsx, json (records) or parquet. Rows stream through the driver in order, so a table of
+    over most_rows is refused; write_ordered writes those."""
     if fmt not in ("csv", "xlsx", "json", "parquet"):
         raise ValueError(f"unsupported download format: {fmt}")
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"over {most_rows} rows: write them as a folder with write_ordered")
     ordered = df.orderBy(ROW).drop(ROW) if ROW in df.columns else df
     if fmt == "xlsx":
         write_excel(ordered, path)
