@@ -394,3 +394,18 @@ def op2_measures(text):
     counts = Counter(ids)
     return (len(ids), sum(len(pairs.encode_ordinary(" " + w)) for w in words), sum(map(pieces.is_byte, ids)) / max(len(ids), 1),
             -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values()))
+
+
+def cut(texts, window=20):
+    """{id: text} without the words that repeat earlier windows; texts that lose none stay as they are."""
+    first, out = set(), {}
+    for i in sorted(texts):
+        w = WORD.findall(texts[i] or "")
+        gone = set()
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            if key in first:
+                gone.update(range(k, k + window))
+            first.add(key)
+        out[i] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else texts[i]
+    return out

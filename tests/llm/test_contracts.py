@@ -1,5 +1,6 @@
 """Each opN query against brute force, on the smallest test tables and on a table of edge cases."""
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -288,3 +289,67 @@ def test_op10_hot_text(spark):
     got = S.shard_by_bytes(df, 8).groupBy("shard").agg({"size": "sum"}).collect()
     sizes = [r[1] for r in got]
     assert len(sizes) == 8 and max(sizes) < 1.02 * min(sizes)
+
+
+def piped(spark, sf_dir):
+    """What the pipeline gives, by plain Python from the verdicts of the quality rules on."""
+    kept = {r.doc_id for r in registry.op2_quality_rules(spark, sf_dir).where("kept").collect()}
+    docs = [(i, t) for i, t in rows(spark, sf_dir, "documents", ["doc_id", "text"]) if i in kept]
+    texts = dict(docs)
+    texts = {i: texts[i] for i, _, c in B.op9(list(texts.items())) if i == c}
+    for i, n, gone, _ in B.op7(list(texts.items())):
+        if gone == n and n:
+            texts.pop(i)
+    left = B.cut(texts)
+    bench = [("null" if i is None else i, t) for i, t in rows(spark, sf_dir, "benchmark", ["item_id", "text"])]
+    clean = {r[0] for r in B.op6(list(left.items()), bench) if not r[5]}
+    tokens = {r[0]: r[1] for r in B.op1([(i, t) for i, t in left.items() if i in clean])}
+    return [(i, tokens[i]) for i, _ in docs if i in tokens]
+
+
+def test_pipeline_on_edge_and_empty_tables(spark, edge, empty):
+    import corpus_pipeline as C
+
+    assert C.run(spark, empty).collect() == []
+    want = piped(spark, edge)
+    assert want and B.counted((r.doc_id, r.n_tokens) for r in C.run(spark, edge).collect()) == B.counted(want)
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    for name, stage in C.STAGES[:-1]:
+        assert stage(spark, docs, edge).columns == docs.columns, name
+
+
+def test_op4_op5_with_clashing_columns_ties_and_long_values(spark):
+    from tidelake.llm import extraction as X
+    from tidelake.llm import url_filters as U
+
+    long = "/seg" * 3000
+    page = "<article><p>" + "word " * 60_000 + "</p></article>"
+    plain = [(1, f"http://h.org{long}", page), (2, None, None), (2, None, None), (3, "http://h.org/a", "<main>m</main>"), (4, "http://h.org/a", "<article>m</article>"), (None, "http://h.org/a", "")]
+    df = spark.createDataFrame(plain, "page_id bigint, url string, html string")
+    odd = df.selectExpr("page_id", "url", "html", "1 AS host", "2 AS path", "3 AS text", "4 AS gpath", "5 AS rejected", "6 AS template", "7 AS key", "8 AS n", "9 AS paths", "10 AS verdict", "11 AS _id")
+    docs, labels = spark.createDataFrame([(1, "m", 1), (2, " m ", 2), (3, None, 3), (None, "", 4)], "doc_id bigint, text string, key int"), spark.createDataFrame([(1, 0, 5), (2, 1, 6), (3, None, 7), (None, 0, 8)], "doc_id bigint, quality int, key int")
+    results = []
+    for pages in (df, odd):
+        labelled = U.label_pages(pages, docs, labels, [])
+        assert B.counted((r.url, r.bad) for r in labelled.collect()) == B.counted([(plain[0][1], None), (None, None), (None, None), ("http://h.org/a", 1), ("http://h.org/a", 1), ("http://h.org/a", None)])
+        judged = U.judge_urls(pages, *U.learn_templates(labelled), [])
+        read = X.extract(pages, X.winning_paths(X.host_votes(pages)).cache())
+        results.append((B.counted(judged.collect()), B.counted(read.collect())))
+    assert results[0] == results[1] and sum(results[0][0].values()) == 6
+    texts = Counter(t for (_, _, t), n in results[0][1].items() for _ in range(n))
+    assert texts[("word " * 60_000).strip()] == 1 and texts["m"] == 2 and texts[""] == 3
+
+
+@pytest.mark.parametrize("table", ["pages", "benchmark", "conversations"])
+def test_other_tables_may_have_more_columns(spark, edge, tmp_path, table):
+    """Columns of names that operators use change nothing."""
+    import os
+
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
+        if t != table:
+            os.symlink(f"{edge}/{t}.parquet", tmp_path / f"{t}.parquet")
+    names = ["_id", "key", "item", "len", "digest", "size", "host", "turns", "segments", "refers_to", "payload", "valid"]
+    df = spark.read.parquet(f"{edge}/{table}.parquet")
+    df.selectExpr("*", *(f"{i} AS {n}" for i, n in enumerate(names) if n not in df.columns)).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for name in {"pages": ["op3_warc", "op4_url_filters", "op5_html_extraction"], "benchmark": ["op6_benchmark_decontamination"], "conversations": ["op8_chat_formatting"]}[table]:
+        assert B.counted(registry.queries()[name](spark, str(tmp_path)).collect()) == B.counted(registry.queries()[name](spark, edge).collect())

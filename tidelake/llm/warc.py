@@ -28,7 +28,7 @@ from .common import join_counted, scratch_path, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
+FRAME_BYTES, BUNDLE_BYTES, BUNDLE_RECORDS = 1 << 18, 1 << 26, 1 << 16
 BROADCAST_ROWS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id bigint, bundle string, frame int, offset int, length int"
@@ -66,7 +66,7 @@ class Bundle:
     """A bundle while it is written."""
 
     def __init__(self, out):
-        self.out, self.frames, self.open, self.size, self.bytes = out, [], [], 0, 0
+        self.out, self.frames, self.open, self.size, self.bytes, self.records = out, [], [], 0, 0, 0
         self.packer = zstandard.ZstdCompressor(level=3)
 
     def add(self, data: bytes) -> tuple[int, int]:
@@ -76,6 +76,7 @@ class Bundle:
         at = len(self.frames), self.size
         self.open.append(data)
         self.size += len(data)
+        self.records += 1
         return at
 
     def flush(self) -> None:
@@ -123,7 +124,7 @@ def write_bundles(rows: DataFrame, folder: str) -> DataFrame:
             ids, urls, payloads, refers = (batch.column(i).to_pylist() for i in range(4))
             out = []
             for page, url, payload, refer in zip(ids, urls, payloads, refers, strict=True):
-                if bundle is not None and bundle.bytes >= BUNDLE_BYTES:
+                if bundle is not None and (bundle.bytes >= BUNDLE_BYTES or bundle.records >= BUNDLE_RECORDS):
                     bundle.close()
                     bundle = None
                 if bundle is None:
@@ -174,7 +175,7 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = False) -> DataF
                     if out:
                         yield _batch(out, payloads)
 
-    grouped = index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))  # a bundle is bounded
+    grouped = index.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))  # BUNDLE_RECORDS at most
     # places are few bytes for much work, so bundles are dealt by number, not by size
     tasks = max(1, min(index.select("bundle").distinct().count(), 3 * index.sparkSession.sparkContext.defaultParallelism))
     return grouped.select("bundle", "places").repartition(tasks).mapInArrow(run, schema)
