@@ -2,6 +2,11 @@
 
 Each stage takes the documents its predecessor kept and returns the columns of documents, the last one tokens. A stage's
 result is written as Parquet and read again as the next one's documents.
+
+Defined results: null and empty texts have no words, so the first stage drops them; a null language is judged by script; rows of one id
+are one document where texts are compared, and each of them stays or goes with it; a null id is an id of its own, before all
+others; of equal or linked texts the one of smallest id stays; other columns of documents, whatever their names, pass
+through up to the last stage, which keeps doc_id, lang and source; empty tables give an empty result; very long texts are read whole.
 """
 from __future__ import annotations
 
