@@ -114,20 +114,21 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def top_frequencies(df: DataFrame, columns: list[str], order: str = ROW, k: int = 5) -> DataFrame:
-    """column_name, rank, value, n, pct of the k most frequent values of each column, and (Other). Ties: first seen. All columns are
-    counted in one scan: each row gives a value for each, and equal ones are combined before the shuffle."""
-    each = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("value")) for i, c in enumerate(columns)])
-    groups = df.select(order, F.inline(each)).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    present = F.col("value").isNotNull()
-    best = Window.partitionBy("i").orderBy(present.desc(), F.desc("n"), "first")
-    # a value's rank is cut to k in each task before the ranks meet
-    ranked = groups.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & present)
-    sums = groups.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("present"))
-    taken = ranked.groupBy("i").agg(F.sum("n").alias("taken"))
-    rest = sums.join(taken, "i", "left").select("i", F.lit(k + 1).alias("rank"), F.lit("(Other)").alias("value"), (F.col("present") - F.coalesce("taken", F.lit(0))).alias("n")).where("n > 0")
-    rows = ranked.select("i", "rank", "value", "n").unionByName(rest).join(F.broadcast(sums.select("i", "rows")), "i")
-    name = F.array(*map(F.lit, columns))
-    return rows.select(F.get(name, F.col("i")).alias("column_name"), "rank", "value", "n", F.round(F.col("n") / F.col("rows"), 4).alias("pct"))
+    """column_name, rank, value, n, pct of the k most frequent values of each column, and (Other). Ties: first seen. One scan counts all
+    columns' values, one more a column groups them."""
+    totals = df.agg(F.count(F.lit(1)), *[F.count(q(c)) for c in columns]).first()
+    out = []
+    for c, present in zip(columns, totals[1:], strict=True):
+        groups = df.where(q(c).isNotNull()).groupBy(q(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+        top = groups.orderBy(F.desc("n"), "first").limit(k)
+        lists = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "value", "n"))).alias("l"))
+        taken = F.aggregate("l", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+        rows = F.transform("l", lambda x, i: F.struct((i + 1).alias("rank"), x["value"].alias("value"), x["n"].alias("n")))
+        rest = F.when(F.lit(present) > taken, F.array(F.struct(F.lit(k + 1).alias("rank"), F.lit("(Other)").alias("value"), (F.lit(present).cast("bigint") - taken).alias("n")))).otherwise(
+            F.array().cast("array<struct<rank:int,value:string,n:bigint>>"))
+        out.append(lists.select(F.inline(F.concat(rows, rest))).select(
+            F.lit(c).alias("column_name"), "rank", "value", "n", F.round(F.col("n") / F.lit(totals[0]), 4).alias("pct")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def format_patterns(df: DataFrame, column: str, order: str = ROW, head: int = 10_000, most: int = 15, legacy: bool = True) -> DataFrame:
