@@ -12,9 +12,9 @@ most shared prefix shingles: an original rather than its edited copies) with one
 all pairs of different components, which is all that can change the result. All are verified: no link between components
 is lost.
 
-No list needs one task. Frequent shingles, told by the bucket counts, are dealt to several tasks for the first links; central
-members are combined minima and maxima; and for the last pairs a list is dealt as blocks of SPLIT members, each of which meets the members
-outside the list's largest component (those are the only ones that can make a new link), a batch at a time.
+No long list needs one task. Frequent shingles, told by the bucket counts, are hot: their lists are dealt to several tasks for the first
+links, central members are combined maxima, and for the last pairs a list is dealt as blocks of SPLIT members, each of which meets the members
+outside the list's largest component (those are the only ones that can make a new link), a batch at a time. Other lists are bounded and searched whole.
 
 Defined results: null and empty texts have no shingles and link with nothing; the id names the document, so repeated rows of
 an id are one document and each row is returned; where such rows differ in text, each row has its own n_shingles and the component of its
@@ -129,19 +129,19 @@ def _need(n: np.ndarray, share: int) -> np.ndarray:
     return -(-share * n // 100)
 
 
-def hot_buckets(often: np.ndarray) -> np.ndarray:
-    """Tasks for the shingles of each bucket: one, and one more for each HOT documents (or eight deviations of a usual bucket, if
+def hot_buckets(often: np.ndarray, hot: int) -> np.ndarray:
+    """Tasks for the shingles of each bucket: one, and one more for each `hot` documents (or eight deviations of a usual bucket, if
     that is more) over the median bucket."""
     usual = float(np.median(often))
-    return 1 + (np.maximum(often - usual, 0) // max(HOT, 8 * usual**0.5)).astype(np.int64)
+    return 1 + (np.maximum(often - usual, 0) // max(hot, 8 * usual**0.5)).astype(np.int64)
 
 
-def _prefixes(k: int, share: int, counts):
+def _prefixes(k: int, share: int, counts, hot: int):
     """(token, salt, id, size << 32 | position) of each document's rare-first prefix; salt is -1 but for hot shingles."""
 
     def run(batches):
         often = counts.value
-        tasks = hot_buckets(often)
+        tasks = hot_buckets(often, hot)
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             raw, off = utf8_parts(batch.column(1))
@@ -180,11 +180,12 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _lists(share: int):
-    """From prefix rows sorted by token, salt, size and id: kind 0: the rows of lists of two and more, and of salted lists; kind 1: pairs
+    """From prefix rows sorted by token, salt, size and id: kind 0: the rows of lists of two and more, and kind 2: of salted lists; kind 1: pairs
     (a, b) of neighbours and of each member with the list's first. Holds two rows of a list."""
 
     def rows(kind, a, b, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x) for x in (a, b, c))], ["kind", "a", "b", "c"])
+        kind = np.full(len(a), kind) if isinstance(kind, int) else kind
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x) for x in (a, b, c))], ["kind", "a", "b", "c"])
 
     def run(batches):
         held = [np.zeros(0, np.int64)] * 4  # the first and the last row so far of the list that is open
@@ -204,7 +205,7 @@ def _lists(share: int):
                 fresh[0] = True  # alone till now
             out = shared & fresh
             if out.any():
-                yield rows(0, token[out], doc[out], packed[out])
+                yield rows(np.where(salt[out] >= 0, 2, 0), token[out], doc[out], packed[out])
             first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
             held = [c[[first[-1], -1]] if first[-1] < len(token) - 1 else c[-1:] for c in cols]
             n, p = packed >> 32, packed & 0xFFFFFFFF
@@ -237,6 +238,48 @@ def _ordered(u, v, n, p, share: int) -> np.ndarray:
     return _passes(n[u], p[u], n[v], p[v], share)
 
 
+def _whole_lists(batches, width: int, pivots: bool = False):
+    """Columns of complete runs of equal first column, a batch at a time; the last run waits for the next batch. For lists that aren't
+    hot, which are bounded. width: columns of numbers; pivots: one more column of pivot counts, as a row of bytes each."""
+    held = [np.zeros(0, np.int64)] * width + [np.zeros((0, PIVOTS), np.uint8)] * pivots
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+        if pivots:
+            cols.append(utf8_parts(batch.column(width))[0].reshape(-1, PIVOTS))
+        cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        held = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if len(held[0]):
+        yield held
+
+
+def _central(share: int):
+    """From lists sorted by token, with components and centrality: (a, b, np of a, np of b) of the most central member of each list
+    and the most central one of each other component, if they pass the filters."""
+
+    def run(batches):
+        for token, packed, doc, comp, central in _whole_lists(batches, 5):
+            group = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]]))
+            order = np.lexsort((doc, -central, comp, group))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (group[order[1:]] != group[order[:-1]]) | (comp[order[1:]] != comp[order[:-1]])
+            chosen = order[lead]  # one of each component in a list
+            chosen = chosen[np.lexsort((doc[chosen], -central[chosen], group[chosen]))]
+            first = np.ones(len(chosen), bool)
+            first[1:] = group[chosen[1:]] != group[chosen[:-1]]
+            u = chosen[np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))][~first]
+            v = chosen[~first]
+            ok = _ordered(u, v, packed >> 32, packed & 0xFFFFFFFF, share)
+            u, v = u[ok], v[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[u], doc[v], packed[u], packed[v])], ["a", "b", "x", "y"])
+
+    return run
+
+
 def _sketched(share: int):
     """From (a, b, np of a, np of b, counts of a, counts of b): the (a, b) that pass the filters."""
 
@@ -255,9 +298,49 @@ def _sketched(share: int):
     return run
 
 
+def _meet(packed, doc, comp, parts, members: slice, probes: np.ndarray, share: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components of members (sorted by size) and probes that pass the filters, a block of probes at a time."""
+    n, p = packed >> 32, packed & 0xFFFFFFFF
+    got = []
+    for i in range(0, len(probes), SPLIT):
+        x = probes[i : i + SPLIT]
+        low, high = np.searchsorted(n[members], [-(-share * n[x].min() // 100), 100 * n[x].max() // share + 1])
+        y = np.arange(members.start + low, members.start + high)
+        u, v = np.nonzero(comp[x][:, None] != comp[y][None, :])
+        u, v = x[u], y[v]
+        ok = _ordered(u, v, n, p, share)
+        u, v = u[ok], v[ok]
+        near = _suffix_near(n, parts, u, v, share)
+        got.append(_distinct_pairs(doc[u[near]], doc[v[near]]))
+    return got
+
+
+def _pair_batch(got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = _distinct_pairs(*(np.concatenate(x) for x in zip(*got, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _crossing(share: int):
-    """From blocks sorted by token, unit, role (0: members of the block, 1: those outside the list's largest component), size and id: pairs of
-    different components that pass the filters. Holds a block's members; the others stream by."""
+    """From lists sorted by token and size, with components and pivot counts: pairs of different components that pass the filters. Those outside a
+    list's largest component meet all members."""
+
+    def run(batches):
+        for token, packed, doc, comp, parts in _whole_lists(batches, 4, pivots=True):
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            got = []
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
+                kinds, where, times = np.unique(comp[s:e], return_inverse=True, return_counts=True)
+                if len(kinds) > 1:
+                    got += _meet(packed, doc, comp, parts, slice(s, e), s + np.flatnonzero(where != times.argmax()), share)
+            if got:
+                yield _pair_batch(got)
+
+    return run
+
+
+def _crossing_blocks(share: int):
+    """The same of blocks of hot lists, sorted by token, unit, role (0: members of the block, 1: all outside the list's largest component), size and id.
+    Holds a block's members; the others stream by."""
 
     def run(batches):
         held = [np.zeros(0, np.int64)] * 6 + [np.zeros((0, PIVOTS), np.uint8)]
@@ -266,30 +349,15 @@ def _crossing(share: int):
             token, unit, role, packed, doc, comp, parts = cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             if not len(token):
                 continue
-            n, p = packed >> 32, packed & 0xFFFFFFFF
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])
-            start = np.flatnonzero(new)
-            end = np.append(start[1:], len(token))
-            probes = start + np.add.reduceat((role == 0).astype(np.int64), start)
+            start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])]))
+            first = start + np.add.reduceat((role == 0).astype(np.int64), start)  # of the others
             got = []
-            for s, m, e in zip(start.tolist(), probes.tolist(), end.tolist(), strict=True):
-                for i in range(m, e, SPLIT):
-                    j = min(i + SPLIT, e)
-                    low, high = np.searchsorted(n[s:m], [-(-share * n[i] // 100), 100 * n[j - 1] // share + 1])
-                    y = np.arange(s + low, s + high)
-                    x = np.arange(i, j)
-                    u, v = np.nonzero(comp[x][:, None] != comp[y][None, :])
-                    u, v = x[u], y[v]
-                    ok = _ordered(u, v, n, p, share)
-                    u, v = u[ok], v[ok]
-                    near = _suffix_near(n, parts, u, v, share)
-                    got.append(_distinct_pairs(doc[u[near]], doc[v[near]]))
-            stay = slice(int(start[-1]), int(probes[-1]))
-            held = [c[stay] for c in cols]
+            for s, m, e in zip(start.tolist(), first.tolist(), [*start[1:].tolist(), len(token)], strict=True):
+                if m > s:
+                    got += _meet(packed, doc, comp, parts, slice(s, m), np.arange(m, e), share)
+            held = [c[int(start[-1]) : int(first[-1])] for c in cols]
             if got:
-                a, b = _distinct_pairs(*(np.concatenate(x) for x in zip(*got, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield _pair_batch(got)
 
     return run
 
@@ -399,28 +467,33 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def central_pairs(labelled: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
-    """(a, b): the most central member of each list of labelled(token, np, id, comp) with that of each other component in it."""
-    ranked = labelled.join(sketches.select("sid", "central"), F.col("id") == F.col("sid"))
+    """(a, b): the most central member of each list of labelled(token, np, id, comp, hot) with that of each other component in it. Hot
+    lists are combined, others searched whole."""
+    ranked = labelled.join(sketches.select("sid", "central"), F.col("id") == F.col("sid")).select("token", "np", "id", "comp", "central", "hot")
+    cold = ranked.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(tidied(_central(share)), "a bigint, b bigint, x bigint, y bigint")
     first = lambda *c: F.max_by(F.struct(*c), F.struct("central", F.bitwise_not("id")))
-    heads = written(ranked.groupBy("token", "comp").agg(first("id", "np", "central").alias("h")).select("token", "comp", "h.*"), "heads")
+    heads = written(ranked.where("hot").groupBy("token", "comp").agg(first("id", "np", "central").alias("h")).select("token", "comp", "h.*"), "heads")
     leads = heads.groupBy(F.col("token").alias("of")).agg(first("comp", "id", "np").alias("lead")).select("of", F.col("lead.comp").alias("lead_comp"), F.col("lead.id").alias("a"), F.col("lead.np").alias("x"))
-    met = heads.join(_small(written(leads, "leads")), F.col("token") == F.col("of")).where("comp != lead_comp").select("a", F.col("id").alias("b"), "x", F.col("np").alias("y")).distinct()
-    sent = met.join(sketches.select(F.col("sid").alias("sa"), F.col("counts").alias("ca")), F.col("a") == F.col("sa")).join(
+    hot = heads.join(_small(written(leads, "leads")), F.col("token") == F.col("of")).where("comp != lead_comp").select("a", F.col("id").alias("b"), "x", F.col("np").alias("y"))
+    sent = cold.unionByName(hot).distinct().join(sketches.select(F.col("sid").alias("sa"), F.col("counts").alias("ca")), F.col("a") == F.col("sa")).join(
         sketches.select(F.col("sid").alias("sb"), F.col("counts").alias("cb")), F.col("b") == F.col("sb"))
     return sent.select("a", "b", "x", "y", "ca", "cb").mapInArrow(tidied(_sketched(share)), "a bigint, b bigint")
 
 
 def crossing_pairs(labelled: DataFrame, sketches: DataFrame, share: int) -> DataFrame:
-    """(a, b): all pairs of different components in a list of labelled(token, np, id, comp) that pass the filters."""
-    kinds = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    """(a, b): all pairs of different components in a list of labelled(token, np, id, comp, hot) that pass the filters."""
+    row, size = ("np", "id", "comp"), F.shiftright("np", 32)
+    full = labelled.join(sketches.select("sid", "counts"), F.col("id") == F.col("sid")).select("token", *row, "counts", "hot")
+    cold = full.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", size, "id").mapInArrow(tidied(_crossing(share)), "a bigint, b bigint")
+    hot = labelled.where("hot")
+    kinds = hot.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     lists = kinds.groupBy(F.col("token").alias("of")).agg(F.sum("n").alias("total"), F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-    sized = labelled.join(_small(written(lists, "list-sizes")), F.col("token") == F.col("of"))
+    sized = full.where("hot").join(_small(written(lists, "list-sizes")), F.col("token") == F.col("of"))
     units = F.ceil(F.col("total") / SPLIT).cast("int")
-    members = sized.select("token", F.pmod(F.xxhash64("id"), units).cast("int").alias("unit"), F.lit(0).alias("role"), "np", "id", "comp")
-    others = sized.where("comp != largest").select("token", F.explode(F.sequence(F.lit(0), units - 1)).alias("unit"), F.lit(1).alias("role"), "np", "id", "comp")
-    dealt = members.unionByName(others).join(sketches.select("sid", "counts"), F.col("id") == F.col("sid")).select("token", "unit", "role", "np", "id", "comp", "counts")
-    dealt = dealt.repartition("token", "unit").sortWithinPartitions("token", "unit", "role", F.shiftright("np", 32), "id")
-    return dealt.mapInArrow(tidied(_crossing(share)), "a bigint, b bigint")
+    members = sized.select("token", F.pmod(F.xxhash64("id"), units).cast("int").alias("unit"), F.lit(0).alias("role"), *row, "counts")
+    others = sized.where("comp != largest").select("token", F.explode(F.sequence(F.lit(0), units - 1)).alias("unit"), F.lit(1).alias("role"), *row, "counts")
+    dealt = members.unionByName(others).repartition("token", "unit").sortWithinPartitions("token", "unit", "role", size, "id")
+    return cold.unionByName(dealt.mapInArrow(tidied(_crossing_blocks(share)), "a bigint, b bigint"))
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80) -> DataFrame:
@@ -440,7 +513,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # ids that only stand for copies of another node, or have no shingles, send no prefix
     idle = sets.join(nodes.where("copies > 1"), ["n", "c", "d"], "left").where("n = 0 OR (copies > 1 AND id != node)").select(F.col("id").alias("idle"))
     active = base.join(_small(written(idle.distinct(), "idle")), F.col("_id") == F.col("idle"), "left_anti")
-    prefix = active.mapInArrow(tidied(_prefixes(k, share, counts)), "token bigint, salt int, id bigint, np bigint")
+    prefix = active.mapInArrow(tidied(_prefixes(k, share, counts, HOT)), "token bigint, salt int, id bigint, np bigint")
     size = F.shiftright("np", 32)
     lists = written(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", size, "id").mapInArrow(
         tidied(_lists(share)), "kind int, a bigint, b bigint, c bigint"), "lists")
@@ -449,16 +522,16 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tried = written(best.select("a", "b").unionByName(best.select(F.col("least").alias("a"), "b")).distinct(), "near-pairs")
     links = verify(tried, base, k, share, "near-links")
     found = components(links)
-    rows = lists.where("kind = 0").select(F.col("a").alias("token"), F.col("c").alias("np"), F.col("b").alias("id"))
+    rows = lists.where("kind != 1").select(F.col("a").alias("token"), F.col("c").alias("np"), F.col("b").alias("id"), (F.col("kind") == 2).alias("hot"))
     central = rows.groupBy("id").agg(F.count(F.lit(1)).alias("central"))
     sketches = sets.where("n > 0").select("id", "counts").dropDuplicates(["id"]).join(central, "id").select(F.col("id").alias("sid"), "counts", "central")
     sketches = _small(written(sketches, "sketches"))
     for candidates in (central_pairs, crossing_pairs):
         labelled = rows.join(_small(found.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid"), "left").select(
-            "token", "np", "id", F.coalesce("component", "id").alias("comp"))
+            "token", "np", "id", F.coalesce("component", "id").alias("comp"), "hot")
         # a list of one component, as a large family's lists are by now, goes no further: minimum and maximum combine before the shuffle
         ends = labelled.groupBy(F.col("token").alias("mixed")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("mixed")
-        labelled = labelled.join(_small(written(ends, "mixed-lists")), F.col("token") == F.col("mixed"), "left_semi")
+        labelled = written(labelled.join(_small(written(ends, "mixed-lists")), F.col("token") == F.col("mixed"), "left_semi"), "mixed-rows")
         pairs = written(candidates(labelled, sketches, share).distinct().join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
         more = verify(pairs, base, k, share, "crossing-links")
         tried = tried.unionByName(pairs)
