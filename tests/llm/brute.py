@@ -409,3 +409,117 @@ def cut(texts, window=20):
             first.add(key)
         out[i] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else texts[i]
     return out
+
+
+def op11_pieces(docs, capacity=4096):
+    """(doc_id, piece, start, length, ids_crc32) by the public library on whole texts."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    out = []
+    for i, text in docs:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), capacity):
+            part = ids[k : k + capacity]
+            out.append((i, k // capacity, k, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))))
+    return out
+
+
+def damaged(rows):
+    """Rows (conv_id, turn, role, text) after op12's damage."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if role is None else role), (" " if text is None else text)
+        key = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        kind = zlib.crc32(key.encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def op12(rows, convs):
+    """Damaged rows and all conversation ids: forward over rows, keeping for each grammar state the least (cost, audit) and its turns."""
+    of = defaultdict(list)
+    for conv, turn, role, text in rows:
+        of[conv].append((turn is not None, turn or 0, role, text, turn))
+    out = []
+    for conv in convs:
+        own = sorted(of[conv], key=lambda r: r[:4])
+        seen, faults = set(), Counter()
+        best = {"": (0, "", ())}
+        step = {"": {"s": "s", "u": "su"}, "s": {"u": "su"}, "su": {"a": "sua"}, "sua": {"u": "su"}}
+
+        def insert(best):
+            best = dict(best)
+            for _ in range(2):
+                for state, (cost, audit, turns) in list(best.items()):
+                    r = "user" if "u" in step[state] else "assistant"
+                    made = (cost + 5, audit + "I", (*turns, (r, "")))
+                    to = step[state][r[0]]
+                    best[to] = min(best.get(to, made), made)
+            return best
+
+        for _, _, role, text, _ in own:
+            blank, again = not WORD.search(text), (role, text) in seen
+            cut = not blank and not again and WORD.findall(text)[-1][-1] not in ".!?"
+            seen.add((role, text))
+            faults["blank" if blank else "duplicate" if again else "truncated" if cut else ""] += 1
+            nxt = {}
+            for state, (cost, audit, turns) in insert(best).items():
+                ways = [(state, cost + 2, "D", ())]
+                if not blank and not again:
+                    if role[:1] in step[state]:
+                        ways.append((step[state][role[:1]], cost + 5 * cut, "K", ((role, text),)))
+                    for r in ("user", "assistant"):
+                        if r[0] in step[state]:
+                            ways.append((step[state][r[0]], cost + 1 + 5 * cut, "R", ((r, text),)))
+                for to, c, letter, more in ways:
+                    made = (c, audit + letter, turns + more)
+                    nxt[to] = min(nxt.get(to, made), made)
+            best = nxt
+        best = insert(best)
+        cost, audit, turns = min(best[s] for s in ("", "sua") if s in best)
+        numbers = {r[4] for r in own if r[4] is not None}
+        letters = [r[2][:1] for r in own]
+        out.append((conv, max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0, faults["blank"], faults["duplicate"], faults["truncated"],
+                    sum(a + b not in ("su", "ua", "au") for a, b in zip(letters, letters[1:], strict=False)), cost, audit, sha("\n".join(f"{r}:{t}" for r, t in turns))))
+    return out
+
+
+def runs(words, least=24, times=3):
+    """(start, length, period) of all runs, each lag compared word by word, and its stretch with every smaller lag."""
+    n, out = len(words), []
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            stretch = words[s : i + q]
+            if len(stretch) >= max(least, times * q) and not any(stretch[p:] == stretch[:-p] for p in range(1, q)):
+                out.append((s, len(stretch), q))
+    return sorted(out)
+
+
+def op13(docs):
+    out = []
+    for i, text in docs:
+        w = WORD.findall(text or "")
+        n, h = len(w), None if i is None else zlib.crc32(str(i).encode())
+        if h is not None and h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            w = [w[x] if x < a else w[a + (x - a) % p] for x in range(n)]
+        found = runs(w)
+        gone = {x for s, m, q in found for x in range(s + q, s + m)}
+        best = min(found, key=lambda r: (-r[1] / r[2], r[0], r[2])) if found else (None, None, None)
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+        out.append((i, len(found), *best, 1000 * best[1] // best[2] if found else None, sha(lines), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out

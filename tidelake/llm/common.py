@@ -4,7 +4,8 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
-from hashlib import blake2b
+from functools import cached_property, lru_cache
+from hashlib import blake2b, shake_256
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,6 @@ def tidied(run):
 # --- words of UTF-8 buffers, without a Python object for each word
 
 _BLOCK = 1 << 20
-_LONG = 128  # bytes; longer words are rare and hashed one by one
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -127,41 +127,52 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _lanes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte string: eight bytes at a time, each step a bijection of what was read; no sums of products, which
-    differing long strings of a pattern can cancel."""
-    out = np.zeros(len(starts), np.uint64)
-    padded = np.zeros(len(raw) + 8, np.uint8)
+_LONG = 128  # bytes; longer words are rare and hashed one by one
+
+
+@lru_cache(4)
+def _coefficients(key: bytes) -> np.ndarray:
+    """Random 64-bit numbers from the key: for the length and each 32-bit part of a word, for each of four sums."""
+    return np.frombuffer(shake_256(key).digest(32 * (2 + _LONG // 4)), np.uint64).reshape(-1, 4)
+
+
+def keyed_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: bytes) -> np.ndarray:
+    """A 128-bit hash of each byte string, as two 64-bit numbers. Each 32 bits are the upper half of a sum of the string's 32-bit parts and its length
+    times random coefficients: for two different strings chosen without the key they are equal by a chance of 2**-32, each for itself."""
+    a, out = _coefficients(key), np.empty((len(starts), 4), np.uint64)
+    padded = np.zeros(len(raw) + 4, np.uint8)
     padded[: len(raw)] = raw
-    lane_at = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
-    at = np.flatnonzero(sizes <= _LONG)
-    step = 0
+    part_at = np.ndarray((len(raw) + 1,), "<u4", padded, strides=(1,))
+    out[:] = a[0] + sizes.astype(np.uint64)[:, None] * a[1]
+    at, step = np.flatnonzero(sizes <= _LONG), 0
+    at = at[sizes[at] > 0]
     while len(at):
-        left = np.minimum(sizes[at] - step, 8).astype(np.uint64)
-        lane = lane_at[starts[at] + step] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
-        h = (out[at] ^ lane) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out[at] = h ^ (h >> np.uint64(29))
-        step += 8
+        left = np.minimum(sizes[at] - step, 4).astype(np.uint64)
+        part = part_at[starts[at] + step].astype(np.uint64) & (np.uint64(0xFFFFFFFF) >> (np.uint64(32) - np.uint64(8) * left))
+        out[at] += part[:, None] * a[2 + step // 4]
+        step += 4
         at = at[sizes[at] > step]
+    upper = out >> np.uint64(32)
+    made = upper[:, ::2] << np.uint64(32) | upper[:, 1::2]
     for i in np.flatnonzero(sizes > _LONG):
-        out[i] = int.from_bytes(blake2b(raw[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
-    return mix(out ^ (sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        made[i] = np.frombuffer(blake2b(raw[starts[i] : starts[i] + sizes[i]], digest_size=16, key=key[:64]).digest(), np.uint64)
+    return made
 
 
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of some texts: starts and ends (bytes), doc (row), hash (64 bits), counts per row.
+    """Words [^\\x20\\x09-\\x0D]+ of some texts: starts and ends (bytes), doc (row), counts per row, ids.
 
-    Equal hashes are only a first test: who removes or links by them compares digests or words after."""
+    Words of these texts are equal if and only if their ids are: a dictionary numbers them. Between blocks, `hash` and `other` are the halves of a
+    128-bit keyed hash of each word; whoever doesn't know the key can't choose words whose halves are equal."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, key: bytes = b""):
         n = len(raw)
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         inside = ~_SPACE[raw]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
-        self.raw, self.offsets, self.inside = raw, offsets, inside
+        self.raw, self.offsets, self.inside, self.key = raw, offsets, inside, key
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:
@@ -171,14 +182,53 @@ class Words:
         self.ends = np.flatnonzero(inside & (after | first[1 : n + 1])) + 1
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.counts = np.bincount(self.doc, minlength=len(offsets) - 1)
-        self.hash = _lanes(raw, self.starts, self.ends - self.starts)
+        self.letters = raw[inside]
+        self.at = np.concatenate([[0], np.cumsum(self.ends - self.starts)])  # where each word starts in letters
+
+    @cached_property
+    def _coded(self) -> pa.DictionaryArray:
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(self.at), pa.py_buffer(self.letters)]).dictionary_encode()
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return self._coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    @property
+    def distinct(self) -> list[bytes]:
+        """The word of each id."""
+        return self._coded.dictionary.to_pylist()
+
+    @cached_property
+    def _hashes(self) -> np.ndarray:
+        raw, off = utf8_parts(self._coded.dictionary)
+        return keyed_hashes(raw, off[:-1], np.diff(off), self.key)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._hashes[:, 0][self.ids]
+
+    @cached_property
+    def other(self) -> np.ndarray:
+        return self._hashes[:, 1][self.ids]
+
+    def joined(self, kept: np.ndarray) -> pa.Array:
+        """Each text's kept words, joined by one space."""
+        sizes, doc = (self.ends - self.starts)[kept], self.doc[kept]
+        last = np.ones(len(doc), bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        at = np.concatenate([[0], np.cumsum(sizes + ~last)])
+        out = np.full(at[-1], 0x20, np.uint8)
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[np.repeat(at[:-1], sizes) + inner] = self.letters[np.repeat(self.at[:-1][kept], sizes) + inner]
+        ends = at[np.searchsorted(doc, np.arange(len(self.counts) + 1))]
+        return pa.LargeStringArray.from_buffers(len(self.counts), pa.py_buffer(ends), pa.py_buffer(out)).cast(pa.string())
 
     def spaced(self) -> tuple[bytes, np.ndarray]:
         """All words, one space after each, and where each starts there (one entry more than there are words)."""
         sizes = self.ends - self.starts
         at = np.concatenate([[0], np.cumsum(sizes + 1)])
         out = np.full(at[-1], 0x20, np.uint8)
-        out[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = self.raw[self.inside]
+        out[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = self.letters
         return out.tobytes(), at
 
 

@@ -38,5 +38,47 @@ e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) m ON m.x = d.doc_id"""
 
+
+
+def _op12() -> str:
+    """Forward over the rows of all conversations at once: each state holds the least string of (cost, audit, sign 1, repaired text)."""
+    def edit(x: str, letter: str, cost: str, out: str = "''") -> str:
+        at = f"instr({x}, chr(1))"
+        return f"(lpad(CAST(CAST(left({x}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10, {at} - 10) || '{letter}' || substr({x}, {at}) || {out})"
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    insert = lambda x, role: edit(x, "I", "5", role)
+    once = f"least(s2, {insert('s0', user)}, {insert('s1', user)}, {insert('s3', user)}) AS t2, least(s3, {insert('s2', assistant)}) AS t3"
+    twice = f"least(t2, {insert('t3', user)}) AS u2, least(t3, {insert('t2', assistant)}) AS u3"
+
+    kept = "chr(10) || role || ':' || text"
+
+    def stay(x: str, letter: str, role: str) -> str:
+        keep, other = edit(x, "K", "extra", kept), edit(x, "R", "(1 + extra)", f"chr(10) || '{role}:' || text")
+        return f"CASE WHEN fault < 2 THEN NULL WHEN letter = '{letter}' THEN {keep} ELSE {other} END"
+
+    first = f"CASE WHEN fault >= 2 AND letter = 's' THEN {edit('s0', 'K', 'extra', kept)} END"
+    step = ", ".join((
+        f"{edit('s0', 'D', '2')} AS s0", f"least({edit('s1', 'D', '2')}, {first}) AS s1",
+        f"least({edit('u2', 'D', '2')}, {stay('s0', 'u', 'user')}, {stay('s1', 'u', 'user')}, {stay('u3', 'u', 'user')}) AS s2",
+        f"least({edit('u3', 'D', '2')}, {stay('u2', 'a', 'assistant')}) AS s3"))
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda z: CAST(ord(z) AS BIGINT))), lambda c, b: {byte}), 4294967295) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS letter, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN z = '' THEN 0 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 1 WHEN z NOT IN ('.', '!', '?') THEN 2 ELSE 3 END AS fault, lead(letter) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM o),
+g AS (SELECT *, CASE fault WHEN 2 THEN 5 ELSE 0 END AS extra FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 0) AS blank, count(*) FILTER (WHERE fault = 1) AS duplicate, count(*) FILTER (WHERE fault = 2) AS truncated,
+  count(*) FILTER (WHERE after IS NOT NULL AND letter || after NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM g GROUP BY conv_id),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' || chr(1) AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM n
+  UNION ALL SELECT conv_id, i, {step} FROM (SELECT *, {twice} FROM (SELECT w.conv_id, g.i, s0, s1, s2, s3, {once}, role, text, letter, fault, extra FROM w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = w.i + 1) a) b),
+e AS (SELECT conv_id, least(s0, u3) AS x FROM (SELECT *, {twice} FROM (SELECT w.*, {once} FROM w JOIN n ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.rows) a) b)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(x, 9) AS BIGINT), 0) AS cost,
+  coalesce(substr(x, 10, instr(x, chr(1)) - 10), '') AS audit, sha256(coalesce(substr(x, instr(x, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 ORACLES = {
-    "op3_warc": OP3, "op6_benchmark_decontamination": OP6, "op7_substring_dedup": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9}
+    "op3_warc": OP3, "op6_benchmark_decontamination": OP6, "op7_substring_dedup": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9,
+    "op12_conversation_repair": _op12()}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import Words, gram_hashes, mix, row_slices, tidied, utf8_parts, written
+from .common import Words, row_slices, tidied, utf8_parts, written
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -67,23 +67,16 @@ def _per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def repeated_words(words: Words, window: int = 3) -> np.ndarray:
     """For each text, its words that stand in windows found twice or more in it."""
-    n, rows = len(words.hash), len(words.counts)
+    n, rows = len(words.ids), len(words.counts)
     if n < window:
         return np.zeros(rows, np.int64)
-    key = gram_hashes(words.hash, window)
-    m = len(key)
-    valid = np.flatnonzero(words.doc[:m] == words.doc[window - 1 :])
-    key = mix(key[valid] + words.doc[valid].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    k, place = key[order], valid[order]
-    same = (k[1:] == k[:-1]) & (words.doc[place[1:]] == words.doc[place[:-1]])
-    for j in range(window):
-        same &= words.hash[place[1:] + j] == words.hash[place[:-1] + j]
-    twice = np.zeros(len(k), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
+    m = n - window + 1
+    at = np.flatnonzero(words.doc[:m] == words.doc[window - 1 :])
+    key, kinds = words.doc[at], int(words.ids.max()) + 1
+    for j in range(window):  # numbers of equal beginnings, so equal windows of a text have one number
+        key = np.unique(key * kinds + words.ids[at + j], return_inverse=True)[1]
+    at = at[np.bincount(key)[key] > 1]
     covered = np.zeros(n, bool)
-    at = place[twice]
     for j in range(window):
         covered[at + j] = True
     return np.bincount(words.doc[covered], minlength=rows)
@@ -94,18 +87,16 @@ def token_measures(words: Words, pieces: str, pairs: str) -> tuple[np.ndarray, n
     after a blank."""
     model, is_byte, wide, cache = _vocabularies(pieces, pairs)
     rows = len(words.counts)
-    unique, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    keys = unique.tolist()
-    new = [i for i, k in enumerate(keys) if k not in cache]
+    keys, inverse = words.distinct, words.ids
+    new = [w for w in keys if w not in cache]
     if new:
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = list(range(len(keys)))
-        view = words.raw.tobytes()
-        texts = [view[words.starts[f] : words.ends[f]].decode("utf-8", "replace") for f in first[new]]
+            new = keys
+        texts = [w.decode("utf-8", "replace") for w in new]
         made = ((array("I", x).tobytes(), len(wide.encode_ordinary(" " + t))) for x, t in zip(model.encode(texts, num_threads=1), texts, strict=True))
-        cache.update(zip((keys[i] for i in new), made, strict=True))
-    held = [cache[k] for k in keys]
+        cache.update(zip(new, made, strict=True))
+    held = [cache[w] for w in keys]
     ids = [x for x, _ in held]
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     wide_size = np.fromiter((n for _, n in held), np.int64, len(held))[inverse]

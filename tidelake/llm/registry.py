@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, extraction, jaccard, quality, sharding, substrings, url_filters, warc
+from . import bpe, chat, decontamination, extraction, jaccard, packing, quality, repair, runs, sharding, substrings, url_filters, warc
 from .common import written
 from .oracles import ORACLES
 
@@ -96,8 +96,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    hashed = pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    return packing.pack(hashed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    results, _ = repair.repair(repair.damage(rows))
+    every = rows.select("conv_id").distinct()
+    found = every.join(results, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.select("conv_id", *(count(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.plant_repeats(table(spark, sf_dir, "documents"))
+    found = runs.find_runs(docs)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.reduce("runs", F.element_at("runs", 1), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    flat = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return flat.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_warc, op4_url_filters, op5_html_extraction, op6_benchmark_decontamination, op7_substring_dedup, op8_chat_formatting, op9_ngram_jaccard_join, op10_sharding)}
+    f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_warc, op4_url_filters, op5_html_extraction, op6_benchmark_decontamination, op7_substring_dedup, op8_chat_formatting, op9_ngram_jaccard_join, op10_sharding,
+                             op11_best_fit_packing, op12_conversation_repair, op13_periodic_runs)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
