@@ -28,7 +28,7 @@ def main() -> None:
     steps = []
     for _ in range(RUNS + 1):  # a fixed task that tells how fast the machine is, to compare runs by
         began = time.perf_counter()
-        spark.range(40_000_000).selectExpr("sum(hash(id, id * 7)) AS s", "max(sha2(CAST(id % 1000 AS BINARY), 256)) AS m").write.format("noop").mode("overwrite").save()
+        spark.range(40_000_000).selectExpr("sum(hash(id, id * 7)) AS s", "max(sha2(CAST(id % 1000 AS STRING), 256)) AS m").write.format("noop").mode("overwrite").save()
         steps.append(time.perf_counter() - began)
     for name in HEADLINE:
         seconds = []
