@@ -2,7 +2,7 @@
 
 The order of shingles is rare-first by document frequency in 2**22 hash buckets, counted over all documents (any order
 that is the same for all documents gives right results; the fixed number of buckets keeps the table at 16 MB at any size). Documents of
-equal sets (128-bit digests of the shingles' hashes) are one node. A node's prefix holds all that must meet any partner; prefixes
+equal sets (digests of 128-bit hashes of all shingles) are one node. A node's prefix holds all that must meet any partner; prefixes
 meet by shingle, in lists sorted by length. Length, positional and suffix filters act on pairs of a list (suffix: a document's shingle
 counts between fixed pivots bound the overlap); each pair is verified once, by hashes and, before it counts as a link, by the words themselves.
 
@@ -16,18 +16,23 @@ No long list needs one task. Frequent shingles, told by the bucket counts, are h
 links, central members are combined maxima, and for the last pairs a list is dealt as blocks of SPLIT members, each of which meets the members
 outside the list's largest component (those are the only ones that can make a new link), a batch at a time. Other lists are bounded and searched whole.
 
-Defined results: null and empty texts have no shingles and link with nothing; the id names the document, so repeated rows of
-an id are one document and each row is returned; where such rows differ in text, each row has its own n_shingles and the component of its
-own set; a null id is an id that sorts before all others; an empty table gives an empty result.
+Words are hashed with a secret key of the run (nobody can choose texts whose hashes are equal; by chance 64 bits of two shingles are, once
+in 10**19 pairs); documents are one node by 128 bits for each shingle, and every other link is verified by words.
+
+Defined results: null and empty texts have no shingles and link with nothing; each row is returned, with its own n_shingles and the
+component of its own text: rows of one id with equal texts are one document, rows of one id (or of null) with different texts are several
+documents of that id, which link only if their texts do; a null id sorts before all others; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, digests, gram_hashes, mix, row_slices, tidied, utf8_parts, written
+from .common import Words, digests, gram_hashes, join_counted, mix, row_slices, tidied, utf8_parts, written
 
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
@@ -50,28 +55,26 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each text, sorted by row and hash."""
-    words = Words(raw, offsets, lower=True)
-    n = len(words.hash)
-    g = gram_hashes(words.hash, k)
-    valid = words.doc[: len(g)] == words.doc[k - 1 :] if len(g) else np.zeros(0, bool)
-    row, value = words.doc[: len(g)][valid], g[valid]
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int, key: bytes, wide: bool = False) -> tuple[np.ndarray, ...]:
+    """(row, hash) of the distinct shingles of each text, sorted by row and hash; wide: and 64 more bits of hash."""
+    words = Words(raw, offsets, lower=True, key=key)
+    valid = np.flatnonzero(words.doc[: max(0, len(words.ids) - k + 1)] == words.doc[k - 1 :])
     few = np.flatnonzero((words.counts > 0) & (words.counts < k))
-    if len(few):
-        first = np.concatenate([[0], np.cumsum(words.counts)])
+    first = np.concatenate([[0], np.cumsum(words.counts)])[few]
+
+    def shingles(h: np.ndarray) -> np.ndarray:
         whole = np.zeros(len(few), np.uint64)
-        for size in range(1, k):
+        for size in np.unique(words.counts[few]).tolist():
             of = words.counts[few] == size
-            whole[of] = gram_hashes(words.hash, size)[first[few[of]]] if of.any() else 0
-        row, value = np.concatenate([row, few]), np.concatenate([value, whole])
+            whole[of] = gram_hashes(h, size)[first[of]]
+        return np.concatenate([gram_hashes(h, k)[valid], whole])
+
+    row, value = np.concatenate([words.doc[valid], few]), shingles(words.hash)
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
-    if n and len(row):
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-        row, value = row[new], value[new]
-    return row, value
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return (row[new], value[new], shingles(words.other)[order][new]) if wide else (row[new], value[new])
 
 
 def _bucket(value: np.ndarray) -> np.ndarray:
@@ -84,31 +87,32 @@ def pivot_counts(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return np.minimum(n, 255).astype(np.uint8).reshape(rows, PIVOTS)
 
 
-def _survey(k: int):
-    """kind 0: (id, set size, digest of the set in two halves, counts between pivots) of each text; kind 1: (slice, counts) of the buckets at a partition's end."""
+def _survey(k: int, key: bytes):
+    """kind 0: (id, set size, digest of the set in two halves, print of the text, counts between pivots) of each text; kind 1: (slice, counts) of the buckets at a
+    partition's end."""
 
     def run(batches):
         seen = np.zeros(BUCKETS, np.uint32)
 
-        def rows(kind, a, b, c, d, counts):
+        def rows(kind, a, b, c, d, e, counts):
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, c, d)), pa.array(counts, pa.binary())], ["kind", "a", "b", "c", "d", "counts"])
+                [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, c, d, e)), pa.array(counts, pa.binary())], ["kind", "a", "b", "c", "d", "e", "counts"])
 
         for batch in batches:
-            ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            ids, prints = (np.asarray(batch.column(x).to_numpy(zero_copy_only=False), np.int64) for x in (0, 2))
             raw, off = utf8_parts(batch.column(1))
             for i, j in row_slices(off):
-                row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                row, value, other = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k, key, wide=True)
                 at, times = np.unique(_bucket(value), return_counts=True)
                 seen[at] += times.astype(np.uint32)
                 size = np.bincount(row, minlength=j - i)
-                ends = np.concatenate([[0], np.cumsum(size)]) * 8
-                of = digests(value.tobytes(), ends[:-1], ends[1:])
-                yield rows(0, ids[i:j], size, of[:, 0], of[:, 1], [x.tobytes() for x in pivot_counts(row, value, j - i)])
+                ends = np.concatenate([[0], np.cumsum(size)]) * 16
+                of = digests(np.stack([value, other], 1).tobytes(), ends[:-1], ends[1:])
+                yield rows(0, ids[i:j], size, of[:, 0], of[:, 1], prints[i:j], [x.tobytes() for x in pivot_counts(row, value, j - i)])
         if seen.any():
             n = np.arange(BUCKETS // SLICE)
             small = np.uint8 if seen.max() < 1 << 8 else np.uint16 if seen.max() < 1 << 16 else np.uint32
-            yield rows(1, n, n, n, n, [x.astype(small).tobytes() for x in seen.reshape(-1, SLICE)])
+            yield rows(1, n, n, n, n, n, [x.astype(small).tobytes() for x in seen.reshape(-1, SLICE)])
 
     return run
 
@@ -136,7 +140,7 @@ def hot_buckets(often: np.ndarray, hot: int) -> np.ndarray:
     return 1 + (np.maximum(often - usual, 0) // max(hot, 8 * usual**0.5)).astype(np.int64)
 
 
-def _prefixes(k: int, share: int, counts, hot: int):
+def _prefixes(k: int, share: int, counts, hot: int, key: bytes):
     """(token, salt, id, size << 32 | position) of each document's rare-first prefix; salt is -1 but for hot shingles."""
 
     def run(batches):
@@ -146,7 +150,7 @@ def _prefixes(k: int, share: int, counts, hot: int):
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             raw, off = utf8_parts(batch.column(1))
             for i, j in row_slices(off):
-                row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k, key)
                 order = np.lexsort((value, often[_bucket(value)], row))
                 value = value[order]
                 size = np.bincount(row, minlength=j - i)
@@ -368,7 +372,7 @@ def _shingles(text: bytes, k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {b" ".join(words)}
 
 
-def _verified(k: int, share: int):
+def _verified(k: int, share: int, key: bytes):
     """From texts sorted by leader, salt, member flag: (a, b) of the members that link with their leader."""
 
     def run(batches):
@@ -379,7 +383,7 @@ def _verified(k: int, share: int):
             text = raw.tobytes()
             a, b = [], []
             for i, j in row_slices(off):
-                row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                row, value = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k, key)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 for r in range(j - i):
                     own = value[ends[r] : ends[r + 1]]
@@ -407,7 +411,7 @@ def _verified(k: int, share: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str, key: bytes) -> DataFrame:
     """The pairs (a, b) that link, each text sent once for each pair it is the later of. pairs: a written table; docs: _id, _text."""
     salt = F.pmod(F.xxhash64("b"), F.lit(max(SALTS, pairs.count() // SALT_PAIRS))).cast("int")
     salted = pairs.withColumn("salt", salt)
@@ -416,7 +420,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, share: int, name: str) ->
     roles = written(roles, f"{name}-roles")
     sent = docs.join(_small(roles), F.col("_id") == F.col("doc")).select("leader", "salt", "doc", "member", "_text").repartition("leader", "salt")
     sent = sent.sortWithinPartitions("leader", "salt", "member", "doc")
-    return written(sent.mapInArrow(tidied(_verified(k, share)), "a bigint, b bigint").distinct(), name)
+    return written(sent.mapInArrow(tidied(_verified(k, share, key)), "a bigint, b bigint").distinct(), name)
 
 
 def _forest(batches):
@@ -499,28 +503,35 @@ def crossing_pairs(labelled: DataFrame, sketches: DataFrame, share: int) -> Data
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80) -> DataFrame:
     """id, n_shingles, component_id of each row of docs; two documents link at 100 * intersection >= share * union."""
     spark = docs.sparkSession
+    key = secrets.token_bytes(16)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("_id"), F.col(text_col).alias("_text"))
-    survey = written(base.mapInArrow(tidied(_survey(k)), "kind int, a bigint, b bigint, c bigint, d bigint, counts binary"), "survey")
+    print_ = -1 - F.conv(F.substring(F.sha2(F.concat(F.lit(key.hex()), F.coalesce("_text", F.lit(""))), 256), 1, 15), 16, 10).cast("long")
+    survey = written(base.select("_id", "_text", print_).mapInArrow(tidied(_survey(k, key)), "kind int, a bigint, b bigint, c bigint, d bigint, e bigint, counts binary"), "survey")
     often = np.zeros((BUCKETS // SLICE, SLICE), np.uint32)
     slices = survey.where("kind = 1").select("a", "counts").repartition("a").mapInArrow(tidied(_sum_slices), "a bigint, counts binary")
     for n, part in slices.collect():  # 4 bytes for each of BUCKETS
         often[n] = np.frombuffer(part, np.uint32)
     often = often.reshape(-1)
     counts = spark.sparkContext.broadcast(often)
-    sets = survey.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "c", "d", "counts")
-    nodes = sets.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    sets = survey.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "c", "d", "e", "counts", F.col("a").alias("real"))
+    # an id of different texts: each of them is named by its print, so that none is taken for another
+    several = written(sets.groupBy("real").agg(F.min("e").alias("lo"), F.max("e").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("real", "rows", F.lit(True).alias("several")), "several")
+    if not several.isEmpty():
+        sets = join_counted(sets, several, ["real"], n="rows").withColumn("id", F.when(F.col("several"), F.col("e")).otherwise(F.col("real"))).drop("several")
+        base = join_counted(base, several.withColumnRenamed("real", "_id"), ["_id"], n="rows").select(F.when(F.col("several"), print_).otherwise(F.col("_id")).alias("_id"), "_text")
+    nodes = sets.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("node"), F.min("real").alias("least"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     # ids that only stand for copies of another node, or have no shingles, send no prefix
     idle = sets.join(nodes.where("copies > 1"), ["n", "c", "d"], "left").where("n = 0 OR (copies > 1 AND id != node)").select(F.col("id").alias("idle"))
     active = base.join(_small(written(idle.distinct(), "idle")), F.col("_id") == F.col("idle"), "left_anti")
-    prefix = active.mapInArrow(tidied(_prefixes(k, share, counts, HOT)), "token bigint, salt int, id bigint, np bigint")
+    prefix = active.mapInArrow(tidied(_prefixes(k, share, counts, HOT, key)), "token bigint, salt int, id bigint, np bigint")
     size = F.shiftright("np", 32)
     lists = written(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", size, "id").mapInArrow(
         tidied(_lists(share)), "kind int, a bigint, b bigint, c bigint"), "lists")
     told = lists.where("kind = 1").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     best = told.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"), F.min("a").alias("least"))
     tried = written(best.select("a", "b").unionByName(best.select(F.col("least").alias("a"), "b")).distinct(), "near-pairs")
-    links = verify(tried, base, k, share, "near-links")
+    links = verify(tried, base, k, share, "near-links", key)
     found = components(links)
     rows = lists.where("kind != 1").select(F.col("a").alias("token"), F.col("c").alias("np"), F.col("b").alias("id"), (F.col("kind") == 2).alias("hot"))
     central = rows.groupBy("id").agg(F.count(F.lit(1)).alias("central"))
@@ -533,11 +544,16 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         ends = labelled.groupBy(F.col("token").alias("mixed")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("mixed")
         labelled = written(labelled.join(_small(written(ends, "mixed-lists")), F.col("token") == F.col("mixed"), "left_semi"), "mixed-rows")
         pairs = written(candidates(labelled, sketches, share).distinct().join(tried, ["a", "b"], "left_anti"), "crossing-pairs")
-        more = verify(pairs, base, k, share, "crossing-links")
+        more = verify(pairs, base, k, share, "crossing-links", key)
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
             found = components(written(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))), "all-links"))
-    labels = nodes.join(found, F.col("node") == F.col("id"), "left").select("n", "c", "d", F.coalesce("component", "node").alias("component"))
+    # a component is called by one of its nodes; its label is the least id of all its rows
+    linked = nodes.join(found, F.col("node") == F.col("id"), "left").select("n", "c", "d", "node", "least", F.coalesce("component", "node").alias("of"))
+    members = linked.where("of != node").groupBy("of").agg(F.min("least").alias("inner"), F.count(F.lit(1)).alias("rows"))
+    heads = nodes.select(F.col("node").alias("of"), F.col("least").alias("head"))
+    leasts = written(members.join(heads, "of").select("of", F.least("inner", "head").alias("first"), "rows"), "leasts")
+    labels = join_counted(linked.drop("node"), leasts, ["of"], n="rows").select("n", "c", "d", F.coalesce("first", "least").alias("first"))
     real = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
-    return sets.join(labels, ["n", "c", "d"], "left").withColumn("component", F.coalesce("component", "id")).select(
-        real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    return sets.join(labels, ["n", "c", "d"], "left").withColumn("first", F.coalesce("first", "real")).select(
+        real("real").alias(id_col), F.col("n").alias("n_shingles"), real("first").alias("component_id"))
