@@ -168,7 +168,7 @@ class _Tree(html.parser.HTMLParser):
         self.open[-1][2].append(data)
 
 
-INLINE, NO_TEXT, NOT_CONTAINER = {"a", "b", "em"}, {"script", "style", "title", "head"}, {"p", "h1", "h2", ""}
+INLINE, NO_TEXT, NOT_CONTAINER = {"a", "b", "em", "span", "code", "math", "mi"}, {"script", "style", "title", "head"}, {"p", "h1", "h2", ""}
 OUT_TAGS, OUT_CLASSES = {"nav", "footer", "aside", "form"}, {"ad", "comments", "share-buttons", "cookie-notice", "sidebar"}
 
 
@@ -184,7 +184,7 @@ def op5_blocks(page):
 
     def walk(node, chain, linked, article):
         tag, classes, children = node
-        if tag in NO_TEXT or tag in OUT_TAGS or tag == "header" and not article or tag not in ("header", "h1", "h2") and OUT_CLASSES & set(classes):
+        if tag in NO_TEXT or tag in OUT_TAGS or tag == "header" and not article or tag not in ("header", "h1", "h2") and tag not in INLINE and OUT_CLASSES & set(classes):
             flush(chain)
             return
         if tag == "br" or tag not in INLINE:

@@ -210,7 +210,7 @@ def random_page(r, template):
     words = lambda n: " ".join(r.choice(["one", "two", "three&amp;four", "f\u00fcnf", "six "]) for _ in range(n))
 
     def piece(depth):
-        kind = r.randrange(9)
+        kind = r.randrange(11)
         if kind < 3 or depth > 3:
             return f"<p>{words(r.randrange(1, 9))}<b>{words(2)}</b></p>"
         if kind == 3:
@@ -221,6 +221,10 @@ def random_page(r, template):
             return f"<div class='{r.choice(['ad', 'comments', 'share-buttons', 'related-work', 'no-sidebar', 'box7'])}'>{words(6)}</div>"
         if kind == 6:
             return f"<h2>{words(2)}</h2>"
+        if kind == 7:
+            return f"<p>{words(2)}<b class='ad'>{words(1)}</b> <math><mi>{words(1)}</mi></math> {words(1)}</p>"
+        if kind == 8:
+            return f"<pre><code>{words(1)} <span class='comments'># {words(2)}</span> {words(1)}</code></pre>"
         tag = r.choice(["div", "section", "div class='part3'"])
         return f"<{tag}>" + "".join(piece(depth + 1) for _ in range(r.randrange(1, 4))) + f"</{tag.split()[0]}>"
 
@@ -301,3 +305,10 @@ def test_pipeline_against_brute_force(spark):
     want = {r[0]: r[1] for r in B.op1([x for x in rows if x[0] in clean])}
     assert {r.doc_id: r.n_tokens for r in last} == want
     assert B.counted((r.doc_id, r.n_tokens) for r in C.run(spark, sf).collect()) == B.counted(want.items())
+
+
+def test_marked_words_inside_text_are_text():
+    page = ("<body><article><p>" + "word " * 40 + "</p><pre><code>x <span class='comment'># why</span> y</code></pre><p>Energy <math><mi>E</mi></math> holds</p>"
+            "<p>a <b class='ad'>AD</b> b</p><div class='ad'>gone</div><p>c <noscript>d</noscript> <svg><title>no</title><text>e</text></svg></p></article></body>")
+    got = extraction.text_under(page, ["/body/article"])
+    assert got.split("\n")[1:] == ["x # why y", "Energy E holds", "a AD b", "c d e"]

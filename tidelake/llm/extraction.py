@@ -9,12 +9,16 @@ under the winning path that holds most of their text, the one of most votes amon
 
 Menus, headers, footers, asides, notices, adverts, forms, scripts, styles and reader comments are left out by tag, or by a class or id
 all of whose parts mark such an element (`share-buttons` and `comments`, but not `related-work` or `no-sidebar`), wherever they stand but
-on headers and headings inside an article; a form or an element left out by its words that holds the page's article is taken
+on headers and headings inside an article, on inline elements, and inside paragraphs, pre and code, whose marked words are text (a highlighted
+comment of a program, say); a form or an element left out by its words that holds the page's article is taken
 back (see `_taken_back`).
 
 A page of n characters is read in time and memory that grow with n, however deep or broken its markup: elements are numbered, paths are
 interned by parent and label, and open elements are counted by name.
 
+What stands outside the winning container isn't given, though it may be a part of the article (a section that follows the article element):
+that is what the votes decide. Formulas (math), text of drawings and fallback text are text; titles and templates aren't.
+
 Defined results: null and empty html give an empty text; a null url belongs to host ""; repeated rows are read each; of paths with equal
 votes the shorter wins; markup that breaks off is read up to its end; very long pages are read whole; an empty table gives an empty
 result. Only the named columns are read, so others may have any name.
@@ -40,7 +44,7 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
+RAW = frozenset("script style template iframe textarea title select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -71,8 +75,8 @@ MOST, HELD = 0.8, 0.5
 FAIR = 0.05
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is left out, whether it may be taken back, and so without an article or main heading inside."""
+def _left_out(tag: str, attributes: str, inside_article: bool, inside_text: bool) -> tuple[bool, bool, bool]:
+    """Class words count on block elements, and not inside running text or code (inside_text), where they colour words. Whether an element is left out, whether it may be taken back, and so without an article or main heading inside."""
     if tag in LEFT_OUT or tag == "header" and not inside_article:
         return True, tag == "form", True
     if tag in ("html", "body", "article", "main") or not attributes:
@@ -83,7 +87,7 @@ def _left_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bo
         if m[1].lower() == "role":
             if value in ROLES:
                 return True, False, False
-        elif not (inside_article and tag in HEADINGS):
+        elif tag in BLOCK and not inside_text and not (inside_article and tag in HEADINGS):
             for name in value.split():
                 words = _WORD.findall(name)
                 marks = LEFT_OUT_WORDS.intersection(words)
@@ -267,7 +271,7 @@ class Page:
             above = stack[-1] if stack else ("", 0, -1, -1)
             opened[name] += 1
             within, container = above[2], above[1]
-            out_of, may, bare = _left_out(name, attributes, opened["article"] + opened["main"] > 0)
+            out_of, may, bare = _left_out(name, attributes, opened["article"] + opened["main"] > 0, opened["p"] + opened["pre"] + opened["code"] > 0)
             if out_of:
                 left.append((within, may, bare))
                 within = len(left) - 1
