@@ -1,6 +1,7 @@
-"""Missing-value strategies, in plan order. Fill values are scalars, collected in one aggregate for each run of fills."""
+"""Missing-value strategies, in plan order. Fill values are scalars, found together for each run of fills."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from typing import Any
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates as D
+from .heavy import modes
 from .profile import q
+from .ranks import exact_quantiles
 
 ALIASES = {"keep_null": "leave_as_is", "fill_constant": "fill_value", "skip": "leave_as_is"}
 KNOWN = ("drop_row", "fill_value", "fill_mode", "fill_mean", "fill_median", "leave_as_is")
@@ -68,12 +71,20 @@ def coerce_constant(value: Any, kind: T.DataType) -> Any:
     return str(value)
 
 
-def fill_statistic(df: DataFrame, column: str, strategy: str, kind: str) -> Column | None:
-    """The aggregate whose value fills a column; null where the strategy doesn't suit its type (then it is skipped)."""
-    c, have = q(column), df.schema[column].dataType
-    if strategy == "fill_mode":
-        return F.mode(c, deterministic=True)
-    mean = strategy == "fill_mean"
+@dataclass(frozen=True)
+class Statistic:
+    """What fills a column: the mean, median or mode of `over`, in the form that `back` gives it."""
+
+    how: str
+    over: Column
+    back: Callable[[Column], Column]
+
+
+def fill_statistic(df: DataFrame, column: str, strategy: str, kind: str) -> Statistic | None:
+    """The statistic that fills a column; null where the strategy doesn't suit its type (then it is skipped)."""
+    c, have, how = q(column), df.schema[column].dataType, strategy.removeprefix("fill_")
+    if how == "mode":
+        return Statistic(how, c, lambda v: v)
     if kind == "Temporal":
         if isinstance(have, T.StringType):
             t = D.parse_timestamp(c)
@@ -81,28 +92,38 @@ def fill_statistic(df: DataFrame, column: str, strategy: str, kind: str) -> Colu
             t = c.cast("timestamp_ntz")
         else:
             return None
-        m = F.avg(D.micros(t)) if mean else F.percentile(D.micros(t), 0.5)
-        back = D.from_micros(F.floor(m))
-        return F.date_format(back, "yyyy-MM-dd HH:mm:ss") if isinstance(have, T.StringType) else back.cast(have)
+        text = isinstance(have, T.StringType)
+        return Statistic(how, D.micros(t), lambda v: F.date_format(D.from_micros(F.floor(v)), "yyyy-MM-dd HH:mm:ss") if text else D.from_micros(F.floor(v)).cast(have))
     if not isinstance(have, T.NumericType):
         return None
-    v = F.avg(c) if mean else F.percentile(c, 0.5)
-    return (F.bround(v, 0) if kind == "Discrete" or isinstance(have, T.IntegralType) else v).cast(have)
+    whole = kind == "Discrete" or isinstance(have, T.IntegralType)
+    return Statistic(how, c, lambda v: (F.bround(v, 0) if whole else v).cast(have))
+
+
+def statistics(df: DataFrame, wanted: dict[str, Statistic]) -> dict[str, Any]:
+    """{column: value}: means in one aggregate, medians by counting, modes by grouping; no buffer grows with a column."""
+    means = {c: s for c, s in wanted.items() if s.how == "mean"}
+    found: dict[str, Any] = modes(df, [c for c, s in wanted.items() if s.how == "mode"], q)
+    raw = dict(zip(means, df.agg(*[F.avg(s.over) for s in means.values()]).first(), strict=True)) if means else {}
+    medians = exact_quantiles(df, {c: s.over for c, s in wanted.items() if s.how == "median"}, [0.5])
+    raw |= {c: v and v[0] for c, v in medians.items()}
+    if raw:
+        kinds = {c: "double" if c in medians else df.select(F.avg(wanted[c].over)).schema[0].dataType for c in raw}
+        made = df.sparkSession.range(1).select(*[wanted[c].back(F.lit(v).cast(kinds[c])).alias(f"v{i}") for i, (c, v) in enumerate(raw.items())]).first()
+        found |= dict(zip(raw, made, strict=True))
+    return found
 
 
 def apply_plan(df: DataFrame, plan: dict[str, dict | str], semantic: dict[str, dict] | None = None) -> ImputeResult:
     """plan: {column: strategy or {"strategy": ..., "fill_value": ...}}, applied in order; a drop_row changes what later columns see.
 
-    Statistics of consecutive fills come from one aggregate (they don't depend on each other); each drop_row ends a run."""
+    Statistics of consecutive fills are taken together (they don't depend on each other); each drop_row ends a run."""
     out, pending = ImputeResult(df), []
 
     def settle() -> None:
         if not pending:
             return
-        stats = {c: s for c, s, _ in pending if s is not None}
-        names = list(stats)
-        row = out.df.agg(*[stats[c].alias(f"v{i}") for i, c in enumerate(names)]).first() if names else ()
-        values = dict(zip(names, row, strict=True)) | {c: v for c, s, v in pending if s is None}
+        values = statistics(out.df, {c: s for c, s, _ in pending if s is not None}) | {c: v for c, s, v in pending if s is None}
         for c, v in values.items():
             if v is None:
                 out.notes[c] = "skipped: no value to fill with"

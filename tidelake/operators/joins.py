@@ -4,7 +4,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+from .heavy import modes
 from .profile import ROW, q
+from .ranks import exact_quantiles
 
 
 #: Stripes in which rows are numbered: FANOUT * FANOUT.
@@ -71,29 +74,89 @@ def placed(df: DataFrame, order: str = ROW, align: str = "position") -> DataFram
     return with_position(df, order) if align == "position" else df.withColumn("_pos", F.col(order))
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], right_on: str | None = None) -> DataFrame:
-    """left with the values of the last right row of the same keys at or before its `on`; a null key or `on` matches nothing. One shuffle on the
-    keys, no pairs."""
+#: Rows of one key that a task carries a value through, about; keys with more are cut into stripes of time.
+STRIPE_ROWS, MOST_STRIPES = 1_000_000, 1000
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], right_on: str | None = None, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """left with the values of the last right row of the same keys at or before its `on`; a null key or `on` matches nothing.
+
+    Both sides are put in order of time within a key, without pairs. A key of more than stripe_rows rows is cut into stripes of time at its own
+    quantiles; the last value of each stripe (one row) is carried on to the stripes after it. So no task has more than a stripe of a key."""
     right_on = right_on or on
     l = left.withColumns({"_t": F.col(on), "_side": F.lit(1)} | {f"_v_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values})
     r = right.select(*[F.col(b) for b in by], F.col(right_on).alias("_t"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    r = r.dropna(subset=[*by, "_t"])
     lacking = F.lit(False)
     for c in [*by, "_t"]:
         lacking = lacking | F.col(c).isNull()
-    w = Window.partitionBy(*by, "_odd").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    # rows that can match nothing are dealt by themselves, so they neither meet each other nor crowd one task
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("_odd", F.when(lacking, F.rand(7)))
-    seen = both.withColumns({v: F.last(F.when(F.col("_side") == 0, F.struct(f"_v_{v}")), ignorenulls=True).over(w)[f"_v_{v}"] for v in values})
-    return seen.where("_side = 1").drop("_t", "_side", "_odd", *[f"_v_{v}" for v in values])
-
-
-def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: int, by: list[str] | None = None) -> DataFrame:
-    """left points inside right intervals [low, high): both are dealt into buckets of `width`, then compared."""
-    keys = [*(by or []), "_bucket"]
-    l = left.withColumn("_bucket", F.floor(F.col(point) / width).cast("bigint"))
-    r = right.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width).cast("bigint"), F.floor((F.col(high) - 1) / width).cast("bigint"))))
-    return l.join(r, keys).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
+    alone = l.where(lacking)  # rows that can match nothing
+    both = l.where(~lacking).unionByName(r.dropna(subset=[*by, "_t"]), allowMissingColumns=True)
+
+    n = F.least(F.ceil(F.col("_n") / stripe_rows), F.lit(MOST_STRIPES)).cast("int")
+    large = both.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > stripe_rows).select(*by, n.alias("_stripes"))
+    keys = [F.col(b) for b in by]
+    shares = [i / MOST_STRIPES for i in range(1, MOST_STRIPES)]
+    cut = both.join(large, by).groupBy(*by).agg(F.percentile_approx("_t", shares, MOST_STRIPES).alias("_at"), F.first("_stripes").alias("_k"))
+    # of a thousand quantiles, as many evenly spaced ones as the key has stripes less one
+    bounds = cut.select(*keys, F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda i: F.get("_at", F.floor(i * MOST_STRIPES / F.col("_k")).cast("int") - 1)).alias("_bounds"))
+    bounds = written(bounds, "asof-bounds")
+    dealt = both.join(bounds, by, "left").withColumn("_stripe", F.coalesce(F.size(F.filter("_bounds", lambda x: x < F.col("_t"))), F.lit(0))).drop("_bounds")
+    last = F.when(F.col("_side") == 0, F.struct(*[f"_v_{v}" for v in values]))
+    near = Window.partitionBy(*by, "_stripe").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = dealt.withColumn("_near", F.last(last, ignorenulls=True).over(near))
+    ends = dealt.where("_side = 0").join(bounds.select(*by), by, "left_semi").groupBy(*by, "_stripe").agg(F.max_by(F.struct(*[f"_v_{v}" for v in values]), F.col("_t")).alias("_end"))
+    # stripes without right rows are in the frame of those before them
+    steps = bounds.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_stripe")).join(ends, [*by, "_stripe"], "left")
+    before = Window.partitionBy(*by).orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.withColumn("_far", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    found = seen.where("_side = 1").join(carried, [*by, "_stripe"], "left").withColumn("_got", F.coalesce("_near", "_far"))
+    got = found.unionByName(alone, allowMissingColumns=True)
+    return got.select(*[q(c) for c in left.columns if c not in values], *[F.col("_got")[f"_v_{v}"].alias(v) for v in values])
+
+
+def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float = 1, by: list[str] | None = None, cell_rows: int = 200_000) -> DataFrame:
+    """left points inside right intervals [low, high), whatever the intervals' widths.
+
+    Values are counted in units of `width` (which changes the cost only). An interval is the union of dyadic cells, two of each size at most, so a
+    wide interval is a few dozen rows; a point stands in one cell of each size that occurs. Cells of more than cell_rows points are
+    dealt to several tasks, to each of which their intervals go."""
+    unit = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    r = right.where(F.col(low) < F.col(high)).withColumn("_cells", dyadic_cells(unit(low), unit(high) + 1))
+    r = r.select(*right.columns, F.inline("_cells"))
+    sizes = [x[0] for x in r.select("_level").distinct().collect()]  # 63 at most
+    l = left.where(F.col(point).isNotNull()).withColumn("_unit", unit(point))
+    l = l.withColumn("_level", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("_cell", F.expr("shiftright(_unit, _level)")).drop("_unit")
+    keys = [*(by or []), "_level", "_cell"]
+    crowded = l.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell_rows).select(*keys, F.ceil(F.col("_n") / cell_rows).cast("int").alias("_parts"))
+    crowded = written(crowded, "crowded-cells")
+    parts = F.coalesce("_parts", F.lit(1))
+    l = l.join(crowded, keys, "left").withColumn("_part", F.floor(F.rand(11) * parts).cast("int")).drop("_parts")
+    r = r.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    met = l.join(r, [*keys, "_part"])
+    return met.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_level", "_cell", "_part")
+
+
+def dyadic_cells(a: Column, b: Column) -> Column:
+    """Array of (_level, _cell): the cells [cell * 2**level, (cell + 1) * 2**level) whose disjoint union is [a, b), two of a level at most."""
+    def of(level: Column) -> Column:
+        low = -F.call_function("shiftright", -a, level)  # upwards
+        high = F.call_function("shiftright", b, level)
+        left = F.when((F.abs(low % 2) == 1) & (low < high), low)
+        start = low + F.abs(low % 2)
+        right = F.when((F.abs(high % 2) == 1) & (high - 1 >= start) & (low < high), high - 1)
+        return F.array(F.struct(level.alias("_level"), left.alias("_cell")), F.struct(level.alias("_level"), right.alias("_cell")))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(61)), of))
+    return F.filter(every, lambda x: x["_cell"].isNotNull())
+
+
+def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, right_low: str, right_high: str, width: float = 1, by: list[str] | None = None) -> DataFrame:
+    """Pairs of left intervals [low, high) and right ones that share a point: either the right one starts inside the left one, or the left one starts
+    inside the right one and later."""
+    l, r = left.where(F.col(low) < F.col(high)), right.where(F.col(right_low) < F.col(right_high))
+    starts = range_join(r, l, right_low, low, high, width, by)
+    inside = range_join(l, r, low, right_low, right_high, width, by).where(F.col(low) > F.col(right_low))
+    return starts.select(*inside.columns).unionByName(inside)
 
 
 def truth_for_nulls(dirty: DataFrame, truth: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -128,9 +191,11 @@ def inferred_strategy(dirty: DataFrame, truth: DataFrame, column: str, options:
     else:
         keys = join_keys(dirty, truth)
         found = truth_for_nulls(dirty, truth, column, keys).select(name.alias("t")) if keys else truth.select(name.alias("t")).limit(0)
-    t = found.agg(F.count(F.lit(1)).alias("found"), F.count("t").alias("told"), F.mode("t", deterministic=True).alias("value"))
+    most = lambda df, c: F.lit(modes(df, [c], q)[c]).cast(df.schema[c].dataType)
+    t = found.agg(F.count(F.lit(1)).alias("found"), F.count("t").alias("told")).withColumn("value", most(found, "t"))
     number = dirty.select(name.try_cast("double").alias("x"), name.alias("v"))
-    s = number.agg(F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.mode("v", deterministic=True).alias("mode"))
+    median = exact_quantiles(number, {"x": F.col("x")}, [0.5])["x"]
+    s = number.agg(F.avg("x").alias("mean")).withColumns({"median": F.lit(median and median[0]).cast("double"), "mode": most(number, "v")})
     v = F.col("value").try_cast("double")
 
     def near(c: str) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.nullness import DISGUISED, strip
+from .heavy import top_values
+from .ranks import exact_quantiles
 
 ROW = "_row_index"
 #: Columns whose exact distinct counts share one aggregate.
@@ -73,10 +75,11 @@ def dataset_rollup(stats: DataFrame) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Spread and shape of numeric columns, one row each. Quantiles are exact with linear interpolation and hold a column's distinct
-    values in memory; approx takes sketches instead."""
+    """Spread and shape of numeric columns, one row each. Quantiles are exact with linear interpolation, found by counting (`ranks`),
+    so no buffer grows with a column; approx takes sketches instead, in the same pass as all else."""
     columns = columns or [c for c in data_columns(df) if is_numeric(df, c)]
-    n = F.count(F.lit(1))
+    n, cuts = F.count(F.lit(1)), [0.05, 0.25, 0.5, 0.75, 0.95]
+    exact = {} if approx else exact_quantiles(df, {c: q(c).cast("double") for c in columns}, cuts)
 
     def each(c: str) -> Column:
         x = q(c).cast("double")
@@ -84,8 +87,8 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None, approx: bool
         many = lambda v, least: F.when(k >= least, v).otherwise(F.lit(float("nan")))
         skew = F.when(F.var_pop(x) == 0, 0.0).otherwise(F.skewness(x) * F.sqrt(k * (k - 1)) / F.nullif(k - 2, F.lit(0)))
         kurt = F.when(F.var_pop(x) == 0, 0.0).otherwise((k - 1) / F.nullif((k - 2) * (k - 3), F.lit(0)) * ((k + 1) * F.kurtosis(x) + 6))
-        cuts = [0.05, 0.25, 0.5, 0.75, 0.95]
-        p = F.percentile_approx(x, cuts, 10_000) if approx else F.percentile(x, F.array(*map(F.lit, cuts)))
+        held = F.array(*map(F.lit, exact[c])) if exact.get(c) else F.lit(None)
+        p = F.percentile_approx(x, cuts, 10_000) if approx else held.cast("array<double>")
         return F.struct(
             F.lit(c).alias("column_name"), k.alias("values_count"), (n - k).alias("missing_count"), F.count_if(x == 0).alias("zeroes_count"),
             F.coalesce(F.round(F.try_divide(F.count_if(x == 0), n), 4), F.lit(0.0)).alias("zeroes_pct"),
@@ -115,20 +118,17 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 def top_frequencies(df: DataFrame, columns: list[str], order: str = ROW, k: int = 5) -> DataFrame:
     """column_name, rank, value, n, pct of the k most frequent values of each column, and (Other). Ties: first seen. One scan counts all
-    columns' values, one more a column groups them."""
+    columns' values, two find the most frequent ones of all columns that have such (`heavy`)."""
     totals = df.agg(F.count(F.lit(1)), *[F.count(q(c)) for c in columns]).first()
-    out = []
-    for c, present in zip(columns, totals[1:], strict=True):
-        groups = df.where(q(c).isNotNull()).groupBy(q(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-        top = groups.orderBy(F.desc("n"), "first").limit(k)
-        lists = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "value", "n"))).alias("l"))
-        taken = F.aggregate("l", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-        rows = F.transform("l", lambda x, i: F.struct((i + 1).alias("rank"), x["value"].alias("value"), x["n"].alias("n")))
-        rest = F.when(F.lit(present) > taken, F.array(F.struct(F.lit(k + 1).alias("rank"), F.lit("(Other)").alias("value"), (F.lit(present).cast("bigint") - taken).alias("n")))).otherwise(
-            F.array().cast("array<struct<rank:int,value:string,n:bigint>>"))
-        out.append(lists.select(F.inline(F.concat(rows, rest))).select(
-            F.lit(c).alias("column_name"), "rank", "value", "n", F.round(F.col("n") / F.lit(totals[0]), 4).alias("pct")))
-    return reduce(DataFrame.unionByName, out)
+    present = df.sparkSession.createDataFrame([(c, n) for c, n in zip(columns, totals[1:], strict=True)], "of string, present bigint")  # a row for each column
+    top = top_values(df, {c: q(c) for c in columns}, k, order)
+    lists = top.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "value", "n"))).alias("l"))
+    taken = F.aggregate("l", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    rows = F.transform("l", lambda x, i: F.struct((i + 1).alias("rank"), x["value"].alias("value"), x["n"].alias("n")))
+    rest = F.when(F.col("present") > taken, F.array(F.struct(F.lit(k + 1).alias("rank"), F.lit("(Other)").alias("value"), (F.col("present") - taken).alias("n")))).otherwise(
+        F.array().cast("array<struct<rank:int,value:string,n:bigint>>"))
+    made = lists.join(F.broadcast(present), F.col("column_name") == F.col("of")).select("column_name", F.inline(F.concat(rows, rest)))
+    return made.select("column_name", "rank", "value", "n", F.round(F.col("n") / F.lit(totals[0]), 4).alias("pct"))
 
 
 def format_patterns(df: DataFrame, column: str, order: str = ROW, head: int = 10_000, most: int = 15, legacy: bool = True) -> DataFrame:
