@@ -13,7 +13,7 @@ from tidelake.operators import relational as Q
 from tidelake.plans import sql_console
 
 
-@pytest.mark.parametrize("held", [1, 40, 1 << 16])
+@pytest.mark.parametrize("held", [1, 40, ranks.HELD])
 def test_quantiles_equal_the_sorted_ones(spark, held):
     r = random.Random(held)
     rows = [(float(r.choice([1, 1, 2]) if r.random() < 0.5 else r.gauss(0, 1e3)), None if r.random() < 0.1 else r.lognormvariate(0, 9), r.randrange(3), None) for _ in range(4000)]

@@ -19,16 +19,19 @@ TRACKED = 8192
 _PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def top_values(df: DataFrame, columns: dict[str, Column], k: int, order: str | None = None, proofs: dict[str, bool] | None = None) -> DataFrame:
+def top_values(df: DataFrame, columns: dict[str, Column], k: int, order: str | None = None, proofs: dict[str, bool] | None = None, totals: dict[str | None, int] | None = None) -> DataFrame:
     """column_name, value (string), n, first of the k most frequent values of each column, nulls left out. Of equally frequent ones those come first
-    whose least `order` is less (first; null without order: then by value). proofs is told which columns' candidates were proven."""
+    whose least `order` is less (first; null without order: then by value). proofs is told which columns' candidates were proven,
+    totals how many values each column has (under null: rows)."""
     names = list(columns)
     kinds = df.select(*[columns[c].alias(f"v{i}") for i, c in enumerate(names)]).schema
     plain = [i for i in range(len(names)) if isinstance(kinds[i].dataType, _PLAIN)]
     first = F.min(F.col(order)) if order else F.lit(None).cast("bigint")
     base = df.select(*[columns[c].cast("string").alias(f"v{i}") for i, c in enumerate(names)], *([F.col(order)] if order else []))
     wide = max(64, 4 * k)
-    told = base.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in plain], *[F.expr(f"approx_top_k(v{i}, {wide}, {TRACKED})").alias(f"t{i}") for i in plain]).first() if plain else None
+    told = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))], *[F.expr(f"approx_top_k(v{i}, {wide}, {TRACKED})").alias(f"t{i}") for i in plain]).first()
+    if totals is not None:
+        totals.update({None: told["n"]} | {c: told[f"n{i}"] for i, c in enumerate(names)})
     named = [(i, r["item"], r["count"]) for i in plain for r in told[f"t{i}"] if r["item"] is not None]
     proven: set[int] = set()
     counted = None

@@ -94,6 +94,12 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
 
     n = F.least(F.ceil(F.col("_n") / stripe_rows), F.lit(MOST_STRIPES)).cast("int")
     large = both.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > stripe_rows).select(*by, n.alias("_stripes"))
+    last = F.when(F.col("_side") == 0, F.struct(*[f"_v_{v}" for v in values]))
+    named = [q(c) for c in left.columns if c not in values], [F.col("_got")[f"_v_{v}"].alias(v) for v in values]
+    if large.isEmpty():
+        w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_got", F.last(last, ignorenulls=True).over(w)).where("_side = 1")
+        return found.unionByName(alone, allowMissingColumns=True).select(*named[0], *named[1])
     keys = [F.col(b) for b in by]
     shares = [i / MOST_STRIPES for i in range(1, MOST_STRIPES)]
     cut = both.join(large, by).groupBy(*by).agg(F.percentile_approx("_t", shares, MOST_STRIPES).alias("_at"), F.first("_stripes").alias("_k"))
@@ -101,7 +107,6 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
     bounds = cut.select(*keys, F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda i: F.get("_at", F.floor(i * MOST_STRIPES / F.col("_k")).cast("int") - 1)).alias("_bounds"))
     bounds = written(bounds, "asof-bounds")
     dealt = both.join(bounds, by, "left").withColumn("_stripe", F.coalesce(F.size(F.filter("_bounds", lambda x: x < F.col("_t"))), F.lit(0))).drop("_bounds")
-    last = F.when(F.col("_side") == 0, F.struct(*[f"_v_{v}" for v in values]))
     near = Window.partitionBy(*by, "_stripe").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     seen = dealt.withColumn("_near", F.last(last, ignorenulls=True).over(near))
     ends = dealt.where("_side = 0").join(bounds.select(*by), by, "left_semi").groupBy(*by, "_stripe").agg(F.max_by(F.struct(*[f"_v_{v}" for v in values]), F.col("_t")).alias("_end"))
@@ -110,8 +115,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
     before = Window.partitionBy(*by).orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
     carried = steps.withColumn("_far", F.last("_end", ignorenulls=True).over(before)).drop("_end")
     found = seen.where("_side = 1").join(carried, [*by, "_stripe"], "left").withColumn("_got", F.coalesce("_near", "_far"))
-    got = found.unionByName(alone, allowMissingColumns=True)
-    return got.select(*[q(c) for c in left.columns if c not in values], *[F.col("_got")[f"_v_{v}"].alias(v) for v in values])
+    return found.unionByName(alone, allowMissingColumns=True).select(*named[0], *named[1])
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float = 1, by: list[str] | None = None, cell_rows: int = 200_000) -> DataFrame:

@@ -117,18 +117,18 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def top_frequencies(df: DataFrame, columns: list[str], order: str = ROW, k: int = 5) -> DataFrame:
-    """column_name, rank, value, n, pct of the k most frequent values of each column, and (Other). Ties: first seen. One scan counts all
-    columns' values, two find the most frequent ones of all columns that have such (`heavy`)."""
-    totals = df.agg(F.count(F.lit(1)), *[F.count(q(c)) for c in columns]).first()
-    present = df.sparkSession.createDataFrame([(c, n) for c, n in zip(columns, totals[1:], strict=True)], "of string, present bigint")  # a row for each column
-    top = top_values(df, {c: q(c) for c in columns}, k, order)
+    """column_name, rank, value, n, pct of the k most frequent values of each column, and (Other). Ties: first seen. Two scans find the most
+    frequent values of all columns that have such (`heavy`)."""
+    totals: dict[str | None, int] = {}
+    top = top_values(df, {c: q(c) for c in columns}, k, order, totals=totals)
+    present = df.sparkSession.createDataFrame([(c, totals[c]) for c in columns], "of string, present bigint")  # a row for each column
     lists = top.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "value", "n"))).alias("l"))
     taken = F.aggregate("l", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
     rows = F.transform("l", lambda x, i: F.struct((i + 1).alias("rank"), x["value"].alias("value"), x["n"].alias("n")))
     rest = F.when(F.col("present") > taken, F.array(F.struct(F.lit(k + 1).alias("rank"), F.lit("(Other)").alias("value"), (F.col("present") - taken).alias("n")))).otherwise(
         F.array().cast("array<struct<rank:int,value:string,n:bigint>>"))
     made = lists.join(F.broadcast(present), F.col("column_name") == F.col("of")).select("column_name", F.inline(F.concat(rows, rest)))
-    return made.select("column_name", "rank", "value", "n", F.round(F.col("n") / F.lit(totals[0]), 4).alias("pct"))
+    return made.select("column_name", "rank", "value", "n", F.round(F.col("n") / F.lit(totals[None]), 4).alias("pct"))
 
 
 def format_patterns(df: DataFrame, column: str, order: str = ROW, head: int = 10_000, most: int = 15, legacy: bool = True) -> DataFrame:

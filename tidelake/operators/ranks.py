@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most values that one buffer holds, and the sketch's accuracy (its ranks are right within 1 / ACCURACY).
-HELD, ACCURACY = 1 << 16, 10_000
+HELD, ACCURACY = 1 << 20, 10_000
 
 
 @dataclass
