@@ -134,17 +134,30 @@ def complete_dates(df: DataFrame, column: str, order: str) -> DataFrame:
     return out.drop("_day", "_timed")
 
 
-def format_of(sample: str) -> str | None:
-    """The strftime format that writes one value as it stands."""
+def inferred_order() -> list[str]:
+    """strftime formats in the order in which a value's format is guessed: as they are read, but day first where day and month can't be told."""
+    names = [f for _, f in FORMATS]
+    return sorted(names, key=lambda f: (names.index(f.replace("%d", "%D").replace("%m", "%d").replace("%D", "%m")) if f.startswith("%d") and f[3:5] == "%m" else names.index(f), not f.startswith("%d")))
+
+
+def read_as(sample: str) -> datetime | None:
+    """A value by the first format that reads it, month first."""
     for _, f in FORMATS:
         try:
-            if datetime.strptime(sample.strip(), f).strftime(f).lower() == sample.strip().lower():
-                return f
+            return datetime.strptime(sample, f)
         except ValueError:
             continue
     return None
 
 
+def format_of(sample: str) -> str | None:
+    """The first strftime format, day first, that writes a value as it stands; the value itself is read month first. So 03/04/2024 is
+    the fourth of March, but 04/04/2024 and 31/12/2024 are written day first."""
+    text = sample.strip()
+    value = read_as(text)
+    return next((f for f in inferred_order() if value.strftime(f).lower() == text.lower()), None) if value else None
+
+
 def java_format(strftime: str) -> str | None:
     return next((j for j, f in FORMATS if f == strftime), None)
 

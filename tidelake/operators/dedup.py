@@ -1,6 +1,7 @@
 """Exact deduplication: full rows and normalised keys, with explicit survivors. Input order is the column ROW."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,14 +108,14 @@ def check_decision(decision: DedupDecision, stats: dict[str, dict], df: DataFram
     return DedupDecision(keys, decision.keep, {c: h for c, h in decision.handlers.items() if c in keys}, decision.reason)
 
 
-def fallback_decision(df: DataFrame, stats: DataFrame, planned_keys: list[str], planned_columns: list[str]) -> DedupDecision:
-    """The first of planned keys, planned columns, near-unique columns and key candidates that has duplicates; else full rows."""
+def fallback_decision(df: DataFrame, stats: DataFrame, planned_keys: list[str], planned_columns: list[str], usable: Callable[[list[str]], bool] | None = None) -> DedupDecision:
+    """The first of planned keys, planned columns, near-unique columns and key candidates that can serve (usable) and has duplicates; else full rows."""
     rows = stats.select("column_name", "unique_category").collect()  # a row for each column
     near = [r[0] for r in rows if r[1] == "near_unique"]
     candidates = [r[0] for r in rows if r[1] == "primary_key"]
     for why, keys in (("planned keys", planned_keys), ("planned columns", planned_columns), ("near-unique columns", near[:1]), ("key candidates", candidates[:1])):
         keys = [c for c in keys if c in df.columns]
-        if keys and has_duplicates(df, keys):
+        if keys and (usable is None or usable(keys)) and has_duplicates(df, keys):
             return DedupDecision(keys, reason=why)
     return DedupDecision([], reason="full rows")
 

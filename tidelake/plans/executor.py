@@ -3,18 +3,22 @@ from __future__ import annotations
 
 import logging
 import time
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..operators import cast as C
-from ..operators import dedup as E
 from ..operators import impute as I
 from ..operators import rules as V
+from ..operators.profile import q
+from . import dedup_task
+from .dedup_task import planned_decision, reused_decision, saved_decision
 from .lineage import LineageStore
-from .specs import CleaningPlan, ColumnSpec, Task, context_hash
+from .specs import CleaningPlan, ColumnSpec, Task
 
+__all__ = ["apply", "captured_formats", "metrics", "planned_decision", "repaired", "reused_decision", "run", "saved_decision", "write_artifact", "written_as"]
 log = logging.getLogger(__name__)
 
 
@@ -38,12 +42,19 @@ class RunResult:
     df: DataFrame
     tasks: list[TaskResult]
     needs_replan: bool = False
+    formats: dict[str, str] = field(default_factory=dict)  # strftime formats that date columns were written in
+    decisions: dict[str, Any] = field(default_factory=dict)
+    artifacts: dict[str, str] = field(default_factory=dict)  # where each task's table was written
 
 
-def apply(task: Task, df: DataFrame, specs: dict[str, ColumnSpec]) -> tuple[DataFrame, dict[str, str], list[str]]:
-    """The table after one task, notes, and rules that failed already: columns that the task can't treat."""
+def apply(task: Task, df: DataFrame, specs: dict[str, ColumnSpec], decisions: dict[str, Any] | None = None) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """The table after one task, notes, and rules that failed already: columns that the task can't treat, duplicates that are left. decisions: those
+    of earlier runs by task, which are taken again where nothing they depend on has changed, and which this run's replace."""
     if task.task_id == "deduplication":
-        return E.run(df, planned_decision(task)), {}, []
+        done = dedup_task.run(df, task, specs, decisions.get(task.task_id) if decisions is not None else None)
+        if decisions is not None:
+            decisions[task.task_id] = done.saved
+        return done.df, done.notes | {"next_action": done.payload["next_action"]}, done.failed
     if task.task_id == "type_casting":
         out, failed = C.cast_checked(df, C.cast_plan(task.strategy, list(task.strategy), {c: s.expected_type for c, s in specs.items()}))
         return out, {}, failed
@@ -53,24 +64,6 @@ def apply(task: Task, df: DataFrame, specs: dict[str, ColumnSpec]) -> tuple[Data
     raise ValueError(f"unknown task {task.task_id}")
 
 
-def planned_decision(task: Task) -> E.DedupDecision:
-    """The decision that a planner's deduplication task states: its keys without ignored columns, survivor rule and handlers."""
-    s = task.strategy
-    keys = list(dict.fromkeys(s.get("keys") or s.get("primary_keys") or (s.get("key_based") or {}).get("keys") or []))
-    return E.DedupDecision([k for k in keys if k not in set(s.get("ignored_columns") or [])], s.get("keep", "keep_most_complete"), dict(s.get("handlers", {})), "the plan's own decision")
-
-
-def reused_decision(context: dict[str, Any], saved: dict[str, Any] | None) -> E.DedupDecision | None:
-    """The saved decision {context_hash, decision} if it was made in an equal context, else null."""
-    if not saved or saved.get("context_hash") != context_hash(context):
-        return None
-    return E.DedupDecision(**saved["decision"])
-
-
-def saved_decision(context: dict[str, Any], decision: E.DedupDecision) -> dict[str, Any]:
-    return {"context_hash": context_hash(context), "decision": asdict(decision)}
-
-
 def repaired(task: Task, failed: list[str]) -> Task:
     """The task without what failed: columns whose cast or check failed are left as they are. The same task if no column is to blame."""
     columns = {r.split(":", 1)[1] for r in failed if ":" in r} & set(task.strategy)
@@ -93,13 +86,16 @@ def write_artifact(df: DataFrame, path: str, fallback: str, session: str, task:
         return f"{fallback.rstrip('/')}/{name}"
 
 
-def run(plan: CleaningPlan, df: DataFrame, store: LineageStore, session: str, specs: dict[str, ColumnSpec] | None = None) -> RunResult:
+def run(plan: CleaningPlan, df: DataFrame, store: LineageStore, session: str, specs: dict[str, ColumnSpec] | None = None,
+        decisions: dict[str, Any] | None = None, artifacts: tuple[str, str] | None = None, keep_formats: bool = False) -> RunResult:
     """All active tasks. A task that fails, by a rule or by an error, is tried again up to the plan's retries if it can be repaired; then the run
     stops and asks for a new plan, with what failed.
 
     Each task's table is written once as its version and read back, so validation and the next task don't repeat the work;
-    a version of a failed task isn't published."""
-    specs, results = specs or {}, []
+    a version of a failed task isn't published. artifacts: a folder, and one to fall back to, in which each task's table is written too.
+    keep_formats: columns that became dates are written, once all tasks have passed, in the format of their first value, as a last version."""
+    specs, results, formats, paths = specs or {}, [], {}, {}
+    decisions = dict(decisions or {})
     if store.latest_number(session) == 0:
         store.append(session, df, "ingest", "original")
         df = store.read(session)
@@ -108,7 +104,9 @@ def run(plan: CleaningPlan, df: DataFrame, store: LineageStore, session: str, sp
         for attempt in range(1, plan.max_retries + 1):
             began, after, version, notes, failed = time.time(), before, None, {}, []
             try:
-                out, notes, failed = apply(now, df, specs)
+                if keep_formats and now.task_id == "type_casting":
+                    formats = captured_formats(df, C.cast_plan(now.strategy, list(now.strategy), {c: s.expected_type for c, s in specs.items()}))
+                out, notes, failed = apply(now, df, specs, decisions)
                 out = out.persist()
                 try:
                     after = out.count()
@@ -126,6 +124,8 @@ def run(plan: CleaningPlan, df: DataFrame, store: LineageStore, session: str, sp
             result = TaskResult(now.task_id, not failed, before, after, version, failed, notes, round(time.time() - began, 3), attempt)
             if not failed:
                 df = store.read(session)
+                if artifacts:
+                    paths[task.task_id] = write_artifact(df, *artifacts, session, task)
                 left = sorted(set(task.strategy) - set(now.strategy))
                 if left:
                     result.notes["left_as_they_are"] = ", ".join(left)
@@ -136,11 +136,29 @@ def run(plan: CleaningPlan, df: DataFrame, store: LineageStore, session: str, sp
             now = again
         results.append(result)
         if not result.passed:
-            return RunResult(df, results, needs_replan=True)
-    return RunResult(df, results)
+            return RunResult(df, results, True, formats, decisions, paths)
+    if formats:
+        df = written_as(df, formats)
+        store.append(session, df, "formatting", "dates as they were written")
+        df = store.read(session)
+    return RunResult(df, results, False, formats, decisions, paths)
+
+
+def captured_formats(df: DataFrame, plan: dict[str, str]) -> dict[str, str]:
+    """The strftime format of the first value of each string column that becomes a date or date-time."""
+    dates = [c for c, t in plan.items() if C.logical_type(t) in ("date", "datetime") and c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+    return {c: f for c in dates if (f := C.original_format(df, c)[1])}
+
+
+def written_as(df: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """Date columns as strings in their original formats; others, and columns that are strings still, stay."""
+    temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    todo = {c: f for c, f in formats.items() if c in df.columns and isinstance(df.schema[c].dataType, temporal)}
+    return df.withColumns({c: C.restore_format(q(c), f) for c, f in todo.items()}) if todo else df
 
 
 def metrics(result: RunResult) -> dict[str, Any]:
-    """Totals of a run."""
-    return {"tasks": len(result.tasks), "passed": all(t.passed for t in result.tasks), "seconds": round(sum(t.seconds for t in result.tasks), 3),
+    """Totals of a run, and seconds, rows and attempts of each task."""
+    each = {t.task_id: {"seconds": t.seconds, "rows_before": t.rows_before, "rows_after": t.rows_after, "attempts": t.attempts, "failed_rules": len(t.failed_rules), "version": t.version} for t in result.tasks}
+    return {"by_task": each, "tasks": len(result.tasks), "passed": all(t.passed for t in result.tasks), "seconds": round(sum(t.seconds for t in result.tasks), 3),
             "rows_removed": sum(t.rows_before - t.rows_after for t in result.tasks)}
