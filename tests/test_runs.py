@@ -127,3 +127,17 @@ def test_a_long_chain_takes_few_rounds(spark):
     chain, told = spark.range(10_000).selectExpr("id AS row_a", "id + 1 AS row_b", "0 AS na", "0 AS nb"), []
     got = Z.merge_losers(chain, "keep_first", told=told)
     assert sorted(x.loser for x in got.collect()) == list(range(1, 10_001, 2)) and told[0] <= 20
+
+
+def test_writers_at_once_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = LineageStore(spark, str(tmp_path / "s"))
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: (i, store.append("a", spark.range(i + 1).withColumnRenamed("id", ROW), f"w{i}")), range(4)))
+    assert sorted(n for _, n in made) == [1, 2, 3, 4]
+    assert all(store.read("a", n).count() == i + 1 for i, n in made)
+    with pytest.raises(Exception):
+        store.append("a", spark.range(1).select(F.raise_error(F.lit("no")).alias(ROW)), "w")
+    assert store.latest_number("a") == 4 and len(list((tmp_path / "s" / "data" / "a").iterdir())) == 4
+    assert [store._claimed("b", 1) for _ in range(2)] == [True, False]

@@ -1,7 +1,7 @@
 """Immutable dataset versions: one Parquet folder per (session, version), published by a catalog entry.
 
-Data is written before its entry, so a failed append leaves nothing visible. Entries are small JSON tables; the version's number
-is the greatest published one plus one. One writer per session is assumed, as versions of a session are made in order."""
+Data is written before its entry, so a failed append leaves nothing visible. Entries are small JSON tables, a folder each; the version's
+number is the first that no writer has claimed. Writers may append at the same time."""
 from __future__ import annotations
 
 import uuid
@@ -28,20 +28,46 @@ class LineageStore:
     def versions(self, session: str) -> DataFrame:
         """The session's catalog entries by version."""
         path = f"{self.root}/catalog/{session}"
-        df = self.spark.read.schema(CATALOG).json(path) if self._exists(path) else self.spark.createDataFrame([], CATALOG)
+        df = self.spark.read.schema(CATALOG).option("recursiveFileLookup", True).json(path) if self._exists(path) else self.spark.createDataFrame([], CATALOG)
         return df.orderBy("version")
 
     def latest_number(self, session: str) -> int:
         return self.versions(session).agg(F.max("version")).first()[0] or 0
 
+    def _claimed(self, session: str, n: int) -> bool:
+        """Whether this call made the session's claim on version n: an empty file that one writer only can create."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{session}/{n}")
+        fs = at.getFileSystem(conf)
+        fs.mkdirs(at.getParent())
+        try:
+            if fs.getUri().getScheme() == "file":  # there Hadoop looks before it creates, which isn't one step
+                none = self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0)
+                jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(at.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)), none)
+            else:
+                fs.create(at, False).close()
+            return True
+        except Exception as e:  # py4j wraps the JVM's
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+
     def append(self, session: str, df: DataFrame, agent: str, description: str = "") -> int:
-        """Publishes df as the next version."""
-        n = self.latest_number(session) + 1
+        """Publishes df as the next version. Data is written first; then the first free number is claimed, which one writer only gets, and the entry
+        published. Writers at the same time so get different versions, in the order of their claims; data that can't be published is removed."""
         ident = uuid.uuid4().hex
-        path = f"{self.root}/data/{session}/v={n}-{ident}"
-        (df if ROW in df.columns else with_row_index(df)).write.parquet(path)
-        row = [(ident, session, n, agent, description, datetime.now(UTC).isoformat(), path)]
-        self.spark.createDataFrame(row, CATALOG).coalesce(1).write.mode("append").json(f"{self.root}/catalog/{session}")
+        path = f"{self.root}/data/{session}/{ident}"
+        try:
+            (df if ROW in df.columns else with_row_index(df)).write.parquet(path)
+            n = self.latest_number(session) + 1
+            while not self._claimed(session, n):
+                n += 1
+            row = [(ident, session, n, agent, description, datetime.now(UTC).isoformat(), path)]
+            self.spark.createDataFrame(row, CATALOG).coalesce(1).write.json(f"{self.root}/catalog/{session}/{n}")
+        except Exception:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            raise
         return n
 
     def append_chunks(self, session: str, chunks: list[DataFrame], agent: str, description: str = "") -> int:

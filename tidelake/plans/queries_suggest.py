@@ -1,6 +1,7 @@
 """Suggestion and look-up queries."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -55,6 +56,35 @@ def spec_errors_first(spark, sf_dir):
     return U.failed_first(U.spec_table(spark, SPECS), ["age"]).select("column_name", "is_error", "n_errors")
 
 
+_CATEGORY = "CASE WHEN r = 1 THEN 'primary_key' WHEN r > 0.8 THEN 'near_unique' WHEN r > 0.2 THEN 'regular' WHEN r > 0 THEN 'categorical' ELSE 'constant' END"
+_D1_COLUMNS = ["o_custkey", "price", "priority", "odate", "status"]
+
+
+def _profiled(spark, sf_dir):
+    return U.profiled_specs(P.column_stats(d1(spark, sf_dir).select(P.ROW, *_D1_COLUMNS)), _D1_COLUMNS)
+
+
+@R.add("spec_search_profiled", f"WITH {D1}, s AS ({_STATS}) SELECT c AS column_name, {_CATEGORY} AS semantic_type FROM s WHERE {_CATEGORY} = 'categorical' AND contains(c, 'o')")
+def spec_search_profiled(spark, sf_dir):
+    """Specs derived from a table, searched by text and group."""
+    found = U.search_specs(_profiled(spark, sf_dir).withColumns({"expected_type": F.lit(""), "semantic_type": F.lit(""), "description": F.lit("")}), "O", "categorical")
+    return found.select("column_name", F.col("logical_group").alias("semantic_type"))
+
+
+@R.add("spec_groups_profiled", f"WITH {D1}, s AS ({_STATS}), o AS (SELECT c, r, list_position({_D1_COLUMNS}, c) AS p FROM s) SELECT {_CATEGORY} AS logical_group, string_agg(c, ',' ORDER BY p) AS columns FROM o GROUP BY 1")
+def spec_groups_profiled(spark, sf_dir):
+    return U.groups(_profiled(spark, sf_dir)).select("logical_group", F.array_join("columns", ",").alias("columns"))
+
+
+@R.add("spec_errors_first_profiled", f"WITH {D1}, s AS ({_STATS}) SELECT c AS column_name, z > 0 AS is_error, count(*) FILTER (WHERE z > 0) OVER () AS n_errors, row_number() OVER (ORDER BY (z > 0) DESC, list_position({_D1_COLUMNS}, c)) AS place FROM s")
+def spec_errors_first_profiled(spark, sf_dir):
+    """Columns with nulls first, else in the table's order; a row for each column."""
+    specs = _profiled(spark, sf_dir)
+    failed = [r[0] for r in specs.where("description != 'nulls: 0'").select("column_name").collect()]
+    place = F.row_number().over(Window.orderBy(F.desc("is_error"), "pos"))
+    return U.failed_first(specs, failed).select("column_name", "is_error", "n_errors", place.alias("place"))
+
+
 @R.add("ui_distinct_values", f"WITH {D1} SELECT DISTINCT 'priority' AS column_name, coalesce(priority, '(blanks)') AS value FROM d1")
 def ui_distinct_values(spark, sf_dir):
     return G.distinct_values(d1(spark, sf_dir), ["priority"])

@@ -55,6 +55,13 @@ def spec_table(spark, specs: dict[str, ColumnSpec]) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, column_name string, expected_type string, semantic_type string, logical_group string, description string, has_pattern boolean")
 
 
+def profiled_specs(stats: DataFrame, columns: list[str]) -> DataFrame:
+    """spec_table of a profiled table: types as they are, grouped by how far values are unique."""
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column_name")).cast("int") - 1
+    return stats.select(place.alias("pos"), "column_name", F.col("dtype").alias("expected_type"), F.col("unique_category").alias("semantic_type"), F.col("unique_category").alias("logical_group"),
+                        F.concat(F.lit("nulls: "), F.col("null_count").cast("string")).alias("description"), F.lit(False).alias("has_pattern"))
+
+
 def search_specs(table: DataFrame, text: str = "", group: str | None = None) -> DataFrame:
     """Rows of spec_table that contain a text in any of four fields, in one group."""
     hit = F.lit(False)
