@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.profile import ROW
+from ..operators.sketches import changed, merged, sketched
 from ..sources.readers import with_row_index
 
 CATALOG = "id string, session_id string, version int, agent_name string, description string, created_at string, path string"
 
 
 class LineageStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, profiles: bool = False):
+        """profiles: keep a mergeable profile with each version, made when it is written."""
+        self.spark, self.root, self.profiles = spark, root.rstrip("/"), profiles
 
     def _exists(self, path: str) -> bool:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,14 +61,17 @@ class LineageStore:
         path = f"{self.root}/data/{session}/{ident}"
         try:
             (df if ROW in df.columns else with_row_index(df)).write.parquet(path)
+            if self.profiles:
+                sketched(self.spark.read.parquet(path)).coalesce(1).write.parquet(f"{self.root}/profiles/{session}/{ident}")
             n = self.latest_number(session) + 1
             while not self._claimed(session, n):
                 n += 1
             row = [(ident, session, n, agent, description, datetime.now(UTC).isoformat(), path)]
             self.spark.createDataFrame(row, CATALOG).coalesce(1).write.json(f"{self.root}/catalog/{session}/{n}")
         except Exception:
-            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            for made in (path, f"{self.root}/profiles/{session}/{ident}"):
+                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
             raise
         return n
 
@@ -89,6 +94,22 @@ class LineageStore:
         df = self.spark.read.parquet(found[0])
         return df.orderBy(ROW) if ordered else df
 
+    def profile(self, session: str, *versions: int) -> DataFrame:
+        """The profile of the union of versions (none: the latest), from what is kept with them; a version without one is scanned."""
+        rows = {r["version"]: r for r in self.versions(session).select("version", "id", "path").collect()}
+        wanted = versions or (max(rows, default=0),)
+        if lacking := [n for n in wanted if n not in rows]:
+            raise KeyError(f"{session} has no version {lacking[0]}")
+        parts = []
+        for n in wanted:
+            kept = f"{self.root}/profiles/{session}/{rows[n]['id']}"
+            parts.append(self.spark.read.parquet(kept) if self._exists(kept) else sketched(self.spark.read.parquet(rows[n]["path"])))
+        return merged(reduce(DataFrame.unionByName, parts))
+
+    def profile_change(self, session: str, before: int, after: int) -> DataFrame:
+        """How each column changed between two versions, read from their profiles."""
+        return changed(self.profile(session, before), self.profile(session, after))
+
     def register_views(self, session: str) -> list[str]:
         """Temporary views v1 .. vN, raw_data (v1), clean_data and dataset (the latest)."""
         rows = self.versions(session).select("version", "path").collect()

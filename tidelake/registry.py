@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("profile", "dedup", "clean", "audit", "stream", "suggest", "relational")
+MODULES = ("profile", "dedup", "clean", "audit", "stream", "suggest", "relational", "versions")
 
 
 def _modules():

@@ -14,7 +14,7 @@ from ..operators.joins import shifted
 from ..operators.profile import ROW, q
 
 #: Extensions by format.
-FORMATS = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "excel", "xls": "excel", "xlsm": "excel", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet", "pq": "parquet"}
+FORMATS = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "excel", "xlsm": "excel", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet", "pq": "parquet"}
 SNIFF_BYTES, SNIFF_CHARS, ADVISORY_ROWS = 100_000, 4096, 1000
 
 
