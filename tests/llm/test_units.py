@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm import brute as B
-from tidelake.llm import bpe, common, extraction, jaccard, quality, registry, substrings, warc
+from tidelake.llm import bpe, common, decontamination, extraction, jaccard, quality, registry, substrings, warc
 
 PATH = registry.vocabulary("byte_bpe_50k.tiktoken")
 ALPHABET = "ab's't re ve ll 'd  \n\t\r\u00a0\u3000\x1c\x85 12\u0663½é中文😀!?.,''`_-AB\u0301ǅ\u200b"
@@ -235,13 +235,28 @@ def random_page(r, template):
         f"<main>{body}</main>", body, f"<header>{head}</header><div>{body}</div><div class='cookie-notice'>{words(9)}</div>"][template] + "</body></html>"
 
 
-def test_extraction_against_brute_force(spark):
+def test_extraction_against_brute_force(spark, monkeypatch):
     r = random.Random(11)
     pages = [(i, f"http://h{i % 7}.org/{i}", random_page(r, r.choice([i % 7 % 5, r.randrange(5)]))) for i in range(400)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     winners = extraction.winning_paths(extraction.host_votes(df)).cache()
     got = {x.page_id: x.text for x in extraction.extract(df, winners).collect()}
     assert got == dict(B.op5([(i, url.split("/")[2], page) for i, url, page in pages]))
+    monkeypatch.setattr(extraction, "BROADCAST_ROWS", 0)  # so hosts meet their paths by shuffle, those of many pages by a broadcast
+    assert {x.page_id: x.text for x in extraction.extract(df, winners).collect()} == got
+
+
+def test_contamination_beyond_its_broadcast_bounds(spark, monkeypatch):
+    """The same result whether tables are broadcast or not."""
+    words = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([("a", " ".join(words[:20])), ("b", " ".join(words[30:35])), ("c", None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5:16])), (3, None), (None, " ".join(["x", *words[2:17]]))], "doc_id bigint, text string")
+    told = lambda: sorted(map(str, decontamination.contamination(docs, items).drop("text_hash").collect()))
+    small = told()
+    assert [sum(f"n_hit={n}," in r for r in small) for n in (25, 0, 15)] == [1, 2, 1]
+    for name in ("BROADCAST_BYTES", "BROADCAST_ROWS"):
+        monkeypatch.setattr(decontamination, name, 0)
+        assert told() == small
 
 
 @pytest.mark.parametrize(("page", "text"), [

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, fresh, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Most rows of a table that is broadcast: a few tens of bytes each.
-BROADCAST_ROWS = 200_000
+#: Most rows of a table that is broadcast, and most bytes of its columns that have no fixed size.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _POS = 22  # bits of a fingerprint that hold the position, modulo 2**22
 
 
@@ -31,9 +31,10 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lowered, SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """table, to be broadcast if its rows are within the bound; else joined by shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _small(table: DataFrame, wide: Column | None = None) -> DataFrame:
+    """table, to be broadcast if its rows, and the bytes of its columns of no fixed size (wide), are within the bounds; else joined by shuffle."""
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if wide is None else wide), F.lit(0))).first()
+    return F.broadcast(table) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else table
 
 
 def _upto(n: Column, make) -> Column:
@@ -105,14 +106,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, sprea
         return F.flatten(F.transform(at, lambda p: F.transform(F.filter(F.sequence(p - reach, p), lambda i: (i >= first) & (i <= last)), lambda i: F.struct(i.alias("i"), s["len"].alias("len")))))
 
     spotted = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_t"), F.col(text_col).alias("_text")).join(
-        _small(spots), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_t") == F.col("_st")), "left"
+        _small(spots, 16 * F.size("spots")), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_t") == F.col("_st")), "left"
     ).select("_id", "_t", words_of(F.col("_text")).alias("_words"), "spots")
     looked = spotted.select("_id", "_t", n.cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.transform(
         F.array_distinct(F.flatten(F.transform("spots", around))),
         lambda w: F.struct(w["i"].alias("i"), w["len"].alias("len"), F.array_join(F.slice("_words", w["i"], w["len"]), " ").alias("key")))).alias("tried"))
     looked = written(looked, "doc-windows")
     hits = looked.where(F.col("tried").isNotNull()).select("_id", "_t", "tried").distinct().select("_id", "_t", F.explode("tried").alias("w")).select(
-        "_id", "_t", F.col("w.i").alias("i"), F.col("w.len").alias("len"), F.col("w.key").alias("key")).join(_small(windows), ["len", "key"])
+        "_id", "_t", F.col("w.i").alias("i"), F.col("w.len").alias("len"), F.col("w.key").alias("key")).join(_small(windows, F.octet_length("key") + F.octet_length("item")), ["len", "key"])
     per_doc = hits.groupBy("_id", "_t").agg(
         F.array_sort(F.collect_set(F.struct("i", "len"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
@@ -131,4 +132,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(
         F.col(id_col).alias(own), F.col("text_hash").alias(text)).distinct()
     bad = written(bad, "contaminated")
-    return docs.join(_small(bad), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(text)), "left_anti")
+    return docs.join(_small(bad, F.coalesce(F.octet_length(F.col(own).cast("string")), F.lit(0))), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text_col)) == F.col(text)), "left_anti")

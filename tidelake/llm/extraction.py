@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_counted, written
 from .url_filters import url_parts
 
 BROADCAST_ROWS = 200_000
@@ -392,8 +393,9 @@ def winning_paths(votes: DataFrame, fair: float = FAIR) -> DataFrame:
 
 
 def extract(pages: DataFrame, winners: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text of each page. winners (host, paths) should be a written table: it is counted, and broadcast if small."""
-    small = F.broadcast(winners) if winners.count() <= BROADCAST_ROWS else winners
+    """id, url, text of each page. winners (host, paths) should be a written table: it is counted, and broadcast if small. Else hosts of many
+    pages are broadcast and the pages of the others meet their host's paths by shuffle, so no task gets all pages of a large host."""
+    few = winners.count() <= BROADCAST_ROWS
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), url_parts(F.col(url_col))[0].alias("host"))
 
     def run(batches):
@@ -402,4 +404,8 @@ def extract(pages: DataFrame, winners: DataFrame, id_col: str = "page_id", url_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.join(small, "host", "left").select("_id", "_url", "_html", "paths").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    if few:
+        met = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        met = join_counted(rows, written(winners.join(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host"), "host-paths"), ["host"])
+    return met.select("_id", "_url", "_html", "paths").mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string")

@@ -87,17 +87,17 @@ def learn_templates(urls: DataFrame, url_col: str = "url", bad_col: str = "bad",
     while True:
         seg = F.get("segments", F.lit(d))
         inner = tree.where(seg.isNotNull()).withColumn("segment", seg)
-        branches = inner.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
+        branches = inner.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("rows"))
         pools = branches.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         if (pools.agg(F.max("pn")).first()[0] or 0) < min_count:
             break
         p = F.try_divide("pb", "pl")
         differs = F.abs(F.try_divide("b", "l") - p) > z * F.sqrt(p * F.try_divide(1 - p, F.col("l")))
         kept = branches.join(pools, ["host", "template"]).where((F.col("n") >= min_count) & F.coalesce(differs, F.lit(False))).select(
-            "host", "template", "segment", F.lit(True).alias("literal"))
+            "host", "template", "segment", F.lit(True).alias("literal"), "rows")
         named = F.coalesce(F.when(F.col("literal"), F.col("segment")), F.lit(WILD))
-        tree = (
-            tree.withColumn("segment", seg).join(kept, ["host", "template", "segment"], "left")
+        tree = (  # a segment may hold most paths of a large host
+            join_counted(tree.withColumn("segment", seg), written(kept, "url-kept"), ["host", "template", "segment"], n="rows")
             .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", named)))
             .select("host", "gpath", "n", "l", "b", "segments", "template")
         )
