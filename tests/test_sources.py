@@ -133,6 +133,7 @@ def test_end_to_end(spark, tmp_path):
     doc = report.build(plan, result, store, "s", align="row_index")
     assert doc["validation"]["passed"] and json.loads(report.to_json(doc))["session"] == "s"
     assert "| deduplication |" in report.to_markdown(doc) and "flowchart" in report.pipeline_diagram(result)
+    assert [x["task"] for x in doc["actions"]] and all(x["changed_cells"] > 0 for x in doc["step_changes"])
     assert "rows were removed" in chat.answer(doc, "How many rows were removed? And which version is last?")
     chat.save_message(spark, str(tmp_path), "r", "user", "hi")
     assert chat.messages(spark, str(tmp_path), "r").count() == 1
@@ -202,3 +203,15 @@ def test_report_answers(spark):
         assert said in chat.answer(doc, asked)
     text = report.console_profile("f.csv", {"total_rows": 3, "duplicate_rows": 0}, [{"column_name": "a", "null_rate": 0.5, "null_count": 1, "total_rows": 3, "unique_count": 2, "unique_ratio": 1.0, "unique_category": "primary_key"}], samples={"a": [1, 2, 3]}, most=2)
     assert "primary_key   : a" in text and "and 1 more" in text and "1 / 3" in text
+
+
+def test_answers_of_several_parts():
+    doc = {"changed_columns": [{"column_name": "price", "changed_cells": 3, "change_rate": 0.5, "before_nulls": 3, "after_nulls": 0}], "versions": [], "validation": {"passed": True, "issues": [], "issue_count": 0},
+           "tasks": [{"task_id": "null_handling", "rows_before": 6, "rows_after": 6, "passed": True, "attempts": 1}], "plan": {"summary": "s", "active": ["null_handling"], "skipped": {}}, "metrics": {"tokens": {"input": 1200, "output": 30}, "rows_removed": 0},
+           "actions": [{"task": "null_handling", "column": "price", "action": "fill_median"}], "step_changes": [{"version": 2, "agent_name": "null_handling", "column_name": "price", "changed_cells": 3}], "n_columns": 2, "next_actions": ["x"]}
+    got = chat.composed(doc, "How many tokens were used, which columns changed most, and which transformations were applied? What is the weather")
+    assert got["facts"]["tokens"] == ["Tokens used: input 1,200, output 30."] and got["facts"]["actions"] == ["Done: null_handling price: fill_median."] and got["facts"]["changes"] == ["Most changed: price (3)."]
+    assert got["answer"].count("\n- ") == 2 and got["sources"] == ["actions", "changed_columns", "metrics"] and got["unanswered"] == ["What is the weather"]
+    assert "Changed by null_handling (v2, 3 cells)." in chat.answer(doc, "What happened to price?")
+    assert "no tokens" in chat.answer(doc | {"metrics": {}}, "What did it cost?") and "No step" in chat.answer(doc | {"actions": []}, "Which transformations were applied?")
+    assert chat.composed(doc, "sing")["answer"].startswith("That isn't")

@@ -11,6 +11,7 @@ from ..operators.pages import SortedGrid
 from ..operators.profile import ROW
 from ..scratch import scratch_path
 from .lineage import LineageStore
+from .report import step_changes
 from .views import D1, Registry, d1
 
 R = Registry()
@@ -67,3 +68,10 @@ def version_profiles(spark, sf_dir):
   round((SELECT avg(({c} IS NULL)::INT) FROM clean) - (SELECT avg(({c} IS NULL)::INT) FROM d1), 9) AS null_rate_delta""" for c in _COLUMNS))
 def version_profile_changes(spark, sf_dir):
     return _versions(spark, sf_dir).profile_change("orders", 1, 2).select("column_name", "state", "rows_delta", F.round("null_rate_delta", 9).alias("null_rate_delta"))
+
+
+@R.add("report_step_changes", _BEFORE_AFTER + " " + " UNION ALL ".join(
+    f"""SELECT 2 AS version, 'clean' AS agent_name, '{c}' AS column_name, (SELECT count(*) FROM d1 a JOIN clean b USING (_row_index) WHERE a.{c} IS DISTINCT FROM b.{c}) AS changed_cells,
+  (SELECT count(*) FROM d1 WHERE _row_index NOT IN (SELECT _row_index FROM clean)) AS removed_rows""" for c in _COLUMNS))
+def report_step_changes(spark, sf_dir):
+    return step_changes(_versions(spark, sf_dir), "orders")

@@ -4,12 +4,14 @@ from __future__ import annotations
 import html
 import json
 from dataclasses import asdict
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diff as A
+from ..operators.profile import ROW, data_columns
 from .executor import RunResult, metrics
 from .guardrails import column_references
 from .lineage import LineageStore
@@ -36,12 +38,47 @@ def validation_summary(result: RunResult) -> dict[str, Any]:
     return {"passed": not issues, "issues": issues, "issue_count": len(issues)}
 
 
-def build(plan: CleaningPlan, result: RunResult, store: LineageStore, session: str, truth: DataFrame | None = None, align: str = "position") -> dict[str, Any]:
-    """All of a run: plan, tasks, checks, versions, changed columns, score against ground truth, next actions."""
+def step_changes(store: LineageStore, session: str, column: str | None = None) -> DataFrame:
+    """version, agent_name, column_name, changed_cells, removed_rows: what each version changed of the one before it, rows matched by their index.
+    column: that one only. Versions that share no column have no rows."""
+    versions = store.versions(session).select("version", "agent_name").collect()
+    parts = []
+    for a, b in zip(versions, versions[1:], strict=False):
+        old, new = store.read(session, a["version"]), store.read(session, b["version"])
+        if column:
+            old, new = (df.select(ROW, *[c for c in (column,) if c in df.columns]) for df in (old, new))
+        if not set(data_columns(old)) & set(data_columns(new)):
+            continue
+        gone = old.join(new, ROW, "left_anti").count()
+        parts.append(A.column_changes(old, new, align="row_index").select(F.lit(b["version"]).alias("version"), F.lit(b["agent_name"]).alias("agent_name"), "column_name", F.col("changed_cells").cast("bigint").alias("changed_cells"),
+                                                                          F.lit(gone).cast("bigint").alias("removed_rows")))
+    return reduce(DataFrame.unionByName, parts) if parts else store.spark.createDataFrame([], "version int, agent_name string, column_name string, changed_cells bigint, removed_rows bigint")
+
+
+def actions(plan: CleaningPlan, result: RunResult) -> list[dict[str, Any]]:
+    """What each task that ran did: its treatment of each column, and rows that it removed."""
+    ran, out = {t.task_id: t for t in result.tasks if t.passed}, []
+    for task in plan.active():
+        if task.task_id not in ran:
+            continue
+        t = ran[task.task_id]
+        if task.task_id in ("type_casting", "null_handling"):
+            named = lambda s: s if isinstance(s, str) else str(s.get("strategy") or s.get("expected_type") or "treated")
+            out += [{"task": task.task_id, "column": c, "action": named(s)} for c, s in task.strategy.items() if c not in t.notes.get("left_as_they_are", "").split(", ")]
+        if t.rows_before != t.rows_after:
+            out.append({"task": task.task_id, "column": None, "action": f"removed {t.rows_before - t.rows_after} rows"})
+    return out
+
+
+def build(plan: CleaningPlan, result: RunResult, store: LineageStore, session: str, truth: DataFrame | None = None, align: str = "position", tokens: list[dict[str, int]] | None = None) -> dict[str, Any]:
+    """All of a run: plan, tasks and their actions, checks, versions, changed columns, what each step changed, score against ground truth, next
+    actions. tokens: what calls of a planner's model used, summed by name."""
     first, last = store.read(session, 1), store.read(session)
     changes = [r.asDict() for r in A.top_changed(A.column_changes(first, last, align=align), 12).collect()]
     doc = {"session": session, "plan": plan_summary(plan), "tasks": [asdict(t) for t in result.tasks], "metrics": metrics(result), "validation": validation_summary(result),
            "versions": [r.asDict() for r in store.versions(session).drop("path").collect()], "changed_columns": changes, "n_columns": len(last.columns) - 1, "rows": (first.count(), last.count())}
+    doc["actions"], doc["metrics"]["tokens"] = actions(plan, result), {k: sum(t.get(k, 0) for t in tokens or []) for k in sorted({k for t in tokens or [] for k in t})}
+    doc["step_changes"] = [r.asDict() for r in step_changes(store, session).where("changed_cells > 0").collect()]  # a row for each version and column at most
     if truth is not None:
         doc["score"] = A.score(first, last, truth, align=align).first().asDict()
     doc["next_actions"] = next_actions(doc)
