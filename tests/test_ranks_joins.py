@@ -88,6 +88,41 @@ def test_asof_join_in_stripes(spark, stripe_rows):
     assert got.columns == ["k", "t", "i", "v"] and Counter((x.i, x.v) for x in got.collect()) == Counter((i, last(k, t)) for k, t, i in left)
 
 
+def test_overlap_summary_without_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    make = lambda n: [(i % 60, (a := r.randrange(-50, 500)), a + r.choice([-2, 0, 1, 3, 60])) for i in range(n)] + [(500, -1000, 1000)]
+    x, y = make(80), make(90)
+    want = {}
+    for i, a, b in x:
+        for j, c, d in y:
+            if a < b and c < d and a < d and c < b:
+                n, first, last = want.get(i, (0, j, j))
+                want[i] = n + 1, min(first, j), max(last, j)
+    monkeypatch.setattr(J, "range_join", None)  # pairs are never made
+    got = J.overlap_summary(spark.createDataFrame(x, "i int, a bigint, b bigint"), spark.createDataFrame(y, "j int, c bigint, d bigint"), "a", "b", "c", "d", "i", "j", cell_rows=7)
+    assert {g.i: (g.n, g.first, g.last) for g in got.select("i", "n", "first", "last").collect()} == want
+    with pytest.raises(ValueError):
+        J.overlap_summary(got.withColumn("n", F.col("n").cast("double")), got, "n", "last", "first", "last", "i", "i")
+
+
+@pytest.mark.parametrize("stripe_rows", [10**6, 5])
+def test_asof_join_searches_shared_times_once(spark, monkeypatch, stripe_rows):
+    r = random.Random(6)
+    left = [(r.choice(["x", "y", None]), r.choice([None, *range(0, 90, 3)]), i) for i in range(800)]
+    right = [("x", t, t) for t in range(5, 80, 2)] + [(None, 3, 1), ("y", None, 2)]
+    sizes, whole = [], J.asof_join
+
+    def seen(l, *rest):
+        sizes.append(l.count())
+        return whole(l, *rest)
+
+    monkeypatch.setattr(J, "asof_join", seen)
+    got = J.asof_join(spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, t int, v int"), "t", ["k"], ["v"], "t", stripe_rows)
+    last = lambda k, t: max((u for j, u, _ in right if k == "x" and j == "x" and t is not None and u <= t), default=None)
+    assert Counter((x.i, x.k, x.t, x.v) for x in got.collect()) == Counter((i, k, t, last(k, t)) for k, t, i in left)
+    assert sizes[0] == 800 and sizes[1] == len({(k, t) for k, t, _ in left if k and t is not None})
+
+
 def test_sql_forms_on_nulls_and_clashing_names(spark):
     df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, 2, None), (1, 2, "c")], "k int, v int, _rank string")
     w = Window.partitionBy("k").orderBy("v", F.asc_nulls_last("_rank"))
