@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake import registry
+from tidelake.operators import alike as L
 from tidelake.operators import diff as A
 from tidelake.operators import fuzzy as Z
 from tidelake.operators import joins as J
@@ -47,6 +48,40 @@ def test_merge_equals_a_replay_of_the_pairs(spark, keep):
         assert sorted(x.loser for x in got.collect()) == sorted(gone)
 
 
+def _contacts(spark, n=60):
+    r = random.Random(8)
+    firms, phones = ["Acme Works 1", "Acme Works 2", "Acme Work", "Zed", ""], ["", "555-1234", "555-1235", "99", "98", "777 0000 1"]
+    rows = [(i, r.choice(firms), r.choice("xy"), r.choice(phones), r.choice(["", "m", "n"]), r.choice([None, 1])) for i in range(n)]
+    return spark.createDataFrame(rows, f"{ROW} bigint, firm string, k string, phone string, mail string, extra int")
+
+
+PAIRED = Z.Blocking("firm", (Z.BlockKey(("k",)),), threshold=0.5)
+
+
+@pytest.mark.parametrize("typo", [None, 0.78])
+def test_counts_and_chunks_equal_the_pairs(spark, monkeypatch, typo):
+    df, proof = _contacts(spark), [Z.Evidence(("mail",), ("phone",), typo=typo)]
+    want = {tuple(r) for r in Z.resolve(df, Z.candidate_pairs(df, PAIRED), PAIRED, proof).select("row_a", "row_b", "resolution").collect()}
+    monkeypatch.setattr(Z, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(Z, "TASK_PAIRS", 100)
+    pairs = Z.resolved_pairs(df, PAIRED, proof).collect()
+    assert len(pairs) == len(want) and {(r.row_a, r.row_b, r.resolution) for r in pairs} == want
+    counts = {}
+    for *_, kind in want:
+        counts[kind] = counts.get(kind, 0) + 1
+    for most in (4096, 2):
+        assert {r.resolution: r.n for r in L.resolution_counts(df, PAIRED, proof, table_values=most).collect()} == counts
+
+
+@pytest.mark.parametrize("keep", ["keep_first", "keep_last", "keep_most_complete"])
+def test_merge_without_pairs(spark, keep):
+    df, proof = _contacts(spark), [Z.Evidence(("mail",), ("phone",))]
+    supported = Z.resolve(df, Z.candidate_pairs(df, PAIRED), PAIRED, proof).where("resolution = 'supported'")
+    want = sorted(r[ROW] for r in Z.fuzzy_merge(df, supported, keep).collect())
+    for most in (10**6, 12):
+        assert sorted(r[ROW] for r in L.merge_alike(df, PAIRED, proof, keep, unit_rows=most).collect()) == want
+
+
 def test_checked_plan(spark):
     df = spark.createDataFrame([(0, "a", "b")], f"{ROW} bigint, firm string, city string")
     plan = Z.check_plan(df, [Z.Blocking("firm", (Z.BlockKey(("city", "x"), "odd"),), threshold=-1, family="address", max_bucket=2, sub_block_columns=("firm", "city"), metric="odd", spec_id="s"), Z.Blocking("city", spec_id="s")],
