@@ -2,6 +2,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tidelake.operators import alike as L
 from tidelake.operators import diff as A
 from tidelake.operators import fuzzy as Z
 from tidelake.operators import joins as J
+from tidelake.operators.listing import list_pairs
 from tidelake.operators.profile import ROW
 from tidelake.plans import queries_dedup as Q
 from tidelake.plans.views import d4
@@ -73,6 +75,39 @@ def test_counts_and_chunks_equal_the_pairs(spark, monkeypatch, typo):
         assert {r.resolution: r.n for r in L.resolution_counts(df, PAIRED, proof, table_values=most).collect()} == counts
 
 
+def test_rows_are_sent_once_a_chunk_however_many_kinds_are_alike(spark):
+    df = spark.createDataFrame([(i, f"Acme Works {i}", "x") for i in range(30)], f"{ROW} bigint, firm string, k string")
+    met = Z.met_chunks(df, PAIRED)
+    assert met.selectExpr("sum(size(_a) + size(_b))").first()[0] == 60
+    assert Z.candidate_pairs(df, PAIRED).count() == 30 * 29 // 2
+
+
+@pytest.mark.parametrize("typo", [None, 0.78])
+def test_listed_pairs_equal_resolved_ones(spark, monkeypatch, typo):
+    df, proof = _contacts(spark, 90), [Z.Evidence(("mail", "phone"), ("phone", "mail"), hard_reject=False, typo=typo)]
+    rows = {r[ROW]: r for r in df.collect()}
+    toks = lambda v: {v[i : i + 3] for i in range(max(1, len(v) - 2))} if v else set()
+    firm = {i: toks(r.firm.lower().replace(" ", "")) for i, r in rows.items()}
+    score = lambda a, b: len(firm[a] & firm[b]) / len(firm[a] | firm[b]) if firm[a] | firm[b] else 0.0
+    want = {(a, b): round(score(a, b), 6) for a in rows for b in rows if a < b and rows[a].k == rows[b].k and score(a, b) >= 0.5}
+    told = Z.resolve(df, Z.candidate_pairs(df, PAIRED), PAIRED, proof).drop("score").collect()
+    monkeypatch.setattr(Z, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(Z, "LISTED_KINDS", 3)
+    monkeypatch.setattr(Z, "TASK_PAIRS", 50)
+    pairs = Z.candidate_pairs(df, PAIRED, digits=6).collect()
+    assert len(pairs) == len(want) and {(r.row_a, r.row_b): r.score for r in pairs} == want
+    assert sorted(map(tuple, Z.resolved_pairs(df, PAIRED, proof).drop("score").collect())) == sorted(map(tuple, told))
+
+
+def test_a_row_of_listed_pairs_is_bounded():
+    rows = [{"row": i, "at": i % 2, "v0": "xy"[i % 3 == 0]} for i in range(20)]
+    batch = pa.RecordBatch.from_pylist([{"_a": rows, "_b": rows, "_list": [{"a": a, "b": b, "score": float(a == b)} for a in (0, 1) for b in (0, 1)]}])
+    found = [r for x in list_pairs([0], [(0, None)], row_pairs=40, batch_pairs=100)([batch]) for r in x.to_pylist()]
+    assert all(len(r["a"]) * len(r["b"]) <= 40 for r in found)
+    pairs = {(x, y): (r["score"][j], r["flags"][i * len(r["b"]) + j]) for r in found for i, x in enumerate(r["a"]) for j, y in enumerate(r["b"])}
+    assert pairs == {(x, y): (float(x % 2 == y % 2), 1 if (x % 3 == 0) == (y % 3 == 0) else 2) for x in range(20) for y in range(20)}
+
+
 @pytest.mark.parametrize("keep", ["keep_first", "keep_last", "keep_most_complete"])
 def test_merge_without_pairs(spark, keep):
     df, proof = _contacts(spark), [Z.Evidence(("mail",), ("phone",))]
