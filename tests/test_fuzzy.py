@@ -108,6 +108,23 @@ def test_a_row_of_listed_pairs_is_bounded():
     assert pairs == {(x, y): (float(x % 2 == y % 2), 1 if (x % 3 == 0) == (y % 3 == 0) else 2) for x in range(20) for y in range(20)}
 
 
+def test_rows_of_listed_pairs_are_small_and_leave_out_earlier_rows():
+    rows = [{"row": 3 * i, "at": i % 2} for i in range(200)]
+    batch = pa.RecordBatch.from_pylist([{"_a": rows, "_b": rows, "_list": [{"a": a, "b": b, "score": 0.6 + 0.4 * (a == b)} for a in (0, 1) for b in (0, 1)]}])
+    found = [r for x in list_pairs([], [], later=True)([batch]) for r in x.to_pylist()]
+    assert max(len(r["a"]) * len(r["b"]) for r in found) <= 4096 and sum(len(r["a"]) * len(r["b"]) for r in found) < 0.65 * 200 * 200
+    pairs = sorted((x, y, r["score"][j]) for r in found for x in r["a"] for j, y in enumerate(r["b"]) if x < y)
+    assert pairs == [(3 * i, 3 * j, 0.6 + 0.4 * (i % 2 == j % 2)) for i in range(200) for j in range(i + 1, 200)]
+
+
+def test_block_keys_are_worked_out_once_after_the_spreading(spark, monkeypatch):
+    seen, write = {}, Z.written
+    monkeypatch.setattr(Z, "written", lambda df, name: seen.setdefault(name, df) and write(df, name))
+    df = spark.createDataFrame([(0, "Acme", ""), (1, "Acme", "x"), (2, "", None)], f"{ROW} bigint, firm string, k string")
+    assert {tuple(r) for r in Z.blocked(df, PAIRED).collect()} == {(0, "acme", "acme"), (1, "x", "acme")}
+    assert "Filter" not in seen["block-rows"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("keep", ["keep_first", "keep_last", "keep_most_complete"])
 def test_merge_without_pairs(spark, keep):
     df, proof = _contacts(spark), [Z.Evidence(("mail",), ("phone",))]
