@@ -1,8 +1,10 @@
 """Fuzzy pairs, evidence, plan checks and merges, positions and joins against plain Python."""
 import random
+from dataclasses import replace
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,44 @@ def test_merge_without_pairs(spark, keep):
         assert sorted(r[ROW] for r in L.merge_alike(df, PAIRED, proof, keep, unit_rows=most).collect()) == want
 
 
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """A folder with 100 200 customers of one block, more than the cap that blocks had."""
+    keys, folder = pa.array(range(0, 4 * 100_200, 4), pa.int64()), tmp_path_factory.mktemp("crowded")
+    n = len(keys)
+    pq.write_table(pa.table({"c_custkey": keys, "c_name": ["c"] * n, "c_nationkey": pa.array([1] * n, pa.int32()), "c_acctbal": [0.0] * n, "c_mktsegment": ["FURNITURE"] * n}), f"{folder}/customer.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["fuzzy_pairs_jaccard", "fuzzy_pairs_weighted"])
+def test_large_blocks_are_whole(spark, crowded, monkeypatch, name):
+    for module, step in ((Z, "candidate_pairs"), (L, "resolution_counts")):
+        monkeypatch.setattr(module, step, lambda df, spec, *_, **__: Z.blocked(df, spec))
+    assert registry.queries()[name](spark, crowded).count() == 100_200
+    assert "<= 100000" not in registry.oracle_sql()[name]
+
+
+@pytest.mark.parametrize("gap", [1, 7919])
+def test_rows_are_numbered_in_their_block(spark, gap):
+    r = random.Random(2)
+    rows = [(i * gap if i % 50 else None, "x" if i % 3 else r.choice("yz")) for i in range(9000)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "id bigint, _block string")
+    placed = Z.block_places(df, F.col("id"))
+    want = {(i, b, k) for x in "xyz" for k, (i, b) in enumerate(sorted(t for t in rows if t[1] == x and t[0] is not None))}
+    assert {tuple(t) for t in placed.select("id", "_block", "_place").collect()} == want and placed.count() == len(want)
+    assert Z.block_places(df.where("id IS NULL"), F.col("id")).isEmpty()
+    held = df.where("id IS NOT NULL").groupBy("_block", Z.stripe_of(df, "id")).count().agg(F.max("count")).first()[0]
+    assert held <= 9  # rows of a block that one window numbers
+
+
+def test_a_plan_without_a_cap_stays_without(spark):
+    df = spark.createDataFrame([(i, "Acme Works", "x") for i in range(120)], f"{ROW} bigint, firm string, k string")
+    plan = Z.check_plan(df, [replace(PAIRED, max_bucket=None)], [])
+    found = Z.candidate_sets(df, plan)[0]
+    assert plan.blockings[0].max_bucket is None and (found.rows, found.capped, found.found) == (120, 0, 120 * 119 // 2)
+
+
 def test_checked_plan(spark):
     df = spark.createDataFrame([(0, "a", "b")], f"{ROW} bigint, firm string, city string")
     plan = Z.check_plan(df, [Z.Blocking("firm", (Z.BlockKey(("city", "x"), "odd"),), threshold=-1, family="address", max_bucket=2, sub_block_columns=("firm", "city"), metric="odd", spec_id="s"), Z.Blocking("city", spec_id="s")],
