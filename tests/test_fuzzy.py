@@ -145,7 +145,7 @@ def crowded(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["fuzzy_pairs_jaccard", "fuzzy_pairs_token", "fuzzy_pairs_weighted"])
+@pytest.mark.parametrize("name", ["fuzzy_pairs_jaccard", "fuzzy_pairs_token", "fuzzy_pairs_weighted", "fuzzy_resolution_counts"])
 def test_large_blocks_are_whole(spark, crowded, monkeypatch, name):
     for module, step in ((Z, "candidate_pairs"), (L, "resolution_counts")):
         monkeypatch.setattr(module, step, lambda df, spec, *_, **__: Z.blocked(df, spec))
