@@ -153,6 +153,30 @@ def test_large_blocks_are_whole(spark, crowded, monkeypatch, name):
     assert "<= 100000" not in registry.oracle_sql()[name]
 
 
+@pytest.mark.parametrize("keep", ["keep_most_complete"])
+def test_large_blocks_are_merged_whole(spark, crowded, keep):
+    rows = sorted(d4(spark, crowded).select(ROW, "phone", "email", "firm").collect())
+    text = {r.firm: "".join(c for c in r.firm.lower() if c.isalnum()) for r in rows}
+    toks = {f: {t[i : i + 3] for i in range(len(t) - 2)} for f, t in text.items()}
+    alike = {(f, g): len(toks[f] & toks[g]) / len(toks[f] | toks[g]) >= 0.6 for f in toks for g in toks}
+    norm, nulls = lambda v: (v or "").strip().lower(), lambda r: (r.phone is None) + (r.email is None)
+    units, gone = {}, set()
+    for r in rows:
+        if norm(r.email):
+            units.setdefault(norm(r.email), []).append((r[ROW], norm(r.phone), r.firm, nulls(r)))
+    for unit in units.values():
+        for i, (a, x, f, na) in enumerate(unit):
+            for b, y, g, nb in unit[i + 1 :]:
+                if a in gone:
+                    break
+                if b not in gone and alike[f, g] and not (x and y and x != y):
+                    gone.add(a if keep == "keep_most_complete" and na > nb else b)
+    name = {"keep_first": "fuzzy_merge_first", "keep_most_complete": "fuzzy_merge"}[keep]
+    assert max(gone) > 4 * 100_000
+    assert {r[ROW] for r in registry.queries()[name](spark, crowded).select(ROW).collect()} == {r[ROW] for r in rows} - gone
+    assert "<= 100000" not in registry.oracle_sql()[name]
+
+
 @pytest.mark.parametrize("gap", [1, 7919])
 def test_rows_are_numbered_in_their_block(spark, gap):
     r = random.Random(2)
