@@ -153,7 +153,7 @@ def test_large_blocks_are_whole(spark, crowded, monkeypatch, name):
     assert "<= 100000" not in registry.oracle_sql()[name]
 
 
-@pytest.mark.parametrize("keep", ["keep_most_complete"])
+@pytest.mark.parametrize("keep", ["keep_first", "keep_most_complete"])
 def test_large_blocks_are_merged_whole(spark, crowded, keep):
     rows = sorted(d4(spark, crowded).select(ROW, "phone", "email", "firm").collect())
     text = {r.firm: "".join(c for c in r.firm.lower() if c.isalnum()) for r in rows}
