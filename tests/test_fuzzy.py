@@ -77,6 +77,31 @@ def test_counts_and_chunks_equal_the_pairs(spark, monkeypatch, typo):
         assert {r.resolution: r.n for r in L.resolution_counts(df, PAIRED, proof, table_values=most).collect()} == counts
 
 
+@pytest.mark.parametrize("proof", [Z.Evidence(("mail", "phone"), ("phone", "mail"), 2, typo=None), Z.Evidence(("mail",), ("phone", "extra"), 0, False, typo=None), Z.Evidence(typo=None)])
+def test_counts_of_equal_values_equal_the_pairs(spark, proof):
+    df = _contacts(spark, 80)
+    df = df.unionByName(df.where(f"{ROW} % 7 = 0").withColumn("mail", F.lit("m"))).unionByName(df.where(f"{ROW} = 3").withColumn(ROW, F.lit(None).cast("bigint")))  # repeated and lacking numbers
+    rows = [r.asDict() for r in df.collect()]
+    toks = lambda v: {v[i : i + 3] for i in range(max(1, len(v) - 2))} if v else set()
+    for r in rows:
+        r |= {"toks": toks(r["firm"].lower().replace(" ", "")), **{c: str("" if r[c] is None else r[c]).strip() for c in ("phone", "mail", "extra")}}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if None in (a[ROW], b[ROW]) or a[ROW] >= b[ROW] or a["k"] != b["k"] or not a["toks"] | b["toks"] or len(a["toks"] & b["toks"]) / len(a["toks"] | b["toks"]) < 0.5:
+                continue
+            clash = any(a[c] and b[c] and a[c] != b[c] for c in proof.reject)
+            backed = sum(a[c] == b[c] != "" for c in proof.support) >= proof.minimum_support
+            kind = "rejected" if clash and proof.hard_reject else "supported" if backed and not clash else "review"
+            want[kind] = want.get(kind, 0) + 1
+    assert {r.resolution: r.n for r in L.resolution_counts(df, PAIRED, [proof]).collect()} == want
+
+
+def test_counts_make_no_pairs(spark, crowded, monkeypatch):
+    monkeypatch.setattr(Z, "chunk_pairs", lambda *_: pytest.fail("rows are paired"))
+    assert sum(r.n for r in registry.queries()["fuzzy_resolution_counts"](spark, crowded).collect()) == 100_200 * 100_199 // 2
+
+
 def test_rows_are_sent_once_a_chunk_however_many_kinds_are_alike(spark):
     df = spark.createDataFrame([(i, f"Acme Works {i}", "x") for i in range(30)], f"{ROW} bigint, firm string, k string")
     met = Z.met_chunks(df, PAIRED)
