@@ -202,8 +202,9 @@ def test_large_blocks_are_merged_whole(spark, crowded, keep):
     assert "<= 100000" not in registry.oracle_sql()[name]
 
 
-@pytest.mark.parametrize("gap", [1, 7919])
-def test_rows_are_numbered_in_their_block(spark, gap):
+@pytest.mark.parametrize("gap, stripe", [(1, 5), (7919, 5), (7919, 4000), (1, 50_000)])
+def test_rows_are_numbered_in_their_block(spark, monkeypatch, gap, stripe):
+    monkeypatch.setattr(Z, "STRIPE_ROWS", stripe)
     r = random.Random(2)
     rows = [(i * gap if i % 50 else None, "x" if i % 3 else r.choice("yz")) for i in range(9000)]
     r.shuffle(rows)
@@ -212,8 +213,8 @@ def test_rows_are_numbered_in_their_block(spark, gap):
     want = {(i, b, k) for x in "xyz" for k, (i, b) in enumerate(sorted(t for t in rows if t[1] == x and t[0] is not None))}
     assert {tuple(t) for t in placed.select("id", "_block", "_place").collect()} == want and placed.count() == len(want)
     assert Z.block_places(df.where("id IS NULL"), F.col("id")).isEmpty()
-    held = df.where("id IS NOT NULL").groupBy("_block", Z.stripe_of(df, "id")).count().agg(F.max("count")).first()[0]
-    assert held <= 9  # rows of a block that one window numbers
+    held = df.where("id IS NOT NULL").groupBy("_block", Z.stripe_of(df, "id", stripe)).count().agg(F.max("count")).first()[0]
+    assert held <= 2 * stripe  # rows of a block that one window numbers
 
 
 def test_a_plan_without_a_cap_stays_without(spark):
